@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, simhash
+from . import bpe, exact_dedup, mixing, simhash, tokencount
 
 SPACE_SQL = r"[\x20\x09-\x0D]"
 WORD_SQL = r"[^\x20\x09-\x0D]+"
@@ -17,11 +17,65 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def vocabulary(name: str) -> str:
+    """The path of a public tokenizer file on the driver."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = bpe.encode(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+    return e.select(F.col("id").alias("doc_id"), "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
+#: Sources by size for weight fill up one after another; a source's level is what is left over the weights not yet full.
+OP4_SQL = rf"""
+WITH base AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD_SQL}')) AS size,
+         CAST(concat('0x', substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15)) AS BIGINT) AS key
+  FROM documents),
+src AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+         (CASE (row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END) AS weight
+  FROM base GROUP BY source),
+lev AS (
+  SELECT *, CAST(sum(source_size) OVER () - coalesce(sum(3 * source_size) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE)
+            / sum(weight) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level,
+         CAST(3 * source_size AS DOUBLE) / weight AS k
+  FROM src WINDOW w AS (ORDER BY CAST(3 * source_size AS DOUBLE) / weight, source ASC NULLS LAST)),
+opened AS (SELECT arg_min(level, k) AS level FROM lev WHERE weight * level <= 3 * source_size),
+tgt AS (
+  SELECT source, source_size,
+         CASE WHEN weight * lev.level > 3 * source_size THEN CAST(3 * source_size AS DOUBLE)
+              ELSE least(CAST(3 * source_size AS DOUBLE), weight * opened.level) END AS target
+  FROM lev, opened),
+placed AS (
+  SELECT doc_id, size, source_size, target,
+         coalesce(sum(size) OVER (PARTITION BY base.source ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS past
+  FROM base JOIN tgt ON base.source IS NOT DISTINCT FROM tgt.source)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
+       CAST(CASE WHEN size = 0 THEN 0 ELSE size * (
+         CAST(past + size / 2.0 <= target AS INT) + CAST(past + source_size + size / 2.0 <= target AS INT)
+         + CAST(past + 2 * source_size + size / 2.0 <= target AS INT)) END AS BIGINT) AS taken
+FROM placed
+"""
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = simhash.near_groups(table(spark, sf_dir, "documents"))
     return g.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = tokencount.token_counts(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+    return c.select(F.col("id").alias("doc_id"), "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = exact_dedup.exact_groups(table(spark, sf_dir, "documents"), digest_all=True)
     return g.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.col("full_hash").alias("text_sha256"))
@@ -41,10 +95,14 @@ FROM n
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_bpe": op2_bpe,
+    "op4_mixing": op4_mixing,
     "op5_simhash": op5_simhash,
+    "op7_token_counts": op7_token_counts,
     "op9_exact_dedup": op9_exact_dedup,
 }
 
 ORACLES: dict[str, str] = {
+    "op4_mixing": OP4_SQL,
     "op9_exact_dedup": OP9_SQL,
 }
