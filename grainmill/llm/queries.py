@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, mixing, simhash, tokencount
+from . import bpe, exact_dedup, linededup, mixing, quality, simhash, tokencount
 
 SPACE_SQL = r"[\x20\x09-\x0D]"
 WORD_SQL = r"[^\x20\x09-\x0D]+"
@@ -76,6 +76,11 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select(F.col("id").alias("doc_id"), "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = quality.judge(table(spark, sf_dir, "documents"))
+    return q.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = exact_dedup.exact_groups(table(spark, sf_dir, "documents"), digest_all=True)
     return g.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.col("full_hash").alias("text_sha256"))
@@ -94,15 +99,46 @@ SELECT doc_id,
 FROM n
 """
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = linededup.line_dedup(table(spark, sf_dir, "pages"))
+    return d.select(F.col("id").alias("page_id"), "host", "n_lines", "n_dropped", "text")
+
+
+OP10_SQL = rf"""
+WITH rows_ AS (
+  SELECT page_id, lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)', 1)) AS host,
+         list_filter(string_split(trim(regexp_replace(regexp_replace(
+           regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '{linededup.HIDDEN}', '', 'g'),
+             '{linededup.BREAKS}', chr(10), 'g'), '<[^>]*>', '', 'g'),
+           '[\x09\x0B-\x0D ]+', ' ', 'g'), ' ?\n[\n ]*', chr(10), 'g')), chr(10)), lambda x: x <> '') AS lines
+  FROM pages),
+totals AS (SELECT host, count(*) AS pages FROM rows_ WHERE host <> '' GROUP BY host),
+once AS (SELECT host, unnest(list_distinct(lines)) AS line FROM rows_ WHERE host <> ''),
+drops AS (
+  SELECT host, list(line) AS drops
+  FROM (SELECT host, line, count(*) AS n FROM once GROUP BY host, line) JOIN totals USING (host)
+  WHERE n >= 3 AND n > CAST(0.1 AS DOUBLE) * pages GROUP BY host),
+out_ AS (
+  SELECT page_id, rows_.host, lines,
+         CASE WHEN drops IS NULL THEN lines ELSE list_filter(lines, lambda x: NOT list_contains(drops, x)) END AS stays
+  FROM rows_ LEFT JOIN drops ON rows_.host = drops.host)
+SELECT page_id, host, CAST(len(lines) AS INT) AS n_lines, CAST(len(lines) - len(stays) AS INT) AS n_dropped,
+       array_to_string(stays, chr(10)) AS text
+FROM out_
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
     "op4_mixing": op4_mixing,
     "op5_simhash": op5_simhash,
     "op7_token_counts": op7_token_counts,
+    "op8_quality": op8_quality,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_line_dedup": op10_line_dedup,
 }
 
 ORACLES: dict[str, str] = {
     "op4_mixing": OP4_SQL,
     "op9_exact_dedup": OP9_SQL,
+    "op10_line_dedup": OP10_SQL,
 }
