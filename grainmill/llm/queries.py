@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, linededup, mixing, quality, simhash, tokencount
+from . import bpe, exact_dedup, linededup, mixing, quality, simhash, tokencount, toxicity
 
 SPACE_SQL = r"[\x20\x09-\x0D]"
 WORD_SQL = r"[^\x20\x09-\x0D]+"
@@ -24,6 +24,11 @@ def vocabulary(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return t.select(F.col("id").alias("doc_id"), "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = bpe.encode(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
     return e.select(F.col("id").alias("doc_id"), "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -128,6 +133,7 @@ FROM out_
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op2_bpe": op2_bpe,
     "op4_mixing": op4_mixing,
     "op5_simhash": op5_simhash,
