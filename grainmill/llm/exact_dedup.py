@@ -6,7 +6,7 @@ number of bits, which every task gets; a second scan reads and hashes the full t
 others. A bit that two keys share only costs a hash. Text is never shuffled.
 
 The group of a copied text may hold a third of all rows: groups are aggregated before their shuffle, and joined back
-by the hash alone, which Spark's skewed-join handling splits.
+through a broadcast of checked size or else a join by the hash alone, which Spark's skewed-join handling splits.
 
 Defined results. Null text counts as empty; empty texts equal each other. Ties in length go to the smallest id, null
 ids last. Repeated rows: one output row for each input row. Empty table: empty result. Extra columns are ignored.
@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, cut, keep_rows, once_per_id, pick
+from .common import SPACE, cut, keep_rows, once_per_id, pick, small
 
 #: 2^BITMAP_BITS bits, 4 MB, at any input size.
 BITMAP_BITS, PREFIX = 25, 64
@@ -63,7 +63,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     groups = rows.where("goes_on").groupBy("full_hash").agg(best, F.count("*").alias("size"), F.min("id").alias("any_id")).where("size > 1")
     groups = groups.select("full_hash", "size", (-F.col("best.neg")).alias("keep"), F.col("best.points").alias("most"))
     alone = rows.where("not goes_on").select("id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "full_hash")
-    out = rows.where("goes_on").join(groups, "full_hash", "left")
+    out = rows.where("goes_on").join(small(cut(groups), 120), "full_hash", "left")
     single = F.col("size").isNull()
     stays = single | (F.col("id").eqNullSafe(F.col("keep")) & (F.col("points") == F.col("most")))
     found = out.select("id", F.when(single, F.col("id")).otherwise(F.col("keep")).alias("keep_id"), F.coalesce("size", F.lit(1)).cast("long").alias("group_size"), stays.alias("kept"), "full_hash")

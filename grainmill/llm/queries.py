@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, linededup, mixing, quality, simhash, tokencount, toxicity
+from . import bpe, exact_dedup, htmltext, linededup, mixing, quality, simhash, substring, tokencount, toxicity
 
 SPACE_SQL = r"[\x20\x09-\x0D]"
 WORD_SQL = r"[^\x20\x09-\x0D]+"
@@ -34,6 +34,11 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("id").alias("doc_id"), "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = substring.passages(table(spark, sf_dir, "documents"))
+    return p.withColumnsRenamed({"doc": "doc_id", "partner": "partner_id"})
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
@@ -76,6 +81,11 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = htmltext.extract(table(spark, sf_dir, "pages"))
+    return t.select(F.col("id").alias("page_id"), "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = tokencount.token_counts(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
     return c.select(F.col("id").alias("doc_id"), "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
@@ -135,8 +145,10 @@ FROM out_
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_bpe": op2_bpe,
+    "op3_substring_dedup": op3_substring_dedup,
     "op4_mixing": op4_mixing,
     "op5_simhash": op5_simhash,
+    "op6_html": op6_html,
     "op7_token_counts": op7_token_counts,
     "op8_quality": op8_quality,
     "op9_exact_dedup": op9_exact_dedup,
