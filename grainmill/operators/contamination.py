@@ -65,7 +65,11 @@ def findings(docs: DataFrame, id_col: str, text_col: str, phrases: Sequence[str]
     """A row for each sentence with a match: id, start, stop, sentence_text, triggers, sources, label, action, reason.
     Matches are located inside their own document, so nothing is joined; sentences are grouped by (id, span)."""
     rules = [("exact", p, phrase_pattern(p)) for p in phrases] + [("proximity", f"{a} [0-5 words] {b}", proximity_pattern(a, b)) for a, b in pairs]
-    found = F.concat(*[F.transform(T.match_spans(F.col(text_col), regex), lambda m, s=source, t=trigger: F.struct(m["start"].alias("at"), F.lit(t).alias("trigger"), F.lit(s).alias("source"))) for source, trigger, regex in rules])
+
+    def named(source: str, trigger: str, regex: str) -> Column:
+        return F.transform(T.match_spans(F.col(text_col), regex), lambda m: F.struct(m["start"].alias("at"), F.lit(trigger).alias("trigger"), F.lit(source).alias("source")))
+
+    found = F.concat(*[named(*r) for r in rules])
     base = docs.select(F.col(id_col).alias(id_col), found.alias("found"), sentence_spans(F.col(text_col)).alias("spans"), line_spans(F.col(text_col)).alias("lines")).where(F.size("found") > 0)
     at = base.select(id_col, "spans", "lines", F.explode("found").alias("m"))
     placed = at.select(id_col, locate(F.col("spans"), F.col("lines"), F.col("m.at")).alias("s"), "m.trigger", "m.source")

@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions import lexicons as L
 
@@ -213,7 +213,7 @@ def judge(df: DataFrame, judge_fn: Callable[[str], str], transient: tuple[type[E
             done = [one(r) for r in b["request"]]
             yield b.assign(answer=[d[0] for d in done], judge_error=[d[1] for d in done])
 
-    schema = df.drop("answer", "judge_error").schema.add("answer", "string").add("judge_error", "string")
+    schema = StructType([*df.drop("answer", "judge_error").schema.fields, StructField("answer", StringType()), StructField("judge_error", StringType())])
     return df.drop("answer", "judge_error").mapInPandas(run, schema)
 
 
@@ -235,7 +235,7 @@ def generate(tasks: DataFrame, generate_fn: Callable[[dict], str], keep_errors:
                     errors.append(f"{type(e).__name__}: {e}")
             yield b.assign(output_text=texts, generation_error=errors)
 
-    return tasks.mapInPandas(run, tasks.schema.add("output_text", "string").add("generation_error", "string"))
+    return tasks.mapInPandas(run, StructType([*tasks.schema.fields, StructField("output_text", StringType()), StructField("generation_error", StringType())]))
 
 
 #: The four-field answer of the one-row smoke judge.

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..functions import lexicons as L
 from ..functions import text as T
@@ -40,20 +43,24 @@ FULL = dict(skip=(r"^\s*\d+\s*/", r"(?i)^(Figure|Fig\.|Table|TAB|TABLE)\b", r"^[
 def glyph_lines(glyphs: DataFrame, tolerance: float = 2.0, gap: float = 0.6, small: float = 9.5) -> DataFrame:
     """glyphs (page, page_width, top, x0, x1, size, text) as (page, col, line, text): small glyphs dropped, left column
     before right, a new line where the top leaves the line's first glyph by more than the tolerance, a space where the gap
-    exceeds a share of the glyph before. The anchor of a line depends on the glyphs ahead, so a page is one group."""
-    import pyarrow  # noqa: F401  (applyInPandas needs it)
-
+    exceeds a share of the glyph before. A line's anchor depends on the glyphs ahead: pages are dealt to tasks, sorted, and
+    numbered in one pass that keeps only the anchor."""
     d = glyphs.where(F.col("size") >= small).withColumn("col", F.when(F.col("x0") < F.col("page_width") / 2, 0).otherwise(1))
 
-    def lines(pdf: pd.DataFrame) -> pd.DataFrame:
-        out, anchor, line = [], None, -1
-        for top in pdf.sort_values(["top", "x0"], kind="stable")["top"]:
-            if anchor is None or abs(top - anchor) > tolerance:
-                anchor, line = top, line + 1
-            out.append(line)
-        return pdf.sort_values(["top", "x0"], kind="stable").assign(line=out)
-
-    numbered = d.groupBy("page", "col").applyInPandas(lines, d.schema.add("line", "int"))
+    def lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group = anchor = line = None
+        for b in batches:
+            out = []
+            for key, top in zip(zip(b["page"], b["col"]), b["top"]):
+                if key != group:
+                    group, anchor, line = key, top, 0
+                elif abs(top - anchor) > tolerance:
+                    anchor, line = top, line + 1
+                out.append(line)
+            yield b.assign(line=out)
+
+    ordered = d.repartition("page", "col").sortWithinPartitions("page", "col", "top", "x0")
+    numbered = ordered.mapInPandas(lines, StructType([*d.schema.fields, StructField("line", IntegerType())]))
     w = Window.partitionBy("page", "col", "line").orderBy("x0")
     before, width = F.lag("x1").over(w), F.greatest(F.lag("x1").over(w) - F.lag("x0").over(w), F.lit(1e-3))
     part = F.concat(F.when(F.col("x0") - before > width * gap, " ").otherwise(""), F.col("text"))

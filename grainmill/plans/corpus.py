@@ -1,0 +1,376 @@
+"""Queries over texts: selection, review, cleaning and layout."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..operators import cleaning as C
+from ..operators import contamination as R
+from ..operators import grids as G
+from ..operators import layout as Y
+from ..operators import selection as S
+from ..sources import corpus as SRC
+from .base import query, table
+
+#: Words that occur in the test texts, in place of the reference lexicons.
+PHRASES, NEAR = ("the the", "tion and", "que la"), (("the", "and"), ("que", "la"))
+
+
+def _any(words, column="lower(text)") -> str:
+    return "(" + " OR ".join(f"contains({column}, '{w}')" for w in words) + ")"
+
+
+@query("contamination_flags", """SELECT d.doc_id, count(*) AS n_items, min(b.item_id) AS first_item FROM documents d JOIN (
+  SELECT item_id, lower(array_to_string(string_split(regexp_replace(trim(text), '\\s+', ' ', 'g'), ' ')[1:5], ' ')) AS p FROM benchmark) b
+  ON contains(lower(regexp_replace(d.text, '\\s+', ' ', 'g')), b.p) GROUP BY d.doc_id""")
+def contamination_flags(spark, d):
+    """Documents that hold the first five words of benchmark items. The 40 phrases are a parameter of the scan: they are
+    read to the driver as a lexicon (its size is the benchmark's, checked here)."""
+    norm = F.regexp_replace(F.trim("text"), r"\s+", " ")
+    items = table(spark, d, "benchmark").select("item_id", F.lower(F.array_join(F.slice(F.split(norm, " "), 1, 5), " ")).alias("p")).limit(10_001).collect()
+    if len(items) > 10_000:
+        raise ValueError("the lexicon must have at most 10,000 phrases")
+    lexicon = F.array(*[F.struct(F.lit(r.item_id).alias("item_id"), F.lit(r.p).alias("p")) for r in items])
+    hit = F.filter(lexicon, lambda x: F.contains("t", x["p"]))
+    rows = table(spark, d, "documents").select("doc_id", F.lower(F.regexp_replace("text", r"\s+", " ")).alias("t")).select("doc_id", hit.alias("h"))
+    return rows.where(F.size("h") > 0).select("doc_id", F.size("h").cast("bigint").alias("n_items"), F.array_min(F.transform("h", lambda x: x["item_id"])).alias("first_item"))
+
+
+@query("proximity_flags", r"""SELECT doc_id, len(regexp_extract_all(text, '(?i)the(?:[^A-Za-z0-9_]+[A-Za-z0-9_]+){0,5}[^A-Za-z0-9_]+and')) AS n FROM documents
+ WHERE lang = 'en' AND NOT regexp_matches(text, '[^\x00-\x7F]') AND regexp_matches(text, '(?i)the(?:[^A-Za-z0-9_]+[A-Za-z0-9_]+){0,5}[^A-Za-z0-9_]+and')""")
+def proximity_flags(spark, d):
+    p = R.proximity_pattern("the", "and")
+    rows = table(spark, d, "documents").where("lang = 'en'").where(~F.rlike("text", F.lit(r"[^\x00-\x7F]"))).where(F.rlike("text", F.lit(p)))
+    return rows.select("doc_id", F.size(T.match_spans(F.col("text"), p)).cast("bigint").alias("n"))
+
+
+@query("sentence_spans")
+def sentence_spans(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.explode(R.sentence_spans(F.col("text"))).alias("s")).select("doc_id", "s.*")
+
+
+@query("sentence_findings")
+def sentence_findings(spark, d):
+    return R.findings(table(spark, d, "documents"), "doc_id", "text", PHRASES, NEAR)
+
+
+#: Lines with a word stand for found sentences: enn removes, tion with a long line asks for review, the rest stays.
+COUNTS_SQL = """counts AS (
+  SELECT doc_id, count(*) AS total_matched_sentences, count(*) FILTER (a = 'REMOVE') AS removable_sentences, count(*) FILTER (a = 'REVIEW') AS review_sentences, count(*) FILTER (a = 'KEEP') AS keep_sentences
+  FROM (SELECT doc_id, CASE WHEN contains(line, 'enn') THEN 'REMOVE' WHEN length(line) > 600 THEN 'REVIEW' ELSE 'KEEP' END AS a
+        FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE contains(line, 'tion')) GROUP BY doc_id),
+dec AS (SELECT *, CASE WHEN removable_sentences >= 5 THEN 'REMOVE_FILE'
+   WHEN total_matched_sentences >= 5 AND removable_sentences >= greatest(3, CAST(trunc(CAST(0.6 AS DOUBLE) * total_matched_sentences) AS BIGINT)) THEN 'REMOVE_FILE'
+   WHEN removable_sentences > 0 THEN 'REMOVE_SENTENCE' ELSE 'KEEP' END AS decision, review_sentences > 0 AS manual_review FROM counts),
+tri AS (SELECT *, CASE WHEN decision = 'REMOVE_FILE' AND NOT manual_review THEN 'AUTO_REMOVE' WHEN decision = 'REMOVE_SENTENCE' AND removable_sentences <= 2 AND NOT manual_review THEN 'SINGLE_SENTENCE'
+   WHEN manual_review THEN 'MANUAL_REVIEW' WHEN decision = 'REMOVE_SENTENCE' THEN 'REMOVE_SENTENCE_BATCH' ELSE 'KEEP' END AS triage_bucket FROM dec)"""
+
+
+def _assessed(spark, d):
+    lines = table(spark, d, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line")).where(F.contains("line", F.lit("tion")))
+    action = F.when(F.contains("line", F.lit("enn")), "REMOVE").when(F.length("line") > 600, "REVIEW").otherwise("KEEP")
+    return R.assess(lines.withColumn("action", action), "doc_id")
+
+
+@query("file_decisions", f"WITH {COUNTS_SQL} SELECT * FROM dec")
+def file_decisions(spark, d):
+    return _assessed(spark, d)
+
+
+@query("triage_buckets", f"WITH {COUNTS_SQL} SELECT triage_bucket, decision, count(*) AS files, CAST(sum(removable_sentences) AS BIGINT) AS removable FROM tri GROUP BY ALL")
+def triage_buckets(spark, d):
+    return R.triage(_assessed(spark, d)).groupBy("triage_bucket", "decision").agg(F.count("*").alias("files"), F.sum("removable_sentences").alias("removable"))
+
+
+@query("top_contaminated", f"WITH {COUNTS_SQL} SELECT doc_id, removable_sentences, decision FROM tri ORDER BY removable_sentences DESC, doc_id LIMIT 40")
+def top_contaminated(spark, d):
+    return R.top_contaminated(R.triage(_assessed(spark, d)), "doc_id").select("doc_id", "removable_sentences", "decision")
+
+
+SPANS = "SELECT l_orderkey AS id, l_linenumber * 10 + CAST(l_quantity AS INT) AS start, l_linenumber * 10 + CAST(l_quantity AS INT) + l_linenumber * 3 AS stop FROM lineitem"
+
+
+@query("span_merge", f"""WITH s AS ({SPANS}), m AS (SELECT *, coalesce(max(stop) OVER (PARTITION BY id ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) >= start, false) AS j FROM s),
+n AS (SELECT *, sum(CASE WHEN j THEN 0 ELSE 1 END) OVER (PARTITION BY id ORDER BY start, stop) AS g FROM m) SELECT id, min(start) AS start, max(stop) AS stop FROM n GROUP BY id, g""")
+def span_merge(spark, d):
+    q = F.col("l_linenumber") * 10 + F.col("l_quantity").cast("int")
+    return R.merge_spans(table(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), q.alias("start"), (q + F.col("l_linenumber") * 3).alias("stop")), "id")
+
+
+@query("remove_spans", """SELECT doc_id, CASE WHEN doc_id % 2 = 1 THEN text ELSE trim(regexp_replace(concat(substr(text, 1, 10), substr(text, 31, 30), substr(text, 71)), '\\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(9) || chr(10) || chr(13)) || chr(10) END AS text
+  FROM documents WHERE length(text) > 100""")
+def remove_spans(spark, d):
+    docs = table(spark, d, "documents").where("length(text) > 100").select("doc_id", "text")
+    spans = docs.where("doc_id % 2 = 0").select("doc_id", F.explode(F.expr("array(named_struct('start', 10, 'stop', 20), named_struct('start', 20, 'stop', 30), named_struct('start', 60, 'stop', 70))")).alias("s")).select("doc_id", "s.*")
+    return R.remove_spans(docs, spans, "doc_id", "text")
+
+
+@query("apply_removals", "SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)")
+def apply_removals(spark, d):
+    return R.apply_removals(table(spark, d, "documents"), table(spark, d, "labels").where("toxic = 1"), "doc_id")[0].select("doc_id", "lang")
+
+
+@query("missing_removals", "SELECT doc_id FROM (SELECT doc_id + 100 AS doc_id FROM labels) WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE doc_id % 3 = 0)")
+def missing_removals(spark, d):
+    docs = table(spark, d, "documents").where("doc_id % 3 = 0")
+    return R.apply_removals(docs, table(spark, d, "labels").select((F.col("doc_id") + 100).alias("doc_id")), "doc_id")[1]
+
+
+@query("literal_removal", r"""WITH r AS (SELECT doc_id, text, replace(replace(text, ' the the', ''), ' and', '') AS t, contains(text, ' the the') AS a, contains(replace(text, ' the the', ''), ' and') AS b FROM documents)
+SELECT doc_id, CASE WHEN t <> text THEN regexp_replace(regexp_replace(t, '[ \t]+\n', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g') ELSE text END AS text, CAST(a AS INT) + CAST(b AS INT) AS sentences_found, CAST(NOT a AS INT) + CAST(NOT b AS INT) AS sentences_missing FROM r""")
+def literal_removal(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    listed = docs.select("doc_id", F.explode(F.array(F.lit(" and"), F.lit(" the the"))).alias("sentence"))
+    return R.remove_sentences(docs, listed, "doc_id", "text")
+
+
+@query("report_merge", """WITH a AS (SELECT l_orderkey, count(*) AS n FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1), b AS (SELECT l_orderkey, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1)
+SELECT CAST(coalesce(a.l_orderkey, b.l_orderkey) AS VARCHAR) AS filename, coalesce(a.n, 0) AS exact_report_matches, coalesce(b.n, 0) AS proximity_report_matches, coalesce(a.n, 0) + coalesce(b.n, 0) AS pattern_total,
+  CASE WHEN b.n IS NULL THEN 'exact' WHEN a.n IS NULL THEN 'proximity' ELSE 'exact,proximity' END AS report_types FROM a FULL OUTER JOIN b ON a.l_orderkey = b.l_orderkey""")
+def report_merge(spark, d):
+    side = lambda f: table(spark, d, "lineitem").where(F.col("l_returnflag") == f).groupBy(F.col("l_orderkey").cast("string").alias("filename")).agg(F.count("*").alias("matches")).withColumn("patterns", F.create_map(F.lit("p"), "matches"))
+    m = R.merge_reports(side("A"), side("R"))
+    return m.select("filename", "exact_report_matches", "proximity_report_matches", F.aggregate(F.map_values("patterns"), F.lit(0).cast("bigint"), lambda a, x: a + x).alias("pattern_total"), F.array_join("report_types", ",").alias("report_types"))
+
+
+@query("structural_lines", r"""SELECT doc_id, len(l) AS n_lines, len(list_filter(l, lambda x: regexp_matches(trim(x), '(?i)^\s*((chapter|book|part|section)\s+[ivxlcdm0-9]+[a-z]?[.:)]?|[-–—]?\s*\d{1,4}\s*[-–—]?|page\s+\d{1,4})\s*$'))) AS n_structural
+FROM (SELECT doc_id, string_split(concat('Chapter IV.', chr(10), text, chr(10), ' - 12 - ', chr(10), 'Page 9'), chr(10)) AS l FROM documents)""")
+def structural_lines(spark, d):
+    lines = F.split(F.concat(F.lit("Chapter IV.\n"), F.col("text"), F.lit("\n - 12 - \nPage 9")), "\n")
+    rows = table(spark, d, "documents").select("doc_id", lines.alias("l")).select("doc_id", F.size("l").cast("bigint").alias("n_lines"), (F.size("l") - F.size(C.drop_structural(F.col("l")))).cast("bigint").alias("n_structural"))
+    return rows
+
+
+@query("inline_annotations", """SELECT doc_id, text || ' x' AS text, 3 AS n FROM documents WHERE NOT contains(text, '[') AND NOT contains(text, '(')""")
+def inline_annotations(spark, d):
+    put = F.concat(F.col("text"), F.lit("[Footnote 3: see below] x[12](see figure 4)"))
+    rows = table(spark, d, "documents").where("not contains(text, '[') and not contains(text, '(')")
+    return rows.select("doc_id", C.inline_annotations(put).alias("r")).select("doc_id", "r.*")
+
+
+@query("clean_whitespace", r"""WITH a AS (SELECT doc_id, regexp_replace(regexp_replace('  ' || text || ' ' || chr(13) || chr(10) || chr(10) || chr(10) || chr(9) || chr(10) || 'end  ', '\r\n?', chr(10), 'g'), '[ \t\x0B\f]+(\n|$)', '\1', 'g') AS t FROM documents)
+SELECT doc_id, trim(regexp_replace(t, '\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(9) || chr(10) || chr(11) || chr(12)) || chr(10) AS text, CAST(len(regexp_extract_all(t, '\n{3,}')) AS INT) AS n FROM a""")
+def clean_whitespace(spark, d):
+    put = F.concat(F.lit("  "), F.col("text"), F.lit(" \r\n\n\n\t\nend  "))
+    return table(spark, d, "documents").select("doc_id", C.clean_whitespace(put).alias("r")).select("doc_id", "r.*")
+
+
+@query("cleaning_report", """SELECT count(*) AS files, CAST(sum(length(text) + 142) AS BIGINT) AS chars_before, 1 * count(*) AS metadata_lines_removed, 2 * count(*) AS gutenberg_footer_lines_removed,
+  2 * count(*) AS structural_lines_removed, count(*) AS inline_annotations_removed FROM documents
+  WHERE NOT contains(text, '[') AND NOT contains(text, '(') AND regexp_matches(text, '^[A-Za-z]') AND NOT regexp_matches(text, '(?i)contents|index|http|www|copyright|page|[0-9]') AND length(string_split(text, chr(10))[1]) > 150""")
+def cleaning_report(spark, d):
+    put = F.concat(F.lit("*** START OF THE PROJECT GUTENBERG EBOOK X ***\n"), F.col("text"), F.lit("[12]\nCHAPTER I.\n- 3 -\n*** END OF THIS PROJECT GUTENBERG EBOOK X ***\nlicense text that goes away"))
+    ok = "not contains(text, '[') and not contains(text, '(') and text rlike '^[A-Za-z]' and not text rlike '(?i)contents|index|http|www|copyright|page|[0-9]' and length(split(text, '\n')[0]) > 150"
+    rows = table(spark, d, "documents").where(ok).select("doc_id", put.alias("text"))
+    t = C.clean_totals(C.clean(rows, "text"))
+    return t.select("files", "chars_before", "metadata_lines_removed", "gutenberg_footer_lines_removed", "structural_lines_removed", "inline_annotations_removed")
+
+
+@query("strip_markers", """SELECT doc_id, trim(text, ' ' || chr(10)) AS body, 2 AS head, 3 AS foot, len(string_split(text, chr(10))) AS n_lines FROM documents""")
+def strip_markers(spark, d):
+    text = F.concat(F.lit("intro\n*** START OF THE PROJECT GUTENBERG EBOOK ***\n"), F.col("text"), F.lit("\n*** END OF THE PROJECT GUTENBERG EBOOK ***\na\nb"))
+    rows = table(spark, d, "documents").select("doc_id", text.alias("t")).select("doc_id", C.strip_boilerplate(F.col("t")).alias("body"), C.strip_markers(F.split("t", "\n")).alias("m"))
+    return rows.select("doc_id", "body", "m.head", "m.foot", F.size("m.lines").cast("bigint").alias("n_lines"))
+
+
+@query("core_text", "SELECT doc_id, length(trim(text, ' ' || chr(9) || chr(10))) AS n FROM documents")
+def core_text(spark, d):
+    text = F.concat(F.lit("intro\r\n*** START OF THE PROJECT GUTENBERG EBOOK X ***\r\n"), F.col("text"), F.lit("\r\n*** END OF THE PROJECT GUTENBERG EBOOK X ***\r\nrest"))
+    return table(spark, d, "documents").select("doc_id", F.length(C.core_text(text)).cast("bigint").alias("n"))
+
+
+@query("front_matter_trim")
+def front_matter_trim(spark, d):
+    text = F.concat(F.lit("A TITLE\n\nby one\n\n"), F.regexp_replace("text", "\n", "\n\n"))
+    return table(spark, d, "documents").select("doc_id", C.drop_front_matter(text).alias("text"))
+
+
+@query("toc_blocks")
+def toc_blocks(spark, d):
+    lines = F.split(F.concat(F.lit("Contents\nChapter I. x\n\nPreface ... 3\n"), F.col("text")), "\n")
+    return C.strip_toc(table(spark, d, "documents").select("doc_id", lines.alias("lines")), "lines").select("doc_id", "toc_removed", F.size("lines").alias("n_lines"))
+
+
+@query("leading_metadata", "SELECT doc_id, 3 AS n FROM documents WHERE length(string_split(text, chr(10))[1]) > 150")
+def leading_metadata(spark, d):
+    lines = F.split(F.concat(F.lit("Title: A\n\nAuthor: B\n"), F.col("text")), "\n")
+    return table(spark, d, "documents").where("length(split(text, '\n')[0]) > 150").select("doc_id", C.leading_metadata(lines).alias("n"))
+
+
+KEYWORDS, STEMS = ("orb", "license", "tionth"), ("thand", "erein")
+
+
+@query("keyword_reject", f"SELECT doc_id, {_any(KEYWORDS)} AS rejected FROM documents")
+def keyword_reject(spark, d):
+    return S.keyword_reject(table(spark, d, "documents"), F.col("text"), KEYWORDS).select("doc_id", "rejected")
+
+
+@query("categorize", f"""SELECT doc_id, CASE WHEN {_any(('license',))} THEN 'other' WHEN {_any(KEYWORDS[:1])} THEN 'astronomy' WHEN {_any(STEMS)} THEN 'natural_philosophy' ELSE 'other' END AS category,
+  CASE WHEN {_any(('license',))} THEN '' ELSE concat_ws(',', {', '.join(f"CASE WHEN contains(lower(text), '{w}') THEN '{w}' END" for w in sorted(KEYWORDS[:1] + STEMS))}) END AS matched FROM documents""")
+def categorize(spark, d):
+    return S.categorise(table(spark, d, "documents"), F.col("text"), KEYWORDS[:1], STEMS, ("license",)).select("doc_id", "category", F.array_join("matched_keywords", ",").alias("matched"))
+
+
+@query("early_plain_text", "SELECT p_partkey AS id FROM part WHERE p_size - 25 < 0 AND p_partkey % 3 <> 0 AND p_partkey % 5 <> 0")
+def early_plain_text(spark, d):
+    i = F.col("p_partkey")
+    mime = F.when(i % 5 == 0, "text/html").otherwise("text/plain; charset=utf_8")
+    books = table(spark, d, "part").select(i.alias("id"), (F.col("p_size") + 1518).alias("death_year"), F.array(F.when(i % 3 == 0, "de").when(i % 3 == 1, "en").otherwise("en-gb")).alias("languages"), F.array(F.struct(F.lit("u").alias("url"), mime.alias("mime"), F.lit(1).cast("bigint").alias("extent"))).alias("formats"))
+    return S.early_plain_text(books).select("id")
+
+
+@query("mime_parts", """SELECT * FROM (VALUES (1, 'text/plain', 'utf-8'), (2, 'text/html', ''), (3, '', ''), (4, 'text/plain', 'us-ascii')) t(i, base, charset)""")
+def mime_parts(spark, d):
+    rows = spark.createDataFrame([(1, 'Text/Plain; charset="UTF_8"'), (2, "text/html; x=1"), (3, None), (4, "text/plain; q; charset=us-ascii; charset=b")], "i int, m string")
+    return rows.select("i", T.mime_parts(F.col("m")).alias("p")).select("i", "p.*")
+
+
+@query("number_parsing", """SELECT * FROM (VALUES (1, '12', 1234, 1234), (2, '322', 322, -322), (3, '', 0, NULL), (4, '0', 0, 0)) t(i, id, unsigned_n, signed_n)""")
+def number_parsing(spark, d):
+    rows = spark.createDataFrame([(1, "ebooks/0012", "1,234"), (2, "322 x", "-322"), (3, "none", "n/a"), (4, "000", "0")], "i int, a string, n string")
+    return rows.select("i", T.first_id(F.col("a")).alias("id"), T.count_or_zero(F.col("n")).alias("unsigned_n"), T.signed_or_null(F.col("n")).alias("signed_n"))
+
+
+@query("best_format", """WITH k AS (SELECT l_orderkey, CASE WHEN l_returnflag = 'A' THEN 2 ELSE 1 END AS p, CAST(l_extendedprice * 100 AS BIGINT) AS extent, concat('u', l_linenumber) AS url FROM lineitem WHERE l_linestatus = 'F')
+SELECT l_orderkey, p AS priority, extent, url FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY p DESC, extent DESC, url DESC) AS r FROM k) WHERE r = 1""")
+def best_format(spark, d):
+    mime = F.when(F.col("l_linestatus") == "F", F.when(F.col("l_returnflag") == "A", "text/plain; charset=utf-8").otherwise("text/plain")).otherwise("text/html")
+    f = F.struct(F.concat(F.lit("u"), F.col("l_linenumber").cast("string")).alias("url"), mime.alias("mime"), F.round(F.col("l_extendedprice") * 100).cast("bigint").alias("extent"))
+    books = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list(f).alias("formats"))
+    return books.select("l_orderkey", S.best_format(F.col("formats")).alias("b")).where("b is not null").select("l_orderkey", F.col("b.p").alias("priority"), "b.extent", "b.url")
+
+
+@query("dedupe_candidates", "SELECT o_custkey, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey DESC) AS r FROM orders) WHERE r = 1")
+def dedupe_candidates(spark, d):
+    return S.dedupe_candidates(table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_totalprice"), "o_custkey", "o_totalprice", "o_orderkey")
+
+
+PRIORITY = "SELECT doc_id, min(-toxic) AS t, doc_id AS pos FROM labels WHERE toxic = 1 GROUP BY doc_id"
+
+
+@query("priority_order", f"SELECT documents.doc_id, row_number() OVER (ORDER BY p.pos NULLS LAST, documents.doc_id) AS place FROM documents LEFT JOIN ({PRIORITY}) p USING (doc_id)")
+def priority_order(spark, d):
+    p = table(spark, d, "labels").where("toxic = 1").select(F.col("doc_id").alias("id"), F.col("doc_id").alias("pos"))
+    rows = S.priority_order(table(spark, d, "documents").select("doc_id"), p, "doc_id")
+    # rank with a two-level running count: no single-partition window over all rows
+    order = [F.col("pos").asc_nulls_last(), F.col("doc_id")]
+    return S.running_total(rows.withColumn("one", F.lit(1)), "one", order).select("doc_id", (F.col("before") + 1).alias("place"))
+
+
+@query("byte_budget", f"""WITH o AS (SELECT documents.doc_id, n_chars, coalesce(sum(n_chars) OVER (ORDER BY p.pos NULLS LAST, documents.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b
+  FROM documents LEFT JOIN ({PRIORITY}) p USING (doc_id)) SELECT doc_id, n_chars, CAST(b AS BIGINT) AS before FROM o WHERE b + 1000 < 300000""")
+def byte_budget(spark, d):
+    p = table(spark, d, "labels").where("toxic = 1").select(F.col("doc_id").alias("id"), F.col("doc_id").alias("pos"))
+    rows = S.priority_order(table(spark, d, "documents").select("doc_id", "n_chars"), p, "doc_id")
+    return S.byte_budget(rows, "n_chars", [F.col("pos").asc_nulls_last(), F.col("doc_id")], 300_000, 1000).select("doc_id", "n_chars", "before")
+
+
+@query("forced_first", "SELECT d.doc_id, l.doc_id AS forced_pos, l.doc_id IS NOT NULL AS is_forced FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id AND l.quality = 0")
+def forced_first(spark, d):
+    forced = table(spark, d, "labels").where("quality = 0").select("doc_id", F.col("doc_id").alias("pos"))
+    return S.forced_first(table(spark, d, "documents").select("doc_id"), forced, "doc_id")
+
+
+@query("size_report", "SELECT source, count(*) AS n_files, CAST(sum(n_chars) AS BIGINT) AS n_bytes, CAST(sum(n_chars) // 4 AS BIGINT) AS est_tokens FROM documents GROUP BY source")
+def size_report(spark, d):
+    return S.size_totals(table(spark, d, "documents"), "source", F.col("n_chars"))
+
+
+@query("category_totals", "SELECT c.pos, c.category, count(d.doc_id) AS n_books, CAST(coalesce(sum(n_chars), 0) AS BIGINT) AS n_bytes, CAST(coalesce(sum(n_chars), 0) // 4 AS BIGINT) AS est_tokens FROM (VALUES (0, 'en'), (1, 'xx'), (2, 'fr')) c(pos, category) LEFT JOIN documents d ON d.lang = c.category GROUP BY ALL")
+def category_totals(spark, d):
+    return S.category_totals(table(spark, d, "documents"), "lang", "n_chars", ["en", "xx", "fr"])
+
+
+@query("min_death_year", "SELECT l_orderkey, CAST(min(l_linenumber * 7 - 20) AS INT) AS y FROM lineitem GROUP BY 1")
+def min_death_year(spark, d):
+    return table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.col("l_linenumber") * 7 - 20).alias("ys")).select("l_orderkey", S.min_death_year(F.col("ys")).alias("y"))
+
+
+@query("text_rules", r"""SELECT doc_id, lower(regexp_replace(trim(text, ' ' || chr(10) || chr(9)), '\s+', ' ', 'g')) AS norm, trim(regexp_replace(substr(text, 1, 60), '[^A-Za-z0-9]+', '_', 'g'), '_') AS slug,
+  replace(CASE WHEN length(text) > 80 THEN replace(substr(text, 1, 77), chr(10), ' ') || '...' ELSE replace(text, chr(10), ' ') END, '|', '\|') AS preview FROM documents""")
+def text_rules(spark, d):
+    t = F.col("text")
+    return table(spark, d, "documents").select("doc_id", T.normalise(t).alias("norm"), T.slug(F.substring(t, 1, 60)).alias("slug"), T.preview(t).alias("preview"))
+
+
+@query("line_rules", r"""SELECT doc_id, count(*) FILTER (length(l) >= 70 AND len(regexp_extract_all(l, '[A-Za-z]+')) >= 10) AS n_prose,
+  count(*) FILTER (len(regexp_extract_all(l, '\p{L}')) > 0 AND len(regexp_extract_all(l, '\p{Lu}')) >= CAST(0.6 AS DOUBLE) * len(regexp_extract_all(l, '\p{L}'))) AS n_upper FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM documents) GROUP BY doc_id""")
+def line_rules(spark, d):
+    lines = table(spark, d, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("l"))
+    return lines.groupBy("doc_id").agg(F.count_if(T.is_prose_line(F.col("l"))).alias("n_prose"), F.count_if(T.mostly_upper(F.col("l"))).alias("n_upper"))
+
+
+REPORT = ["CORPUS: general", "Pattern: 'sun'", "Regex: s.n", "[3 matches] b.txt", "[1 matches] c.txt", "-----", "[2 matches] d.txt", "Regex: moon", "[4 matches] c.txt", "Summary for x", "CORPUS: other", "[9 matches] c.txt"]
+
+
+@query("report_forward_fill", "SELECT * FROM (VALUES ('b.txt', 3, 'sun=3'), ('c.txt', 5, 'moon=4,sun=1'), ('d.txt', 2, '')) t(filename, matches, patterns)")
+def report_forward_fill(spark, d):
+    lines = spark.createDataFrame([("r", i, v) for i, v in enumerate(REPORT)], "path string, line_no int, value string")
+    r = SRC.report_lines(lines, "general", "exact")
+    flat = F.array_join(F.transform(F.array_sort(F.map_entries("patterns")), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
+    return r.select("filename", F.col("matches").cast("int").alias("matches"), flat.alias("patterns"))
+
+
+@query("extract_link", r"""SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)">', 1)) AS href FROM pages""")
+def extract_link(spark, d):
+    return table(spark, d, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('<a href="([^"]*)">'), 1)).alias("href"))
+
+
+@query("prompt_numbering", """SELECT category, printf('%s_%03d', category, CAST(row_number() OVER (PARTITION BY category ORDER BY item_id) - 1 AS INT)) AS prompt_id, text AS prompt_text FROM (SELECT item_id, CASE WHEN item_id % 2 = 0 THEN 'astro' ELSE 'general' END AS category, trim(text, ' ' || chr(10)) AS text FROM benchmark)
+ QUALIFY row_number() OVER (PARTITION BY category ORDER BY item_id) <= 10""")
+def prompt_numbering(spark, d):
+    b = table(spark, d, "benchmark").select("item_id", F.when(F.col("item_id") % 2 == 0, "astro").otherwise("general").alias("category"), F.concat((F.col("item_id") + 1).cast("string"), F.lit(". "), F.col("text")).alias("value"))
+    return G.number_prompts(b, "value", "category", "item_id", 10).select("category", "prompt_id", "prompt_text")
+
+
+GRID = "SELECT s.source AS model_id, b.item_id AS prompt_id, k.k AS sample_id FROM (SELECT DISTINCT source FROM documents) s, benchmark b, range(3) k(k)"
+
+
+def _grid(spark, d):
+    models = table(spark, d, "documents").select(F.col("source").alias("model_id")).distinct()
+    return G.task_grid(models, table(spark, d, "benchmark").select(F.col("item_id").alias("prompt_id")), 3)
+
+
+@query("task_grid", f"SELECT model_id, prompt_id, CAST(sample_id AS INT) AS sample_id, CAST(concat('0x', substr(sha256(concat_ws('|', model_id, CAST(prompt_id AS VARCHAR), CAST(sample_id AS VARCHAR))), 9, 8)) AS BIGINT) & 2147483647 AS sample_seed FROM ({GRID})")
+def task_grid(spark, d):
+    return G.with_seed(_grid(spark, d), "model_id", "prompt_id", "sample_id").select("model_id", "prompt_id", "sample_id", "sample_seed")
+
+
+@query("resume_antijoin", f"SELECT g.model_id, g.prompt_id, CAST(g.sample_id AS INT) AS sample_id FROM (SELECT CASE WHEN model_id = 'src0' THEN NULL ELSE model_id END AS model_id, prompt_id, sample_id FROM ({GRID})) g WHERE NOT (g.prompt_id % 2 = 0 AND (g.model_id IS NULL OR g.model_id = 'src1'))")
+def resume_antijoin(spark, d):
+    tasks = _grid(spark, d).withColumn("model_id", F.when(F.col("model_id") != "src0", F.col("model_id"))).select("model_id", "prompt_id", "sample_id")
+    done = tasks.where("prompt_id % 2 = 0 and (model_id is null or model_id = 'src1')")
+    return G.not_done(tasks, done, ["model_id", "prompt_id", "sample_id"])
+
+
+@query("sample_seed", "SELECT item_id, CAST(concat('0x', substr(sha256(concat_ws('|', 'A', 'astro', CAST(item_id AS VARCHAR), '3')), 9, 8)) AS BIGINT) & 2147483647 AS seed FROM benchmark")
+def sample_seed(spark, d):
+    return table(spark, d, "benchmark").select("item_id", T.sample_seed(F.lit("A"), F.lit("astro"), F.col("item_id"), F.lit(3)).alias("seed"))
+
+
+def _glyphs(spark, d):
+    """Line items as glyphs: an order is a page, quantities are heights, prices are places."""
+    x = F.round(F.col("l_extendedprice") % 500, 1)
+    return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("page"), F.lit(500.0).alias("page_width"), F.col("l_quantity").alias("top"), x.alias("x0"), (x + 5).alias("x1"), F.lit(10.0).alias("size"), F.col("l_returnflag").alias("text"))
+
+
+@query("glyph_lines")
+def glyph_lines(spark, d):
+    return Y.glyph_lines(_glyphs(spark, d))
+
+
+@query("bucket_lines", "SELECT l_orderkey AS page, l_quantity AS y, string_agg(l_returnflag, ' ' ORDER BY round(l_extendedprice % 500, 1), l_returnflag) AS text FROM lineitem GROUP BY ALL")
+def bucket_lines(spark, d):
+    return Y.bucket_lines(_glyphs(spark, d))
+
+
+@query("size_histogram", "SELECT round(l_quantity / 5, 1) AS size, count(*) AS \"count\" FROM lineitem GROUP BY 1")
+def size_histogram(spark, d):
+    return Y.size_histogram(table(spark, d, "lineitem").select((F.col("l_quantity") / 5).alias("size")))
+
+
+@query("collapse_blanks", "SELECT doc_id, i, line FROM (SELECT doc_id, i, line, lag(line) OVER (PARTITION BY doc_id ORDER BY i) AS p FROM (SELECT doc_id, unnest(range(len(l))) AS i, unnest(l) AS line FROM (SELECT doc_id, string_split(replace(text, '. ', chr(10) || chr(10) || ' ' || chr(10)), chr(10)) AS l FROM documents))) WHERE NOT (trim(line) = '' AND coalesce(trim(p) = '', false))")
+def collapse_blanks(spark, d):
+    lines = table(spark, d, "documents").select("doc_id", F.posexplode(F.split(F.replace("text", F.lit(". "), F.lit("\n\n \n")), "\n")).alias("i", "line"))
+    return Y.collapse_blanks(lines, "line", "doc_id", "i").withColumn("i", F.col("i").cast("bigint"))
