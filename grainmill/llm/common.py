@@ -68,19 +68,31 @@ def pick(docs: DataFrame, wanted: dict[str, object]) -> DataFrame:
     return docs.select(*[(F.col(f"`{v}`") if isinstance(v, str) else v).alias(k) for k, v in wanted.items()])
 
 
-def keep_rows(docs: DataFrame, ids: DataFrame, id_col: str, how: str) -> DataFrame:
-    """docs semi- or anti-joined with a cut table of ids; null ids match null ids. The ids go to all executors
+def mark(text_col: str = "text"):
+    """A hash that, with the id, names a row: rows alike in both are one document."""
+    return F.xxhash64(F.col(text_col))
+
+
+def keep_rows(docs: DataFrame, keys: DataFrame, id_col: str, text_col: str, how: str) -> DataFrame:
+    """docs semi- or anti-joined with a cut table of (id, mark); null ids match null ids. The keys go to all executors
     if they are few, else both sides are shuffled."""
-    k = ids.columns[0]
-    right = ids.select(F.col(k).alias("__id")).distinct()
-    side = small(right, 16)
-    return docs.join(side, docs[id_col].eqNullSafe(F.col("__id")), "left_semi" if how == "semi" else "left_anti")
+    side = small(keys.select(F.col("id").alias("__id"), F.col("mark").alias("__mark")).distinct(), 24)
+    same = docs[id_col].cast("long").eqNullSafe(F.col("__id")) & (mark(text_col) == F.col("__mark"))
+    return docs.join(side, same, "left_semi" if how == "semi" else "left_anti")
 
 
-def once_per_id(docs: DataFrame, repeated: DataFrame, id_col: str) -> DataFrame:
-    """docs with one row for each id in `repeated` (a cut table of ids that occur more than once); rows of other
-    ids stay as they are and are not shuffled."""
+def once_each(docs: DataFrame, repeated: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """docs with one row for each (id, mark) in `repeated` (a cut table of those that occur more than once); other rows
+    stay as they are and are not shuffled."""
     if repeated.isEmpty():
         return docs
-    rest = keep_rows(docs, repeated, id_col, "anti")
-    return rest.unionByName(keep_rows(docs, repeated, id_col, "semi").dropDuplicates([id_col]))
+    rest = keep_rows(docs, repeated, id_col, text_col, "anti")
+    return rest.unionByName(keep_rows(docs, repeated, id_col, text_col, "semi").dropDuplicates([id_col, text_col]))
+
+
+def survivors(docs: DataFrame, judged: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """docs without the rows whose (id, mark) isn't kept, and one row of those that repeat. judged: a cut table of id,
+    mark and kept for every row of docs; rows alike in id and mark are judged alike."""
+    drops = cut(judged.where("not kept").select("id", "mark"))
+    repeated = cut(judged.where("kept").groupBy("id", "mark").count().where("count > 1").select("id", "mark"))
+    return once_each(keep_rows(docs, drops, id_col, text_col, "anti"), repeated, id_col, text_col)

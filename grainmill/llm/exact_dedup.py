@@ -9,7 +9,8 @@ The group of a copied text may hold a third of all rows: groups are aggregated b
 through a broadcast of checked size or else a join by the hash alone, which Spark's skewed-join handling splits.
 
 Defined results. Null text counts as empty; empty texts equal each other. Ties in length go to the smallest id, null
-ids last. Repeated rows: one output row for each input row. Empty table: empty result. Extra columns are ignored.
+ids last, then to the largest hash of the text. Repeated rows: one output row for each input row, all alike;
+exact_dedup() keeps one of them. Empty table: empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, cut, keep_rows, once_per_id, pick, small
+from .common import SPACE, cut, mark, pick, small, survivors
 
 #: 2^BITMAP_BITS bits, 4 MB, at any input size.
 BITMAP_BITS, PREFIX = 25, 64
@@ -45,12 +46,12 @@ def _bit(bits: Column, slot: Column) -> Column:
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_all: bool = False) -> DataFrame:
-    """(id, keep_id, group_size, kept, full_hash), one row for each row of docs. full_hash is the SHA-256 of the
+    """(id, keep_id, group_size, kept, full_hash, mark), one row for each row of docs. full_hash is the SHA-256 of the
     normalised text; null for rows that an earlier step settled, unless digest_all asks for every row's."""
-    base = pick(docs, {"id": F.col(id_col).cast("long"), "text": F.coalesce(F.col(text_col), F.lit(""))})
+    base = pick(docs, {"id": F.col(id_col).cast("long"), "text": F.coalesce(F.col(text_col), F.lit("")), "mark": mark(text_col)})
     norm = normalised(F.col("text"))
     key = F.xxhash64("n", "prefix")
-    shaped = base.select("id", "text", F.length("text").alias("points"), norm.alias("norm")).select("id", "points", "norm", F.length("norm").alias("n"), F.substring("norm", 1, PREFIX).alias("prefix"))
+    shaped = base.select("id", "mark", F.length("text").alias("points"), norm.alias("norm")).select("id", "mark", "points", "norm", F.length("norm").alias("n"), F.substring("norm", 1, PREFIX).alias("prefix"))
     slim = shaped.groupBy("n", key.alias("key")).agg(F.count("*").alias("m"))
     lengths = slim.groupBy("n").agg(F.sum("m").alias("of_length")).where("of_length > 1").select("n")
     going_on = slim.where("m > 1").join(lengths, "n", "left_semi").select("key")
@@ -58,21 +59,18 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     again = shaped.withColumn("key", key).withColumn("bucket", F.bitmap_bucket_number(_slot(F.col("key"))))
     marked = again.join(bits, "bucket", "left").withColumn("goes_on", _bit(F.col("bits"), _slot(F.col("key"))))
     digest = F.sha2("norm", 256)
-    rows = cut(marked.select("id", "points", "goes_on", (digest if digest_all else F.when(F.col("goes_on"), digest)).alias("full_hash")))
-    best = F.max(F.struct("points", (-F.col("id")).alias("neg"))).alias("best")
-    groups = rows.where("goes_on").groupBy("full_hash").agg(best, F.count("*").alias("size"), F.min("id").alias("any_id")).where("size > 1")
-    groups = groups.select("full_hash", "size", (-F.col("best.neg")).alias("keep"), F.col("best.points").alias("most"))
-    alone = rows.where("not goes_on").select("id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "full_hash")
+    rows = cut(marked.select("id", "mark", "points", "goes_on", (digest if digest_all else F.when(F.col("goes_on"), digest)).alias("full_hash")))
+    best = F.max(F.struct("points", (-F.col("id")).alias("neg"), "mark")).alias("best")
+    groups = rows.where("goes_on").groupBy("full_hash").agg(best, F.count("*").alias("size")).where("size > 1")
+    groups = groups.select("full_hash", "size", (-F.col("best.neg")).alias("keep"), F.col("best.points").alias("most"), F.col("best.mark").alias("best_mark"))
+    alone = rows.where("not goes_on").select("id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "full_hash", "mark")
     out = rows.where("goes_on").join(small(cut(groups), 120), "full_hash", "left")
     single = F.col("size").isNull()
-    stays = single | (F.col("id").eqNullSafe(F.col("keep")) & (F.col("points") == F.col("most")))
-    found = out.select("id", F.when(single, F.col("id")).otherwise(F.col("keep")).alias("keep_id"), F.coalesce("size", F.lit(1)).cast("long").alias("group_size"), stays.alias("kept"), "full_hash")
+    stays = single | (F.col("id").eqNullSafe(F.col("keep")) & (F.col("points") == F.col("most")) & (F.col("mark") == F.col("best_mark")))
+    found = out.select("id", F.when(single, F.col("id")).otherwise(F.col("keep")).alias("keep_id"), F.coalesce("size", F.lit(1)).cast("long").alias("group_size"), stays.alias("kept"), "full_hash", "mark")
     return found.unionByName(alone)
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each group of equal texts. Rows of one id count as one document."""
-    groups = cut(exact_groups(docs, id_col, text_col))
-    drops = cut(groups.where("not kept").select("id").distinct().join(groups.where("kept").select("id").distinct(), "id", "left_anti"))
-    repeated = cut(groups.where("kept").groupBy("id").count().where("count > 1").select("id"))
-    return once_per_id(keep_rows(docs, drops, id_col, "anti"), repeated, id_col)
+    """docs with one row of each group of equal texts."""
+    return survivors(docs, cut(exact_groups(docs, id_col, text_col)), id_col, text_col)

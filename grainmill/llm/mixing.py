@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, cut, pick, small
+from .common import SPACE, cut, mark, once_each, pick, small
 
 WEIGHTS, MOST, SLOPES = (5, 2, 1), 3, (-0.5, 0.0, 0.5)
 
@@ -55,28 +55,31 @@ def position(words: Column, target: Column, slope: Column) -> Column:
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", most: int = MOST, run: int = 4096) -> DataFrame:
-    """(id, size, source_size, target, taken, positions), one row for each row of docs, range-sorted by first
+    """(id, size, source_size, target, taken, positions, mark), one row for each row of docs, range-sorted by first
     position; positions: the training time of each copy that the mix takes, in order."""
     sized = F.coalesce(F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(f"[^{SPACE}]+")), F.lit(0)).cast("long")
-    base = cut(pick(docs, {"id": F.col(id_col).cast("long"), "source": F.col(source_col), "size": sized, "key": order_key(F.col(id_col))}))
+    base = cut(pick(docs, {"id": F.col(id_col).cast("long"), "source": F.col(source_col), "size": sized, "key": order_key(F.col(id_col)), "mark": mark(text_col)}))
     sources = small(cut(targets(base.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows")), most)), 200)
     named = base.join(sources.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
     ranged = named.withColumn("range", F.floor(F.col("key") / F.lit(float(1 << 60)) * F.ceil(F.col("rows") / run)))
     sums = ranged.groupBy("source", "range").agg(F.sum("size").alias("words"))
     past = F.sum("words").over(Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
     starts = small(cut(sums.select(F.col("source").alias("s2"), F.col("range").alias("r2"), F.coalesce(past, F.lit(0)).alias("start"))), 64)
-    inside = F.sum("size").over(Window.partitionBy("source", "range").orderBy("key", "id", "size").rowsBetween(Window.unboundedPreceding, -1))
+    inside = F.sum("size").over(Window.partitionBy("source", "range").orderBy("key", "id", "size", "mark").rowsBetween(Window.unboundedPreceding, -1))
     placed = ranged.withColumn("inside", F.coalesce(inside, F.lit(0))).join(starts, F.col("source").eqNullSafe(F.col("s2")) & (F.col("range") == F.col("r2")))
     middle = lambda k: F.col("start") + F.col("inside") + F.lit(k).cast("long") * F.col("source_size") + F.col("size") / 2
     copies = F.array(*[F.when((F.col("size") > 0) & (middle(k) <= F.col("target")), position(middle(k), F.col("target"), F.col("slope"))) for k in range(most)])
     out = placed.withColumn("positions", F.filter(copies, lambda x: x.isNotNull()))
     out = out.withColumn("first", F.coalesce(F.try_element_at("positions", F.lit(1)), 1 + F.col("key") / F.lit(float(1 << 60))))
     out = out.repartitionByRange("first", "id").sortWithinPartitions("first", "id")
-    return out.select("id", "size", "source_size", "target", (F.col("size") * F.size("positions")).alias("taken"), "positions")
+    return out.select("id", "size", "source_size", "target", (F.col("size") * F.size("positions")).alias("taken"), "positions", "mark")
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", most: int = MOST) -> DataFrame:
-    """The mix itself: rows of docs in training order, each as many times as the mix takes it. docs has unique ids."""
-    plan = mix(docs, id_col, text_col, source_col, most).where("taken > 0").select(F.col("id").alias("__id"), F.explode("positions").alias("__at"))
-    out = docs.join(plan, docs[id_col].cast("long").eqNullSafe(F.col("__id")))
-    return out.repartitionByRange("__at", "__id").sortWithinPartitions("__at", "__id").drop("__at", "__id")
+    """The mix itself: rows of docs in training order, each as many times as the mix takes it."""
+    from_mix = cut(mix(docs, id_col, text_col, source_col, most).where("taken > 0").select("id", "mark", "positions"))
+    repeated = cut(from_mix.groupBy("id", "mark").count().where("count > 1").select("id", "mark"))
+    plan = from_mix.select(F.col("id").alias("__id"), F.col("mark").alias("__mark"), F.explode("positions").alias("__at"))
+    once = once_each(docs, repeated, id_col, text_col)  # the plan has the copies of all repeated rows
+    out = once.join(plan, once[id_col].cast("long").eqNullSafe(F.col("__id")) & (mark(text_col) == F.col("__mark")))
+    return out.repartitionByRange("__at", "__id").sortWithinPartitions("__at", "__id").drop("__id", "__mark", "__at")

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, as_bytes, cut, keep_rows, once_per_id, pick
+from .common import arrow_map, as_bytes, cut, mark, pick, small, survivors
 from .components import components
 
 BITS, SEED, TILE = 64, 42, 512
@@ -46,16 +46,16 @@ def fingerprint(text: bytes, width: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
-    """(id, fp): fp is the fingerprint's bits as a signed LONG. Narrow; one pass over the text."""
+    """(id, mark, fp): fp is the fingerprint's bits as a signed LONG. Narrow; one pass over the text."""
 
     def setup():
         def step(b: pa.RecordBatch) -> dict:
-            fp = np.array([fingerprint(t, width) for t in b.column(1).to_pylist()], np.uint64)
-            return {"id": b.column(0), "fp": pa.array(fp.view(np.int64))}
+            fp = np.array([fingerprint(t, width) for t in b.column(2).to_pylist()], np.uint64)
+            return {"id": b.column(0), "mark": b.column(1), "fp": pa.array(fp.view(np.int64))}
 
         return step
 
-    return arrow_map(pick(docs, {"id": F.col(id_col).cast("long"), "text": as_bytes(text_col)}), setup, "id long, fp long")
+    return arrow_map(pick(docs, {"id": F.col(id_col).cast("long"), "mark": mark(text_col), "text": as_bytes(text_col)}), setup, "id long, mark long, fp long")
 
 
 class Forest:
@@ -184,18 +184,18 @@ def links(nodes: DataFrame, radius: int = 2, hot: int = 20_000) -> DataFrame:
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2, hot: int = 20_000) -> DataFrame:
-    """(id, fp, component_id), one row for each row of docs."""
+    """(id, mark, fp, component_id, kept), one row for each row of docs. kept: the row is its component's first, by id
+    (null last), then by mark."""
     fps = cut(fingerprints(docs, id_col, text_col))
-    nodes = cut(fps.groupBy("fp").agg(F.min("id").alias("first_id")))
+    nodes = cut(fps.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "mark")).alias("first")))
     roots = components(links(nodes, radius, hot)).select(F.col("node").alias("fp"), "root")
-    named = nodes.join(roots, "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    linked = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return fps.join(named.join(linked, "root").select("fp", "component_id"), "fp").select("id", "fp", "component_id")
+    named = nodes.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    linked = named.groupBy("root").agg(F.min("first").alias("first"))
+    of_fp = named.drop("first").join(linked, "root").select("fp", F.col("first.id").alias("component_id"), F.col("first.mark").alias("first_mark"))
+    kept = F.col("id").eqNullSafe(F.col("component_id")) & (F.col("mark") == F.col("first_mark"))
+    return fps.join(small(cut(of_fp), 32), "fp").select("id", "mark", "fp", "component_id", kept.alias("kept"))
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2) -> DataFrame:
-    """docs with one row of each component: the one whose id is the component's. Rows of one id count as one document."""
-    groups = cut(near_groups(docs, id_col, text_col, radius))
-    drops = cut(groups.where("not id <=> component_id").select("id").distinct())
-    repeated = cut(groups.where("id <=> component_id").groupBy("id").count().where("count > 1").select("id"))
-    return once_per_id(keep_rows(docs, drops, id_col, "anti"), repeated, id_col)
+    """docs with one row of each component: its first by id."""
+    return survivors(docs, cut(near_groups(docs, id_col, text_col, radius)), id_col, text_col)

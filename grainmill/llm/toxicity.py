@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, as_bytes, cut, pick
+from .common import arrow_map, as_bytes, cut, keep_rows, mark, pick
 
 SAMPLE, TERMS, VOTERS, LEAST_DOCS = 6000, 600, 16, 5
 STEMS = (4, 5, 6, 7)
@@ -163,9 +163,9 @@ def fit_weights(active: list[list[int]], target: np.ndarray, slots: int, penalty
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> DataFrame:
-    """labels: id and label columns. Returns (id, held_out, score), one row for each row of docs."""
+    """labels: id and label columns. Returns (id, held_out, score, mark), one row for each row of docs."""
     spark = docs.sparkSession
-    base = pick(docs, {"id": F.col(id_col).cast("long"), "text": as_bytes(text_col)})
+    base = pick(docs, {"id": F.col(id_col).cast("long"), "mark": mark(text_col), "text": as_bytes(text_col)})
     usable = pick(labels, {"id": F.col(id_col).cast("long"), "toxic": F.col(label_col).cast("int")}).where(F.col("id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out(F.col("id")))
     one_each = usable.groupBy("id").agg(F.max("toxic").alias("toxic"))
     chosen = cut(one_each.orderBy(F.md5(F.col("id").cast("string")), "id").limit(sample))  # at most `sample` rows
@@ -173,7 +173,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     spec, negative = Spec(), {}
     n = {r.toxic: r["count"] for r in texts.groupBy("toxic").count().collect()}
     if not n.get(1):
-        return base.select("id", held_out(F.col("id")).alias("held_out"), F.lit(0.0).alias("score"))
+        return base.select("id", held_out(F.col("id")).alias("held_out"), F.lit(0.0).alias("score"), "mark")
     found = texts.where("toxic = 1").select("text")
 
     def terms(wanted: set[str] | None):
@@ -199,12 +199,12 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
         voter = {s: 1 << i for i, s in enumerate(spec.voters)}
 
         def step(b: pa.RecordBatch) -> dict:
-            active = [spec.active(t.as_py().decode("utf-8", "replace"), numbers) for t in b.column(1)]
-            return {"id": b.column(0), "slots": active, "votes": [sum(voter.get(s, 0) for s in a) for a in active]}
+            active = [spec.active(t.as_py().decode("utf-8", "replace"), numbers) for t in b.column(2)]
+            return {"id": b.column(0), "mark": b.column(1), "slots": active, "votes": [sum(voter.get(s, 0) for s in a) for a in active]}
 
         return step
 
-    marked = cut(arrow_map(base, setup, "id long, slots array<int>, votes int"))
+    marked = cut(arrow_map(base, setup, "id long, mark long, slots array<int>, votes int"))
     patterns = marked.groupBy("votes").count().collect()  # at most 2^VOTERS rows
     bits = lambda codes: (np.array(codes, np.int64)[:, None] >> np.arange(len(spec.voters))) & 1
     learned = marked.join(F.broadcast(chosen), "id").select("slots", "votes", "toxic").orderBy(F.md5(F.col("id").cast("string"))).limit(2 * sample).collect()
@@ -215,21 +215,19 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
     def scores():
         def step(b: pa.RecordBatch) -> dict:
-            lists = b.column(1)
+            lists = b.column(2)
             size = np.diff(lists.offsets.to_numpy())
             owner = np.repeat(np.arange(len(size)), size)
             total = np.bincount(owner, weights[lists.flatten().to_numpy()], len(size)) + intercept
-            return {"id": b.column(0), "score": 1 / (1 + np.exp(-np.clip(total, -40, 40)))}
+            return {"id": b.column(0), "mark": b.column(1), "score": 1 / (1 + np.exp(-np.clip(total, -40, 40)))}
 
         return step
 
-    scored = arrow_map(marked.select("id", "slots"), scores, "id long, score double")
-    return scored.select("id", held_out(F.col("id")).alias("held_out"), "score")
+    scored = arrow_map(marked.select("id", "mark", "slots"), scores, "id long, mark long, score double")
+    return scored.select("id", held_out(F.col("id")).alias("held_out"), "score", "mark")
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without those that score at least `threshold`."""
-    from .common import keep_rows
-
-    bad = cut(toxicity(docs, labels, id_col, text_col).where(F.col("score") >= threshold).select("id").distinct())
-    return keep_rows(docs, bad, id_col, "anti")
+    bad = cut(toxicity(docs, labels, id_col, text_col).where(F.col("score") >= threshold).select("id", "mark"))
+    return keep_rows(docs, bad, id_col, text_col, "anti")
