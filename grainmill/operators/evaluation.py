@@ -229,14 +229,13 @@ def permutation_test_compat(diffs: DataFrame, scope: str, metric: str, order: Se
 
     def test(pdf: pd.DataFrame) -> pd.DataFrame:
         import random
+        from functools import reduce
+        from operator import add
 
         values = pdf.sort_values(list(order))[diff].tolist()
-        rng, bound, extreme = random.Random(seed), abs(sum(values) / len(values)), 0
-        for _ in range(n):
-            total = 0.0
-            for v in values:
-                total += v if rng.random() < 0.5 else -v
-            extreme += abs(total / len(values)) >= bound
+        draw, mean = random.Random(seed).random, lambda xs: reduce(add, xs, 0.0) / len(values)  # plain float sums, in order
+        bound = abs(sum(values) / len(values))
+        extreme = sum(abs(mean([x if draw() < 0.5 else -x for x in values])) >= bound for _ in range(n))
         return pd.DataFrame([(pdf[scope].iloc[0], pdf[metric].iloc[0], len(values), sum(values) / len(values), extreme / n)], columns=[scope, metric, "n_pairs", "mean_diff", "p_value"])
 
     return diffs.groupBy(scope, metric).applyInPandas(test, f"{scope} string, {metric} string, n_pairs long, mean_diff double, p_value double")
