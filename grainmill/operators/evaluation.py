@@ -241,6 +241,17 @@ def permutation_test_compat(diffs: DataFrame, scope: str, metric: str, order: Se
     return diffs.groupBy(scope, metric).applyInPandas(test, f"{scope} string, {metric} string, n_pairs long, mean_diff double, p_value double")
 
 
+def paired_differences(counts: DataFrame, model: str, pair: tuple[str, str], category: str, prompt: str, metrics: Sequence[str]) -> DataFrame:
+    """(scope, metric, pair_key, diff): counts of the second model less those of the first for each prompt both have, for
+    all prompts and for each category. counts: one row for each model, category and prompt."""
+    side = lambda m, tag: counts.where(F.col(model) == m).select(category, prompt, *[F.col(x).alias(f"{tag}_{x}") for x in metrics])
+    both = side(pair[0], "a").join(side(pair[1], "b"), [category, prompt])
+    cells = F.array(*[F.struct(F.lit(x).alias("metric"), (F.col(f"b_{x}") - F.col(f"a_{x}")).cast("bigint").alias("diff")) for x in metrics])
+    key = F.concat_ws("|", F.col(category).cast("string"), F.col(prompt).cast("string")).alias("pair_key")
+    scopes = F.explode(F.array(F.lit("overall"), F.col(category))).alias("scope")
+    return both.select(key, scopes, cells.alias("c")).select("pair_key", "scope", F.explode("c").alias("c")).select("scope", "c.metric", "pair_key", "c.diff")
+
+
 def choose_pair(df: DataFrame, model: str) -> tuple[tuple[str, str] | None, str]:
     """The two models to compare: A and B if both are there, else the only two, else none; and a note."""
     models = sorted(r[0] for r in df.select(model).where(F.col(model).isNotNull()).distinct().limit(3).collect())

@@ -195,6 +195,24 @@ def check_sizes(n_train: int, n_val: int, length: int) -> None:
             raise ValueError(f"{name} has {n} tokens, fewer than a block of {length}")
 
 
+def check_specials(vocab: dict[str, int], specials: Sequence[str] = SPECIALS) -> dict[str, int]:
+    """The ids of the special tokens; a missing one is an error."""
+    if missing := [s for s in specials if s not in vocab]:
+        raise ValueError(f"the vocabulary lacks {', '.join(missing)}")
+    return {s: vocab[s] for s in specials}
+
+
+def dataset_bundle(docs: DataFrame, key: str, text_col: str, vocab: dict[str, int], merges: Sequence[tuple[str, str]], length: int = 1024, fraction: float = 0.9, seed: int = 1337, pad: bool = False) -> dict[str, DataFrame]:
+    """Documents to training and validation blocks: encode once, split each document, order by the seeded shuffle, pack."""
+    pad_id = check_specials(vocab)["<pad>"] if pad else None
+    split = shuffled_positions(split_tokens(encode(docs, text_col, vocab, merges), fraction=fraction), F.col(key), seed).persist()
+    out = {}
+    for part in ("train", "val"):
+        ids = split.select("shuffle_key", F.col(f"{part}_ids").alias("ids")).withColumn("n_tokens", F.size("ids").cast("bigint"))
+        out[part] = pack(offsets(ids, ["shuffle_key"]), length, pad=pad_id)
+    return out
+
+
 def fingerprint(files: DataFrame, *parameters: str) -> str:
     """SHA-256 over the files' own hashes (path, size, time) and the parameters; equal inputs give equal values. Files
     are reduced by a commutative sum, so their order and number don't matter."""

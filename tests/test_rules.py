@@ -217,3 +217,14 @@ def test_layout(spark):
 def test_phrase_flags(spark):
     assert one(spark, T.phrase_flags(F.col("t"), ("some say", "it seems")), t=" Some\n SAY so ") == [True, False]
     assert one(spark, T.run_name(F.col("t")), t=" my run! ") == "my-run" and isinstance(pd.__version__, str)
+
+
+def test_bundle(spark):
+    docs = spark.createDataFrame([(i, "some words to learn from here " * 3) for i in range(6)], "i int, t string")
+    vocab, merges = P.train_vocabulary(docs, "t", size=280)
+    full = sum(r.n for r in P.encode(docs, "t", vocab, merges).select(F.size("ids").alias("n")).collect())
+    b = P.dataset_bundle(docs, "i", "t", vocab, merges, length=4)
+    n = {k: sum(len(r.ids) for r in v.collect()) for k, v in b.items()}
+    assert n["train"] + n["val"] <= full < n["train"] + n["val"] + 8 and n["val"] > 0
+    with pytest.raises(ValueError):
+        P.check_specials({"<pad>": 0})
