@@ -7,7 +7,7 @@ entries. A distinct word is encoded once for all texts of the task. Vocabularies
 tokenizer whose content is sent to the tasks: a few MB, whatever the input.
 
 Memory: a task holds at most `window` bytes of text, four bytes a word of it, and the codes of at most
-`remember` distinct words.
+`remember` distinct words; of these it keeps the ones that it used more than once.
 
 Defined results. Null text counts as empty; an empty text has no ids and decodes to the empty string. Strings of
 special tokens inside a text become these tokens, as the public library does by default. Repeated rows: one output
@@ -87,10 +87,10 @@ class PairIndex:
         n = len(raw)
         sym = self.inner[raw]
         sym[end - 1] = self.last[raw[end - 1]]
-        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        after, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
         after[end - 1], before[end - size] = -1, -1
         rank = np.full(n, NONE, np.int32)
-        inside = np.flatnonzero(after >= 0)
+        inside = np.flatnonzero(after >= 0).astype(np.int32)
         rank[inside] = self.rank(sym[inside], sym[inside + 1])
         alive = np.ones(n, bool)
         index: dict[int, list[np.ndarray]] = {}
@@ -125,7 +125,7 @@ class PairIndex:
                     if p != used:
                         keep.append(p)
                         used = after[p]
-                at = np.array(keep)
+                at = np.array(keep, np.int32)
             right = after[at]
             beyond = after[right]
             sym[at], after[at] = self.made[r], beyond
@@ -143,7 +143,7 @@ class PairIndex:
 class Codec:
     """Texts to words, ids and back, for a vocabulary file whose words are lower-cased and carry an end mark."""
 
-    def __init__(self, content: str, remember: int = 600_000):
+    def __init__(self, content: str, remember: int = 300_000):
         from tokenizers import Tokenizer
 
         spec = json.loads(content)
@@ -166,6 +166,20 @@ class Codec:
         self.ids: list[str] = []
         self.tokens: list[str] = []
         self.sizes: list[int] = []
+        self.uses = np.zeros(0, np.int64)
+
+    def forget_rare(self) -> None:
+        """Keeps the pieces used more than once; none if these are still too many."""
+        keep = np.flatnonzero(self.uses > 1).tolist()
+        old, ids, tokens, sizes = list(self.number), self.ids, self.tokens, self.sizes
+        self.forget()
+        if len(keep) <= self.remember // 2:
+            for i in keep:
+                self.number[old[i]] = len(self.ids)
+                self.ids.append(ids[i])
+                self.tokens.append(tokens[i])
+                self.sizes.append(sizes[i])
+            self.uses = np.ones(len(keep), np.int64)
 
     def pieces(self, text: str) -> list[str]:
         """A text cut where no word can continue: at white space, and at special strings, which stay as they stand."""
@@ -198,7 +212,7 @@ class Codec:
     def encode_batch(self, texts: list[str]) -> Iterator[tuple[int, str, str]]:
         """For each text: its number of ids, the ids in decimal with one space between, and the decoded text."""
         if len(self.number) > self.remember:
-            self.forget()
+            self.forget_rare()
         known, coded, number = len(self.ids), [], self.number
         for t in texts:
             p = self.pieces(t)
@@ -206,6 +220,11 @@ class Codec:
         if len(number) > known:
             self.learn(list(number)[known:])
         ids, tokens, sizes = self.ids, self.tokens, np.array(self.sizes, np.int64)
+        uses = np.zeros(len(ids), np.int64)
+        uses[: len(self.uses)] = self.uses
+        for c in coded:
+            np.add.at(uses, c, 1)
+        self.uses = uses
         for c in coded:
             at = c.tolist()
             yield int(sizes[c].sum()), " ".join([ids[i] for i in at]), " ".join([tokens[i] for i in at])
@@ -221,7 +240,7 @@ def codec(content: str, key: str) -> Codec:
     return _codecs[key]
 
 
-def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", window: int = 24 << 20) -> DataFrame:
+def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", window: int = 12 << 20) -> DataFrame:
     """vocabulary: path of a tokenizer file the driver can read. Returns (id, n_tokens, ids, decoded), one row for
     each row of docs: ids as decimal numbers with one space between, decoded as the library's decode() gives it."""
     with open(vocabulary, encoding="utf-8") as f:

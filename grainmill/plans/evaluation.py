@@ -227,7 +227,7 @@ def permutation_test(spark, d):
     return E.permutation_test(rows, "scope", "metric", ["doc_id"], "x", PERM)
 
 
-@query("permutation_scopes", f"""WITH c AS (SELECT source, lang, doc_id % 5 AS p, sum(quality) AS q, sum(toxic) AS t FROM labels JOIN documents USING (doc_id) WHERE source IN ('src0', 'src1') GROUP BY ALL),
+@query("permutation_scopes", f"""WITH c AS (SELECT source, lang, doc_id // 20 % 5 AS p, sum(quality) AS q, sum(toxic) AS t FROM labels JOIN documents USING (doc_id) WHERE source IN ('src0', 'src1') GROUP BY ALL),
 j AS (SELECT a.lang, a.p, b.q - a.q AS dq, b.t - a.t AS dt FROM c a JOIN c b ON a.lang = b.lang AND a.p = b.p AND a.source = 'src0' AND b.source = 'src1'),
 s AS (SELECT unnest(['overall', lang]) AS scope, concat_ws('|', lang, p) AS k, dq, dt FROM j),
 d AS (SELECT scope, 'q' AS metric, k, CAST(dq AS BIGINT) AS x FROM s UNION ALL SELECT scope, 't', k, CAST(dt AS BIGINT) FROM s),
@@ -237,7 +237,7 @@ SELECT o.scope, o.metric, n_pairs, total, count(*) FILTER (abs(s) >= abs(total))
 FROM o JOIN g ON o.scope = g.scope AND o.metric = g.metric GROUP BY o.scope, o.metric, n_pairs, total""")
 def permutation_scopes(spark, d):
     rows = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "source", "lang"), "doc_id").where(F.col("source").isin("src0", "src1"))
-    counts = rows.groupBy("source", "lang", (F.col("doc_id") % 5).alias("p")).agg(F.sum("quality").alias("q"), F.sum("toxic").alias("t"))
+    counts = rows.groupBy("source", "lang", (F.expr("doc_id div 20") % 5).alias("p")).agg(F.sum("quality").alias("q"), F.sum("toxic").alias("t"))
     diffs = E.paired_differences(counts, "source", ("src0", "src1"), "lang", "p", ["q", "t"])
     return E.permutation_test(diffs, "scope", "metric", ["pair_key"], "diff", 200)
 
