@@ -118,7 +118,8 @@ def variant_pair_diffs(spark, d):
 def _wilson(k: str, n: str) -> str:
     p = f"(CAST({k} AS DOUBLE) / nullif({n}, 0))"
     centre, span = f"({p} + 3.8416 / (2 * {n}))", f"(1.96 * sqrt(({p} * (1 - {p}) + 3.8416 / (4 * {n})) / {n}))"
-    return f"round({p}, 6) AS rate, round(({centre} - {span}) / (1 + 3.8416 / {n}), 6) AS ci_lower, round(({centre} + {span}) / (1 + 3.8416 / {n}), 6) AS ci_upper"
+    # a bound of zero may come out as -0.0 here; Spark's round() has no negative zero
+    return f"round({p}, 6) AS rate, round(({centre} - {span}) / (1 + 3.8416 / {n}), 6) + CAST(0 AS DOUBLE) AS ci_lower, round(({centre} + {span}) / (1 + 3.8416 / {n}), 6) AS ci_upper"
 
 
 _M, _P, _H, _E = "modern_explanatory_frame", "premodern_explanatory_frame", "hybrid_or_contradictory_frame", "earth_motion_mention"

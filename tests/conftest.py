@@ -36,7 +36,7 @@ def canonical(df):
     """Rows as sorted tuples of strings, columns by name; floats with nine digits."""
 
     def one(v):
-        if v is None or v != v or str(v) in ("<NA>", "NaT"):
+        if v is None or str(v) in ("<NA>", "NaT") or v != v:
             return ""
         return f"{v:.9g}" if isinstance(v, float) else str(v)
 
