@@ -10,7 +10,7 @@ import xxhash
 from conftest import DATA, canonical
 from pyspark.sql import functions as F
 
-from grainmill.llm import bpe, components, exact_dedup, htmltext, linededup, mixing, quality, queries, simhash, substring, tokencount, toxicity
+from grainmill.llm import bpe, common, components, exact_dedup, htmltext, linededup, mixing, quality, queries, simhash, substring, tokencount, toxicity
 
 WS = "[\x20\x09-\x0d]+"
 LONG = "word and more words " * 12_000
@@ -368,3 +368,22 @@ def test_mix_of_repeated_rows(spark):
         k = (r.doc_id, len(r.text.split()))
         got[k] = got.get(k, 0) + 1
     assert got == {k: n for k, n in plan.items() if n}
+
+
+def test_shuffled_ways_agree(spark, monkeypatch):
+    """Beyond the broadcast limit the same rows come out through shuffles."""
+    docs = documents(spark).unionByName(frame(spark).select(*documents(spark).columns))
+    pages = spark.read.parquet(f"{DATA}/pages.parquet")
+
+    def all_rows():
+        found = [simhash.near_groups(docs), exact_dedup.exact_groups(docs, digest_all=True), simhash.near_dedup(docs), exact_dedup.exact_dedup(docs), mixing.mix(docs).drop("positions"), mixing.mixed_documents(docs), quality.judge(docs).select("id", "n_words", "kept"), substring.passages(docs), linededup.line_dedup(pages)]
+        return [canonical(f.toPandas()) for f in found]
+
+    sent = all_rows()
+    monkeypatch.setattr(common.small, "__defaults__", (0,))
+    monkeypatch.setattr(linededup, "BROADCAST_LIMIT", -1)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert all_rows() == sent
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
