@@ -32,9 +32,11 @@ def contamination_flags(spark, d):
     if len(items) > 10_000:
         raise ValueError("the lexicon must have at most 10,000 phrases")
     lexicon = F.array(*[F.struct(F.lit(r.item_id).alias("item_id"), F.lit(r.p).alias("p")) for r in items])
-    hit = F.filter(lexicon, lambda x: F.contains("t", x["p"]))
-    rows = table(spark, d, "documents").select("doc_id", F.lower(F.regexp_replace("text", r"\s+", " ")).alias("t")).select("doc_id", hit.alias("h"))
-    return rows.where(F.size("h") > 0).select("doc_id", F.size("h").cast("bigint").alias("n_items"), F.array_min(F.transform("h", lambda x: x["item_id"])).alias("first_item"))
+    # nested lambdas, so that a text is normalised and searched once
+    texts = F.array(F.lower(F.regexp_replace("text", r"\s+", " ")))
+    hits = F.transform(texts, lambda t: F.filter(lexicon, lambda x: F.contains(t, x["p"])))
+    found = F.transform(hits, lambda h: F.struct(F.size(h).cast("bigint").alias("n_items"), F.array_min(F.transform(h, lambda x: x["item_id"])).alias("first_item")))
+    return table(spark, d, "documents").select("doc_id", F.inline(F.filter(found, lambda f: f["n_items"] > 0)))
 
 
 @query("proximity_flags", r"""SELECT doc_id, len(regexp_extract_all(text, '(?i)the(?:[^A-Za-z0-9_]+[A-Za-z0-9_]+){0,5}[^A-Za-z0-9_]+and')) AS n FROM documents
