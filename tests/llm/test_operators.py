@@ -344,6 +344,23 @@ def test_chain_prefers_collinear():
     assert substring.common_words(list("abcde"), list("axcye")) == 3 and substring.extend(list("aabb"), list("aaxb"), 2) == (2, 2)
 
 
+def test_chain_after_long_stretch():
+    """A long stretch that is too far behind doesn't hide a near predecessor; gaps count on both sides."""
+    anchors = [(0, 200, 0), (290, 12, 290), (305, 12, 305), (320, 12, 320), (335, 12, 335)]
+    assert substring.chain(anchors) == [[0], [1, 2, 3, 4]]
+    assert substring.chain([(0, 200, 0), (203, 12, 265)]) == [[0], [1]]
+
+
+def test_edited_passage_after_long_stretch(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choices("abcdefghij", k=8))
+    long, passage = [word() for _ in range(200)], [word() for _ in range(60)]
+    edited = [word() if i % 13 == 12 else w for i, w in enumerate(passage)]
+    rows = [(i, " ".join(long + [word() for _ in range(100)] + p + [word() for _ in range(40)]), "en", "s") for i, p in enumerate((passage, edited))]
+    got = {(r.doc, r.start_word, r.end_word) for r in substring.passages(frame(spark, rows)).collect()}
+    assert any(d == 1 and a == 300 and b >= 359 for d, a, b in got)
+
+
 def test_seeds_cover_exact_stretches():
     rng = random.Random(7)
     seeder = substring.Seeder()
