@@ -361,6 +361,42 @@ def test_edited_passage_after_long_stretch(spark):
     assert any(d == 1 and a == 300 and b >= 359 for d, a, b in got)
 
 
+def test_passage_whose_parts_have_other_hubs(spark):
+    """Documents of small ids hold only part of a passage: those that share all of it are still found."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choices("abcdefghij", k=8))
+    around = lambda p: " ".join([word() for _ in range(rng.randint(20, 60))] + p + [word() for _ in range(30)])
+    passage = [word() for _ in range(60)]
+    rows = [(i, around(passage[:35] if i < 20 else passage if i in (20, 30) else []), "en", "s") for i in range(40)]
+    found = substring.passages(frame(spark, rows)).collect()
+    text = {i: t.split() for i, t, _, _ in rows}
+    assert {r.doc for r in found} | {r.partner for r in found} == {20, 30}
+    assert any(text[r.doc][r.start_word : r.end_word] == text[r.partner][r.partner_start : r.partner_end] == passage for r in found)
+
+
+def test_exact_stretches_brute_force(spark):
+    """Every word of 50 equal words in two documents is in a passage found; texts are spliced from shared pieces."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcdefghij", k=8))
+    pool = [word() for _ in range(400)]
+    rows = []
+    for i in range(60):
+        words = []
+        for _ in range(rng.randint(1, 5)):
+            a = rng.randrange(340)
+            words += pool[a : a + rng.randint(20, 60)] + [word() for _ in range(rng.randint(0, 9))]
+        rows.append((i, " ".join(words), "en", "s"))
+    covered, holders = set(), {}
+    for r in substring.passages(frame(spark, rows)).collect():
+        covered |= {(r.doc, p) for p in range(r.start_word, r.end_word)} | {(r.partner, p) for p in range(r.partner_start, r.partner_end)}
+    for i, t, _, _ in rows:
+        w = t.split()
+        for p in range(len(w) - 49):
+            holders.setdefault(tuple(w[p : p + 50]), []).append((i, p))
+    want = {(i, p + j) for places in holders.values() if len({i for i, _ in places}) > 1 for i, p in places for j in range(50)}
+    assert len(want) > 1000 and want <= covered
+
+
 def test_seeds_cover_exact_stretches():
     rng = random.Random(7)
     seeder = substring.Seeder()
