@@ -374,6 +374,37 @@ def test_passage_whose_parts_have_other_hubs(spark):
     assert any(text[r.doc][r.start_word : r.end_word] == text[r.partner][r.partner_start : r.partner_end] == passage for r in found)
 
 
+def test_later_places_in_a_document(spark):
+    """A teaser before the whole passage, and second copies inside one document."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefghij", k=8))
+    some = lambda n: [word() for _ in range(n)]
+    passage, own = some(60), some(70)
+    texts = {1: some(30) + passage + some(20), 2: passage[:35] + some(100) + passage + some(20), 3: some(10) + own + some(90) + own + some(5) + own[:55] + some(9), 4: some(300)}
+    docs = frame(spark, [(i, " ".join(t), "en", "s") for i, t in texts.items()])
+    found = substring.passages(docs)
+    got = {(r.doc, r.start_word, r.end_word, r.partner, r.partner_start) for r in found.collect()}
+    assert {(2, 135, 195, 1, 30), (3, 170, 240, 3, 10), (3, 245, 300, 3, 10)} <= got and not any(4 in (d, p) for d, _, _, p, _ in got)
+    left = {r.doc_id: r.text.split() for r in substring.cut_passages(docs, found).collect()}
+    assert left[1] == texts[1] and left[2] == texts[2][:135] + texts[2][195:] and left[3] == texts[3][:170] + texts[3][240:245] + texts[3][300:]
+
+
+def test_copies_within_brute_force():
+    rng = random.Random(9)
+    for trial in range(60):
+        pool = [rng.randrange(1 << 60) for _ in range(40)]
+        words = []
+        for _ in range(12):
+            a = rng.randrange(30)
+            words += pool[a : a + rng.randint(3, 10)] if trial % 2 else pool[:3] * rng.randint(1, 5) + pool[a : a + 2]
+        got = substring.copies_within(np.array(words, np.uint64), 5)
+        assert all(f + q - p <= p and words[p:q] == words[f : f + q - p] and q - p >= 5 for p, q, f in got)
+        covered = {x for p, q, _ in got for x in range(p, q)}
+        for p in range(len(words) - 4):
+            if any(words[f : f + 5] == words[p : p + 5] for f in range(p - 4)):
+                assert set(range(p, p + 5)) <= covered
+
+
 def test_exact_stretches_brute_force(spark):
     """Every word of 50 equal words in two documents is in a passage found; texts are spliced from shared pieces."""
     rng = random.Random(5)
