@@ -27,13 +27,14 @@ from pyspark.sql import functions as F
 from .common import arrow_map, as_bytes, cut, pick, small
 
 SYMBOLS = b"#*$%&|<>"
-#: Smallest standard deviation of each dimension: mean word length, and square roots of three shares.
-FLOORS = (0.25, 0.06, 0.25, 0.2)
+#: Quantiles of chi-square with four degrees of freedom: 0.5 and 0.9999.
+MEDIAN_4, CUTOFF_4 = 3.3567, 23.513
+#: Smallest standard deviation of each dimension: mean word length, and square roots of three shares. Where nobody in a
+#: group has any, each of the shares (3% symbols, 30% repeated lines, 30% repeated words) is at the cut by itself.
+FLOORS = (0.25, *((share / CUTOFF_4) ** 0.5 for share in (0.03, 0.3, 0.3)))
 DIMS = len(FLOORS)
 PAIRS = [(i, j) for i in range(DIMS) for j in range(i, DIMS)]
 BINS, PER_DOUBLING = 512, 16
-#: Quantiles of chi-square with four degrees of freedom: 0.5 and 0.9999.
-MEDIAN_4, CUTOFF_4 = 3.3567, 23.513
 
 
 def repeated_words(words: list[bytes]) -> int:

@@ -223,6 +223,25 @@ def test_quality(spark):
     assert all(out[i] for i, *_ in clean) and not any(out[i] for i, *_ in junk)
 
 
+def test_quality_each_dimension_rejects(spark):
+    """Among texts without symbols and repeats, an outlier in one dimension alone is rejected."""
+    rng = random.Random(3)
+    some = lambda n, k=(2, 9): ["".join(rng.choices("abcdefgh", k=rng.randint(*k))) for _ in range(n)]
+    lines = lambda n: [" ".join(some(8)) for _ in range(n)]
+    symbols = [" ".join(x + "%" * (i % 3 == 0) for i, x in enumerate(some(80)))]
+    twice = lines(40)
+    for i in range(1, 40):
+        if i % 2:
+            twice[i] = "ab"  # short lines: hardly a word of the text repeats
+    phrase = some(20)
+    words = [" ".join(some(60) + phrase + some(20) + phrase + some(20) + phrase)]
+    outliers = symbols + ["\n".join(twice)] + words + [" ".join(some(80, (12, 14)))]
+    rows = [(i, "\n".join(lines(12)), "en", "s") for i in range(200)] + [(1000 + i, t, "en", "s") for i, t in enumerate(outliers)]
+    got = {r.id: r for r in quality.judge(frame(spark, rows)).collect()}
+    assert all(got[i].kept for i in range(200)) and not any(got[1000 + i].base_failed for i in range(4))
+    assert [got[1000 + i].kept for i in range(4)] == [False] * 4
+
+
 def test_line_dedup(spark):
     pages = [(i, f"https://a.org/{i}", f"<nav>Home</nav><p>Own {i}<p>Shared<br>x{i}<script>var a='<p>Home</p>'</script>") for i in range(20)]
     pages += [(50, "https://b.org/", "<p>Home</p>"), (51, None, "<p>Home</p>"), (52, "/rel", None), (53, "HTTPS://A.org/x", "Home<li>Own 3")]
