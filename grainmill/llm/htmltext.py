@@ -11,7 +11,7 @@ spaced blocks of each), labelled by their markup (article or main; navigation, f
 prior weights that say what each feature means where the sample lacks it.
 
 Defined results. Null and empty html: text '' and 0 characters. Pages without content: ''. Unclosed elements end with
-the page; a new paragraph or list item ends the one before. Character references are decoded; white space in a block
+the page, an unclosed head where its content does; a self-closing svg is empty; a new paragraph or list item ends the one before. Character references are decoded; white space in a block
 becomes one space. Repeated rows: one output row each. Empty table: empty result. Extra columns are ignored.
 """
 
@@ -32,7 +32,9 @@ from .common import arrow_map, as_bytes, pick
 from .linededup import BLOCKS as LINE_BLOCKS
 
 MARKUP = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|iframe|textarea|svg|head)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<svg\b[^>]*/>|<(?P<raw>script|style|noscript|template|iframe|textarea|svg)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
+    # a head ends at its end tag, or where what can't be in one begins
+    r"|(?P<head><head\b[^>]*>(?:\s|<!--.*?(?:-->|\Z)|</?(?:base|link|meta)\b[^>]*>|<(?P<in>title|script|style|noscript|template)\b[^>]*>.*?(?:</(?P=in)\s*>|\Z))*+(?:</head\s*>)?)"
     r"|<(?P<end>/?)(?P<tag>[A-Za-z][A-Za-z0-9:-]*)(?P<attrs>[^>]*)>|<[!?][^>]*>",
     re.S | re.I,
 )
@@ -91,7 +93,7 @@ def blocks(html: str) -> list[Block]:
         at = m.end()
         tag = (m["tag"] or "").lower()
         if not tag:
-            if m["raw"] and m["raw"].lower() == "head":
+            if m["head"]:
                 parts.clear()
             continue
         if m["end"]:

@@ -263,6 +263,13 @@ def test_html_rules():
     assert text.split("\n") == ["Head & more", "First para with bold text, long enough to count.", "Second para é is here as well, it ends.", "Third para closes the article, as it should."]
 
 
+def test_html_head_without_end_and_empty_svg():
+    body = "<article><p>One para, long enough to count as text.</p><svg viewBox='0'/><p>Two para, long enough to count as text.</p></article>"
+    want = ["One para, long enough to count as text.", "Two para, long enough to count as text."]
+    for top in ("<head><meta charset=x><title>T</title><script>a='<p>no</p>'</script><body>", "<head><title>T</title>", "<head><title>T</title></head><body>", ""):
+        assert htmltext.main_text("<html>" + top + body, htmltext.PRIOR.tolist()).split("\n") == want
+
+
 def test_minimum_cut_is_minimal():
     rng = random.Random(4)
     for _ in range(60):
