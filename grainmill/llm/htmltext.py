@@ -1,27 +1,34 @@
 """Main text of web pages by minimum cut.
 
-Method. A page is cut into blocks at block markup. A logistic classifier gives each block a probability of being
-content; its negative logarithms are the capacities to the two terminals. Neighbours in page order and neighbours
-under one parent element are tied by smoothness edges. The minimum cut of that graph, found by max-flow, separates
-content from the rest. Blocks whose terminal capacities outweigh all their edges are settled first, which leaves the
-cut as it is and most pages without a flow to compute.
+Method. A page is cut into blocks at block markup. A logistic classifier, which sees a block's text and its neighbours'
+but none of the markup, gives each block a probability of being content; its log-odds (at most MOST either way) are the
+capacities to the two terminals. Markup is the graph: a block is tied to the next one (adjacency) and to the element
+that holds it, elements to the elements that hold them (DOM proximity). An element whose markup says what it is
+(article, main; nav, footer, form, an advert's or a comment section's class) is a seed, one with its terminal.
+The minimum cut of that graph, found by max-flow over the whole page, separates content from boilerplate: a lone short
+paragraph follows the paragraphs around it, a long notice follows the footer that holds it.
 
 The classifier is fitted on blocks of a bounded, documented sample of pages (`sample` pages, at most PER_PAGE evenly
-spaced blocks of each), labelled by their markup (article or main; navigation, footer, advert and the like), around
-prior weights that say what each feature means where the sample lacks it.
-
-Defined results. Null and empty html: text '' and 0 characters. Pages without content: ''. Unclosed elements end with
-the page, an unclosed head where its content does; a self-closing svg is empty; a new paragraph or list item ends the one before. Character references are decoded; white space in a block
-becomes one space. Repeated rows: one output row each. Empty table: empty result. Extra columns are ignored.
+spaced blocks of each), labelled by the seeds that hold them, around prior weights that say what each feature means
+where the sample lacks it. Seeds are not among its features.
+
+Defined results. Null and empty html: text '' and 0 characters. Pages without content: ''. Pages without any seed are
+divided by their text and ties alone; where that leaves nothing of a page without an article or main element, all that
+no aside holds and that isn't mostly links is content. In a page with an article or main element, text outside of these needs ties to
+be content. A form, or an element with an aside's class, that holds the main element is no seed, and an article within an
+aside isn't one either. Unclosed elements end with the page, an unclosed head where its content does, an unfinished tag
+with the page; only void elements (and self-closing svg) are closed by '/>'. Text of script, style, title, noscript, template, iframe,
+textarea and svg is never content. Character references are decoded; white space in a block becomes one space. Repeated
+rows: one output row each. Empty table: empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
-from collections import deque
-from dataclasses import dataclass
+from collections import Counter, deque
+from dataclasses import dataclass, field
 from html import unescape
-from math import exp, log, log1p
+from math import log1p
 
 import numpy as np
 import pyarrow as pa
@@ -31,14 +38,18 @@ from pyspark.sql import functions as F
 from .common import arrow_map, as_bytes, pick
 from .linededup import BLOCKS as LINE_BLOCKS
 
+#: A tag's attributes: '>' inside a quoted value doesn't end it.
+ATTRS = r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+"""
+COMMENT = r"<!--(?:-?>|.*?(?:--!?>|\Z))"
+RAW = "script|style|title|noscript|template|iframe|textarea|svg"
 MARKUP = re.compile(
-    r"<!--.*?(?:-->|\Z)|<svg\b[^>]*/>|<(?P<raw>script|style|noscript|template|iframe|textarea|svg)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
+    rf"{COMMENT}|<svg\b{ATTRS}(?<=/)>|<(?P<raw>{RAW})\b{ATTRS}(?:>.*?(?:</(?P=raw)\s*>|\Z)|\Z)"
     # a head ends at its end tag, or where what can't be in one begins
-    r"|(?P<head><head\b[^>]*>(?:\s|<!--.*?(?:-->|\Z)|</?(?:base|link|meta)\b[^>]*>|<(?P<in>title|script|style|noscript|template)\b[^>]*>.*?(?:</(?P=in)\s*>|\Z))*+(?:</head\s*>)?)"
-    r"|<(?P<end>/?)(?P<tag>[A-Za-z][A-Za-z0-9:-]*)(?P<attrs>[^>]*)>|<[!?][^>]*>",
+    rf"|(?P<head><head\b{ATTRS}>(?:\s|{COMMENT}|</?(?:base|link|meta)\b{ATTRS}>|<(?P<in>title|script|style|noscript|template)\b{ATTRS}>.*?(?:</(?P=in)\s*>|\Z))*+(?:</head\s*>)?)"
+    rf"|<(?P<end>/?)(?P<tag>[A-Za-z][^\s/>]*)(?P<attrs>{ATTRS})(?:>|\Z)|<[!?/][^>]*>",
     re.S | re.I,
 )
-NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+NAMES = re.compile(r"""(?<![^\s"'])(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 #: Elements that start and end blocks; br is white space inside one.
 BLOCKS = frozenset(LINE_BLOCKS) - {"br"}
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -46,94 +57,146 @@ CLOSES_SELF = frozenset("p li dt dd option tr td th".split())
 MAIN, ASIDE = frozenset(("article", "main")), frozenset("nav footer aside form menu dialog select button".split())
 #: Words in class, id or role that mark what isn't the article (fixed values).
 ASIDE_NAMES = frozenset(
-    "ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies footer header masthead menu modal nav navbar navigation newsletter notice notices popup promo promotion related share sharing sidebar social sponsor sponsored subscribe toolbar widget".split()
+    "ad ads advert advertisement adverts adsbygoogle banner breadcrumb breadcrumbs comment commentlist comments complementary consent contentinfo cookie cookies disqus footer gdpr header masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promotion related respond share sharing sidebar social sponsor sponsored subscribe toolbar widget".split()
 )
-HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-FEATURES = ("bias", "in_main", "in_aside", "aside_name", "link_share", "words", "sentence", "heading", "list_item", "paragraph")
-PRIOR = np.array([-1.0, 3.0, -4.0, -4.0, -3.0, 0.4, 0.5, 0.5, -0.5, 1.0])
-SAMPLE, PER_PAGE, TIE, SIBLING = 1000, 64, 0.6, 0.4
+#: A compound name that begins so tells of a page's layout, not of the element.
+LAYOUT = frozenset("has no not with without is show hide".split())
+#: In a compound name with one of these, header and banner are the article's own.
+OWN = frozenset("article content entry post story".split())
+LEGAL = re.compile(r"©|\(c\)|all rights reserved", re.I)
+
+FEATURES = ("bias", "link_share", "words", "sentence", "digits", "legal", "words_before", "words_after", "links_before", "links_after")
+PRIOR = np.array([-2.0, -3.0, 1.2, 0.8, -1.0, -2.5, 0.5, 0.5, -0.5, -0.5])
+SAMPLE, PER_PAGE = 1000, 64
+#: Largest log-odds of a block; ties of neighbours under one element and under two, of an element's parts where a seed
+#: holds them (more than log-odds and neighbours can pull) and elsewhere; what a page's article takes from the text outside.
+MOST, TIE, FAR_TIE, HELD, LOOSE, OUTSIDE = 3.0, 0.7, 0.35, 6.0, 0.8, 3.0
 
 
 @dataclass
-class Block:
-    text: str
-    parent: int
-    features: tuple[float, ...]
+class Page:
+    """Blocks with their text facts and elements; elements with the one that holds them, a seed (1 content, -1 not, 0
+    none) and the seed that they are held by or are (region). Element 0 is the page."""
+
+    texts: list[str] = field(default_factory=list)
+    facts: list[tuple[float, ...]] = field(default_factory=list)  # FEATURES without bias and neighbours
+    element: list[int] = field(default_factory=list)
+    up: list[int] = field(default_factory=lambda: [0])
+    seed: list[int] = field(default_factory=lambda: [0])
+    soft: set[int] = field(default_factory=set)  # seeds that a main element inside takes back: forms, named elements
+    region: list[int] = field(default_factory=list)
+
+    def regions(self) -> None:
+        """Settles which elements are seeds, and by which each is held."""
+        self.region = [0] * len(self.up)
+        for e in range(1, len(self.up)):  # an element comes after the one that holds it
+            if self.region[self.up[e]] < 0 and self.seed[e] > 0:
+                self.seed[e] = 0
+            self.region[e] = self.seed[e] or self.region[self.up[e]]
+
+    def features(self) -> np.ndarray:
+        x = np.zeros((len(self.texts), len(FEATURES)))
+        if len(x):
+            x[:, 0], x[:, 1:6] = 1, self.facts
+            x[1:, 6], x[:-1, 7], x[1:, 8], x[:-1, 9] = x[:-1, 2], x[1:, 2], x[:-1, 1], x[1:, 1]
+        return x
+
+
+def named(attrs: str, in_main: bool) -> int:
+    """-1 if class, id or role say that an element isn't part of an article, 1 if they say that it is an article's."""
+    out = 0
+    for found in NAMES.findall(attrs):
+        for name in "".join(found).lower().split():
+            words = re.split(r"[_-]+", name)
+            own = not OWN.isdisjoint(words)
+            if words[0] not in LAYOUT and any(w in ASIDE_NAMES and not ((own or in_main) and w in ("header", "banner")) for w in words):
+                return -1
+            out = max(out, own)
+    return out
 
 
-def blocks(html: str) -> list[Block]:
-    """The page's blocks with text, in page order."""
-    out: list[Block] = []
-    # open elements: tag, number, in main, in aside, named aside
-    stack: list[tuple[str, int, bool, bool, bool]] = [("", 0, False, False, False)]
+def read(html: str) -> Page:
+    """The page's blocks with text, in page order, and its elements."""
+    page = Page()
+    stack: list[tuple[str, int, bool]] = [("", 0, False)]  # open elements: tag, element, whether an article or main holds it
+    count: Counter = Counter()
     parts: list[str] = []
-    linked = at = number = 0
+    linked = at = 0
 
     def flush() -> None:
         nonlocal linked
         if parts:
-            text = " ".join(unescape("".join(parts)).split())
+            text = " ".join("".join(parts).split())
             if text:
-                tag, _, main, aside, named = next(x for x in reversed(stack) if x[0] in BLOCKS or not x[0])
-                parent = next((x[1] for x in reversed(stack[:-1]) if x[0] in BLOCKS and x[0] not in CLOSES_SELF), 0)
-                words = text.count(" ") + 1
-                out.append(Block(text, parent, (1.0, main, aside, named, min(1.0, linked / len(text)), min(3.0, log1p(words) / 2), text[-1] in ".!?:;…\"»”", tag in HEADINGS, tag in ("li", "dt", "dd", "option"), tag == "p")))
+                digits = sum(map(str.isdigit, text)) / len(text) if len(text) < 400 else 0.0
+                page.texts.append(text)
+                page.facts.append((min(1.0, linked / len(text)), min(3.0, log1p(text.count(" ") + 1) / 2), text[-1] in ".!?:;…\"»”", digits, len(text) < 400 and LEGAL.search(text) is not None))
+                page.element.append(stack[-1][1])
             parts.clear()
         linked = 0
 
+    def close(depth: int) -> None:
+        for t, _, _ in stack[depth:]:
+            count[t] -= 1
+        del stack[depth:]
+
     def text_to(stop: int) -> None:
         nonlocal linked
         if stop > at:
-            parts.append(html[at:stop])
-            if any(x[0] == "a" for x in stack[-6:]):
-                linked += stop - at
+            parts.append(unescape(html[at:stop]))
+            if count["a"]:
+                linked += len(parts[-1])
 
     for m in MARKUP.finditer(html):
         text_to(m.start())
         at = m.end()
         tag = (m["tag"] or "").lower()
         if not tag:
-            if m["head"]:
-                parts.clear()
             continue
         if m["end"]:
             if tag in BLOCKS:
                 flush()
-            depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag), 0)
-            if depth and (tag in BLOCKS or not any(x[0] in BLOCKS for x in stack[depth + 1 :])):
-                del stack[depth:]
+            if count[tag]:
+                depth = next(i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag)
+                if tag in BLOCKS or not any(x[0] in BLOCKS for x in stack[depth + 1 :]):
+                    close(depth)
             continue
         if tag in BLOCKS:
             flush()
-            if tag in CLOSES_SELF:  # ends an open one of its kind, unless another block element holds it
+            if tag in CLOSES_SELF and count[tag]:  # ends an open one of its kind, unless another block element holds it
                 depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] in BLOCKS), 0)
                 if depth and stack[depth][0] == tag:
-                    del stack[depth:]
+                    close(depth)
         elif tag == "br":
             parts.append(" ")
-        if tag in VOID or m["attrs"].endswith("/"):
+        if tag in VOID:
             continue
-        number += 1
-        _, _, main, aside, named = stack[-1]
-        if not named and m["attrs"]:
-            named = any(w in ASIDE_NAMES for found in NAMES.findall(m["attrs"]) for w in re.split(r"[\s_-]+", "".join(found).lower()))
-        stack.append((tag, number, main or tag in MAIN, aside or tag in ASIDE or (tag == "header" and not main), named))
+        _, element, in_main = stack[-1]
+        name = named(m["attrs"], in_main) if m["attrs"] and tag not in ("html", "body") else 0
+        seed, by_name = 0, name < 0
+        if by_name or tag in ASIDE or (tag == "header" and not in_main and not name):
+            seed = -1
+        elif tag in MAIN:
+            seed = 1
+        if tag == "main" or (tag == "article" and seed > 0):
+            e = element
+            while e:
+                if e in page.soft and (tag == "main" or page.seed[e] == -2):
+                    page.seed[e] = 0
+                e = page.up[e]
+        if seed or (tag in BLOCKS and tag not in CLOSES_SELF):
+            page.up.append(element)
+            element = len(page.up) - 1
+            page.seed.append(-2 if tag == "form" and not by_name else seed)  # -2: also taken back by an article inside
+            if by_name or tag == "form":
+                page.soft.add(element)
+        stack.append((tag, element, in_main or tag in MAIN))
+        count[tag] += 1
     text_to(len(html))
     flush()
-    return out
-
-
-def edges(page: list[Block]) -> list[tuple[int, int, float]]:
-    """Smoothness edges: each block to the next, stronger under one parent, and to the last one under its parent."""
-    out, last = [], {}
-    for i, b in enumerate(page):
-        if i:
-            out.append((i - 1, i, TIE if page[i - 1].parent == b.parent else TIE / 3))
-        j = last.get(b.parent)
-        if j is not None and j < i - 1:
-            out.append((j, i, SIBLING))
-        last[b.parent] = i
-    return out
+    page.seed = [max(s, -1) for s in page.seed]
+    page.regions()
+    return page
 
 
 def max_flow(n: int, arcs: list[tuple[int, int, float, float]], source: int, sink: int) -> list[bool]:
@@ -182,43 +245,81 @@ def max_flow(n: int, arcs: list[tuple[int, int, float, float]], source: int, sin
                 turn[a] += 1
 
 
-def label(odds: list[float], ties: list[tuple[int, int, float]]) -> list[bool]:
-    """Whether each block is content in the minimum cut. odds: log-odds of content."""
-    n = len(odds)
-    near: list[list[tuple[int, float]]] = [[] for _ in range(n)]
+def minimum_cut(odds: list[float], ties: list[tuple[int, int, float]], n: int) -> list[bool]:
+    """Whether each of n nodes is content in the minimum cut. odds: log-odds of content of the first nodes, others have
+    none. ties: (node, node, weight); node -1 is the content terminal, -2 the other."""
+    s, t = n, n + 1
+    to_s, to_t = [max(x, 0.0) for x in odds] + [0.0] * (n - len(odds)), [max(-x, 0.0) for x in odds] + [0.0] * (n - len(odds))
+    arcs = []
     for i, j, w in ties:
-        near[i].append((j, w))
-        near[j].append((i, w))
-    lean, loose, settled = list(odds), [sum(w for _, w in x) for x in near], [None] * n
-    queue = deque(range(n))
-    while queue:  # a block that leans harder than its loose ties can pull is settled, and pulls its neighbours for good
-        i = queue.popleft()
-        if settled[i] is None and abs(lean[i]) > loose[i]:
-            settled[i] = lean[i] > 0
-            for j, w in near[i]:
-                if settled[j] is None:
-                    lean[j] += w if settled[i] else -w
-                    loose[j] -= w
-                    queue.append(j)
-    left = [i for i in range(n) if settled[i] is None]
-    if left:
-        at = {i: k for k, i in enumerate(left)}
-        s, t = len(left), len(left) + 1
-        arcs = [(s, at[i], max(lean[i], 0.0), 0.0) for i in left] + [(at[i], t, max(-lean[i], 0.0), 0.0) for i in left]
-        arcs += [(at[i], at[j], w, w) for i, j, w in ties if i in at and j in at]
-        side = max_flow(len(left) + 2, arcs, s, t)
-        for i in left:
-            settled[i] = side[at[i]]
-    return settled
-
-
-def main_text(html: str, weights: list[float]) -> str:
-    page = blocks(html)
-    odds = []
-    for b in page:
-        p = 1 / (1 + exp(-max(-30.0, min(30.0, sum(w * f for w, f in zip(weights, b.features))))))
-        odds.append(log(max(p, 1e-9)) - log(max(1 - p, 1e-9)))
-    return "\n".join(b.text for b, c in zip(page, label(odds, edges(page))) if c)
+        i, j = max(i, j), min(i, j)
+        if i < 0:
+            continue
+        if j == -1:
+            to_s[i] += w
+        elif j == -2:
+            to_t[i] += w
+        else:
+            arcs.append((i, j, w, w))
+    for i in range(n):  # what flows through a node from terminal to terminal is in any cut
+        both = min(to_s[i], to_t[i])
+        if to_s[i] > both:
+            arcs.append((s, i, to_s[i] - both, 0.0))
+        elif to_t[i] > both:
+            arcs.append((i, t, to_t[i] - both, 0.0))
+    return max_flow(n + 2, arcs, s, t)[:n]
+
+
+def ties(page: Page) -> tuple[list[tuple[int, int, float]], int]:
+    """The smoothness edges and the number of nodes: blocks first, then the elements that hold any and are no seed."""
+    out, node, size = [], {}, len(page.texts)
+
+    def of(e: int) -> int:
+        """The node of element e; its edges upwards are made when it is met first."""
+        nonlocal size
+        if page.seed[e]:
+            return -1 if page.seed[e] > 0 else -2
+        if e not in node:
+            new = []
+            while e and e not in node and not page.seed[e]:
+                node[e] = size
+                size += 1
+                new.append(e)
+                e = page.up[e]
+            for x in new:
+                up = page.up[x]
+                if page.region[x] or up:  # the page itself ties nothing
+                    out.append((node[x], -1 if page.seed[up] > 0 else -2 if page.seed[up] < 0 else node[up], HELD if page.region[x] else LOOSE))
+            return node[new[0]]
+        return node[e]
+
+    for i, e in enumerate(page.element):
+        if e:
+            out.append((i, of(e), HELD if page.region[e] else LOOSE))
+        if i and page.region[e] == page.region[page.element[i - 1]]:
+            out.append((i - 1, i, TIE if page.element[i - 1] == e else FAR_TIE))
+    return out, size
+
+
+def labelled(html: str, weights: np.ndarray) -> tuple[Page, list[bool], list[bool]]:
+    """The page, whether each block is content in the cut, and whether the classifier alone would say so."""
+    page = read(html)
+    if not page.texts:
+        return page, [], []
+    odds = np.clip(page.features() @ weights, -MOST, MOST)
+    alone = (odds > 0).tolist()
+    if any(s > 0 for s in page.seed):
+        odds = odds - OUTSIDE * np.array([not page.region[e] for e in page.element])
+    edges, n = ties(page)
+    content = minimum_cut(odds.tolist(), edges, n)[: len(page.texts)]
+    if not any(content) and not any(s > 0 for s in page.seed):
+        content = [page.region[e] == 0 and f[0] < 0.5 for e, f in zip(page.element, page.facts)]
+    return page, content, alone
+
+
+def main_text(html: str, weights: np.ndarray = PRIOR) -> str:
+    page, content, _ = labelled(html, weights)
+    return "\n".join(t for t, c in zip(page.texts, content) if c)
 
 
 def fit(features: np.ndarray, content: np.ndarray, pull: float = 5.0, steps: int = 25) -> np.ndarray:
@@ -228,19 +329,24 @@ def fit(features: np.ndarray, content: np.ndarray, pull: float = 5.0, steps: int
         p = 1 / (1 + np.exp(-np.clip(features @ w, -30, 30)))
         grad = features.T @ (p - content) + pull * (w - PRIOR)
         hess = (features * (p * (1 - p))[:, None]).T @ features + pull * np.eye(len(w))
-        w = w - np.linalg.solve(hess, grad)
+        step = np.linalg.solve(hess, grad)
+        w = w - step
+        if np.abs(step).max() < 1e-8:
+            break
     return w
 
 
-def fit_pages(pages: DataFrame, id_col: str, html_col: str, sample: int = SAMPLE) -> list[float]:
+def fit_pages(pages: DataFrame, id_col: str, html_col: str, sample: int = SAMPLE) -> np.ndarray:
     """The classifier's weights from blocks of at most `sample` pages: those whose ids have the smallest hashes."""
 
     def setup():
         def step(b: pa.RecordBatch) -> dict:
             rows = []
             for t in b.column(0).to_pylist():
-                page = blocks(t.decode("utf-8", "replace"))
-                rows += [[float(x) for x in page[i].features] for i in sorted({k * len(page) // PER_PAGE for k in range(PER_PAGE)})] if page else []
+                page = read(t.decode("utf-8", "replace"))
+                x = page.features()
+                # the last of a row: the region that labels the block
+                rows += [[*x[i].tolist(), float(page.region[page.element[i]])] for i in sorted({k * len(x) // PER_PAGE for k in range(PER_PAGE)})] if len(x) else []
             return {"f": rows}
 
         return step
@@ -251,20 +357,27 @@ def fit_pages(pages: DataFrame, id_col: str, html_col: str, sample: int = SAMPLE
     if n > 2 * sample:  # tasks sort and send about two samples in all, rather than one each
         base = base.where(F.col("key") < f"{int(2 * sample / n * 16**8):08x}")
     chosen = base.orderBy("key").limit(sample)
-    x = np.array([r.f for r in arrow_map(chosen.select("html"), setup, "f array<double>").collect()]).reshape(-1, len(FEATURES))
-    aside = (x[:, 2] + x[:, 3]) > 0
-    known = aside | (x[:, 1] > 0)
-    return fit(x[known], (~aside[known]).astype(float)).tolist()
+    x = np.array([r.f for r in arrow_map(chosen.select("html"), setup, "f array<double>").collect()]).reshape(-1, len(FEATURES) + 1)
+    known = x[:, -1] != 0
+    return fit(x[known, :-1], (x[known, -1] > 0).astype(float))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", sample: int = SAMPLE) -> DataFrame:
-    """(id, url, text), one row for each row of pages. Narrow but for the classifier's sample."""
+    """(id, url, text, n_blocks, n_cut), one row for each row of pages; n_cut: blocks of which the cut says otherwise than
+    the classifier alone. Narrow but for the classifier's sample."""
     weights = fit_pages(pages, id_col, html_col, sample)
 
     def setup():
         def step(b: pa.RecordBatch) -> dict:
-            return {"id": b.column(0), "url": b.column(1), "text": [main_text(t.as_py().decode("utf-8", "replace"), weights) for t in b.column(2)]}
+            text, blocks, moved = [], [], []
+            for t in b.column(2):
+                page, content, alone = labelled(t.as_py().decode("utf-8", "replace"), weights)
+                text.append("\n".join(x for x, c in zip(page.texts, content) if c))
+                blocks.append(len(content))
+                moved.append(sum(c != a for c, a in zip(content, alone)))
+            return {"id": b.column(0), "url": b.column(1), "text": text, "n_blocks": blocks, "n_cut": moved}
 
         return step
 
-    return arrow_map(pick(pages, {"id": F.col(id_col).cast("long"), "url": F.col(url_col), "html": as_bytes(html_col)}), setup, "id long, url string, text string")
+    base = pick(pages, {"id": F.col(id_col).cast("long"), "url": F.col(url_col), "html": as_bytes(html_col)})
+    return arrow_map(base, setup, "id long, url string, text string, n_blocks int, n_cut int")

@@ -83,7 +83,7 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = htmltext.extract(table(spark, sf_dir, "pages"))
-    return t.select(F.col("id").alias("page_id"), "url", "text", F.length("text").cast("long").alias("n_chars"))
+    return t.select(F.col("id").alias("page_id"), "url", "text", F.length("text").cast("long").alias("n_chars"), "n_blocks", "n_cut")
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
