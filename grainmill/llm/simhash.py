@@ -2,9 +2,9 @@
 
 Method. Fingerprints are made once for each text in Arrow batches. Equal fingerprints are one node. Two fingerprints
 at most r bits apart agree on at least one of r + 1 blocks of bits, so each node is dealt to the r + 1 buckets of its
-block values and compared with the nodes there only; no link is lost. In a bucket the nodes are sorted by population
-count and cut into tiles; a pair of tiles whose population counts are more than r apart is skipped, any other is one
-numpy XOR and bit count. A bucket above `hot` nodes is dealt to several tasks as pairs of (population count, salt)
+block values and compared with the nodes there only; no link is lost. All comparison is by tiles: nodes are sorted by
+population count and cut into tiles; a pair of tiles whose population counts are more than r apart is skipped, any
+other is one numpy XOR and bit count. Small buckets share tiles, in which only rows of one bucket are linked. A bucket above `hot` nodes is dealt to several tasks as pairs of (population count, salt)
 tiles. Each task returns a spanning forest of what it found, never all pairs.
 
 Defined results. Null and empty texts: fingerprint 0, linked like any other. Fewer than three words: one shingle of
@@ -26,6 +26,8 @@ from .common import arrow_map, as_bytes, cut, mark, pick, small, survivors
 from .components import components
 
 BITS, SEED, TILE = 64, 42, 512
+#: Rows of a tile of small buckets, and of the tiles that are packed and sorted together.
+PACKED_TILE, PACK = 64, 2048
 
 
 def fingerprint(text: bytes, width: int = 3) -> int:
@@ -78,60 +80,74 @@ class Forest:
         return i != j
 
 
-def tile_links(left: np.ndarray, right: np.ndarray | None, radius: int, tile: int = TILE) -> list[tuple[int, int]]:
+def tile_links(left: np.ndarray, right: np.ndarray | None, radius: int, tile: int = TILE, group: np.ndarray | None = None, tally: list[int] | None = None) -> list[tuple[int, int]]:
     """Spanning links within `radius` inside left (right None) or between left and right: uint64 arrays sorted by
-    population count. Compares tile by tile, skipping pairs of tiles whose population counts are too far apart."""
+    population count. Compares tile by tile, skipping pairs of tiles whose population counts are too far apart.
+    group: only rows of left of one group are linked (right None). tally: [tile pairs compared, skipped] to add to."""
     other = left if right is None else right
     pl, po = np.bitwise_count(left), np.bitwise_count(other)
     forest, out, shift = Forest(len(left) + (0 if right is None else len(other))), [], 0 if right is None else len(left)
+    tally = [0, 0] if tally is None else tally
     for i in range(0, len(left), tile):
         a = left[i : i + tile]
         lo, hi = int(pl[i]), int(pl[min(i + tile, len(left)) - 1])
         for j in range(i if right is None else 0, len(other), tile):
-            if int(po[j]) > hi + radius:
-                break
-            if int(po[min(j + tile, len(other)) - 1]) < lo - radius:
+            last = min(j + tile, len(other)) - 1
+            if int(po[j]) > hi + radius or int(po[last]) < lo - radius:
+                tally[1] += 1
                 continue
-            x, y = np.nonzero(np.bitwise_count(a[:, None] ^ other[None, j : j + tile]) <= radius)
+            tally[0] += 1
+            near = np.bitwise_count(a[:, None] ^ other[None, j : j + tile]) <= radius
+            if group is not None:
+                near &= group[i : i + tile, None] == group[None, j : j + tile]
+            x, y = np.nonzero(near)
+            if right is None:  # each pair once
+                once = x + i < y + j
+                x, y = x[once], y[once]
             for p, q in zip((x + i).tolist(), (y + j).tolist()):
-                if (right is not None or p < q) and forest.join(p, q + shift):
+                if forest.join(p, q + shift):
                     out.append((p, q))
     return out
 
 
+def packed_links(bucket: np.ndarray, fp: np.ndarray, radius: int, tally: list[int] | None = None) -> list[tuple[int, int]]:
+    """Links of many small buckets in one go: their rows, sorted by population count, share tiles of PACKED_TILE rows."""
+    order = np.argsort(np.bitwise_count(fp), kind="stable")
+    return [(int(order[p]), int(order[q])) for p, q in tile_links(fp[order], None, radius, PACKED_TILE, bucket[order], tally)]
+
+
+def bucket_links(bucket: np.ndarray, side: np.ndarray, fp: np.ndarray, radius: int, tally: list[int] | None = None) -> np.ndarray:
+    """Links (a, b) of complete buckets; rows sorted by bucket, side and population count. Buckets of PACKED_TILE rows and
+    fewer that have one side are packed, PACK rows at a time; any other is compared by itself."""
+    first = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
+    size = np.diff(np.append(first, len(fp)))
+    two = side[first + size - 1] != side[first]
+    little = (size <= PACKED_TILE) & ~two
+    at = np.flatnonzero(np.repeat(little & (size > 1), size))
+    edges, upto = [], np.cumsum(size[little & (size > 1)])
+    begin = 0
+    while begin < len(at):  # whole buckets, PACK rows of them or a few more
+        k = np.searchsorted(upto, begin + PACK)
+        stop = int(upto[min(k, len(upto) - 1)])
+        rows = at[begin:stop]
+        edges += [(rows[p], rows[q]) for p, q in packed_links(bucket[rows], fp[rows], radius, tally)]
+        begin = stop
+    for s, k, both in zip(first[~little].tolist(), size[~little].tolist(), two[~little].tolist()):
+        if both:
+            cut = s + int(np.searchsorted(side[s : s + k], 1))
+            edges += [(s + p, cut + q) for p, q in tile_links(fp[s:cut], fp[cut : s + k], radius, tally=tally)]
+        else:
+            edges += [(s + p, s + q) for p, q in tile_links(fp[s : s + k], None, radius, tally=tally)]
+    return fp[np.array(edges, np.int64).reshape(-1, 2)]
+
+
 def _bucket_links(radius: int):
     """mapInArrow function over rows (bucket, side, fp) sorted by bucket, side and population count: links of each bucket."""
 
-    def one(bucket: np.ndarray, side: np.ndarray, fp: np.ndarray, edges: list) -> None:
-        """Links of the complete buckets in these arrays."""
-        n = len(fp)
-        first = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
-        size = np.diff(np.append(first, n))
-        little = np.repeat(size <= 64, size) & (np.repeat(side[first], size) == 0) & np.repeat(side[first + size - 1] == 0, size)
-        left = np.repeat(first + size, size)  # the end of each row's bucket
-        d, rows = 1, np.flatnonzero(little & (np.arange(n) + 1 < left))
-        while len(rows):  # all small buckets at once: each row against the d-th row after it
-            near = rows[np.bitwise_count(fp[rows] ^ fp[rows + d]) <= radius]
-            edges += zip(fp[near].tolist(), fp[near + d].tolist())
-            d += 1
-            rows = rows[rows + d < left[rows]]
-        for s, k in zip(first.tolist(), size.tolist()):
-            if little[s]:
-                continue
-            a, sd = fp[s : s + k], side[s : s + k]
-            l, r = a[sd == 0], a[sd == 1]
-            if len(r):
-                edges += ((int(l[p]), int(r[q])) for p, q in tile_links(l, r, radius))
-            else:
-                edges += ((int(l[p]), int(l[q])) for p, q in tile_links(l, None, radius))
-
-    def found(part: list[np.ndarray]) -> list[pa.RecordBatch]:
-        edges: list = []
-        one(*part, edges)
-        if not edges:
-            return []
-        e = np.unique(np.array(edges, np.uint64), axis=0).view(np.int64)
-        return [pa.RecordBatch.from_arrays([pa.array(e[:, 0]), pa.array(e[:, 1])], names=["a", "b"])]
+    def found(part: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        e = np.unique(bucket_links(*part, radius), axis=0).view(np.int64)
+        if len(e):
+            yield pa.RecordBatch.from_arrays([pa.array(e[:, 0]), pa.array(e[:, 1])], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -162,15 +178,16 @@ def _buckets(nodes: DataFrame, radius: int, hot: int) -> DataFrame:
     plain = rows.join(sizes.where(F.col("count") <= hot).select("bucket"), "bucket", "left_semi").select("bucket", F.lit(0).alias("side"), "pop", "fp")
     if big.isEmpty():
         return plain
-    # tiles of a hot bucket: (population count, salt); a pair of tiles is one bucket of two sides
-    salts = F.least(F.ceil(F.col("count") / hot), F.lit(255)).cast("int")
+    # tiles of a hot bucket: (population count, salt); a pair of tiles is one bucket of two sides, named by a hash (two
+    # pairs of one hash are compared together, which finds no wrong link)
+    salts = F.ceil(F.col("count") / hot).cast("int")
     mine = rows.join(big.select("bucket", salts.alias("salts")), "bucket").withColumn("salt", F.pmod(F.xxhash64("fp"), F.col("salts")).cast("int"))
     pops = F.sequence(F.col("pop") - radius, F.col("pop") + radius)
     pairs = mine.select("bucket", "pop", "fp", "salt", "salts", F.explode(pops).alias("pop2")).select("*", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt2"))
-    code = lambda p, s: F.col(p) * 256 + F.col(s)
+    code = lambda p, s: F.col(p).cast("long") * F.col("salts") + F.col(s)
     ahead = code("pop", "salt") <= code("pop2", "salt2")
     low, high = F.when(ahead, code("pop", "salt")).otherwise(code("pop2", "salt2")), F.when(ahead, code("pop2", "salt2")).otherwise(code("pop", "salt"))
-    tiles = pairs.where("pop2 between 0 and 64").select((F.col("bucket") + low.cast("long") * 32768 + high).alias("bucket"), F.when(ahead, 0).otherwise(1).alias("side"), "pop", "fp")
+    tiles = pairs.where("pop2 between 0 and 64").select(F.xxhash64("bucket", low, high).alias("bucket"), F.when(ahead, 0).otherwise(1).alias("side"), "pop", "fp")
     return plain.unionByName(tiles)
 
 

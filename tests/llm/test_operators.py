@@ -92,6 +92,40 @@ def test_tiles_find_all_links():
                 assert forest.root(i) == forest.root(j)
 
 
+def test_every_bucket_goes_through_tiles():
+    """Small buckets share tiles, with tile pairs skipped by population count; links are those of all pairs of a bucket."""
+    import pyarrow.parquet as pq
+
+    texts = pq.read_table(f"{DATA.replace('0.001', '0.01')}/documents.parquet", columns=["text"]).column(0).to_pylist()
+    nodes = np.unique(np.array([simhash.fingerprint((t or "").encode()) for t in texts], np.uint64))
+    nodes = np.unique(np.concatenate([nodes, nodes[:40] ^ np.uint64(5), nodes[:40] ^ np.uint64(1 << 40)]))
+    for bits, sides in ((22, 1), (6, 1), (4, 2), (2, 1)):  # ever larger buckets
+        bucket = (nodes & np.uint64((1 << bits) - 1)).astype(np.int64)
+        side = (nodes >> np.uint64(30)).astype(np.int64) % sides
+        order = np.lexsort((np.bitwise_count(nodes), side, bucket))
+        b, s, fp, tally = bucket[order], side[order], nodes[order], [0, 0]
+        forest, want = simhash.Forest(len(fp)), simhash.Forest(len(fp))
+        at = {int(x): i for i, x in enumerate(fp)}
+        for x, y in simhash.bucket_links(b, s, fp, 2, tally).tolist():
+            assert (x ^ y).bit_count() <= 2
+            forest.join(at[x], at[y])
+        two = {int(x) for x in b if len(set(s[b == x].tolist())) == 2} if sides == 2 else set()
+        for i in range(len(fp)):
+            near = np.flatnonzero((np.bitwise_count(fp[:i] ^ fp[i]) <= 2) & (b[:i] == b[i]))
+            for j in near.tolist():
+                if int(b[i]) not in two or s[i] != s[j]:
+                    want.join(i, j)
+        assert [forest.root(i) for i in range(len(fp))] == [want.root(i) for i in range(len(fp))]
+        assert tally[0] > 0
+    texts = pq.read_table(f"{DATA.replace('0.001', '0.1')}/documents.parquet", columns=["text"]).column(0).to_pylist()
+    nodes, tally = np.unique(np.array([simhash.fingerprint((t or "").encode()) for t in texts], np.uint64)), [0, 0]
+    for k in range(3):  # the production buckets
+        bucket = ((nodes >> np.uint64(22 * k)) & np.uint64((1 << 22) - 1)).astype(np.int64)
+        order = np.lexsort((np.bitwise_count(nodes), bucket))
+        simhash.bucket_links(bucket[order], np.zeros(len(nodes), np.int64), nodes[order], 2, tally)
+    assert tally[0] > 0 and tally[1] > 0
+
+
 def test_simhash_radius(spark):
     nodes = spark.createDataFrame([(x,) for x in (0, 1, 3, 7, 1 << 63 - 1, -1, -2, 0b11111)], "fp long")
     for radius, hot in ((1, 100), (1, 1), (3, 100), (3, 1)):
