@@ -1,9 +1,10 @@
 """Exact duplicates by progressive refinement: length, then prefix hash, then the hash of the full text.
 
-A first scan makes slim keys: the length of the normalised text and a hash of its first characters. Rows alone in
-their length, or alone in (length, prefix hash), are done. The keys that go on are folded into a bitmap of a fixed
-number of bits, which every task gets; a second scan reads and hashes the full text of rows whose bit is set and of no
-others. A bit that two keys share only costs a hash. Text is never shuffled.
+A first scan writes two numbers a row: the length of the normalised text and a hash of its first characters. Lengths
+are counted first, and rows alone in theirs are done; the others are grouped by length and prefix hash, and those alone
+there are done too. The keys that go on are folded into a bitmap (sized by their number, up to a fixed bound), which
+every task gets; a second scan hashes the full text of rows whose bit is set and of no others. A bit that two keys
+share only costs a hash. Text is never shuffled.
 
 The group of a copied text may hold a third of all rows: groups are aggregated before their shuffle, and joined back
 through a broadcast of checked size or else a join by the hash alone, which Spark's skewed-join handling splits.
@@ -20,8 +21,8 @@ from pyspark.sql import functions as F
 
 from .common import SPACE, cut, mark, pick, small, survivors
 
-#: 2^BITMAP_BITS bits, 4 MB, at any input size.
-BITMAP_BITS, PREFIX = 25, 64
+#: The bitmap has 2^LEAST_BITS to 2^MOST_BITS bits (32 MB), 16 for each key where that fits.
+LEAST_BITS, MOST_BITS, PREFIX = 18, 28, 64
 
 
 def normalised(text: Column) -> Column:
@@ -29,13 +30,9 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(text, f"[{SPACE}]+", "")
 
 
-def _slot(key: Column) -> Column:
-    return F.pmod(key, F.lit(1 << BITMAP_BITS))
-
-
-def _bitmap(keys: DataFrame) -> DataFrame:
-    """keys (LONG column key) as (bucket, bits): at most 2^BITMAP_BITS / 32768 rows of 4 KB."""
-    slot = _slot(F.col("key"))
+def _bitmap(keys: DataFrame, bits: int) -> DataFrame:
+    """keys (LONG column key) as (bucket, bits): at most 2^bits / 32768 rows of 4 KB."""
+    slot = F.pmod("key", F.lit(1 << bits))
     return keys.groupBy(F.bitmap_bucket_number(slot).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits"))
 
 
@@ -52,12 +49,13 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     norm = normalised(F.col("text"))
     key = F.xxhash64("n", "prefix")
     shaped = base.select("id", "mark", F.length("text").alias("points"), norm.alias("norm")).select("id", "mark", "points", "norm", F.length("norm").alias("n"), F.substring("norm", 1, PREFIX).alias("prefix"))
-    slim = shaped.groupBy("n", key.alias("key")).agg(F.count("*").alias("m"))
-    lengths = slim.groupBy("n").agg(F.sum("m").alias("of_length")).where("of_length > 1").select("n")
-    going_on = slim.where("m > 1").join(lengths, "n", "left_semi").select("key")
-    bits = F.broadcast(cut(_bitmap(going_on)))
-    again = shaped.withColumn("key", key).withColumn("bucket", F.bitmap_bucket_number(_slot(F.col("key"))))
-    marked = again.join(bits, "bucket", "left").withColumn("goes_on", _bit(F.col("bits"), _slot(F.col("key"))))
+    slim = cut(shaped.select("n", key.alias("key")))
+    lengths = cut(slim.groupBy("n").count().where("count > 1").select("n"))
+    going_on = cut(slim.join(small(lengths, 8), "n", "left_semi").groupBy("n", "key").count().where("count > 1").select("key"))
+    size = min(MOST_BITS, max(LEAST_BITS, (16 * going_on.count()).bit_length()))
+    bits = F.broadcast(cut(_bitmap(going_on, size)))
+    slot = F.pmod(key, F.lit(1 << size))
+    marked = shaped.withColumn("bucket", F.bitmap_bucket_number(slot)).join(bits, "bucket", "left").withColumn("goes_on", _bit(F.col("bits"), slot))
     digest = F.sha2("norm", 256)
     rows = cut(marked.select("id", "mark", "points", "goes_on", (digest if digest_all else F.when(F.col("goes_on"), digest)).alias("full_hash")))
     best = F.max(F.struct("points", (-F.col("id")).alias("neg"), "mark")).alias("best")
