@@ -40,10 +40,14 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+    m = mixing.mix(table(spark, sf_dir, "documents"))
+    first, last = F.try_element_at("positions", F.lit(1)).alias("first_position"), F.try_element_at("positions", F.lit(-1)).alias("last_position")
+    return m.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", first, last)
 
 
 #: Sources by size for weight fill up one after another; a source's level is what is left over the weights not yet full.
+#: A source's schedule is target * (1 + slope * (2t - 1)); a copy is trained on at the t at which its integral,
+#: target * ((1 - slope) * t + slope * t^2), reaches the middle of the copy.
 OP4_SQL = rf"""
 WITH base AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD_SQL}')) AS size,
@@ -51,7 +55,8 @@ WITH base AS (
   FROM documents),
 src AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
-         (CASE (row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END) AS weight
+         (CASE (row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END) AS weight,
+         CAST(CASE (row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 WHEN 0 THEN -0.5 WHEN 1 THEN 0 ELSE 0.5 END AS DOUBLE) AS slope
   FROM base GROUP BY source),
 lev AS (
   SELECT *, CAST(sum(source_size) OVER () - coalesce(sum(3 * source_size) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE)
@@ -60,19 +65,27 @@ lev AS (
   FROM src WINDOW w AS (ORDER BY CAST(3 * source_size AS DOUBLE) / weight, source ASC NULLS LAST)),
 opened AS (SELECT arg_min(level, k) AS level FROM lev WHERE weight * level <= 3 * source_size),
 tgt AS (
-  SELECT source, source_size,
+  SELECT source, source_size, slope,
          CASE WHEN weight * lev.level > 3 * source_size THEN CAST(3 * source_size AS DOUBLE)
               ELSE least(CAST(3 * source_size AS DOUBLE), weight * opened.level) END AS target
   FROM lev, opened),
 placed AS (
-  SELECT doc_id, size, source_size, target,
-         coalesce(sum(size) OVER (PARTITION BY base.source ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS past
-  FROM base JOIN tgt ON base.source IS NOT DISTINCT FROM tgt.source)
-SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
-       CAST(CASE WHEN size = 0 THEN 0 ELSE size * (
-         CAST(past + size / 2.0 <= target AS INT) + CAST(past + source_size + size / 2.0 <= target AS INT)
-         + CAST(past + 2 * source_size + size / 2.0 <= target AS INT)) END AS BIGINT) AS taken
-FROM placed
+  SELECT doc_id, size, source_size, target, slope,
+         CAST(coalesce(sum(size) OVER (PARTITION BY base.source ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE)
+           + CAST(size AS DOUBLE) / 2 AS middle
+  FROM base JOIN tgt ON base.source IS NOT DISTINCT FROM tgt.source),
+counted AS (
+  SELECT *, CASE WHEN size = 0 THEN 0 ELSE CAST(middle <= target AS INT) + CAST(middle + source_size <= target AS INT)
+         + CAST(middle + 2 * source_size <= target AS INT) END AS copies
+  FROM placed),
+reached AS (
+  SELECT *, CASE WHEN copies > 0 THEN middle / target END AS first_u,
+         CASE WHEN copies > 0 THEN (middle + (copies - 1) * source_size) / target END AS last_u
+  FROM counted)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(size * copies AS BIGINT) AS taken,
+       CASE WHEN slope = 0 THEN first_u ELSE (sqrt((1 - slope) * (1 - slope) + 4 * slope * first_u) - (1 - slope)) / (2 * slope) END AS first_position,
+       CASE WHEN slope = 0 THEN last_u ELSE (sqrt((1 - slope) * (1 - slope) + 4 * slope * last_u) - (1 - slope)) / (2 * slope) END AS last_position
+FROM reached
 """
 
 

@@ -165,7 +165,7 @@ def test_bpe_against_library(spark):
 
     path = queries.vocabulary("word_bpe_49k.json")
     library = Tokenizer.from_file(path)
-    rows = documents(spark).select("doc_id", "text").limit(60).collect()
+    rows = documents(spark).select("doc_id", "text").collect()
     texts = {r.doc_id: r.text for r in rows} | {100_000 + i: t for i, t in enumerate(["", "Ab<|startoftext|>c <|endoftext|>", "Σίσυφος ΟΔΟΣ ﬁ 日本", "it's WE'LL o'brien 12 ½", "aaaa aaaaa aaaaaaa", "İstanbul ǅ ẞ a\x85b\x1cc", "😀 naïve​", LONG[:3000]])}
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     for r in bpe.decode(bpe.encode(df, path, window=2000).withColumnRenamed("decoded", "first"), path).collect():
@@ -185,11 +185,18 @@ def test_token_counts_against_library(spark):
 
     path = queries.vocabulary("byte_bpe_50k.json")
     library = Tokenizer.from_file(path)
-    texts = [r.text for r in documents(spark).select("text").limit(60).collect()] + [r[1] or "" for r in ROWS] + [" " * 900 + "a", "x" * 3000, "a  b\n\n c\t", "<|endoftext|> a" * 90, "日本語" * 500]
+    texts = [r.text for r in documents(spark).select("text").collect()] + [r[1] or "" for r in ROWS] + [" " * 900 + "a", "x" * 3000, "a  b\n\n c\t", "<|endoftext|> a" * 90, "日本語" * 500]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     for chunk, overlap in ((32_768, 256), (300, 8)):
         got = {r.id: (r.n_bytes, r.n_tokens) for r in tokencount.token_counts(df, path, chunk=chunk, overlap=overlap).collect()}
         assert got == {i: (len(t.encode()), len(library.encode(t, add_special_tokens=False).ids)) for i, t in enumerate(texts)}
+    # boundaries anywhere, also inside tokens: chunks that don't align are cut wider
+    usual = documents(spark).where("length(text) between 300 and 20000").limit(40)
+    wide = tokencount.token_counts(usual, path, chunk=150, overlap=60, stable=re.compile("(?s)(?=.)"))
+    want = {r.doc_id: len(library.encode(r.text, add_special_tokens=False).ids) for r in usual.collect()}
+    assert {r.id: r.n_tokens for r in wide.collect()} == want
+    c = tokencount.counter(open(path, encoding="utf-8").read(), path)
+    assert c.between("several words here", 3, 10) is None and c.between("several words here", 7, 13) == 1
     got = tokencount.token_counts(frame(spark), path, chunk=1000).collect()
     assert len(got) == len(ROWS) and sum(r.n_tokens == 0 for r in got) == 3
     assert tokencount.token_counts(frame(spark).limit(0), path).count() == 0
