@@ -109,21 +109,6 @@ def run_name(c: Column) -> Column:
     return F.coalesce(F.nullif(clean, F.lit("")), F.lit("run"))
 
 
-def match_spans(text: Column, pattern: str) -> Column:
-    """array<struct(start, stop, text)> of a pattern's matches: a sentinel split, then one fold with a running offset.
-    Offsets are code points from 0."""
-    clean = F.replace(text, F.lit(SENTINEL), F.lit(" "))
-    pieces = F.split(F.regexp_replace(clean, pattern, f"{SENTINEL}$0{SENTINEL}"), SENTINEL)
-    numbered = F.transform(pieces, lambda p, i: F.struct(p.alias("t"), (i % 2 == 1).alias("hit"), F.length(p).alias("n")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,stop:int,text:string>>").alias("found"))
-
-    def step(acc, p):
-        span = F.array(F.struct(acc["at"].alias("start"), (acc["at"] + p["n"]).alias("stop"), p["t"].alias("text")))
-        return F.struct((acc["at"] + p["n"]).alias("at"), F.when(p["hit"], F.concat(acc["found"], span)).otherwise(acc["found"]).alias("found"))
-
-    return F.aggregate(numbered, start, step, lambda acc: acc["found"])
-
-
 def sample_seed(*parts: Column) -> Column:
     """A deterministic seed below 2^31 of the parts joined by |: the low 31 bits of the first eight bytes of SHA-256."""
     key = F.concat_ws("|", *[p.cast("string") for p in parts])

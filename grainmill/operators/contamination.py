@@ -2,22 +2,33 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from bisect import bisect_right
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 from ..functions import lexicons as L
 from ..functions import text as T
+from .shared import small, written
 
 #: A line's sentences: up to terminators before white space, or to the line's end.
-SENTENCE = r"(?mdU)[^\n.!?]+(?:[.!?]+(?=[\s\x1c-\x1f]|$)|$)"
+SENTENCE = re.compile(r"[^\n.!?]+(?:[.!?]+(?=\s|$)|$)", re.M)
 
 
-def sentence_spans(text: Column) -> Column:
-    """array<struct(start, stop, text)>: sentences line by line. What stands before a period inside a token belongs to
-    no sentence."""
-    return F.filter(T.match_spans(text, SENTENCE), lambda s: T.strip(s["text"]) != "")
+def sentences_of(text: str) -> list[tuple[int, int]]:
+    """(start, stop) of the sentences of a text with more than white space, line by line. What stands before a period
+    inside a token belongs to no sentence."""
+    return [m.span() for m in SENTENCE.finditer(text) if m.group().strip()]
+
+
+@F.pandas_udf(ArrayType(StructType().add("start", "integer").add("stop", "integer").add("text", "string")))
+def sentence_spans(text: pd.Series) -> pd.Series:
+    """The sentences of each text, in order. Null texts have none (null)."""
+    return text.map(lambda t: None if t is None else [{"start": a, "stop": b, "text": t[a:b]} for a, b in sentences_of(t)])
 
 
 def phrase_pattern(phrase: str) -> str:
@@ -28,21 +39,6 @@ def proximity_pattern(a: str, b: str, words: int = 5) -> str:
     return rf"(?iuU){a}(?:\W+\w+){{0,{words}}}\W+{b}"
 
 
-def locate(spans: Column, lines: Column, at: Column) -> Column:
-    """The sentence span that holds an offset, else the whole line."""
-    inside = lambda s: (s["start"] <= at) & (at < s["stop"])
-    line = F.try_element_at(F.filter(lines, lambda s: (s["start"] <= at) & (at <= s["stop"])), F.lit(1))
-    return F.coalesce(F.try_element_at(F.filter(spans, inside), F.lit(1)), line)
-
-
-def line_spans(text: Column) -> Column:
-    """array<struct(start, stop, text)>: lines without their line feeds."""
-    pieces = F.split(text, "\n")
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,stop:int,text:string>>").alias("out"))
-    step = lambda acc, p: F.struct((acc["at"] + F.length(p) + 1).alias("at"), F.concat(acc["out"], F.array(F.struct(acc["at"].alias("start"), (acc["at"] + F.length(p)).alias("stop"), p.alias("text")))).alias("out"))
-    return F.aggregate(pieces, start, step, lambda acc: acc["out"])
-
-
 def classify(sentence: Column) -> Column:
     """struct(label, action, reason) of a sentence; the rules apply in this order."""
     s = T.strip(sentence)
@@ -61,20 +57,81 @@ def classify(sentence: Column) -> Column:
     )
 
 
+class Finder:
+    """Finds the sentences of a text that hold a phrase or a pair of near words."""
+
+    def __init__(self, phrases: Sequence[str], pairs: Sequence[tuple[str, str]], words: int = 5):
+        near = lambda a, b: rf"{a}(?:\W+\w+){{0,{words}}}\W+{b}"
+        self.rules = [("exact", p, re.compile(re.escape(p), re.I)) for p in phrases]
+        self.rules += [("proximity", f"{a} [0-5 words] {b}", re.compile(near(a, b), re.I)) for a, b in pairs]
+
+    def find(self, text: str) -> list[tuple[int, int, str, list[str], list[str]]]:
+        """(start, stop, text, triggers, sources) of each sentence with a match. A match outside all sentences counts for
+        its whole line."""
+        hits = [(m.start(), source, trigger) for source, trigger, pattern in self.rules for m in pattern.finditer(text)]
+        if not hits:
+            return []
+        spans = sentences_of(text)
+        starts, found = [a for a, _ in spans], {}
+        for at, source, trigger in hits:
+            k = bisect_right(starts, at) - 1
+            if k >= 0 and at < spans[k][1]:
+                span = spans[k]
+            else:
+                stop = text.find("\n", at)
+                span = text.rfind("\n", 0, at) + 1, len(text) if stop < 0 else stop
+            triggers, sources = found.setdefault(span, (set(), set()))
+            triggers.add(trigger)
+            sources.add(source)
+        return [(a, b, text[a:b], sorted(t), sorted(s)) for (a, b), (t, s) in sorted(found.items())]
+
+
 def findings(docs: DataFrame, id_col: str, text_col: str, phrases: Sequence[str] = L.EXACT_PHRASES, pairs: Sequence[tuple[str, str]] = L.PROXIMITY_PAIRS) -> DataFrame:
     """A row for each sentence with a match: id, start, stop, sentence_text, triggers, sources, label, action, reason.
-    Matches are located inside their own document, so nothing is joined; sentences are grouped by (id, span)."""
-    rules = [("exact", p, phrase_pattern(p)) for p in phrases] + [("proximity", f"{a} [0-5 words] {b}", proximity_pattern(a, b)) for a, b in pairs]
-
-    def named(source: str, trigger: str, regex: str) -> Column:
-        return F.transform(T.match_spans(F.col(text_col), regex), lambda m: F.struct(m["start"].alias("at"), F.lit(trigger).alias("trigger"), F.lit(source).alias("source")))
-
-    found = F.concat(*[named(*r) for r in rules])
-    base = docs.select(F.col(id_col).alias(id_col), found.alias("found"), sentence_spans(F.col(text_col)).alias("spans"), line_spans(F.col(text_col)).alias("lines")).where(F.size("found") > 0)
-    at = base.select(id_col, "spans", "lines", F.explode("found").alias("m"))
-    placed = at.select(id_col, locate(F.col("spans"), F.col("lines"), F.col("m.at")).alias("s"), "m.trigger", "m.source")
-    grouped = placed.groupBy(id_col, F.col("s.start").alias("start"), F.col("s.stop").alias("stop")).agg(F.first("s.text").alias("raw"), F.array_sort(F.collect_set("trigger")).alias("triggers"), F.array_sort(F.collect_set("source")).alias("sources"))
-    return grouped.withColumn("sentence_text", T.strip(F.col("raw"))).withColumn("c", classify(F.col("raw"))).select(id_col, "start", "stop", "sentence_text", "triggers", "sources", "c.*")
+
+    Narrow: a document's matches, sentences and lines are found where it is. Texts without any of the phrases or of the
+    pairs' words are filtered out by one pattern and never leave the JVM. Null texts have no findings; repeated rows have
+    their own; an empty table gives none."""
+    some = [phrase_pattern(p) for p in phrases] + [proximity_pattern(a, b) for a, b in pairs]
+    likely = docs.select(F.col(id_col).alias(id_col), F.col(text_col).alias("__text")).where(F.rlike("__text", F.lit("|".join(f"(?:{p})" for p in some))))
+    kind = dict(likely.dtypes)[id_col]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        finder = Finder(phrases, pairs)
+        for f in frames:
+            rows = [(i, *x) for i, t in zip(f[id_col], f["__text"]) for x in finder.find(t)]
+            yield pd.DataFrame(rows, columns=[id_col, "start", "stop", "raw", "triggers", "sources"])
+
+    found = likely.mapInPandas(run, f"`{id_col}` {kind}, start int, stop int, raw string, triggers array<string>, sources array<string>")
+    return found.withColumn("sentence_text", T.strip(F.col("raw"))).withColumn("c", classify(F.col("raw"))).select(id_col, "start", "stop", "sentence_text", "triggers", "sources", "c.*")
+
+
+def folded(text: Column) -> Column:
+    """Lower case, with white space folded to single spaces and none at the ends."""
+    return F.lower(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " ")))
+
+
+def phrase_hits(docs: DataFrame, phrases: DataFrame, id_col: str, text_col: str, phrase_id: str, phrase_col: str) -> DataFrame:
+    """(id, phrase id): each document and each phrase whose words stand in it, one after another; case and white space
+    don't matter. A phrase counts once for a document.
+
+    Phrases may be many: a text's word windows of the phrases' lengths are compared by hash with theirs, and texts are
+    looked at again only where a hash meets. The hashes go to all executors while their counted size allows, else windows
+    are shuffled. Null and empty phrases match nothing; documents that share an id are one."""
+    words = F.split(folded(F.col(phrase_col)), " ")
+    asked = written(phrases.select(F.col(phrase_id).alias("__item"), folded(F.col(phrase_col)).alias("__phrase"), F.size(words).alias("__n")).where("__phrase <> ''").withColumn("__h", F.xxhash64("__phrase")))
+    lengths = [r[0] for r in asked.select("__n").distinct().orderBy("__n").collect()]  # a few numbers
+    if not lengths:
+        return docs.select(F.col(id_col), F.lit(None).cast(dict(phrases.dtypes)[phrase_id]).alias(phrase_id)).limit(0)
+    side = small(asked, 200)
+    window = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.size("__w") - n + 1, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice("__w", i, n), " ")))
+    hashes = F.array_distinct(F.concat(*[window(n) for n in lengths]))
+    text = folded(F.col(text_col))
+    met = docs.select(F.col(id_col).alias("__id"), F.split(text, " ").alias("__w")).select("__id", F.explode(hashes).alias("__h")).join(side, "__h")
+    likely = small(written(met.select("__id", "__item", "__phrase").distinct()), 200)
+    spaced = lambda c: F.concat(F.lit(" "), c, F.lit(" "))
+    checked = docs.select(F.col(id_col), text.alias("__text")).join(likely, F.col(id_col) == F.col("__id")).where(F.contains(spaced(F.col("__text")), spaced(F.col("__phrase"))))
+    return checked.select(id_col, F.col("__item").alias(phrase_id)).distinct()
 
 
 def decide(counts: DataFrame, threshold: int = 5, science_heavy: bool = True) -> DataFrame:

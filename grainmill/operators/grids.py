@@ -11,9 +11,12 @@ from pyspark.sql import functions as F
 from ..functions.text import sample_seed
 
 
-def task_grid(models: DataFrame, prompts: DataFrame, samples: int) -> DataFrame:
-    """models x prompts x sample numbers: the grid itself is the result. models is a registry of a few rows."""
-    return prompts.join(F.broadcast(models.limit(10_000))).withColumn("sample_id", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
+def task_grid(models: DataFrame, prompts: DataFrame, samples: int, most: int = 10_000) -> DataFrame:
+    """models x prompts x sample numbers: the grid itself is the result. models is a registry; one of more than `most`
+    rows is an error. Repeated models or prompts repeat their tasks."""
+    if (n := models.count()) > most:
+        raise ValueError(f"{n} models: the registry may have {most}")
+    return prompts.join(F.broadcast(models)).withColumn("sample_id", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
 
 
 def with_seed(grid: DataFrame, *keys: str) -> DataFrame:

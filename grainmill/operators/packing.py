@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import heapq
-from collections import Counter, defaultdict
 from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from .selection import running_total
+from .shared import written
 
 SPECIALS = ("<pad>", "<unk>", "<doc>", "<eos>")
 
@@ -21,56 +21,90 @@ def word_counts(docs: DataFrame, text_col: str) -> DataFrame:
     return docs.select(F.explode(pieces).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
 
 
-def learn_merges(words: list[tuple[str, int]], merges: int, least: int = 2) -> list[tuple[str, str]]:
-    """Byte-pair merges of counted words, most frequent pair first, ties by the pair. Works on distinct words (the driver
-    gets them from a bounded, most-frequent selection of word_counts)."""
-    parts = [[chr(b) for b in w.encode()] for w, _ in words]
-    counts: Counter = Counter()
-    where: dict[tuple[str, str], set[int]] = defaultdict(set)
-    for i, p in enumerate(parts):
-        for pair in zip(p, p[1:]):
-            counts[pair] += words[i][1]
-            where[pair].add(i)
-    heap = [(-n, pair) for pair, n in counts.items()]
-    heapq.heapify(heap)
+def merged(parts: Sequence[str], pair: tuple[str, str]) -> list[str]:
+    """parts with each occurrence of the pair joined, from the left."""
+    out, k = [], 0
+    while k < len(parts):
+        if k + 1 < len(parts) and (parts[k], parts[k + 1]) == pair:
+            out.append(parts[k] + parts[k + 1])
+            k += 2
+        else:
+            out.append(parts[k])
+            k += 1
+    return out
+
+
+def in_one_round(pairs: Sequence[tuple[str, str, int]], least: int, most: int) -> list[tuple[str, str]]:
+    """Of pairs sorted most frequent first, those that one round can merge as if one after another: up to the first whose
+    count a merge before it changes. Merging a, b only takes from pairs that start with b or end with a, and what it makes
+    is no more frequent than those."""
+    out, firsts, seconds = [], set(), set()
+    for a, b, n in pairs:
+        if n < least or len(out) == most or a in seconds or b in firsts:
+            break
+        out.append((a, b))
+        firsts.add(a)
+        seconds.add(b)
+        if a == b:
+            break
+    return out
+
+
+def train_merges(counts: DataFrame, merges: int, least: int = 2, window: int = 1024) -> list[tuple[str, str]]:
+    """Byte-pair merges of counted words (word, n) from all words, most frequent pair first. Ties go to pairs that stand at
+    the round's start, then by the pair.
+
+    The words stay a distributed table of symbol arrays, written anew in each round. A round counts pairs map-side, takes
+    the `window` most frequent to the driver, and merges as many of them as leave each other's counts alone."""
+    table = written(counts.select(byte_symbols("word").alias("parts"), "n").where(F.size("parts") > 1))
     out: list[tuple[str, str]] = []
-    while heap and len(out) < merges:
-        n, pair = heapq.heappop(heap)
-        if -n != counts[pair]:
-            if counts[pair] >= least:
-                heapq.heappush(heap, (-counts[pair], pair))
-            continue
-        if -n < least:
+    while len(out) < merges:
+        n = F.size("parts") - 1
+        two = F.explode(F.arrays_zip(F.slice("parts", F.lit(1), n).alias("a"), F.slice("parts", F.lit(2), n).alias("b"))).alias("p")
+        pairs = table.select(two, "n").groupBy("p.a", "p.b").agg(F.sum("n").alias("n"))
+        top = [tuple(r) for r in pairs.orderBy(F.desc("n"), "a", "b").limit(window).collect()]
+        new = in_one_round(top, least, merges - len(out))
+        if not new:
             break
-        out.append(pair)
-        changed = set()
-        for i in where.pop(pair):
-            old, new, k = parts[i], [], 0
-            while k < len(old):
-                if k + 1 < len(old) and (old[k], old[k + 1]) == pair:
-                    new.append(old[k] + old[k + 1])
-                    k += 2
-                else:
-                    new.append(old[k])
-                    k += 1
-            for p in zip(old, old[1:]):
-                counts[p] -= words[i][1]
-            for p in zip(new, new[1:]):
-                counts[p] += words[i][1]
-                where[p].add(i)
-                changed.add(p)
-            parts[i] = new
-        del counts[pair]
-        for p in changed:
-            heapq.heappush(heap, (-counts[p], p))
+        out += new
+        table = written(apply_merges(table, new).where(F.size("parts") > 1))
     return out
 
 
-def train_vocabulary(docs: DataFrame, text_col: str, size: int = 32_000, most_words: int = 200_000, specials: Sequence[str] = SPECIALS) -> tuple[dict[str, int], list[tuple[str, str]]]:
-    """(vocabulary, merges): specials, all 256 bytes, then merged pieces. Counting is distributed; merges are learned
-    from the most_words most frequent words (a bound, as later merges see ever rarer words)."""
-    words = [(r.word, r.n) for r in word_counts(docs, text_col).orderBy(F.desc("n"), "word").limit(most_words).collect()]
-    merges = learn_merges(words, size - 256 - len(specials))
+def apply_merges(table: DataFrame, merges: Sequence[tuple[str, str]]) -> DataFrame:
+    """table (parts, n) after the merges, one after another."""
+    if not merges:
+        return table
+    todo = list(merges)
+
+    @F.pandas_udf("array<string>")
+    def after(parts: pd.Series) -> pd.Series:
+        rank = {m: i for i, m in enumerate(todo)}
+
+        def one(p):
+            p = list(p)
+            while len(p) > 1:
+                r, pair = min(((rank.get(x, len(todo)), x) for x in zip(p, p[1:])))
+                if r == len(todo):
+                    break
+                p = merged(p, pair)
+            return p
+
+        return parts.map(one)
+
+    return table.select(after("parts").alias("parts"), "n")
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def byte_symbols(word: pd.Series) -> pd.Series:
+    """A word's UTF-8 bytes, each as the character of its number."""
+    return word.map(lambda w: [chr(b) for b in w.encode()])
+
+
+def train_vocabulary(docs: DataFrame, text_col: str, size: int = 32_000, specials: Sequence[str] = SPECIALS) -> tuple[dict[str, int], list[tuple[str, str]]]:
+    """(vocabulary, merges): specials, all 256 bytes, then merged pieces, learned from all words of all documents. Null and
+    empty texts have no words; without any pair that occurs twice there are no merges."""
+    merges = train_merges(word_counts(docs, text_col), size - 256 - len(specials))
     vocab = {s: i for i, s in enumerate(specials)}
     for piece in [chr(b) for b in range(256)] + [a + b for a, b in merges]:
         vocab.setdefault(piece, len(vocab))
@@ -168,18 +202,26 @@ def collate(df: DataFrame, batch: str, ids: str = "ids", pad: int = 0) -> DataFr
 
 def split_documents(df: DataFrame, key: Column, ratio: float = 0.05, seed: int = 42) -> DataFrame:
     """Adds split: val for the first max(1, round(n * ratio)) documents (at most n - 1) in a seeded hash order, else train.
-    The cut is found as an order statistic, so documents aren't sorted in one task."""
+    Hashes are counted by their first four digits, then only those of the digits that hold the edge are ordered. Rows that
+    share a key are split alike; null keys are one key; a table of one row is all train."""
     keyed = df.withColumn("__k", F.sha2(F.concat_ws("|", F.lit(str(seed)), key.cast("string")), 256))
-    n = keyed.count()
+    counts = sorted(map(tuple, keyed.groupBy(F.substring("__k", 1, 4).alias("d")).count().collect()))  # at most 65,536 rows
+    n = sum(c for _, c in counts)
     val = min(max(1, round(n * ratio)), n - 1) if n > 1 else 0
-    edge = keyed.select("__k").orderBy("__k").limit(val).agg(F.max("__k")).first()[0]
-    return keyed.withColumn("split", F.when(F.lit(val > 0) & (F.col("__k") <= F.lit(edge)), "val").otherwise("train")).drop("__k")
+    edge, left = "", val
+    for digits, c in counts:
+        if 0 < left <= c:
+            by_key = keyed.where(F.substring("__k", 1, 4) == digits).groupBy("__k").count().orderBy("__k").limit(left)
+            upto = Window.orderBy("__k").rowsBetween(Window.unboundedPreceding, 0)  # a 65,536th of the keys
+            edge = by_key.withColumn("upto", F.sum("count").over(upto)).where(F.col("upto") >= left).agg(F.min("__k")).first()[0]
+        left -= c
+    return keyed.withColumn("split", F.when(F.col("__k") <= F.lit(edge), "val").otherwise("train")).drop("__k")
 
 
 def pack_groups(df: DataFrame, group: str, order: Sequence[str], length: int, ids: str = "ids") -> DataFrame:
-    """(group, block_id, ids): each group of documents packed on its own; each group's remainder is dropped."""
-    w = Window.partitionBy(group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    d = df.where(F.size(ids) > 0).withColumn("before", F.coalesce(F.sum(F.size(ids)).over(w), F.lit(0)))
+    """(group, block_id, ids): each group of documents packed on its own; each group's remainder is dropped. Places come
+    from two-level sums, so a group may hold most of the rows. Null and empty ids take no place; null groups are a group."""
+    d = running_total(df.where(F.size(ids) > 0).withColumn("__n", F.size(ids).cast("bigint")), "__n", order, group)
     pieces = d.select(group, "before", ids, F.explode(F.sequence(F.expr(f"before div {length}"), F.expr(f"(before + size({ids}) - 1) div {length}"))).alias("block_id"))
     begin = F.greatest(F.col("block_id") * length - F.col("before"), F.lit(0))
     stop = F.least((F.col("block_id") + 1) * length - F.col("before"), F.size(ids))
@@ -205,7 +247,7 @@ def check_specials(vocab: dict[str, int], specials: Sequence[str] = SPECIALS) ->
 def dataset_bundle(docs: DataFrame, key: str, text_col: str, vocab: dict[str, int], merges: Sequence[tuple[str, str]], length: int = 1024, fraction: float = 0.9, seed: int = 1337, pad: bool = False) -> dict[str, DataFrame]:
     """Documents to training and validation blocks: encode once, split each document, order by the seeded shuffle, pack."""
     pad_id = check_specials(vocab)["<pad>"] if pad else None
-    split = shuffled_positions(split_tokens(encode(docs, text_col, vocab, merges), fraction=fraction), F.col(key), seed).persist()
+    split = written(shuffled_positions(split_tokens(encode(docs, text_col, vocab, merges), fraction=fraction), F.col(key), seed))
     out = {}
     for part in ("train", "val"):
         ids = split.select("shuffle_key", F.col(f"{part}_ids").alias("ids")).withColumn("n_tokens", F.size("ids").cast("bigint"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
 from ..functions import text as T
+from .shared import small, written
 
 
 def keyword_reject(df: DataFrame, text: Column, lexicon: Sequence[str] = L.SCIENCE) -> DataFrame:
@@ -59,16 +60,22 @@ def forced_first(df: DataFrame, forced: DataFrame, id_col: str, only: bool = Fal
     return joined.withColumn("is_forced", F.col("forced_pos").isNotNull())
 
 
-def running_total(df: DataFrame, value: str, order: Sequence[str | Column], run: int = 100_000) -> DataFrame:
-    """Adds before: the sum of value over all rows ahead in a total order. Rows are range-partitioned and summed in
-    two levels, so that no task holds more than a range: partition totals first, then inside each partition."""
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id())
-    ranged = ranged.persist()
-    w = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
-    starts = ranged.groupBy("__p").agg(F.sum(value).alias("__v")).select("__p", F.coalesce(F.sum("__v").over(w), F.lit(0)).alias("__start"))
-    inside = Window.partitionBy("__p").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    summed = ranged.withColumn("__in", F.coalesce(F.sum(value).over(inside), F.lit(0))).join(F.broadcast(starts), "__p")
-    return summed.withColumn("before", F.col("__start") + F.col("__in")).drop("__p", "__start", "__in")
+def running_total(df: DataFrame, value: str, order: Sequence[str | Column], group: str | None = None, run: int = 100_000) -> DataFrame:
+    """Adds before: the sum of value over all rows ahead in the order, of all rows or of the row's group. Rows are dealt to
+    ranges of about `run` of them and summed in two levels, ranges first, then inside each; a group with most of the rows
+    is many ranges. Rows that tie in the order stand in any order, but each has its own place. Null values add nothing;
+    an empty table stays empty. The ranges are written once, so that they don't move."""
+    keys = [*([group] if group else []), *order]
+    whole = written(df)
+    ranged = written(whole.repartitionByRange(-(-whole.count() // run) or 1, *keys).withColumn("__p", F.spark_partition_id()))
+    by = ["__p", *([group] if group else [])]
+    sums = ranged.groupBy(*by).agg(F.sum(value).alias("__v"))
+    ahead = (Window.partitionBy(group) if group else Window).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    starts = small(written(sums.select(F.col("__p").alias("__q"), *[F.col(group).alias("__g") for _ in by[1:]], F.coalesce(F.sum("__v").over(ahead), F.lit(0)).alias("__start"))), 64)
+    inside = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    same = F.col("__p") == F.col("__q")
+    summed = ranged.withColumn("__in", F.coalesce(F.sum(value).over(inside), F.lit(0))).join(starts, same & F.col(group).eqNullSafe(F.col("__g")) if group else same)
+    return summed.withColumn("before", F.col("__start") + F.col("__in")).drop("__p", "__q", "__g", "__start", "__in")
 
 
 def byte_budget(df: DataFrame, size: str, order: Sequence[str | Column], target: int, initial: int = 0, most: int | None = None) -> DataFrame:

@@ -21,30 +21,24 @@ def _any(words, column="lower(text)") -> str:
     return "(" + " OR ".join(f"contains({column}, '{w}')" for w in words) + ")"
 
 
-@query("contamination_flags", """SELECT d.doc_id, count(*) AS n_items, min(b.item_id) AS first_item FROM documents d JOIN (
-  SELECT item_id, lower(array_to_string(string_split(regexp_replace(trim(text), '\\s+', ' ', 'g'), ' ')[1:5], ' ')) AS p FROM benchmark) b
-  ON contains(lower(regexp_replace(d.text, '\\s+', ' ', 'g')), b.p) GROUP BY d.doc_id""")
+@query("contamination_flags", r"""SELECT d.doc_id, count(*) AS n_items, min(b.item_id) AS first_item FROM (
+  SELECT doc_id, concat(' ', lower(trim(regexp_replace(text, '\s+', ' ', 'g'))), ' ') AS t FROM documents) d JOIN (
+  SELECT item_id, concat(' ', array_to_string(string_split(lower(trim(regexp_replace(text, '\s+', ' ', 'g'))), ' ')[1:5], ' '), ' ') AS p FROM benchmark) b
+  ON contains(d.t, b.p) GROUP BY d.doc_id""")
 def contamination_flags(spark, d):
-    """Documents that hold the first five words of benchmark items. The 40 phrases are a parameter of the scan: they are
-    read to the driver as a lexicon (its size is the benchmark's, checked here)."""
-    norm = F.regexp_replace(F.trim("text"), r"\s+", " ")
-    items = table(spark, d, "benchmark").select("item_id", F.lower(F.array_join(F.slice(F.split(norm, " "), 1, 5), " ")).alias("p")).limit(10_001).collect()
-    if len(items) > 10_000:
-        raise ValueError("the lexicon must have at most 10,000 phrases")
-    lexicon = F.array(*[F.struct(F.lit(r.item_id).alias("item_id"), F.lit(r.p).alias("p")) for r in items])
-    # nested lambdas, so that a text is normalised and searched once
-    texts = F.array(F.lower(F.regexp_replace("text", r"\s+", " ")))
-    hits = F.transform(texts, lambda t: F.filter(lexicon, lambda x: F.contains(t, x["p"])))
-    found = F.transform(hits, lambda h: F.struct(F.size(h).cast("bigint").alias("n_items"), F.array_min(F.transform(h, lambda x: x["item_id"])).alias("first_item")))
-    return table(spark, d, "documents").select("doc_id", F.inline(F.filter(found, lambda f: f["n_items"] > 0)))
-
-
-@query("proximity_flags", r"""SELECT doc_id, len(regexp_extract_all(text, '(?i)the(?:[^A-Za-z0-9_]+[A-Za-z0-9_]+){0,5}[^A-Za-z0-9_]+and')) AS n FROM documents
- WHERE lang = 'en' AND NOT regexp_matches(text, '[^\x00-\x7F]') AND regexp_matches(text, '(?i)the(?:[^A-Za-z0-9_]+[A-Za-z0-9_]+){0,5}[^A-Za-z0-9_]+and')""")
+    """Documents that hold the first five words of benchmark items."""
+    items = table(spark, d, "benchmark").select("item_id", F.array_join(F.slice(F.split(R.folded(F.col("text")), " "), 1, 5), " ").alias("p"))
+    hits = R.phrase_hits(table(spark, d, "documents"), items, "doc_id", "text", "item_id", "p")
+    return hits.groupBy("doc_id").agg(F.count("*").alias("n_items"), F.min("item_id").alias("first_item"))
+
+
+NEAR_SQL = r"(?i)the(?:[^\p{L}\p{M}\p{N}_]+[\p{L}\p{M}\p{N}_]+){0,5}[^\p{L}\p{M}\p{N}_]+and"
+
+
+@query("proximity_flags", f"SELECT doc_id, len(regexp_extract_all(text, '{NEAR_SQL}')) AS n FROM documents WHERE regexp_matches(text, '{NEAR_SQL}')")
 def proximity_flags(spark, d):
     p = R.proximity_pattern("the", "and")
-    rows = table(spark, d, "documents").where("lang = 'en'").where(~F.rlike("text", F.lit(r"[^\x00-\x7F]"))).where(F.rlike("text", F.lit(p)))
-    return rows.select("doc_id", F.size(T.match_spans(F.col("text"), p)).cast("bigint").alias("n"))
+    return table(spark, d, "documents").where(F.rlike("text", F.lit(p))).select("doc_id", F.regexp_count("text", F.lit(p)).cast("bigint").alias("n"))
 
 
 @query("sentence_spans")
@@ -101,9 +95,9 @@ def span_merge(spark, d):
 
 
 @query("remove_spans", """SELECT doc_id, CASE WHEN doc_id % 2 = 1 THEN text ELSE trim(regexp_replace(concat(substr(text, 1, 10), substr(text, 31, 30), substr(text, 71)), '\\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(9) || chr(10) || chr(13)) || chr(10) END AS text
-  FROM documents WHERE length(text) > 100""")
+  FROM documents""")
 def remove_spans(spark, d):
-    docs = table(spark, d, "documents").where("length(text) > 100").select("doc_id", "text")
+    docs = table(spark, d, "documents").select("doc_id", "text")
     spans = docs.where("doc_id % 2 = 0").select("doc_id", F.explode(F.expr("array(named_struct('start', 10, 'stop', 20), named_struct('start', 20, 'stop', 30), named_struct('start', 60, 'stop', 70))")).alias("s")).select("doc_id", "s.*")
     return R.remove_spans(docs, spans, "doc_id", "text")
 
@@ -113,10 +107,9 @@ def apply_removals(spark, d):
     return R.apply_removals(table(spark, d, "documents"), table(spark, d, "labels").where("toxic = 1"), "doc_id")[0].select("doc_id", "lang")
 
 
-@query("missing_removals", "SELECT doc_id FROM (SELECT doc_id + 100 AS doc_id FROM labels) WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE doc_id % 3 = 0)")
+@query("missing_removals", "SELECT doc_id FROM (SELECT doc_id + 100 AS doc_id FROM labels) WHERE doc_id NOT IN (SELECT doc_id FROM documents)")
 def missing_removals(spark, d):
-    docs = table(spark, d, "documents").where("doc_id % 3 = 0")
-    return R.apply_removals(docs, table(spark, d, "labels").select((F.col("doc_id") + 100).alias("doc_id")), "doc_id")[1]
+    return R.apply_removals(table(spark, d, "documents"), table(spark, d, "labels").select((F.col("doc_id") + 100).alias("doc_id")), "doc_id")[1]
 
 
 @query("literal_removal", r"""WITH r AS (SELECT doc_id, text, replace(replace(text, ' the the', ''), ' and', '') AS t, contains(text, ' the the') AS a, contains(replace(text, ' the the', ''), ' and') AS b FROM documents)

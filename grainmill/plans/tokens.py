@@ -100,14 +100,14 @@ def shuffle_order(spark, d):
 
 @query("bpe_vocab")
 def bpe_vocab(spark, d):
-    vocab, _ = P.train_vocabulary(table(spark, d, "documents"), "text", size=600)
+    vocab, _ = P.train_vocabulary(table(spark, d, "documents"), "text", size=512)
     return spark.createDataFrame(sorted(vocab.items(), key=lambda x: x[1]), "piece string, id int")
 
 
 @query("bpe_encode")
 def bpe_encode(spark, d):
     docs = table(spark, d, "documents")
-    vocab, merges = P.train_vocabulary(docs, "text", size=600)
+    vocab, merges = P.train_vocabulary(docs, "text", size=512)
     return P.encode(docs.select("doc_id", "text"), "text", vocab, merges).select("doc_id", F.size("ids").alias("n_tokens"))
 
 
@@ -136,16 +136,21 @@ def repetition_penalty(spark, d):
     return D.repetition_penalty(g, "seen", 1.2).select("sample", "token", F.round("logit", 6).alias("logit"))
 
 
-@query("ngram_bans", f"""WITH {TOKENS}, t AS (SELECT doc_id, ids[1:60] AS t FROM tok WHERE len(ids) >= 4), g AS (SELECT doc_id, t, unnest(range(1, len(t))) AS i FROM t)
-SELECT t.doc_id, coalesce(array_to_string(list_sort(list(DISTINCT g.t[g.i + 2]) FILTER (g.i + 2 <= len(g.t) AND g.t[g.i] = t.t[len(t.t) - 1] AND g.t[g.i + 1] = t.t[len(t.t)])), ' '), '') AS banned FROM t JOIN g USING (doc_id) GROUP BY t.doc_id""")
+LAST_TWO = f"{TOKENS}, g AS (SELECT doc_id, i, id AS a, lead(id) OVER w AS b, lead(id, 2) OVER w AS c FROM (SELECT doc_id, unnest(ids) AS id, unnest(range(1, len(ids) + 1)) AS i FROM tok) WINDOW w AS (PARTITION BY doc_id ORDER BY i))"
+
+
+@query("ngram_bans", f"""WITH {LAST_TWO}
+SELECT t.doc_id, coalesce(array_to_string(list_sort(list(DISTINCT c) FILTER (c IS NOT NULL)), ' '), '') AS banned
+FROM tok t LEFT JOIN g ON g.doc_id = t.doc_id AND len(t.ids) >= 3 AND g.a = t.ids[len(t.ids) - 1] AND g.b = t.ids[len(t.ids)] GROUP BY t.doc_id""")
 def ngram_bans(spark, d):
-    t = tokens(spark, d).where("size(ids) >= 4").select("doc_id", F.slice("ids", 1, 60).alias("t"))
-    return t.select("doc_id", F.array_join(F.transform(D.banned_tokens(F.col("t"), 3), lambda x: x.cast("string")), " ").alias("banned"))
+    return tokens(spark, d).select("doc_id", F.array_join(F.transform(D.banned_tokens(F.col("ids"), 3), lambda x: x.cast("string")), " ").alias("banned"))
 
 
-@query("repeated_ngram", f"WITH {TOKENS}, t AS (SELECT doc_id, ids[1:40] AS t FROM tok) SELECT doc_id, len(t) > 2 AND len(list_filter(range(1, len(t) - 1), lambda i: t[i] = t[len(t) - 1] AND t[i + 1] = t[len(t)])) > 0 AS repeats FROM t")
+@query("repeated_ngram", f"""WITH {LAST_TWO}
+SELECT t.doc_id, count(g.i) > 0 AS repeats
+FROM tok t LEFT JOIN g ON g.doc_id = t.doc_id AND g.i < len(t.ids) - 1 AND g.a = t.ids[len(t.ids) - 1] AND g.b = t.ids[len(t.ids)] GROUP BY t.doc_id""")
 def repeated_ngram(spark, d):
-    return tokens(spark, d).select("doc_id", D.repeats_last(F.slice("ids", 1, 40), 2).alias("repeats"))
+    return tokens(spark, d).select("doc_id", D.repeats_last(F.col("ids"), 2).alias("repeats"))
 
 
 @query("decode_step")

@@ -38,8 +38,9 @@ def test_published_numbers(spark):
 def test_sentences(spark):
     spans = one(spark, R.sentence_spans(F.col("t")), t="Pi is 3.14 today. X\n\nNo end\nWhat?! Él 😀 va.")
     assert [s["text"] for s in spans] == ["14 today.", " X", "No end", "What?!", " Él 😀 va."]
-    lines = one(spark, R.line_spans(F.col("t")), t="ab\n\ncd")
-    assert [(s["start"], s["stop"]) for s in lines] == [(0, 2), (3, 3), (4, 6)]
+    found = R.Finder(("b",), ()).find("a.b c\n\nlast b")
+    assert found == [(2, 5, "b c", ["b"], ["exact"]), (7, 13, "last b", ["b"], ["exact"])]
+    assert R.Finder(("a",), ()).find("x\na.b c\n") == [(2, 7, "a.b c", ["a"], ["exact"])]
 
 
 @pytest.mark.parametrize(
