@@ -66,10 +66,40 @@ def phrase_rates(df: DataFrame, model: str, category: str, text: str, phrases: S
     return long.select("scope", model, category, "p.phrase", "n_total_texts", F.col("p.n").alias("n_phrase_present"), S.rate0(F.col("p.n"), F.col("n_total_texts")).alias("rate_phrase_present"), "n_any_hedge", S.rate0(F.col("n_any_hedge"), F.col("n_total_texts")).alias("rate_any_hedge"))
 
 
+def mean_loss(log: DataFrame, *keys: str, loss: str = "loss") -> DataFrame:
+    """(keys, steps, mean_loss): the mean of a log's losses, for each key or over all. Null losses count as no step; a key
+    (or a log) of none has a null mean."""
+    return log.groupBy(*keys).agg(F.count(loss).alias("steps"), F.avg(loss).alias("mean_loss"))
+
+
+def report_sections(df: DataFrame, model: str = "model_id", category: str = "category", prompt: str = "prompt_id", text: str = "prompt", k: int = 10, phrases: Sequence[str] = L.HEDGES) -> list[tuple[str, DataFrame | str]]:
+    """Sections of the phase-1 report over judged rows: summaries, the k first prompts of each model by each flag (mentions
+    only where any row has them), permutation tests between the chosen pair of models, phrases and notes. df: as of
+    summary_1."""
+    mention = has_key(df, "earth_motion_mention")
+    sums = summary_1(df, model, category, mention=mention)
+    flags = ({"Earth-motion Mention": "earth_motion_mention"} if mention else {}) | {"Explicit Earth-motion": "explicit_earth_motion_label", "Proto-heliocentric Suggestion": "proto_heliocentric_label"}
+    rates = prompt_rates(df.where("usable"), [model, category, prompt], {c: F.col(c) == 1 for c in flags.values()}, text=text)
+    out: list[tuple[str, DataFrame | str]] = [("Overall Comparison", sums.where(F.col(category) == "ALL").orderBy(model)), ("Category Comparison", sums.where(F.col(category) != "ALL").orderBy(category, model))]
+    for title, c in flags.items():
+        top = top_prompts(rates, f"rate_{c}", model, category, prompt, k).orderBy(model, "rank")
+        out.append((f"Top {title} Prompts Per Model", top.select(model, "rank", category, prompt, "n_judged", F.col(f"rate_{c}").alias("rate"), "avg_quality", T.preview(F.col("prompt_text")).alias("prompt_text"))))
+    pair, note = choose_pair(df, model)
+    if pair:
+        counts = df.where("usable").groupBy(model, category, prompt).agg(*[true(F.col(c) == 1).alias(c) for c in flags.values()])
+        diffs = paired_differences(counts, model, pair, category, prompt, list(flags.values()))
+        out.append(("Prompt-level paired permutation tests", permutation_test(diffs, "scope", "metric", ["pair_key"], "diff").orderBy("scope", "metric")))
+    else:
+        out.append(("Prompt-level paired permutation tests", note))
+    found = phrase_rates(df, model, category, text, phrases).orderBy("phrase", category, model)
+    out += [("Hedge phrases, overall by model", found.where("scope = 'overall'")), ("Hedge phrases, by model and category", found.where("scope = 'category'"))]
+    return out
+
+
 #: Phase-2 counts: name, column, and the values it counts (True: a strict boolean).
 SUMMARY_2 = (
     [("earth_motion_mention", "earth_motion_mention", True)]
-    + [(f"explicit_{v.removeprefix('earth_') if v == 'unclear' else v}", "explicit_earth_motion_label", (v,)) for v in ("earth_moves", "earth_stationary", "unclear")]
+    + [(f"explicit_{v}", "explicit_earth_motion_label", (v,)) for v in ("earth_moves", "earth_stationary", "unclear")]
     + [(f"{p}proto_{n}", f"{p}proto_heliocentric_label", v) for p in ("", "refined_") for n, v in (("heliocentric_any", ("weak", "strong")), ("weak", ("weak",)), ("strong", ("strong",)), ("unclear", ("unclear",)))]
     + [(f"stance_{v}", "stance", (v,)) for v in L.STANCE]
     + [(f"refined_stance_{v}", "refined_stance", (v,)) for v in L.REFINED]
@@ -96,33 +126,37 @@ def summary_2(df: DataFrame, keys: Sequence[str], category: str, min_quality: in
     return sets.select(*keys, F.when(F.col("__all") == 1, "ALL").otherwise(F.col(category)).alias(category), *counts, *rates)
 
 
-def _true(n: str) -> Column:
-    return holds(n, True)
+#: The conditional probabilities as (metric_id, what is counted, its condition; '' for all judged rows).
+CONDITIONALS = (
+    ("refined_stance_geocentric_given_model", "refined_stance = geocentric", ""),
+    ("refined_stance_heliocentric_given_model", "refined_stance = heliocentric", ""),
+    ("refined_stance_hybrid_or_contradictory_given_model", "refined_stance = hybrid_or_contradictory", ""),
+    ("premodern_explanatory_frame_true_given_model", "premodern_explanatory_frame = true", ""),
+    ("modern_explanatory_frame_true_given_model", "modern_explanatory_frame = true", ""),
+    ("hybrid_or_contradictory_frame_true_given_model", "hybrid_or_contradictory_frame = true", ""),
+    ("refined_stance_geocentric_given_premodern_explanatory_frame_true", "refined_stance = geocentric", "premodern_explanatory_frame = true"),
+    ("refined_stance_heliocentric_given_modern_explanatory_frame_true", "refined_stance = heliocentric", "modern_explanatory_frame = true"),
+    ("hybrid_or_contradictory_frame_true_given_earth_motion_mention_true", "hybrid_or_contradictory_frame = true", "earth_motion_mention = true"),
+    ("refined_stance_geocentric_given_earth_motion_mention_true", "refined_stance = geocentric", "earth_motion_mention = true"),
+    ("premodern_explanatory_frame_true_given_premodern_register_strong", "premodern_explanatory_frame = true", "premodern_register = strong"),
+    ("modern_explanatory_frame_true_given_premodern_register_strong", "modern_explanatory_frame = true", "premodern_register = strong"),
+    ("off_topic_or_drift_true_given_model", "off_topic_or_drift = true", ""),
+    ("repetition_or_looping_true_given_model", "repetition_or_looping = true", ""),
+)
 
 
-def _is(n: str, v: str) -> Column:
-    return holds(n, (v,))
+def conditional_specs() -> list[tuple[str, str, Column, Column]]:
+    """(metric_id, definition, denominator, numerator) of CONDITIONALS."""
 
+    def is_so(test: str) -> Column:
+        column, _, value = test.partition(" = ")
+        return holds(column, True if value == "true" else (value,))
 
-def conditional_specs() -> list[tuple[str, str, Column, Column]]:
-    """(metric_id, definition, denominator, numerator) of the conditional probabilities."""
-    always = F.lit(True)
-
-    def given(name: str, what: str, num: Column, cond: str = "", den: Column = always) -> tuple[str, str, Column, Column]:
-        inside = f"{what} | {cond}, model" if cond else f"{what} | model"
-        return name, f"P({inside})", den, num & den
-
-    out = [given(f"refined_stance_{v}_given_model", f"refined_stance = {v}", _is("refined_stance", v)) for v in ("geocentric", "heliocentric", "hybrid_or_contradictory")]
-    out += [given(f"{n}_true_given_model", f"{n} = true", _true(n)) for n in ("premodern_explanatory_frame", "modern_explanatory_frame", "hybrid_or_contradictory_frame")]
-    for n, what, num, cond in (
-        ("refined_stance_geocentric", "refined_stance = geocentric", _is("refined_stance", "geocentric"), "premodern_explanatory_frame"),
-        ("refined_stance_heliocentric", "refined_stance = heliocentric", _is("refined_stance", "heliocentric"), "modern_explanatory_frame"),
-        ("hybrid_or_contradictory_frame_true", "hybrid_or_contradictory_frame = true", _true("hybrid_or_contradictory_frame"), "earth_motion_mention"),
-        ("refined_stance_geocentric", "refined_stance = geocentric", _is("refined_stance", "geocentric"), "earth_motion_mention"),
-    ):
-        out.append(given(f"{n}_given_{cond}_true", what, num, f"{cond} = true", _true(cond)))
-    out += [given(f"{n}_true_given_premodern_register_strong", f"{n} = true", _true(n), "premodern_register = strong", _is("premodern_register", "strong")) for n in ("premodern_explanatory_frame", "modern_explanatory_frame")]
-    return out + [given(f"{n}_true_given_model", f"{n} = true", _true(n)) for n in ("off_topic_or_drift", "repetition_or_looping")]
+    out = []
+    for name, what, cond in CONDITIONALS:
+        den = is_so(cond) if cond else F.lit(True)
+        out.append((name, f"P({what} | {cond}, model)" if cond else f"P({what} | model)", den, is_so(what) & den))
+    return out
 
 
 def conditionals(df: DataFrame, keys: Sequence[str], specs: Sequence[tuple[str, str, Column, Column]]) -> DataFrame:
@@ -224,19 +258,23 @@ def permutation_test(diffs: DataFrame, scope: str, metric: str, pair: Sequence[s
 
 def permutation_test_compat(diffs: DataFrame, scope: str, metric: str, order: Sequence[str], diff: str, n: int = 10_000, seed: int = 12345) -> DataFrame:
     """The same test with one generator re-seeded for each test, differences in key order and float sums: for comparing
-    with published p-values. A test's differences are in one task (one number for each prompt)."""
+    with published p-values. A test's differences are in one task (one number for each prompt). Null differences are no
+    pairs; a test whose rows are all null has 0 pairs, mean 0 and p 1."""
     import pandas as pd
 
     def test(pdf: pd.DataFrame) -> pd.DataFrame:
         import random
+        import statistics
         from functools import reduce
         from operator import add
 
-        values = pdf.sort_values(list(order))[diff].tolist()
-        draw, mean = random.Random(seed).random, lambda xs: reduce(add, xs, 0.0) / len(values)  # plain float sums, in order
-        bound = abs(sum(values) / len(values))
-        extreme = sum(abs(mean([x if draw() < 0.5 else -x for x in values])) >= bound for _ in range(n))
-        return pd.DataFrame([(pdf[scope].iloc[0], pdf[metric].iloc[0], len(values), sum(values) / len(values), extreme / n)], columns=[scope, metric, "n_pairs", "mean_diff", "p_value"])
+        values = pdf.dropna(subset=[diff]).sort_values(list(order))[diff].tolist()
+        observed, p = 0.0, 1.0
+        if values:
+            observed = statistics.mean(values)  # exact, as published
+            draw, mean = random.Random(seed).random, lambda xs: reduce(add, xs, 0.0) / len(values)  # plain float sums, in order
+            p = sum(abs(mean([x if draw() < 0.5 else -x for x in values])) >= abs(observed) for _ in range(n)) / n
+        return pd.DataFrame([(pdf[scope].iloc[0], pdf[metric].iloc[0], len(values), observed, p)], columns=[scope, metric, "n_pairs", "mean_diff", "p_value"])
 
     return diffs.groupBy(scope, metric).applyInPandas(test, f"{scope} string, {metric} string, n_pairs long, mean_diff double, p_value double")
 

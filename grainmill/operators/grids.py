@@ -23,10 +23,17 @@ def with_seed(grid: DataFrame, *keys: str) -> DataFrame:
     return grid.withColumn("sample_seed", sample_seed(*[F.col(k) for k in keys]))
 
 
-def not_done(tasks: DataFrame, done: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Tasks that aren't written yet; null keys match null keys. Rows with errors count as written."""
+def first_of(df: DataFrame, most: int | None, *order: str) -> DataFrame:
+    """The first `most` rows in an order (a limit that the caller asks for); all of them if it is None."""
+    return df if most is None else df.orderBy(*order).limit(most)
+
+
+def not_done(tasks: DataFrame, done: DataFrame, keys: Sequence[str], most: int | None = None) -> DataFrame:
+    """Tasks that aren't written yet, in key order at most `most` of them: rows that are done count for no limit. Null keys
+    match null keys. Rows with errors count as written."""
     d = done.select(*[F.col(k).alias(f"__{k}") for k in keys]).distinct()
-    return tasks.join(d, reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]), "left_anti")
+    left = tasks.join(d, reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]), "left_anti")
+    return first_of(left, most, *keys)
 
 
 def identity(df: DataFrame, keys: Sequence[str], present_only: bool = True) -> DataFrame:

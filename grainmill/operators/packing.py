@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
+from .grids import first_of
 from .selection import running_total
 from .shared import written
 
@@ -152,9 +153,9 @@ def split_tokens(df: DataFrame, ids: str = "ids", fraction: float = 0.9) -> Data
     return df.withColumn("train_ids", F.slice(ids, F.lit(1), cut)).withColumn("val_ids", F.slice(ids, cut + 1, F.greatest(n - cut, F.lit(0))))
 
 
-def shuffled_positions(df: DataFrame, key: Column, seed: int = 1337) -> DataFrame:
-    """Adds shuffle_key: a seeded order of documents as a hash, for any number of them."""
-    return df.withColumn("shuffle_key", F.sha2(F.concat_ws("|", F.lit(str(seed)), key.cast("string")), 256))
+def shuffled_positions(df: DataFrame, key: Column, seed: int = 1337, most: int | None = None) -> DataFrame:
+    """Adds shuffle_key: a seeded order of documents as a hash, for any number of them; at most the first `most` in it."""
+    return first_of(df.withColumn("shuffle_key", F.sha2(F.concat_ws("|", F.lit(str(seed)), key.cast("string")), 256)), most, "shuffle_key")
 
 
 def seeded_permutation(names: Sequence[str], seed: int = 1337) -> dict[str, int]:
@@ -244,10 +245,11 @@ def check_specials(vocab: dict[str, int], specials: Sequence[str] = SPECIALS) ->
     return {s: vocab[s] for s in specials}
 
 
-def dataset_bundle(docs: DataFrame, key: str, text_col: str, vocab: dict[str, int], merges: Sequence[tuple[str, str]], length: int = 1024, fraction: float = 0.9, seed: int = 1337, pad: bool = False) -> dict[str, DataFrame]:
-    """Documents to training and validation blocks: encode once, split each document, order by the seeded shuffle, pack."""
+def dataset_bundle(docs: DataFrame, key: str, text_col: str, vocab: dict[str, int], merges: Sequence[tuple[str, str]], length: int = 1024, fraction: float = 0.9, seed: int = 1337, pad: bool = False, most: int | None = None) -> dict[str, DataFrame]:
+    """Documents to training and validation blocks: at most the first `most` of the seeded shuffle are encoded once, each
+    is split, and both parts are packed in its order."""
     pad_id = check_specials(vocab)["<pad>"] if pad else None
-    split = written(shuffled_positions(split_tokens(encode(docs, text_col, vocab, merges), fraction=fraction), F.col(key), seed))
+    split = written(split_tokens(encode(shuffled_positions(docs, F.col(key), seed, most), text_col, vocab, merges), fraction=fraction))
     out = {}
     for part in ("train", "val"):
         ids = split.select("shuffle_key", F.col(f"{part}_ids").alias("ids")).withColumn("n_tokens", F.size("ids").cast("bigint"))

@@ -63,7 +63,7 @@ tri AS (SELECT *, CASE WHEN decision = 'REMOVE_FILE' AND NOT manual_review THEN
    WHEN manual_review THEN 'MANUAL_REVIEW' WHEN decision = 'REMOVE_SENTENCE' THEN 'REMOVE_SENTENCE_BATCH' ELSE 'KEEP' END AS triage_bucket FROM dec)"""
 
 
-def _assessed(spark, d):
+def assessed(spark, d):
     lines = table(spark, d, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line")).where(F.contains("line", F.lit("tion")))
     action = F.when(F.contains("line", F.lit("enn")), "REMOVE").when(F.length("line") > 600, "REVIEW").otherwise("KEEP")
     return R.assess(lines.withColumn("action", action), "doc_id")
@@ -71,17 +71,17 @@ def _assessed(spark, d):
 
 @query("file_decisions", f"WITH {COUNTS_SQL} SELECT * FROM dec")
 def file_decisions(spark, d):
-    return _assessed(spark, d)
+    return assessed(spark, d)
 
 
 @query("triage_buckets", f"WITH {COUNTS_SQL} SELECT triage_bucket, decision, count(*) AS files, CAST(sum(removable_sentences) AS BIGINT) AS removable FROM tri GROUP BY ALL")
 def triage_buckets(spark, d):
-    return R.triage(_assessed(spark, d)).groupBy("triage_bucket", "decision").agg(F.count("*").alias("files"), F.sum("removable_sentences").alias("removable"))
+    return R.triage(assessed(spark, d)).groupBy("triage_bucket", "decision").agg(F.count("*").alias("files"), F.sum("removable_sentences").alias("removable"))
 
 
 @query("top_contaminated", f"WITH {COUNTS_SQL} SELECT doc_id, removable_sentences, decision FROM tri ORDER BY removable_sentences DESC, doc_id LIMIT 40")
 def top_contaminated(spark, d):
-    return R.top_contaminated(R.triage(_assessed(spark, d)), "doc_id").select("doc_id", "removable_sentences", "decision")
+    return R.top_contaminated(R.triage(assessed(spark, d)), "doc_id").select("doc_id", "removable_sentences", "decision")
 
 
 SPANS = "SELECT l_orderkey AS id, l_linenumber * 10 + CAST(l_quantity AS INT) AS start, l_linenumber * 10 + CAST(l_quantity AS INT) + l_linenumber * 3 AS stop FROM lineitem"

@@ -41,6 +41,10 @@ def pack_blocks(spark, d):
     return P.pack(_offset(spark, d), 1024).select("block_id", F.array_join(F.transform("ids", lambda x: x.cast("string")), " ").alias("ids"))
 
 
+def token_blocks(spark, d):
+    return P.pack(_offset(spark, d), 1024)
+
+
 @query("pack_blocks_padded", f"WITH {STREAM} SELECT CAST(block_id AS BIGINT) AS block_id, CAST(list_sum(ids) AS BIGINT) AS total, 1024 AS n FROM bl WHERE len(ids) > 1")
 def pack_blocks_padded(spark, d):
     b = P.pack(_offset(spark, d), 1024, pad=0)

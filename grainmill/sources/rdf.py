@@ -29,10 +29,10 @@ def values(nodes: Column, lower: bool = False) -> Column:
     return F.transform(out, F.lower) if lower else out
 
 
-def books(spark: SparkSession, path: str, needs_url: bool = True) -> DataFrame:
+def books(spark: SparkSession, path: str, needs_url: bool = True, glob: str = "*.[rR][dD][fF]") -> DataFrame:
     """book_id, title, languages, subjects, bookshelves, death_year and formats of each file that parses. Unused columns
     are pruned, nested ones too. needs_url: formats without a url go."""
-    raw = spark.read.format("xml").schema(SCHEMA).option("rowTag", "rdf:RDF").option("mode", "DROPMALFORMED").option("pathGlobFilter", "*.[rR][dD][fF]").option("recursiveFileLookup", "true").load(path)
+    raw = spark.read.format("xml").schema(SCHEMA).option("rowTag", "rdf:RDF").option("mode", "DROPMALFORMED").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
     d = raw.select(F.try_element_at("pgterms:ebook", F.lit(1)).alias("e"), F.col("pgterms:file").alias("files"), F.col("pgterms:agent").alias("agents"), F.col("_metadata.file_name").alias("file")).where("e is not null")
     none = F.array().cast(f"array<{FILE}>")
     about = lambda x: T.strip(x["_rdf:about"])

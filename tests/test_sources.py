@@ -76,6 +76,17 @@ def test_config(spark):
         C.model_registry(spark, "[]")
 
 
+def test_lines_keep_their_order(spark, tmp_path):
+    (tmp_path / "x.txt").write_text("".join(f"line {i}\n" for i in range(3000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "5000")
+    try:
+        rows = C.numbered_lines(spark, str(tmp_path / "x.txt"))
+        assert rows.rdd.getNumPartitions() > 3
+        assert [r.value for r in rows.orderBy("path", "line_no").collect()] == [f"line {i}" for i in range(3000)]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_jsonl(spark, tmp_path):
     (tmp_path / "x.jsonl").write_text('{"a": 1}\n\n[2]\n{bad\n')
     rows = J.lines(spark, [f"base={tmp_path / 'x.jsonl'}"])
@@ -92,8 +103,32 @@ def test_sinks(spark, tmp_path):
     with pytest.raises(ValueError):
         K.markdown(spark.range(5), "T", limit=3)
     assert json.loads(K.manifest({"b": 1})) == {"b": 1}
-    assert K.token_stream(spark.range(2), str(tmp_path / "t"), "f", lambda: None) is True
-    assert K.token_stream(spark.range(2), str(tmp_path / "t"), "f", lambda: {"fingerprint": "f"}) is False
+    assert K.token_stream(spark.range(2), str(tmp_path / "t"), "f") is True
+    assert K.token_stream(spark.range(2), str(tmp_path / "t"), "f") is False
+    assert K.token_stream(spark.range(3), str(tmp_path / "t"), "g", n=3) is True
+    assert K.read_manifest(spark, str(tmp_path / "t/manifest")) == {"fingerprint": "g", "n": 3}
+    with pytest.raises(ValueError):
+        K.output_mode(spark, str(tmp_path / "t"), overwrite=True, resume=True)
+    with pytest.raises(FileExistsError):
+        K.output_mode(spark, str(tmp_path / "t"))
+    assert K.output_mode(spark, str(tmp_path / "new")) == "overwrite" and K.output_mode(spark, str(tmp_path / "t"), resume=True) == "append"
+
+
+def test_reports(spark, tmp_path):
+    pairs = spark.createDataFrame([(2, ["b", "a"], ["1", "2"]), (1, ["c", "a"], ["3", "4"])], "i int, k array<string>, v array<string>")
+    rows = pairs.select("i", F.map_from_arrays("k", "v").alias("m"))
+    K.dynamic_csv(rows, "m", "i", str(tmp_path / "d"))
+    assert next((tmp_path / "d").glob("part-*")).read_text().split("\n")[:3] == ["c,a,b", "3,4,", ",2,1"]
+    K.dynamic_csv(rows.limit(0), "m", "i", str(tmp_path / "e"))
+    assert "".join(p.read_text() for p in (tmp_path / "e").glob("part-*")).strip() == ""
+    odd = spark.createDataFrame([(float("inf"),), (0.5,), (None,)], "x double")
+    assert [r.x for r in K.fixed(odd, ["x"]).collect()] == ["Infinity", "0.500000", None]
+    one, two = (K.run_folder(spark, str(tmp_path), "n", "t", {"a": 1}) for _ in range(2))
+    assert two == one + "_2" and K.read_manifest(spark, f"{two}/config") == {"a": 1}
+    K.samples(spark.createDataFrame([(2, "p", "x\ny"), (1, None, "z")], "step int, prompt string, generated_text string"), one)
+    text = "".join(p.read_text() for p in sorted((tmp_path / "t_n" / "samples").glob("part-*")))
+    assert text.startswith("step: 1\nprompt: \ngenerated:\nz\n=====") and "generated:\nx\ny\n====" in text
+    assert K.report("R", [("A", "words"), ("B", rows.select("i").limit(0)), ("C", rows.select("i"))]).count("## ") == 3
 
 
 def test_selection(spark):
