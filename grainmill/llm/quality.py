@@ -35,6 +35,8 @@ FLOORS = (0.25, *((share / CUTOFF_4) ** 0.5 for share in (0.03, 0.3, 0.3)))
 DIMS = len(FLOORS)
 PAIRS = [(i, j) for i in range(DIMS) for j in range(i, DIMS)]
 BINS, PER_DOUBLING = 512, 16
+#: A step that lowers no logarithm of a determinant by more is the last.
+SETTLED = 1e-3
 
 
 def repeated_words(words: list[bytes]) -> int:
@@ -108,8 +110,9 @@ def _sums() -> list[Column]:
 FIT = "pool string, start int, mean array<double>, inverse array<double>, logdet double, scale double"
 
 
-def estimates(rows: DataFrame, support: float = 0.75, steps: int = 4) -> DataFrame:
-    """rows: pool and x0... Returns a row of FIT for each pool; scale makes the pool's median distance chi-square's."""
+def estimates(rows: DataFrame, support: float = 0.75, steps: int = 12) -> DataFrame:
+    """rows: pool and x0... Returns a row of FIT for each pool; scale makes the pool's median distance chi-square's.
+    Steps end when no pool's determinant falls any more, or after `steps`."""
 
     def from_moments(pdf: pd.DataFrame) -> pd.DataFrame:
         mean, cov = moments(pdf)
@@ -133,7 +136,10 @@ def estimates(rows: DataFrame, support: float = 0.75, steps: int = 4) -> DataFra
     bin_of = F.least(F.floor(F.log2(1 + F.greatest("d2", F.lit(0.0))) * PER_DOUBLING), F.lit(BINS - 1)).cast("int").alias("bin")
     for _ in range(steps):
         binned = rows.join(small(fit, 400), "pool").withColumn("d2", distance("mean", "inverse")).groupBy("pool", "start", bin_of).agg(*_sums())
-        fit = cut(binned.groupBy("pool", "start").applyInPandas(concentrate, FIT))
+        last, fit = fit, cut(binned.groupBy("pool", "start").applyInPandas(concentrate, FIT))
+        before = small(last.select("pool", "start", F.col("logdet").alias("before")), 100)
+        if not fit.join(before, ["pool", "start"]).agg(F.bool_or(F.col("logdet") < F.col("before") - SETTLED)).first()[0]:
+            break
     return fit.groupBy("pool").agg(F.min_by(F.struct("mean", "inverse", "scale"), F.struct("logdet", "start")).alias("f")).select("pool", "f.*")
 
 

@@ -283,6 +283,45 @@ def test_quality_each_dimension_rejects(spark):
     assert [got[1000 + i].kept for i in range(4)] == [False] * 4
 
 
+def slow_mcd(x, support, starts=60):
+    """Mean, inverse covariance and scale of the subset of smallest determinant, from random starts; no bins."""
+    rng, h, best = np.random.default_rng(0), int(np.ceil(support * len(x))), None
+    floor = np.diag(np.square(quality.FLOORS))
+    for _ in range(starts):
+        inside, last = rng.choice(len(x), 6, replace=False), np.inf
+        while True:
+            mean, cov = x[inside].mean(0), np.cov(x[inside].T, bias=True) + floor
+            inverse, det = np.linalg.inv(cov), np.linalg.slogdet(cov)[1]
+            d2 = np.einsum("ij,jk,ik->i", x - mean, inverse, x - mean)
+            if len(inside) == h and det >= last - 1e-12:
+                break
+            last, inside = (det if len(inside) == h else np.inf), np.argsort(d2, kind="stable")[:h]
+        if best is None or det < best[0]:
+            best = det, mean, inverse, max(np.median(d2) / quality.MEDIAN_4, 1.0)
+    return best[1:]
+
+
+def test_quality_against_slow_mcd(spark):
+    rng = np.random.default_rng(8)
+    rows, data = [], {}
+    for pool, far, share in (("a", 4, 0.1), ("b", -3, 0.2), ("c", 0, 0.0)):
+        x = np.abs(rng.normal(0, 1, (300, 4)) @ np.array([[1, 0.1, 0, 0], [0, 0.15, 0.05, 0], [0, 0, 0.1, 0.1], [0, 0, 0, 0.2]]))
+        out = rng.random(300) < share
+        x[out] += np.array([far, 0.6, 0.5, 0.7])
+        data[pool] = x
+        rows += [(pool, *map(float, r)) for r in x]
+    df = spark.createDataFrame(rows, "pool string, " + ", ".join(f"x{i} double" for i in range(4)))
+    verdict = lambda x, mean, inverse, scale: np.einsum("ij,jk,ik->i", x - mean, inverse, x - mean) / scale > quality.CUTOFF_4
+    for r in quality.estimates(df).collect():
+        inverse = np.zeros((4, 4))
+        for k, (i, j) in enumerate(quality.PAIRS):
+            inverse[i, j] = inverse[j, i] = r.inverse[k]
+        mean, slow_inverse, slow_scale = slow_mcd(data[r.pool], 0.75)
+        assert np.abs(np.array(r.mean) - mean).max() < 0.1
+        mine, slow = verdict(data[r.pool], np.array(r.mean), inverse, r.scale), verdict(data[r.pool], mean, slow_inverse, slow_scale)
+        assert (mine != slow).sum() <= 3 and (slow.sum() > 20) == (r.pool != "c")
+
+
 def test_line_dedup(spark):
     pages = [(i, f"https://a.org/{i}", f"<nav>Home</nav><p>Own {i}<p>Shared<br>x{i}<script>var a='<p>Home</p>'</script>") for i in range(20)]
     pages += [(50, "https://b.org/", "<p>Home</p>"), (51, None, "<p>Home</p>"), (52, "/rel", None), (53, "HTTPS://A.org/x", "Home<li>Own 3")]
@@ -403,6 +442,23 @@ def test_label_model_recovers_rates():
     assert ((posterior[back] > 0.5) == y).mean() > 0.95
 
 
+def test_label_model_learns_correlations():
+    """Five copies of one weak voter don't outvote two independent good ones."""
+    rng = np.random.default_rng(6)
+    y = rng.random(30_000) < 0.3
+    draw = lambda low, high: rng.random(len(y)) < np.where(y, high, low)
+    weak = draw(0.25, 0.6)
+    votes = np.array([draw(0.05, 0.85), draw(0.06, 0.8), weak, *[weak ^ (rng.random(len(y)) < 0.02) for _ in range(4)]]).T.astype(int)
+    patterns, back, n = np.unique(votes, axis=0, return_inverse=True, return_counts=True)
+    posterior, model = toxicity.fit_labels(patterns, n, votes[:300], y[:300].astype(int))
+    assert sum(j >= 2 for j in model["parent"][3:]) >= 3 or sum(j >= 2 for j in model["parent"][2:]) >= 4
+    rate = model["rate"]
+    score = np.log(rate[1] / rate[0]) * votes + np.log((1 - rate[1]) / (1 - rate[0])) * (1 - votes)
+    naive = 1 / (1 + np.exp(-(score.sum(1) + np.log(0.3 / 0.7))))
+    loss = lambda p: -np.log(np.where(y, p, 1 - p)).mean()
+    assert ((posterior[back] > 0.5) == y).mean() > 0.92 and loss(posterior[back]) < 0.8 * loss(naive)
+
+
 def planted(spark):
     rng = random.Random(6)
     word = lambda: "".join(rng.choices("abcdefghij", k=rng.randint(3, 9)))
