@@ -578,6 +578,55 @@ def test_exact_stretches_brute_force(spark):
     assert len(want) > 1000 and want <= covered
 
 
+def all_pairs_passages(rows):
+    """Passages of every pair of documents that share a seed, without hubs: chains of all their matches, aligned."""
+    import pyarrow as pa
+
+    text, seeder, places = {i: (t or "").encode() for i, t in rows}, substring.Seeder(), {}
+    for i, raw in text.items():
+        _, pos, at, h = seeder.seeds(np.frombuffer(raw, np.uint8), np.array([len(raw)]), substring.K, substring.WINDOW)
+        for p, b, x in zip(pos.tolist(), at.tolist(), h.tolist()):
+            places.setdefault(x, []).append((i, p, b))
+    met = sorted((a[0], b[0], b[1], a[1], b[2], a[2]) for v in places.values() for a in v for b in v if a[0] < b[0])
+    hub, doc, pos, hpos, at, hat = (np.array(x) for x in zip(*met))
+    kinds = ((hub, pa.int64()), (doc, pa.int64()), *((x, pa.int32()) for x in (pos, at, hpos, hat)))
+    batch = pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in kinds], names=list("abcdef"))
+    for b in substring._chains(substring.K, 50 - 2 * (substring.WINDOW - 1) - 2 * substring.K)([batch]):
+        for r in b.to_pylist():
+            left, hleft, n, m, hits = substring.align(text[r["doc"]], r["start_at"], text[r["hub"]], r["hstart_at"], r["rel"], r["size"], r["hrel"])
+            if min(n, m) >= 50 and 2 * hits >= 0.8 * (n + m):
+                yield r["doc"], r["start"] - left, n, r["hub"], r["hstart"] - hleft, m
+
+
+def test_passages_against_all_pairs(spark):
+    """What the comparison of all pairs finds is covered on both sides, and its pairs are linked; nothing else is reported
+    but repeats inside a document."""
+    docs = documents(spark)
+    covered, forest, found = {}, simhash.Forest(100_000), substring.passages(docs).collect()
+    for r in found:
+        covered.setdefault(r.doc, set()).update(range(r.start_word, r.end_word))
+        covered.setdefault(r.partner, set()).update(range(r.partner_start, r.partner_end))
+        forest.join(r.doc, r.partner)
+    want = list(all_pairs_passages([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]))
+    sides = [x[:3] for x in want] + [x[3:] for x in want]
+    recall = sum(len(covered.get(d, set()) & set(range(a, a + n))) >= 0.8 * n for d, a, n in sides) / len(sides)
+    linked = sum(forest.root(x[0]) == forest.root(x[3]) for x in want) / len(want)
+    assert len(want) > 20 and recall >= 0.95 and linked >= 0.95
+    assert {r.doc for r in found if r.doc != r.partner} <= {d for d, _, _ in sides}
+
+
+def test_pairs_beside_a_shorter_hub(spark):
+    """In each group the smallest id holds the first 40 of 60 words: the two that hold all are paired over all of them."""
+    rng = random.Random(11)
+    some = lambda n: ["".join(rng.choices("abcdefghij", k=rng.randint(5, 9))) for _ in range(n)]
+    rows = []
+    for g in range(40):
+        p = some(60)
+        rows += [(3 * g + j, " ".join(some(rng.randint(20, 80)) + x + some(rng.randint(20, 80))), "en", "s") for j, x in enumerate((p[:40], p, p))]
+    got = {(r.doc, r.partner) for r in substring.passages(frame(spark, rows)).collect() if r.end_word - r.start_word >= 60}
+    assert sum((3 * g + 1, 3 * g + 2) in got or (3 * g + 2, 3 * g + 1) in got for g in range(40)) == 40
+
+
 def test_seeds_cover_exact_stretches():
     rng = random.Random(7)
     seeder = substring.Seeder()
