@@ -1,11 +1,10 @@
-"""Text cleaning: documents to cleaned documents with counts of what went."""
+"""Text cleaning: documents to cleaned documents with counts of what went. All steps are column functions.
 
-from __future__ import annotations
+Null texts stay null, with null counts; empty texts stay empty. Rows are cleaned one by one, so repeated rows stay, and
+an empty table gives one. Columns of an input keep their values; those that a step adds replace ones of their name."""
 
-import re
-from collections.abc import Iterator
+from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,12 +12,6 @@ from ..functions import lexicons as L
 from ..functions import text as T
 
 
-def _python(pattern: str) -> re.Pattern:
-    """A Java pattern of the lexicons for Python: the flags are the same by default there."""
-    flags, body = re.match(r"\(\?([a-zA-Z]+)\)(.*)", pattern, re.S).groups()
-    return re.compile(body, re.I if "i" in flags else 0)
-
-
 def first_line(lines: Column, pattern: str) -> Column:
     """The 1-based place of the first line that a pattern finds; 0 if none."""
     return F.coalesce(F.array_position(F.transform(lines, lambda x: F.rlike(x, F.lit(pattern))), True), F.lit(0)).cast("int")
@@ -50,67 +43,52 @@ def leading_metadata(lines: Column, scan: int = 400) -> Column:
     return F.aggregate(F.slice(lines, 1, scan), start, step, lambda a: F.when(a["hits"] >= 2, a["cut"]).otherwise(0))
 
 
-class Toc:
-    """Finds table-of-contents blocks in a list of lines."""
-
-    def __init__(self, limit: int = 300):
-        self.limit = limit
-        self.header, self.entry, self.dotted, self.number = (_python(p) for p in (L.TOC_HEADER, L.TOC_ENTRY, L.TOC_DOTTED, L.TOC_NUMBER))
-
-    def kind(self, line: str) -> str:
-        """Of a stripped line: blank, entry, prose, short or other."""
-        if not line:
-            return "blank"
-        if self.entry.search(line) or self.dotted.search(line) or (len(line) < 90 and self.number.search(line)):
-            return "entry"
-        if len(line) >= 70 and len(re.findall("[A-Za-z]+", line)) >= 10:
-            return "prose"
-        return "short" if len(line) <= 60 else "other"
-
-    def end(self, kinds: list[str], start: int) -> int:
-        """Where the block whose header stands at start ends; start if it is no block."""
-        like = prose = 0
-        at, stop = start + 1, min(len(kinds), start + self.limit + 1)
-        while at < stop and kinds[at] != "other":
-            kind = kinds[at]
-            at += 1
-            if kind == "entry":
-                like, prose = like + 1, 0
-            elif kind == "short":
-                like += 1
-            elif kind == "prose":
-                prose += 1
-                if prose == 2:
-                    break
-        return at - prose if like >= 2 and at - prose > start else start
-
-    def strip(self, lines: list[str]) -> tuple[list[str], int]:
-        bare = [x.strip() for x in lines]
-        kinds, out, at, removed = [self.kind(x) for x in bare], [], 0, 0
-        while at < len(lines):
-            stop = self.end(kinds, at) if self.header.match(bare[at]) else at
-            if stop > at:
-                removed += stop - at
-                at = stop
-            else:
-                out.append(lines[at])
-                at += 1
-        return out, removed
+#: Kinds of a line of a table of contents.
+BLANK, ENTRY, PROSE, SHORT, OTHER = range(5)
 
 
-def strip_toc(df: DataFrame, lines_col: str, limit: int = 300) -> DataFrame:
-    """Replaces the lines column and adds toc_removed. Only texts with a header line are sent to Python."""
+def toc_kind(line: Column) -> Column:
+    """The kind of a line: entries have a chapter's name, a dotted leader or, in under 90 characters, a number at their
+    end; short lines have at most 60 characters."""
+    s = T.strip(line)
+    has = lambda p: F.rlike(s, F.lit(p))
+    entry = has(L.TOC_ENTRY) | has(L.TOC_DOTTED) | ((F.length(s) < 90) & has(L.TOC_NUMBER))
+    return F.when(s == "", BLANK).when(entry, ENTRY).when(T.is_prose_line(s), PROSE).when(F.length(s) <= 60, SHORT).otherwise(OTHER)
+
 
-    @F.pandas_udf("struct<lines:array<string>,removed:int>")
-    def udf(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        toc = Toc(limit)
-        for s in batches:
-            done = [toc.strip(list(x)) if x is not None else (None, 0) for x in s]
-            yield pd.DataFrame({"lines": [d[0] for d in done], "removed": [d[1] for d in done]})
+def toc_end(kinds: Column, header: Column, limit: int) -> Column:
+    """Where the block of the header line at a place (from 0) ends; the header's place if it heads none. A block goes on up
+    to a line of no kind, to the second line of prose since an entry, or for `limit` lines; it has at least two entries or
+    short lines, and as many lines less as there was prose since its last entry."""
+    begin = F.struct(F.lit(0).alias("read"), F.lit(0).alias("like"), F.lit(0).alias("prose"), F.lit(True).alias("on"))
 
+    def step(b: Column, kind: Column) -> Column:
+        prose = F.when(kind == ENTRY, 0).otherwise(b["prose"] + (kind == PROSE).cast("int"))
+        more = F.struct((b["read"] + 1).alias("read"), (b["like"] + kind.isin(ENTRY, SHORT).cast("int")).alias("like"), prose.alias("prose"), (prose < 2).alias("on"))
+        over = F.struct(b["read"].alias("read"), b["like"].alias("like"), b["prose"].alias("prose"), F.lit(False).alias("on"))
+        return F.when(~b["on"], b).when(kind == OTHER, over).otherwise(more)
+
+    lines = lambda b: header + 1 + b["read"] - b["prose"]
+    return F.aggregate(F.slice(kinds, header + 2, F.lit(limit)), begin, step, lambda b: F.when((b["like"] >= 2) & (lines(b) > header), lines(b)).otherwise(header))
+
+
+def toc_spans(lines: Column, limit: int = 300) -> Column:
+    """array<struct(start, stop)>: the tables of contents in lines, in order, none within another."""
+    kinds = F.transform(lines, toc_kind)
+    headers = F.filter(F.transform(lines, lambda x, i: F.when(F.rlike(T.strip(x), F.lit(L.TOC_HEADER)), i)), lambda i: i.isNotNull())
+    blocks = F.transform(headers, lambda i: F.struct(i.alias("start"), toc_end(kinds, i, limit).alias("stop")))
+    none = F.array().cast("array<struct<start:int,stop:int>>")
+    return F.aggregate(blocks, none, lambda found, b: F.when((b["stop"] > b["start"]) & (F.coalesce(F.try_element_at(found, F.lit(-1))["stop"], F.lit(0)) <= b["start"]), F.concat(found, F.array(b))).otherwise(found))
+
+
+def strip_toc(df: DataFrame, lines_col: str, limit: int = 300) -> DataFrame:
+    """Replaces the lines column by the lines outside tables of contents and adds toc_removed. Lines are only looked at one
+    by one where one of them is a header. Null lines stay null with 0 removed."""
     has = F.exists(lines_col, lambda x: F.rlike(x, F.lit(L.TOC_HEADER)))
-    marked = df.withColumn("__toc", udf(F.when(has, F.col(lines_col))))
-    return marked.withColumn("toc_removed", F.coalesce("__toc.removed", F.lit(0))).withColumn(lines_col, F.coalesce("__toc.lines", lines_col)).drop("__toc")
+    d = df.withColumn("__toc", F.when(has, toc_spans(F.col(lines_col), limit)))
+    size = F.aggregate("__toc", F.lit(0), lambda n, s: n + s["stop"] - s["start"])
+    left = F.filter(lines_col, lambda x, i: ~F.exists("__toc", lambda s: (s["start"] <= i) & (i < s["stop"])))
+    return d.withColumn("toc_removed", F.coalesce(size, F.lit(0))).withColumn(lines_col, F.when(F.col("__toc").isNull(), F.col(lines_col)).otherwise(left)).drop("__toc")
 
 
 def drop_structural(lines: Column) -> Column:

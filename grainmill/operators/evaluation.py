@@ -1,4 +1,7 @@
-"""Statistics of judged rows. Rates are wide aggregates (one shuffle for all metrics); long forms are stacked after."""
+"""Statistics of judged rows. Rates are wide aggregates (one shuffle for all metrics); long forms are stacked after.
+
+Null flags and labels count as not so; null keys are a group; repeated rows count as often as they are there; an empty
+table gives no groups. Where rows tie in an order, first_rows and top_prompts say by what they are told apart."""
 
 from __future__ import annotations
 
@@ -245,13 +248,17 @@ def susceptibility(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def permutation_test(diffs: DataFrame, scope: str, metric: str, pair: Sequence[str], diff: str, n: int = 10_000, seed: int = 12345) -> DataFrame:
     """Two-sided paired sign-flip test for each scope and metric. Differences are integers (numerators over one
-    denominator), so ties are exact. A sign is a bit of SHA-256 of (seed, permutation, pair); permutations are spread
-    over tasks, each group is summed map-side."""
-    d = diffs.select(scope, metric, F.concat_ws("|", *[F.col(p).cast("string") for p in pair]).alias("__pair"), F.col(diff).cast("bigint").alias("__d"))
+    denominator), so ties are exact. Signs of 256 permutations are the bits of one SHA-256 of (seed, number of the 256,
+    pair), four to a hexadecimal digit; a digit's four sums are added up map-side. Null differences count as 0."""
+    d = diffs.select(scope, metric, F.concat_ws("|", *[F.col(p).cast("string") for p in pair]).alias("__pair"), F.coalesce(F.col(diff).cast("bigint"), F.lit(0)).alias("__d"))
     observed = d.groupBy(scope, metric).agg(F.count("*").alias("n_pairs"), F.sum("__d").alias("total"))
-    signed = d.select("*", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("__k"))
-    bit = F.substring(F.sha2(F.concat_ws("|", F.lit(str(seed)), F.col("__k").cast("string"), "__pair"), 256), 1, 1) < "8"
-    sums = signed.groupBy(scope, metric, "__k").agg(F.sum(F.when(bit, F.col("__d")).otherwise(-F.col("__d"))).alias("s"))
+    hashed = d.select(scope, metric, "__d", "__pair", F.explode(F.sequence(F.lit(0), F.lit((n - 1) // 256))).alias("__b"))
+    bits = F.sha2(F.concat_ws("|", F.lit(str(seed)), F.col("__b").cast("string"), "__pair"), 256)
+    digits = hashed.select(scope, metric, "__d", "__b", F.posexplode(F.split(bits, "(?<=.)(?=.)")).alias("__at", "__digit"))
+    value = F.instr(F.lit("0123456789abcdef"), F.col("__digit")) - 1
+    signed = lambda j: F.sum(F.when(F.getbit(value, F.lit(j)) == 1, F.col("__d")).otherwise(-F.col("__d")))
+    four = digits.groupBy(scope, metric, "__b", "__at").agg(F.array(*[signed(j) for j in range(4)]).alias("__sums"))
+    sums = four.select(scope, metric, "__b", "__at", F.posexplode("__sums").alias("__j", "s")).where(F.col("__b") * 256 + F.col("__at") * 4 + F.col("__j") < n)
     tail = sums.join(F.broadcast(observed), [scope, metric]).groupBy(scope, metric).agg(F.count_if(F.abs("s") >= F.abs("total")).alias("extreme"))
     return observed.join(tail, [scope, metric]).select(scope, metric, "n_pairs", "total", "extreme", (F.col("extreme") / F.lit(n)).alias("p_value"))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import lexicons as L
 from ..functions import text as T
 from ..operators import cleaning as C
 from ..operators import contamination as R
@@ -137,11 +138,20 @@ def structural_lines(spark, d):
     return rows
 
 
-@query("inline_annotations", """SELECT doc_id, text || ' x' AS text, 3 AS n FROM documents WHERE NOT contains(text, '[') AND NOT contains(text, '(')""")
+def _re2(pattern: str) -> str:
+    """A pattern of the lexicons for SQL: the same without Java's flags for Unicode classes."""
+    flags, body = pattern[2:].split(")", 1)
+    return ("(?i)" if "i" in flags else "") + body.replace("'", "''")
+
+
+INLINE_SQL = f"""regexp_replace(regexp_replace(t, '{_re2(L.BRACKETED)}', '', 'g'), '{_re2(L.PARENTHESISED)}', '', 'g')"""
+INLINE_COUNT_SQL = f"""len(regexp_extract_all(t, '{_re2(L.BRACKETED)}')) + len(regexp_extract_all(regexp_replace(t, '{_re2(L.BRACKETED)}', '', 'g'), '{_re2(L.PARENTHESISED)}'))"""
+
+
+@query("inline_annotations", f"""SELECT doc_id, {INLINE_SQL} AS text, CAST({INLINE_COUNT_SQL} AS INT) AS n FROM (SELECT doc_id, concat(text, '[Footnote 3: see below] x[12](see figure 4)') AS t FROM documents)""")
 def inline_annotations(spark, d):
     put = F.concat(F.col("text"), F.lit("[Footnote 3: see below] x[12](see figure 4)"))
-    rows = table(spark, d, "documents").where("not contains(text, '[') and not contains(text, '(')")
-    return rows.select("doc_id", C.inline_annotations(put).alias("r")).select("doc_id", "r.*")
+    return table(spark, d, "documents").select("doc_id", C.inline_annotations(put).alias("r")).select("doc_id", "r.*")
 
 
 @query("clean_whitespace", r"""WITH a AS (SELECT doc_id, regexp_replace(regexp_replace('  ' || text || ' ' || chr(13) || chr(10) || chr(10) || chr(10) || chr(9) || chr(10) || 'end  ', '\r\n?', chr(10), 'g'), '[ \t\x0B\f]+(\n|$)', '\1', 'g') AS t FROM documents)
@@ -151,15 +161,35 @@ def clean_whitespace(spark, d):
     return table(spark, d, "documents").select("doc_id", C.clean_whitespace(put).alias("r")).select("doc_id", "r.*")
 
 
-@query("cleaning_report", """SELECT count(*) AS files, CAST(sum(length(text) + 142) AS BIGINT) AS chars_before, 1 * count(*) AS metadata_lines_removed, 2 * count(*) AS gutenberg_footer_lines_removed,
-  2 * count(*) AS structural_lines_removed, count(*) AS inline_annotations_removed FROM documents
-  WHERE NOT contains(text, '[') AND NOT contains(text, '(') AND regexp_matches(text, '^[A-Za-z]') AND NOT regexp_matches(text, '(?i)contents|index|http|www|copyright|page|[0-9]') AND length(string_split(text, chr(10))[1]) > 150""")
+#: Lines after two metadata lines: blank ones, ones with a hit and short ones without a terminator go on with them.
+LEADING_SQL = f"""lead AS (SELECT doc_id, l, 2 + coalesce(nullif(list_position(list_transform(l[3:400], lambda x:
+    NOT (trim(x) = '' OR regexp_matches(trim(x), '{_re2(L.METADATA)}') OR (length(trim(x)) < 120 AND NOT regexp_matches(trim(x), '[.!?]$')))), true), 0) - 1, len(l[3:400])) AS n FROM put)"""
+
+
+@query("leading_metadata", f"""WITH put AS (SELECT doc_id, string_split(concat('Title: A', chr(10), 'Author: B', chr(10), text), chr(10)) AS l FROM documents), {LEADING_SQL} SELECT doc_id, CAST(n AS INT) AS n FROM lead""")
+def leading_metadata(spark, d):
+    lines = F.split(F.concat(F.lit("Title: A\nAuthor: B\n"), F.col("text")), "\n")
+    return table(spark, d, "documents").select("doc_id", C.leading_metadata(lines).alias("n"))
+
+
+@query("cleaning_report", f"""WITH put AS (SELECT doc_id, length(text) AS n_text, string_split(concat('Title: A', chr(10), 'Author: B', chr(10), text, '[12]', chr(10), 'CHAPTER I.', chr(10), '- 3 -', chr(10), chr(10), chr(10), 'end'), chr(10)) AS l FROM documents),
+{LEADING_SQL}, body AS (SELECT doc_id, n, l[n + 1:] AS b FROM lead),
+kept AS (SELECT doc_id, n, len(b) AS n_b, list_filter(b, lambda x: NOT regexp_matches(trim(x), '{_re2(L.STRUCTURAL)}')) AS k FROM body),
+flat AS (SELECT doc_id, n, n_b - len(k) AS structural, array_to_string(k, chr(10)) AS t FROM kept),
+bare AS (SELECT doc_id, n, structural, {INLINE_COUNT_SQL} AS inline_n, regexp_replace({INLINE_SQL}, '[ \t\x0B\f]+(\n|$)', '\1', 'g') AS t FROM flat),
+tidy AS (SELECT *, trim(regexp_replace(t, '\n{{3,}}', chr(10) || chr(10), 'g'), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body, len(regexp_extract_all(t, '\n{{3,}}')) AS blanks FROM bare)
+SELECT put.doc_id, CAST(n_text + 167 AS INT) AS chars_before, CAST(CASE WHEN body = '' THEN 0 ELSE length(body) + 1 END AS INT) AS chars_after, CAST(1 + n AS INT) AS metadata_lines_removed, 2 AS gutenberg_footer_lines_removed, 0 AS toc_lines_removed,
+  CAST(structural AS INT) AS structural_lines_removed, CAST(inline_n AS INT) AS inline_annotations_removed, CAST(blanks AS INT) AS blank_line_reductions FROM tidy JOIN put USING (doc_id)""")
 def cleaning_report(spark, d):
-    put = F.concat(F.lit("*** START OF THE PROJECT GUTENBERG EBOOK X ***\n"), F.col("text"), F.lit("[12]\nCHAPTER I.\n- 3 -\n*** END OF THIS PROJECT GUTENBERG EBOOK X ***\nlicense text that goes away"))
-    ok = "not contains(text, '[') and not contains(text, '(') and text rlike '^[A-Za-z]' and not text rlike '(?i)contents|index|http|www|copyright|page|[0-9]' and length(split(text, '\n')[0]) > 150"
-    rows = table(spark, d, "documents").where(ok).select("doc_id", put.alias("text"))
-    t = C.clean_totals(C.clean(rows, "text"))
-    return t.select("files", "chars_before", "metadata_lines_removed", "gutenberg_footer_lines_removed", "structural_lines_removed", "inline_annotations_removed")
+    """All steps on every document, with a marker, metadata, an annotation, two structural lines and blank lines put in."""
+    put = F.concat(F.lit("*** START OF THE PROJECT GUTENBERG EBOOK X ***\nTitle: A\nAuthor: B\n"), F.col("text"), F.lit("[12]\nCHAPTER I.\n- 3 -\n\n\nend\n*** END OF THIS PROJECT GUTENBERG EBOOK X ***\nlicense text that goes away"))
+    return C.clean(table(spark, d, "documents").select("doc_id", put.alias("text")), "text").select("doc_id", *C.REPORT)
+
+
+@query("cleaning_totals", "SELECT count(*) AS files, CAST(sum(length(text) + 4) AS BIGINT) AS chars_before FROM documents")
+def cleaning_totals(spark, d):
+    t = C.clean_totals(C.clean(table(spark, d, "documents").select(F.concat(F.col("text"), F.lit("\nend")).alias("text")), "text"))
+    return t.select("files", "chars_before")
 
 
 @query("strip_markers", """SELECT doc_id, trim(text, ' ' || chr(10)) AS body, 2 AS head, 3 AS foot, len(string_split(text, chr(10))) AS n_lines FROM documents""")
@@ -187,12 +217,6 @@ def toc_blocks(spark, d):
     return C.strip_toc(table(spark, d, "documents").select("doc_id", lines.alias("lines")), "lines").select("doc_id", "toc_removed", F.size("lines").alias("n_lines"))
 
 
-@query("leading_metadata", "SELECT doc_id, 3 AS n FROM documents WHERE length(string_split(text, chr(10))[1]) > 150")
-def leading_metadata(spark, d):
-    lines = F.split(F.concat(F.lit("Title: A\n\nAuthor: B\n"), F.col("text")), "\n")
-    return table(spark, d, "documents").where("length(split(text, '\n')[0]) > 150").select("doc_id", C.leading_metadata(lines).alias("n"))
-
-
 KEYWORDS, STEMS = ("orb", "license", "tionth"), ("thand", "erein")
 
 

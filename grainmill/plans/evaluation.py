@@ -215,12 +215,18 @@ def prompt_susceptibility(spark, d):
     return rounded(E.susceptibility(p, ["prompt_category", "prompt_id"]))
 
 
-PERM = 500
+PERM = 10_000
+
+
+#: Sums of the differences d (scope, metric, k, x) under each permutation: a bit of a hash of 256 of them is a pair's sign.
+FLIPPED = f"""h AS (SELECT scope, metric, x, b, sha256(concat_ws('|', '12345', CAST(b AS VARCHAR), k)) AS h FROM d, range({(PERM + 255) // 256}) r(b)),
+digits AS (SELECT scope, metric, x, b, a, strpos('0123456789abcdef', substr(h, a + 1, 1)) - 1 AS v FROM h, range(64) t(a)),
+s AS (SELECT scope, metric, b, a, j, sum(CASE WHEN (v >> j) & 1 = 1 THEN x ELSE -x END) AS s FROM digits, range(4) u(j) WHERE b * 256 + a * 4 + j < {PERM} GROUP BY ALL)"""
 
 
 @query("permutation_test", f"""WITH d AS (SELECT lang AS scope, CAST(doc_id % 2 AS VARCHAR) AS metric, CAST(doc_id AS VARCHAR) AS k, CAST(quality - toxic AS BIGINT) AS x FROM labels JOIN documents USING (doc_id)),
 o AS (SELECT scope, metric, count(*) AS n_pairs, CAST(sum(x) AS BIGINT) AS total FROM d GROUP BY 1, 2),
-s AS (SELECT scope, metric, p, sum(CASE WHEN substr(sha256(concat_ws('|', '12345', CAST(p AS VARCHAR), k)), 1, 1) < '8' THEN x ELSE -x END) AS s FROM d, range({PERM}) r(p) GROUP BY 1, 2, 3)
+{FLIPPED}
 SELECT o.scope, o.metric, n_pairs, total, count(*) FILTER (abs(s) >= abs(total)) AS extreme, count(*) FILTER (abs(s) >= abs(total)) / CAST({PERM} AS DOUBLE) AS p_value
 FROM o JOIN s ON o.scope = s.scope AND o.metric = s.metric GROUP BY o.scope, o.metric, n_pairs, total""")
 def permutation_test(spark, d):
@@ -230,23 +236,23 @@ def permutation_test(spark, d):
 
 @query("permutation_scopes", f"""WITH c AS (SELECT source, lang, doc_id // 20 % 5 AS p, sum(quality) AS q, sum(toxic) AS t FROM labels JOIN documents USING (doc_id) WHERE source IN ('src0', 'src1') GROUP BY ALL),
 j AS (SELECT a.lang, a.p, b.q - a.q AS dq, b.t - a.t AS dt FROM c a JOIN c b ON a.lang = b.lang AND a.p = b.p AND a.source = 'src0' AND b.source = 'src1'),
-s AS (SELECT unnest(['overall', lang]) AS scope, concat_ws('|', lang, p) AS k, dq, dt FROM j),
-d AS (SELECT scope, 'q' AS metric, k, CAST(dq AS BIGINT) AS x FROM s UNION ALL SELECT scope, 't', k, CAST(dt AS BIGINT) FROM s),
+sc AS (SELECT unnest(['overall', lang]) AS scope, concat_ws('|', lang, p) AS k, dq, dt FROM j),
+d AS (SELECT scope, 'q' AS metric, k, CAST(dq AS BIGINT) AS x FROM sc UNION ALL SELECT scope, 't', k, CAST(dt AS BIGINT) FROM sc),
 o AS (SELECT scope, metric, count(*) AS n_pairs, CAST(sum(x) AS BIGINT) AS total FROM d GROUP BY 1, 2),
-g AS (SELECT scope, metric, p, sum(CASE WHEN substr(sha256(concat_ws('|', '12345', CAST(p AS VARCHAR), k)), 1, 1) < '8' THEN x ELSE -x END) AS s FROM d, range(200) r(p) GROUP BY 1, 2, 3)
-SELECT o.scope, o.metric, n_pairs, total, count(*) FILTER (abs(s) >= abs(total)) AS extreme, count(*) FILTER (abs(s) >= abs(total)) / CAST(200 AS DOUBLE) AS p_value
-FROM o JOIN g ON o.scope = g.scope AND o.metric = g.metric GROUP BY o.scope, o.metric, n_pairs, total""")
+{FLIPPED}
+SELECT o.scope, o.metric, n_pairs, total, count(*) FILTER (abs(s) >= abs(total)) AS extreme, count(*) FILTER (abs(s) >= abs(total)) / CAST({PERM} AS DOUBLE) AS p_value
+FROM o JOIN s ON o.scope = s.scope AND o.metric = s.metric GROUP BY o.scope, o.metric, n_pairs, total""")
 def permutation_scopes(spark, d):
     rows = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "source", "lang"), "doc_id").where(F.col("source").isin("src0", "src1"))
     counts = rows.groupBy("source", "lang", (F.expr("doc_id div 20") % 5).alias("p")).agg(F.sum("quality").alias("q"), F.sum("toxic").alias("t"))
     diffs = E.paired_differences(counts, "source", ("src0", "src1"), "lang", "p", ["q", "t"])
-    return E.permutation_test(diffs, "scope", "metric", ["pair_key"], "diff", 200)
+    return E.permutation_test(diffs, "scope", "metric", ["pair_key"], "diff", PERM)
 
 
 @query("permutation_test_compat")
 def permutation_test_compat(spark, d):
     rows = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "lang"), "doc_id").select(F.col("lang").alias("scope"), F.lit("quality").alias("metric"), "doc_id", (F.col("quality") - F.col("toxic")).cast("double").alias("x"))
-    return E.permutation_test_compat(rows, "scope", "metric", ["doc_id"], "x", 200)
+    return E.permutation_test_compat(rows, "scope", "metric", ["doc_id"], "x", PERM)
 
 
 @query("load_counters", """WITH l AS (SELECT CASE WHEN event_id % 11 = 0 THEN '' WHEN event_id % 11 = 1 THEN '{bad' WHEN event_id % 11 = 2 THEN '[1]'

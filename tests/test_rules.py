@@ -97,13 +97,21 @@ def test_leading_metadata(spark):
         assert one(spark, C.leading_metadata(F.col("l")), l=lines) == want
 
 
-def test_toc():
-    toc = C.Toc()
-    assert toc.strip(["Contents", "Chapter I. A", "Preface", "", "p" * 61 + "."]) == (["p" * 61 + "."], 4)
-    assert toc.strip(["Contents", "Chapter I. A", "x" * 65]) == (["Contents", "Chapter I. A", "x" * 65], 0)
-    prose = "many plain words stand here in one long line of prose that goes on and on"
-    assert toc.strip(["Index", "a 1", "b 2", prose, prose, "z"]) == ([prose, prose, "z"], 3)
-    assert toc.strip([]) == ([], 0)
+def test_toc(spark):
+    prose = "a word " * 12
+
+    def strip(*lines):
+        r = C.strip_toc(spark.createDataFrame([(list(lines),)], "l array<string>"), "l").first()
+        return r.l, r.toc_removed
+
+    assert strip("Contents", "Chapter I. A", "Preface", "", "p" * 61 + ".") == (["p" * 61 + "."], 4)
+    assert strip("Contents", "Chapter I. A", "x" * 65) == (["Contents", "Chapter I. A", "x" * 65], 0)
+    assert strip("Index", "a 1", "b 2", prose, prose, "z") == ([prose, prose, "z"], 3)
+    assert strip() == ([], 0) and strip("no header", "a 1") == (["no header", "a 1"], 0)
+    # two blocks, and a header inside one
+    assert strip("x" * 65, "Contents", "a 1", "Index", "y" * 65, "Index:", "b 1", "c 2", "y" * 65) == (["x" * 65, "y" * 65, "y" * 65], 6)
+    # the block ends with its limit
+    assert strip("Contents", *[f"{i} x {i}" for i in range(305)]) == ([f"{i} x {i}" for i in range(300, 305)], 301)
 
 
 def test_whitespace_and_annotations(spark):
