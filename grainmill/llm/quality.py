@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map, as_bytes, cut, pick, small
+from .common import BROADCAST_LIMIT, arrow_map, as_bytes, cut, pick, small
 
 SYMBOLS = b"#*$%&|<>"
 #: Quantiles of chi-square with four degrees of freedom: 0.5 and 0.9999.
@@ -38,7 +38,7 @@ DIMS = len(FLOORS)
 PAIRS = [(i, j) for i in range(DIMS) for j in range(i, DIMS)]
 BINS, PER_DOUBLING = 512, 16
 #: A step that lowers no logarithm of a determinant by more is the last.
-SETTLED = 1e-3
+SETTLED = 0.01
 
 
 def repeated_words(words: list[bytes]) -> int:
@@ -114,7 +114,7 @@ FIT = "pool string, start int, mean array<double>, inverse array<double>, logdet
 
 def estimates(rows: DataFrame, support: float = 0.75, steps: int = 12) -> DataFrame:
     """rows: pool and x0... Returns a row of FIT for each pool; scale makes the pool's median distance chi-square's.
-    Steps end when no pool's determinant falls any more, or after `steps`."""
+    Steps end when no pool's least determinant so far falls any more, or after `steps`."""
 
     def from_moments(pdf: pd.DataFrame) -> pd.DataFrame:
         mean, cov = moments(pdf)
@@ -132,16 +132,20 @@ def estimates(rows: DataFrame, support: float = 0.75, steps: int = 12) -> DataFr
         return pd.DataFrame([(pdf["pool"].iloc[0], pdf["start"].iloc[0], *settle(*moments(inside)), max(typical / MEDIAN_4, 1.0))], columns=[c.split()[0] for c in FIT.split(", ")])
 
     medians = rows.groupBy("pool").agg(*[F.percentile_approx(f"x{i}", 0.5, 1000).alias(f"m{i}") for i in range(DIMS)])
-    side = small(cut(medians), 100)
-    spread = rows.join(side, "pool").groupBy("pool").agg(*_sums(), *[F.first(f"m{i}").alias(f"m{i}") for i in range(DIMS)], *[F.percentile_approx(F.abs(F.col(f"x{i}") - F.col(f"m{i}")), 0.5, 1000).alias(f"d{i}") for i in range(DIMS)])
-    fit = cut(spread.groupBy("pool").applyInPandas(from_moments, FIT))
+    medians = cut(medians)
+    few = medians.count() * 2 * 400 <= BROADCAST_LIMIT  # a fit has two rows of a pool
+    sent = lambda df: F.broadcast(df) if few else df
+    spread = rows.join(sent(medians), "pool").groupBy("pool").agg(*_sums(), *[F.first(f"m{i}").alias(f"m{i}") for i in range(DIMS)], *[F.percentile_approx(F.abs(F.col(f"x{i}") - F.col(f"m{i}")), 0.5, 1000).alias(f"d{i}") for i in range(DIMS)])
+    fit = cut(spread.groupBy("pool").applyInPandas(from_moments, FIT)).withColumn("best", F.lit(float("inf")))
     bin_of = F.least(F.floor(F.log2(1 + F.greatest("d2", F.lit(0.0))) * PER_DOUBLING), F.lit(BINS - 1)).cast("int").alias("bin")
     for _ in range(steps):
-        binned = rows.join(small(fit, 400), "pool").withColumn("d2", distance("mean", "inverse")).groupBy("pool", "start", bin_of).agg(*_sums())
-        last, fit = fit, cut(binned.groupBy("pool", "start").applyInPandas(concentrate, FIT))
-        before = small(last.select("pool", "start", F.col("logdet").alias("before")), 100)
-        if not fit.join(before, ["pool", "start"]).agg(F.bool_or(F.col("logdet") < F.col("before") - SETTLED)).first()[0]:
+        binned = rows.join(sent(fit), "pool").withColumn("d2", distance("mean", "inverse")).groupBy("pool", "start", bin_of).agg(*_sums())
+        before = sent(fit.select("pool", "start", F.col("best").alias("before")))
+        new = binned.groupBy("pool", "start").applyInPandas(concentrate, FIT).join(before, ["pool", "start"])
+        fit = cut(new.select("*", F.least("logdet", "before").alias("best"), (F.col("logdet") < F.col("before") - SETTLED).alias("fell")).drop("before"))
+        if fit.where("fell").isEmpty():
             break
+        fit = fit.drop("fell")
     return fit.groupBy("pool").agg(F.min_by(F.struct("mean", "inverse", "scale"), F.struct("logdet", "start")).alias("f")).select("pool", "f.*")
 
 
