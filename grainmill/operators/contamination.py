@@ -1,4 +1,8 @@
-"""Contamination review: matches, the sentences that hold them, rules, decisions and removal."""
+"""Contamination review: matches, the sentences that hold them, rules, decisions and removal.
+
+Null texts have no findings and stay null where spans or sentences are removed; documents without findings get no
+decision; documents that tie in a list stand by their id; repeated findings of one sentence are one; empty tables give
+empty results."""
 
 from __future__ import annotations
 

@@ -1,4 +1,8 @@
-"""Decoding filters over a table of logits: (sample, token, logit)."""
+"""Decoding filters over a table of logits: (sample, token, logit).
+
+Null logits take no part: they are never kept, and add nothing. Ties stay together in top_k, and are cut by the smaller
+token in nucleus and decode_step. Arrays that are null or shorter than an n-gram ban and repeat nothing. Repeated rows of
+a token count as tokens of their own; a sample without tokens, and an empty table, give no rows."""
 
 from __future__ import annotations
 

@@ -1,4 +1,7 @@
-"""Task grids and resuming them."""
+"""Task grids and resuming them.
+
+Null keys are keys of their own and match null keys; repeated tasks stay repeated unless they are done; empty tables give
+empty grids. A limit takes the first rows of a total order, so reruns take the same."""
 
 from __future__ import annotations
 

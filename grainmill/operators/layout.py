@@ -1,4 +1,8 @@
-"""Page layout: glyphs and words to lines, columns, and line filters."""
+"""Page layout: glyphs and words to lines, columns, and line filters.
+
+Glyphs without a size or place are dropped; null texts add nothing to a line; glyphs that tie in their place stand in the
+order of their texts; repeated glyphs are drawn twice; pages without glyphs, and empty tables, have no lines. A page, not
+a book, is what one task holds."""
 
 from __future__ import annotations
 

@@ -1,4 +1,7 @@
-"""Tokens: vocabulary training counts, splits, streams packed into fixed blocks, pairs, batches and mixes."""
+"""Tokens: vocabulary training, splits, streams packed into fixed blocks, pairs, batches and mixes.
+
+Null and empty arrays of ids take no place in a stream and are split into nothing; documents that tie in an order are
+packed one after another in any order; repeated rows are packed as often as they are there; empty tables give no blocks."""
 
 from __future__ import annotations
 

@@ -1,4 +1,7 @@
-"""Books from metadata: filters, categories, best formats, priorities and the byte budget."""
+"""Books from metadata: filters, categories, best formats, priorities and the byte budget.
+
+Null texts hold no word; null sizes and years count as unknown and add nothing; books that tie are told apart by the
+order named with each rule; repeated rows are books of their own until they are deduplicated; empty tables stay empty."""
 
 from __future__ import annotations
 
