@@ -320,6 +320,16 @@ def line_rules(spark, d):
     return lines.groupBy("doc_id").agg(F.count_if(T.is_prose_line(F.col("l"))).alias("n_prose"), F.count_if(T.mostly_upper(F.col("l"))).alias("n_upper"))
 
 
+@query("line_filters", r"""WITH l AS (SELECT doc_id, trim(unnest(string_split(concat('H72 ', replace(text, '. ', chr(10) || '12 ' || chr(10) || 'B' || chr(10) || 'Fig. 3' || chr(10))), chr(10)))) AS t FROM documents),
+m AS (SELECT doc_id, regexp_replace(t, '^[A-Z]?\d{2,3}\s+', '') AS t FROM l WHERE t <> '' AND NOT regexp_matches(t, '^\s*\d+\s*/') AND NOT regexp_matches(t, '(?i)^(Figure|Fig\.|Table|TAB)\b') AND NOT regexp_matches(t, '^[A-Z]$'))
+SELECT doc_id, count(*) AS n, CAST(sum(length(t)) AS BIGINT) AS chars FROM m WHERE NOT regexp_matches(t, '^\d+$') AND length(t) >= 1 GROUP BY doc_id""")
+def line_filters(spark, d):
+    """Page headers, figures and lone capitals put into the texts, and filtered out again."""
+    put = F.concat(F.lit("H72 "), F.replace("text", F.lit(". "), F.lit("\n12 \nB\nFig. 3\n")))
+    lines = table(spark, d, "documents").select("doc_id", F.explode(F.split(put, "\n")).alias("t"))
+    return Y.filter_lines(lines, "t", **Y.BOOK_TEXT).groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.length("t")).alias("chars"))
+
+
 REPORT = ["CORPUS: general", "Pattern: 'sun'", "Regex: s.n", "[3 matches] b.txt", "[1 matches] c.txt", "-----", "[2 matches] d.txt", "Regex: moon", "[4 matches] c.txt", "Summary for x", "CORPUS: other", "[9 matches] c.txt"]
 
 

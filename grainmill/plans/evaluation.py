@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import stats as S
 from ..operators import evaluation as E
+from ..operators import grids as G
 from ..operators import judging as J
 from . import base as B
 from .base import query, rounded, table
@@ -320,3 +321,25 @@ def variant_labels(spark, d):
     rows = [(1, "mine", "x", None), (2, None, "judged_lora500", None), (3, "", "out_1000", "a/500"), (4, None, "base_run", "a/b"), (5, None, "x", "run/lora500"), (6, None, "x", None), (7, None, "x", "a/ckpt/")]
     t = spark.createDataFrame(rows, "i int, label string, stem string, adapter string")
     return t.select("i", J.variant_label(F.col("label"), F.col("stem"), F.col("adapter")).alias("variant_label"))
+
+
+@query("phase1_errors", """SELECT doc_id, concat_ws(', ', CASE WHEN quality = 1 AND doc_id % 7 = 0 THEN 'Invalid quality_score' END, CASE WHEN toxic = 1 THEN 'Invalid stance_label' END,
+  CASE WHEN doc_id % 5 = 0 THEN 'Invalid proto_heliocentric_label' END) AS errors FROM labels""")
+def phase1_errors(spark, d):
+    i = F.col("doc_id")
+    rows = table(spark, d, "labels").select(i, F.when((F.col("quality") == 1) & (i % 7 == 0), 3).otherwise(F.col("quality")).alias("quality_score"), F.when(F.col("toxic") == 1, "odd").otherwise("geocentric").alias("stance_label"), F.col("quality").alias("earth_motion_mention"), F.col("toxic").alias("explicit_earth_motion_label"), F.when(i % 5 != 0, 1).alias("proto_heliocentric_label"))
+    return rows.select("doc_id", F.array_join(J.phase1_errors(rows), ", ").alias("errors"))
+
+
+@query("identities", """SELECT conv_id, turn, CASE WHEN role = 'user' THEN concat('{"conv_id":', conv_id, '}') ELSE concat('{"conv_id":', conv_id, ',"turn":', turn, '}') END AS identity FROM conversations""")
+def identities(spark, d):
+    """The identity of a row leaves out the keys that are null."""
+    rows = table(spark, d, "conversations").select("conv_id", F.col("turn").alias("n"), F.when(F.col("role") != "user", F.col("turn")).alias("turn"))
+    return G.identity(rows, ["turn", "conv_id", "absent"]).select("conv_id", F.col("n").alias("turn"), "identity")
+
+
+@query("smoke_answers", "SELECT doc_id, quality AS quality_score, 'ambiguous' AS stance_label, toxic AS explicit_earth_motion_label, CAST(NULL AS INT) AS proto_heliocentric_label FROM labels")
+def smoke_answers(spark, d):
+    """Answers of the four-field judge, as JSON text, read by its schema."""
+    text = F.to_json(F.struct(F.col("quality").alias("quality_score"), F.lit("ambiguous").alias("stance_label"), F.col("toxic").alias("explicit_earth_motion_label"), F.lit("x").alias("other")))
+    return table(spark, d, "labels").select("doc_id", F.from_json(text, J.SMOKE_SCHEMA).alias("r")).select("doc_id", "r.*")

@@ -115,6 +115,22 @@ def bpe_encode(spark, d):
     return P.encode(docs.select("doc_id", "text"), "text", vocab, merges).select("doc_id", F.size("ids").alias("n_tokens"))
 
 
+@query("bundle_blocks", """WITH n AS (SELECT 2 + octet_length(encode(trim(text, ' '))) AS n FROM documents), k AS (SELECT n, least(greatest(CAST(trunc(CAST(0.9 AS DOUBLE) * n) AS BIGINT), 1), n - 1) AS k FROM n)
+SELECT 'train' AS part, CAST(sum(k) // 512 AS BIGINT) AS blocks, CAST(sum(k) // 512 * 512 AS BIGINT) AS tokens FROM k UNION ALL SELECT 'val', CAST(sum(n - k) // 512 AS BIGINT), CAST(sum(n - k) // 512 * 512 AS BIGINT) FROM k""")
+def bundle_blocks(spark, d):
+    """Documents to training and validation blocks, with a vocabulary of bytes alone."""
+    vocab = {s: i for i, s in enumerate([*P.SPECIALS, *map(chr, range(256))])}
+    parts = P.dataset_bundle(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text", vocab, [], length=512)
+    rows = [b.select(F.lit(k).alias("part"), F.size("ids").alias("n")) for k, b in parts.items()]
+    return rows[0].union(rows[1]).groupBy("part").agg(F.count("*").alias("blocks"), F.sum("n").alias("tokens"))
+
+
+@query("cache_names", "SELECT n_nationkey, concat('corpus_', n_nationkey, '+general-v2') AS name FROM nation")
+def cache_names(spark, d):
+    keys = [r.n_nationkey for r in table(spark, d, "nation").select("n_nationkey").collect()]  # 25 rows
+    return spark.createDataFrame([(k, P.cache_name(["data/general/", f"data/corpus_{k}"], "v2")) for k in keys], "n_nationkey int, name string")
+
+
 LOGITS = "lg AS (SELECT vec_id AS sample, CAST(unnest(range(len(embedding))) AS INT) AS token, round(CAST(unnest(embedding) AS DOUBLE) * 8, 1) + 0.0 AS logit FROM embeddings)"
 
 
