@@ -123,12 +123,14 @@ def phrase_hits(docs: DataFrame, phrases: DataFrame, id_col: str, text_col: str,
     looked at again only where a hash meets. The hashes go to all executors while their counted size allows, else windows
     are shuffled. Null and empty phrases match nothing; documents that share an id are one."""
     words = F.split(folded(F.col(phrase_col)), " ")
-    asked = written(phrases.select(F.col(phrase_id).alias("__item"), folded(F.col(phrase_col)).alias("__phrase"), F.size(words).alias("__n")).where("__phrase <> ''").withColumn("__h", F.xxhash64("__phrase")))
+    asked = written(phrases.select(F.col(phrase_id).alias("__item"), folded(F.col(phrase_col)).alias("__phrase"), words.alias("__w"), F.size(words).alias("__n")).where("__phrase <> ''"))
     lengths = [r[0] for r in asked.select("__n").distinct().orderBy("__n").collect()]  # a few numbers
     if not lengths:
         return docs.select(F.col(id_col), F.lit(None).cast(dict(phrases.dtypes)[phrase_id]).alias(phrase_id)).limit(0)
-    side = small(asked, 200)
-    window = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.size("__w") - n + 1, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice("__w", i, n), " ")))
+    hash_at = lambda n, i: F.xxhash64(*[F.get("__w", i + k) for k in range(n)])
+    own = F.coalesce(*[F.when(F.col("__n") == n, hash_at(n, F.lit(0))) for n in lengths])
+    side = small(asked.select("__item", "__phrase", own.alias("__h")), 200)
+    window = lambda n: F.transform(F.sequence(F.lit(0), F.greatest(F.size("__w") - n, F.lit(0))), lambda i: hash_at(n, i))
     hashes = F.array_distinct(F.concat(*[window(n) for n in lengths]))
     text = folded(F.col(text_col))
     met = docs.select(F.col(id_col).alias("__id"), F.split(text, " ").alias("__w")).select("__id", F.explode(hashes).alias("__h")).join(side, "__h")
