@@ -237,3 +237,9 @@ def test_bundle(spark):
     assert n["train"] + n["val"] <= full < n["train"] + n["val"] + 8 and n["val"] > 0
     with pytest.raises(ValueError):
         P.check_specials({"<pad>": 0})
+
+
+def test_seeded_permutation():
+    names = [f"{i}.txt" for i in range(20)]
+    places = P.seeded_permutation(names, 7)
+    assert sorted(places.values()) == list(range(20)) and places == P.seeded_permutation(names[::-1], 7) != P.seeded_permutation(names, 8)
