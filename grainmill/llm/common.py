@@ -40,12 +40,6 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark remove the shuffle files of steps whose results are cut tables by now: it does so once the driver's
-    garbage is collected, which may otherwise take as long as the whole job."""
-    spark.sparkContext._jvm.System.gc()
-
-
 def small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_LIMIT) -> DataFrame:
     """df marked for broadcast if its row count times row_bytes is within the limit, else df itself.
     df should be a cut table, as it is counted here."""
