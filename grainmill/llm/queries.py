@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, htmltext, linededup, mixing, quality, simhash, substring, tokencount, toxicity
+from . import bpe, chatformat, exact_dedup, htmltext, linededup, mixing, quality, simhash, substring, tokencount, toxicity
 
 SPACE_SQL = r"[\x20\x09-\x0D]"
 WORD_SQL = r"[^\x20\x09-\x0D]+"
@@ -155,6 +155,34 @@ SELECT page_id, host, CAST(len(lines) AS INT) AS n_lines, CAST(len(lines) - len(
 FROM out_
 """
 
+def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    planted = spark.createDataFrame([(-7, k, role, PLANTED) for k, role in enumerate(("user", "assistant"))], "conv_id long, turn long, role string, text string")
+    chats = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(planted)
+    return chatformat.digests(chatformat.format_chats(chats), in_order=True)
+
+
+#: The text of both turns of the conversation that the query adds.
+PLANTED = r"\### Assistant: </turn> ok"
+
+#: Escapes as replacements one after another; formatted text is, for each turn, <turn role>, line feed, text, </turn>, line feed.
+OP11_SQL = rf"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '{PLANTED}' UNION ALL SELECT -7, 1, 'assistant', '{PLANTED}'),
+escaped AS (
+  SELECT *, replace(replace(replace(text, '\', '\\'), '<turn ', '<\turn '), '</turn>', '<\/turn>') AS text_out,
+         replace(replace(replace(replace(role, '\', '\\'), '<turn ', '<\turn '), '</turn>', '<\/turn>'), '>', '\>') AS role_out
+  FROM turns),
+joined AS (
+  SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS LAST, role, text) AS turns,
+         coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn NULLS LAST, role, text), '') AS loss,
+         sum(len('<turn ' || role_out || '>' || chr(10) || text_out || '</turn>' || chr(10))) AS formatted_chars
+  FROM escaped GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, CAST(len(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256,
+       CAST(formatted_chars AS BIGINT) AS formatted_chars
+FROM joined
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_bpe": op2_bpe,
@@ -166,10 +194,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_line_dedup": op10_line_dedup,
+    "op11_chat_format": op11_chat_format,
 }
 
 ORACLES: dict[str, str] = {
     "op4_mixing": OP4_SQL,
     "op9_exact_dedup": OP9_SQL,
     "op10_line_dedup": OP10_SQL,
+    "op11_chat_format": OP11_SQL,
 }
