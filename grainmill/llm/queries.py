@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chatformat, exact_dedup, htmltext, linededup, mixing, quality, simhash, substring, tokencount, toxicity
+from . import bpe, chatformat, exact_dedup, htmltext, lexical, linededup, mixing, quality, simhash, substring, tokencount, toxicity
 
 SPACE_SQL = r"[\x20\x09-\x0D]"
 WORD_SQL = r"[^\x20\x09-\x0D]+"
@@ -183,6 +183,40 @@ SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, CAST(len(loss) AS BIGINT
 FROM joined
 """
 
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = lexical.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return r.select(F.col("item").alias("item_id"), F.col("rank").cast("int").alias("rank"), F.col("id").alias("doc_id"), "score")
+
+
+TERM_SQL = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+#: Equal scores go by doc_id; a document's terms are counted by text, as a table can hold one id several times.
+OP13_SQL = rf"""
+WITH docs AS (
+  SELECT row_number() OVER () AS doc, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{TERM_SQL}') AS terms
+  FROM documents),
+items AS (
+  SELECT row_number() OVER () AS item, item_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{TERM_SQL}') AS terms
+  FROM benchmark),
+stats AS (SELECT CAST(count(*) AS BIGINT) AS n_docs, CAST(sum(len(terms)) AS BIGINT) AS n_terms FROM docs WHERE len(terms) > 0),
+asked AS (SELECT item, term, count(*) AS times FROM (SELECT item, unnest(terms) AS term FROM items) GROUP BY item, term),
+tf AS (
+  SELECT doc, term, CAST(count(*) AS BIGINT) AS tf
+  FROM (SELECT doc, unnest(terms) AS term FROM docs) WHERE term IN (SELECT term FROM asked) GROUP BY doc, term),
+weights AS (
+  SELECT term, CAST(floor(1000 * ln(CAST(2 * any_value(n_docs) + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w
+  FROM tf, stats GROUP BY term),
+scored AS (
+  SELECT item, doc, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * len(terms) * n_docs) // n_terms)))) AS BIGINT) AS score
+  FROM asked JOIN weights USING (term) JOIN tf USING (term) JOIN docs USING (doc), stats GROUP BY item, doc),
+ranked AS (
+  SELECT item_id, CAST(row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST) AS INT) AS rank, doc_id, score
+  FROM scored JOIN docs USING (doc) JOIN items USING (item) WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_bpe": op2_bpe,
@@ -195,6 +229,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_exact_dedup": op9_exact_dedup,
     "op10_line_dedup": op10_line_dedup,
     "op11_chat_format": op11_chat_format,
+    "op13_ranked_search": op13_ranked_search,
 }
 
 ORACLES: dict[str, str] = {
@@ -202,4 +237,5 @@ ORACLES: dict[str, str] = {
     "op9_exact_dedup": OP9_SQL,
     "op10_line_dedup": OP10_SQL,
     "op11_chat_format": OP11_SQL,
+    "op13_ranked_search": OP13_SQL,
 }
