@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chatformat, exact_dedup, htmltext, lexical, linededup, mixing, quality, simhash, substring, tokencount, toxicity
+from . import bpe, chatformat, exact_dedup, hardneg, htmltext, lexical, linededup, mixing, quality, simhash, substring, tokencount, toxicity
 
 SPACE_SQL = r"[\x20\x09-\x0D]"
 WORD_SQL = r"[^\x20\x09-\x0D]+"
@@ -183,6 +183,33 @@ SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, CAST(len(loss) AS BIGINT
 FROM joined
 """
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.col("label").cast("long").alias("label"))
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hardneg.mine(vectors.withColumn("label", moved))
+
+
+#: Scores are sums of products of whole numbers below 2^53, exact as doubles.
+OP12_SQL = """
+WITH v AS (
+  SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (CAST(label AS BIGINT) + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT a.r AS anchor, a.vec_id AS anchor_id, b.r AS other, b.vec_id, a.label = b.label AS same,
+         CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.r <> b.r WHERE a.vec_id % 50 = 0),
+positives AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id NULLS LAST) AS k FROM scored WHERE same) WHERE k <= 5),
+windows AS (
+  SELECT p.anchor_id, p.vec_id AS positive_id, n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score,
+         CAST(row_number() OVER (PARTITION BY p.anchor, p.other ORDER BY n.score DESC, n.vec_id NULLS LAST) AS INT) AS rank
+  FROM positives p JOIN scored n ON p.anchor = n.anchor AND NOT n.same AND 50 * p.score <= 100 * n.score AND 100 * n.score <= 95 * p.score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM windows WHERE rank <= 3
+"""
+
+
 def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = lexical.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return r.select(F.col("item").alias("item_id"), F.col("rank").cast("int").alias("rank"), F.col("id").alias("doc_id"), "score")
@@ -229,6 +256,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_exact_dedup": op9_exact_dedup,
     "op10_line_dedup": op10_line_dedup,
     "op11_chat_format": op11_chat_format,
+    "op12_hard_negatives": op12_hard_negatives,
     "op13_ranked_search": op13_ranked_search,
 }
 
@@ -237,5 +265,6 @@ ORACLES: dict[str, str] = {
     "op9_exact_dedup": OP9_SQL,
     "op10_line_dedup": OP10_SQL,
     "op11_chat_format": OP11_SQL,
+    "op12_hard_negatives": OP12_SQL,
     "op13_ranked_search": OP13_SQL,
 }
