@@ -154,11 +154,15 @@ def _cells(blocks: DataFrame, chunks: DataFrame, n_blocks: int, n_chunks: int) -
 
 
 def bond(columns: np.ndarray, low: np.ndarray, high: np.ndarray, anchor: np.ndarray, at: np.ndarray, stays: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(places, exact scores) of the rows at `at` that stays(lower bounds, upper bounds) never drops from the bitmap."""
+    """(places, exact scores) of the rows at `at` that stays(lower bounds, upper bounds) never drops from the bitmap.
+    Whole numbers in doubles have exact bounds; those of 64-bit integers are doubles with room for rounding."""
     used = min(len(anchor), len(columns))
     order = np.argsort(-np.abs(anchor[:used]), kind="stable")
-    ends = np.sort(anchor[order] * np.stack((low[order], high[order])), axis=0)
-    least, most = np.concatenate((ends[:, ::-1].cumsum(axis=1)[:, ::-1], np.zeros((2, 1), ends.dtype)), axis=1)
+    ends = np.sort(anchor[order].astype(np.float64) * np.stack((low[order], high[order])), axis=0)
+    least, most = np.concatenate((ends[:, ::-1].cumsum(axis=1)[:, ::-1], np.zeros((2, 1))), axis=1)
+    if columns.dtype != np.float64:
+        room = np.abs(ends).sum() * 1e-12 + 4096
+        least, most = least - room, most + room
     sums = np.zeros(len(at), columns.dtype)
     for k in range(0, used, STEP):
         dims = order[k : k + STEP]
@@ -205,7 +209,7 @@ def _scan(cells: DataFrame, one: Callable, schema: str) -> DataFrame:
         ids, nulls, labels = np.frombuffer(b["ids"], np.int64), np.frombuffer(b["nulls"], bool), np.frombuffer(b["labels"], np.int64)
         vectors = np.frombuffer(b["a_vector"], np.int64)
         low, high = np.array(b["low"], np.int64), np.array(b["high"], np.int64)
-        if width * max(1.0, np.abs(columns).max(initial=0)) * max(1.0, np.abs(vectors).max(initial=0)) < 2**53:
+        if width * float(np.abs(columns).max(initial=1)) * float(np.abs(vectors).max(initial=1)) < 2**53:
             columns, vectors, low, high = (x.astype(np.float64) for x in (columns, vectors, low, high))  # exact, and faster
         starts = np.concatenate(([0], np.cumsum(b["a_size"]))).astype(np.int64)
         a_block, a_pos, a_label = (np.frombuffer(b[k], np.int64) for k in ("a_block", "a_pos", "a_label"))
@@ -248,13 +252,12 @@ def mine(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddin
         return [(at[k], exact[k], None) for k in np.argsort(-exact, kind="stable")[:positives]]
 
     def within(columns, low, high, labels, anchor, label, own, scores):
-        p = np.array(scores, np.int64)
-        floor, top = -((-p * least) // 100), p * most // 100
+        floor, top = (np.array([f(int(p)) for p in scores]) for f in (lambda p: -(-p * least // 100), lambda p: p * most // 100))
         at, exact = bond(columns, low, high, anchor, np.nonzero(labels != label)[0], _windows(floor, top, negatives))
         found = []
-        for k in range(len(p)):
+        for k in range(len(scores)):
             inside = np.nonzero((exact >= floor[k]) & (exact <= top[k]))[0]
-            found += [(at[h], exact[h], int(p[k])) for h in inside[np.argsort(-exact[inside], kind="stable")[:negatives]]]
+            found += [(at[h], exact[h], int(scores[k])) for h in inside[np.argsort(-exact[inside], kind="stable")[:negatives]]]
         return found
 
     first = _cells(blocks, _chunks(anchors.withColumn("scores", F.expr("cast(array() as array<long>)")), n_chunks), n_blocks, n_chunks)

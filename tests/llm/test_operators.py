@@ -34,7 +34,9 @@ def documents(spark):
 def test_queries(spark, duck, name):
     got = queries.QUERIES[name](spark, DATA).toPandas()
     table = "pages" if name.startswith(("op6_", "op10_")) else "documents"
-    if name != "op3_substring_dedup":
+    if name.startswith(("op11_", "op12_", "op13_")):
+        assert len(got)
+    elif name != "op3_substring_dedup":
         assert len(got) == duck.sql(f"select count(*) from {table}").fetchall()[0][0]
     if name in queries.ORACLES:
         want = duck.sql(queries.ORACLES[name]).df()
