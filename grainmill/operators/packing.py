@@ -10,107 +10,34 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
 
 from .grids import first_of
 from .selection import running_total
 from .shared import written
+from .vocabulary import BYTES, train_merges
 
-SPECIALS = ("<pad>", "<unk>", "<doc>", "<eos>")
+#: Special tokens in the order of their ids, and the pieces that merges may not cross.
+SPECIALS = ("<doc>", "<pad>", "<bos>", "<eos>")
+PIECES = r"(?U)'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
-def word_counts(docs: DataFrame, text_col: str) -> DataFrame:
-    """(word, n): pieces that merges may not cross, with the space before them, counted over all documents."""
-    pieces = F.regexp_extract_all(F.col(text_col), F.lit(r"(?U)'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+"), 0)
-    return docs.select(F.explode(pieces).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-
-
-def merged(parts: Sequence[str], pair: tuple[str, str]) -> list[str]:
-    """parts with each occurrence of the pair joined, from the left."""
-    out, k = [], 0
-    while k < len(parts):
-        if k + 1 < len(parts) and (parts[k], parts[k + 1]) == pair:
-            out.append(parts[k] + parts[k + 1])
-            k += 2
-        else:
-            out.append(parts[k])
-            k += 1
-    return out
-
-
-def in_one_round(pairs: Sequence[tuple[str, str, int]], least: int, most: int) -> list[tuple[str, str]]:
-    """Of pairs sorted most frequent first, those that one round can merge as if one after another: up to the first whose
-    count a merge before it changes. Merging a, b only takes from pairs that start with b or end with a, and what it makes
-    is no more frequent than those."""
-    out, firsts, seconds = [], set(), set()
-    for a, b, n in pairs:
-        if n < least or len(out) == most or a in seconds or b in firsts:
-            break
-        out.append((a, b))
-        firsts.add(a)
-        seconds.add(b)
-        if a == b:
-            break
-    return out
-
+def stripped(text: Column) -> Column:
+    """text without white space at its ends."""
+    return F.regexp_replace(text, r"(?U)^[\s\x1C-\x1F]+|[\s\x1C-\x1F]+$", "")
 
-def train_merges(counts: DataFrame, merges: int, least: int = 2, window: int = 1024) -> list[tuple[str, str]]:
-    """Byte-pair merges of counted words (word, n) from all words, most frequent pair first. Ties go to pairs that stand at
-    the round's start, then by the pair.
-
-    The words stay a distributed table of symbol arrays, written anew in each round. A round counts pairs map-side, takes
-    the `window` most frequent to the driver, and merges as many of them as leave each other's counts alone."""
-    table = written(counts.select(byte_symbols("word").alias("parts"), "n").where(F.size("parts") > 1))
-    out: list[tuple[str, str]] = []
-    while len(out) < merges:
-        n = F.size("parts") - 1
-        two = F.explode(F.arrays_zip(F.slice("parts", F.lit(1), n).alias("a"), F.slice("parts", F.lit(2), n).alias("b"))).alias("p")
-        pairs = table.select(two, "n").groupBy("p.a", "p.b").agg(F.sum("n").alias("n"))
-        top = [tuple(r) for r in pairs.orderBy(F.desc("n"), "a", "b").limit(window).collect()]
-        new = in_one_round(top, least, merges - len(out))
-        if not new:
-            break
-        out += new
-        table = written(apply_merges(table, new).where(F.size("parts") > 1))
-    return out
-
-
-def apply_merges(table: DataFrame, merges: Sequence[tuple[str, str]]) -> DataFrame:
-    """table (parts, n) after the merges, one after another."""
-    if not merges:
-        return table
-    todo = list(merges)
-
-    @F.pandas_udf("array<string>")
-    def after(parts: pd.Series) -> pd.Series:
-        rank = {m: i for i, m in enumerate(todo)}
-
-        def one(p):
-            p = list(p)
-            while len(p) > 1:
-                r, pair = min(((rank.get(x, len(todo)), x) for x in zip(p, p[1:])))
-                if r == len(todo):
-                    break
-                p = merged(p, pair)
-            return p
 
-        return parts.map(one)
-
-    return table.select(after("parts").alias("parts"), "n")
-
-
-@F.pandas_udf(ArrayType(StringType()))
-def byte_symbols(word: pd.Series) -> pd.Series:
-    """A word's UTF-8 bytes, each as the character of its number."""
-    return word.map(lambda w: [chr(b) for b in w.encode()])
+def word_counts(docs: DataFrame, text_col: str) -> DataFrame:
+    """(word, n): the pieces of stripped texts, with the space before them, counted over all documents."""
+    pieces = F.regexp_extract_all(stripped(F.col(text_col)), F.lit(PIECES), 0)
+    return docs.select(F.explode(pieces).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
 
 
 def train_vocabulary(docs: DataFrame, text_col: str, size: int = 32_000, specials: Sequence[str] = SPECIALS) -> tuple[dict[str, int], list[tuple[str, str]]]:
-    """(vocabulary, merges): specials, all 256 bytes, then merged pieces, learned from all words of all documents. Null and
-    empty texts have no words; without any pair that occurs twice there are no merges."""
-    merges = train_merges(word_counts(docs, text_col), size - 256 - len(specials))
+    """(vocabulary, merges): specials, all 256 bytes (each as the character of its number), then merged pieces, learned from
+    all words of all documents. Null and empty texts have no words; without pairs left there are fewer merges."""
+    merges = [(a.decode("latin-1"), b.decode("latin-1")) for a, b in train_merges(word_counts(docs, text_col), size - 256 - len(specials))]
     vocab = {s: i for i, s in enumerate(specials)}
-    for piece in [chr(b) for b in range(256)] + [a + b for a, b in merges]:
+    for piece in [chr(b) for b in BYTES] + [a + b for a, b in merges]:
         vocab.setdefault(piece, len(vocab))
     return vocab, merges
 
@@ -128,7 +55,7 @@ def bpe_ids(word: str, vocab: dict[str, int], ranks: dict[tuple[str, str], int])
 def encode(docs: DataFrame, text_col: str, vocab: dict[str, int], merges: Sequence[tuple[str, str]], start: str = "<doc>", eos: str | None = None) -> DataFrame:
     """Adds ids: the start token, then the ids of the stripped text [, then eos]. The model is sent to tasks once."""
     model = docs.sparkSession.sparkContext.broadcast((vocab, {m: i for i, m in enumerate(merges)}))
-    pieces = F.regexp_extract_all(F.concat(F.lit(" "), F.trim(F.col(text_col))), F.lit(r"(?U)'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+"), 0)
+    pieces = F.regexp_extract_all(F.concat(F.lit(" "), stripped(F.col(text_col))), F.lit(PIECES), 0)
 
     @F.pandas_udf("array<int>")
     def ids(words: pd.Series) -> pd.Series:

@@ -104,14 +104,14 @@ def shuffle_order(spark, d):
 
 @query("bpe_vocab")
 def bpe_vocab(spark, d):
-    vocab, _ = P.train_vocabulary(table(spark, d, "documents"), "text", size=384)
+    vocab, _ = P.train_vocabulary(table(spark, d, "documents"), "text")
     return spark.createDataFrame(sorted(vocab.items(), key=lambda x: x[1]), "piece string, id int")
 
 
 @query("bpe_encode")
 def bpe_encode(spark, d):
     docs = table(spark, d, "documents")
-    vocab, merges = P.train_vocabulary(docs, "text", size=384)
+    vocab, merges = P.train_vocabulary(docs, "text")
     return P.encode(docs.select("doc_id", "text"), "text", vocab, merges).select("doc_id", F.size("ids").alias("n_tokens"))
 
 

@@ -9,11 +9,13 @@ import statistics
 import unicodedata
 from collections import Counter
 
+import pytest
 from conftest import DATA
 from pyspark.sql import functions as F
 
 from grainmill.operators import judging as J
 from grainmill.operators import packing as P
+from grainmill.operators.vocabulary import train_merges
 from grainmill.plans.corpus import NEAR, PHRASES
 from grainmill.plans.registry import QUERIES
 
@@ -195,12 +197,53 @@ def test_decode_step(spark):
         assert got[e.vec_id] == max(score, key=score.get)
 
 
+def joined(parts, pair):
+    """parts with the pair joined wherever it stands."""
+    out, k = [], 0
+    while k < len(parts):
+        step = 2 if tuple(parts[k : k + 2]) == pair else 1
+        out.append(type(parts[0])().join(parts[k : k + step]))
+        k += step
+    return out
+
+
+def slow_merges(counts, n):
+    """Plain training: every pair counted anew for every merge; ties to the older parts."""
+    age = {bytes([b]): k for k, b in enumerate([*range(33, 127), *range(161, 173), *range(174, 256), *range(33), *range(127, 161), 173])}
+    words = {w: [bytes([b]) for b in w.encode()] for w in counts}
+    out = []
+    while len(age) < 256 + n:
+        pairs = Counter()
+        for w, p in words.items():
+            for x in zip(p, p[1:]):
+                pairs[x] += counts[w]
+        if not pairs:
+            break
+        best = min(pairs, key=lambda x: (-pairs[x], age[x[0]], age[x[1]]))
+        out.append(best)
+        age.setdefault(best[0] + best[1], len(age))
+        words = {w: joined(p, best) for w, p in words.items()}
+    return out
+
+
+@pytest.mark.parametrize("head", [1, 40, 300, 10**6])
+def test_vocabulary_training_is_exact_for_any_head(spark, head):
+    """Guessing on few words and verifying on all gives what plain training gives, to the last merge."""
+    texts = " ".join(r.text for r in rows(spark, "documents")[:40])
+    counts = Counter(re.findall(r" ?[^\W\d_]+|aaaa+|\s+", texts + " aaaaaaa aaaaaa abcabc bcabca " * 3))
+    counts = dict(sorted(counts.items())[::7])
+    frame = spark.createDataFrame([*counts.items(), (None, 5)], "word string, n long")
+    n = 120 if head <= 40 else 500
+    assert train_merges(frame, n, head_words=head) == slow_merges(counts, n)
+    assert train_merges(frame.limit(0), 10, head_words=head) == []
+
+
 def test_vocabulary_merges_the_most_frequent_pair(spark):
     texts = [r.text for r in rows(spark, "documents")][:60]
     docs = spark.createDataFrame([(t,) for t in texts], "t string")
     vocab, merges = P.train_vocabulary(docs, "t", size=256 + 4 + 80)
     assert len(merges) == 80 and len(vocab) == 340
-    pieces = Counter(w for t in texts for w in re.findall(r"'(?:[sdmt]|ll|ve|re)| ?[^\W\d_]+| ?\d+| ?(?:[^\w\s]|_)+|\s+", t))
+    pieces = Counter(w for t in texts for w in re.findall(r"'(?:[sdmt]|ll|ve|re)| ?[^\W\d_]+| ?\d+| ?(?:[^\w\s]|_)+|\s+(?!\S)|\s+", t.strip()))
     words = {w: [chr(b) for b in w.encode()] for w in pieces}
     for pair in merges:
         counts = Counter()
@@ -208,7 +251,7 @@ def test_vocabulary_merges_the_most_frequent_pair(spark):
             for x in zip(p, p[1:]):
                 counts[x] += pieces[w]
         assert counts[pair] == max(counts.values())
-        words = {w: P.merged(p, pair) for w, p in words.items()}
+        words = {w: joined(p, pair) for w, p in words.items()}
     assert sum(len(p) * pieces[w] for w, p in words.items()) + len(texts) > 0
     ids = {t: r.ids for t, r in zip(texts, P.encode(docs.withColumn("i", F.monotonically_increasing_id()), "t", vocab, merges).orderBy("i").collect())}
     names = {i: x for x, i in vocab.items()}
