@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator, Sequence
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -123,22 +125,15 @@ def consistent_2(df: DataFrame) -> DataFrame:
     return d.select("*", c("stance").alias("stance_label"), names[c("stance")].alias("stance_normalized"), c("__moves").alias("explicit_earth_motion_binary"), c("proto_heliocentric_label").isin("weak", "strong").alias("proto_heliocentric_binary"), refined.alias("refined_proto_heliocentric_binary"), c("rationale").alias("reason")).drop("__moves")
 
 
+#: Whole strings (one that isn't closed goes to the end), which hide their braces, and braces.
+BRACES = re.compile(r'"(?:[^"\\]|\\.|\\\Z)*(?:"|\Z)|([{}])', re.S)
+
+
 def balanced_object(text: str) -> str | None:
-    """The first brace-balanced stretch of a text; braces in strings don't count."""
-    start, depth, quoted, escaped = text.find("{"), 0, False, False
-    if start < 0:
-        return None
-    for i in range(start, len(text)):
-        ch = text[i]
-        if quoted:
-            quoted, escaped = (ch != '"' or escaped), (ch == "\\" and not escaped)
-        elif ch == '"':
-            quoted = True
-        elif ch in "{}":
-            depth += 1 if ch == "{" else -1
-            if not depth:
-                return text[start : i + 1]
-    return None
+    """From the first brace to where braces outside strings come out even; None if they never do."""
+    braces = [m for m in BRACES.finditer(text, text.find("{")) if m[1]] if "{" in text else []
+    depth = list(accumulate(1 if m[1] == "{" else -1 for m in braces))
+    return text[braces[0].start() : braces[depth.index(0)].end()] if 0 in depth else None
 
 
 @F.pandas_udf(StringType())

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
@@ -9,6 +10,7 @@ from ..functions import text as T
 from ..operators import cleaning as C
 from ..operators import contamination as R
 from ..operators import grids as G
+from ..operators import intervals as I
 from ..operators import layout as Y
 from ..operators import selection as S
 from ..sources import corpus as SRC
@@ -330,15 +332,61 @@ def line_filters(spark, d):
     return Y.filter_lines(lines, "t", **Y.BOOK_TEXT).groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.length("t")).alias("chars"))
 
 
-REPORT = ["CORPUS: general", "Pattern: 'sun'", "Regex: s.n", "[3 matches] b.txt", "[1 matches] c.txt", "-----", "[2 matches] d.txt", "Regex: moon", "[4 matches] c.txt", "Summary for x", "CORPUS: other", "[9 matches] c.txt"]
-
-
-@query("report_forward_fill", "SELECT * FROM (VALUES ('b.txt', 3, 'sun=3'), ('c.txt', 5, 'moon=4,sun=1'), ('d.txt', 2, '')) t(filename, matches, patterns)")
+#: Lines of three reports, a line for each row of lineitem: corpora, patterns, regexes, separators and matches.
+REPORT_SQL = """lines AS (
+  SELECT l_suppkey % 3 AS path, row_number() OVER (PARTITION BY l_suppkey % 3 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS line_no,
+         CASE (l_orderkey * 5 + l_linenumber * 3) % 16
+           WHEN 0 THEN 'CORPUS: ' || CASE WHEN l_partkey % 3 = 0 THEN 'other' ELSE 'general' END
+           WHEN 1 THEN 'Pattern: ''p' || l_suppkey % 5 || '''' WHEN 2 THEN '  Pattern: p' || l_suppkey % 5
+           WHEN 3 THEN 'Regex: r' || l_partkey % 4 WHEN 4 THEN 'Regex: r' || l_partkey % 4
+           WHEN 5 THEN '-----' WHEN 6 THEN 'Summary for x' WHEN 7 THEN 'some line'
+           ELSE '[' || CAST(l_quantity AS BIGINT) || ' matches] f' || l_partkey % 50 || '.txt' END AS value
+  FROM lineitem)"""
+
+
+@query("report_forward_fill", f"""WITH {REPORT_SQL}, marked AS (
+  SELECT *, trim(value) AS v, regexp_matches(trim(value), '^(CORPUS|Pattern|---|Summary)') AS cuts FROM lines),
+held AS (
+  SELECT *, last_value(CASE WHEN v LIKE 'CORPUS:%' THEN v END IGNORE NULLS) OVER w AS corpus, sum(CAST(cuts AS INT)) OVER w AS section
+  FROM marked WINDOW w AS (PARTITION BY path ORDER BY line_no)),
+named AS (
+  SELECT *, coalesce(first_value(CASE WHEN v LIKE 'Pattern:%' THEN replace(substr(v, 10), '''', '') WHEN v LIKE 'Regex:%' THEN substr(v, 8) END IGNORE NULLS)
+    OVER (PARTITION BY path, section ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), '') AS pattern
+  FROM held),
+sums AS (
+  SELECT regexp_extract(v, '\\] (.*)', 1) AS filename, pattern, sum(CAST(regexp_extract(v, '[0-9]+') AS BIGINT)) AS n
+  FROM named WHERE corpus = 'CORPUS: general' AND v LIKE '[%' GROUP BY ALL)
+SELECT filename, CAST(sum(n) AS BIGINT) AS matches,
+       coalesce(string_agg(CASE WHEN pattern <> '' THEN pattern || '=' || n END, ',' ORDER BY pattern), '') AS patterns
+FROM sums GROUP BY filename""")
 def report_forward_fill(spark, d):
-    lines = spark.createDataFrame([("r", i, v) for i, v in enumerate(REPORT)], "path string, line_no int, value string")
+    """Reports of any length, read in stretches that know nothing of each other."""
+    li = table(spark, d, "lineitem")
+    kind = (F.col("l_orderkey") * 5 + F.col("l_linenumber") * 3) % 16
+    joined = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in parts])
+    supplier, part = F.col("l_suppkey") % 5, F.col("l_partkey") % 4
+    value = F.when(kind == 0, joined("CORPUS: ", F.when(F.col("l_partkey") % 3 == 0, "other").otherwise("general")))
+    value = value.when(kind == 1, joined("Pattern: 'p", supplier, "'")).when(kind == 2, joined("  Pattern: p", supplier)).when(kind.isin(3, 4), joined("Regex: r", part))
+    value = value.when(kind == 5, "-----").when(kind == 6, "Summary for x").when(kind == 7, "some line")
+    value = value.otherwise(joined("[", F.col("l_quantity").cast("long"), " matches] f", F.col("l_partkey") % 50, ".txt"))
+    place = F.row_number().over(Window.partitionBy(F.col("l_suppkey") % 3).orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))
+    lines = li.select((F.col("l_suppkey") % 3).alias("path"), place.alias("line_no"), value.alias("value"))
     r = SRC.report_lines(lines, "general", "exact")
     flat = F.array_join(F.transform(F.array_sort(F.map_entries("patterns")), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
-    return r.select("filename", F.col("matches").cast("int").alias("matches"), flat.alias("patterns"))
+    return r.select("filename", "matches", flat.alias("patterns"))
+
+
+@query("points_in_spans", """SELECT p.l_suppkey AS suppkey, p.l_orderkey AS orderkey, count(*) AS n_spans, CAST(sum(s.l_orderkey) AS BIGINT) AS spans
+FROM lineitem p JOIN lineitem s ON p.l_suppkey = s.l_suppkey AND s.l_shipdate <= p.l_shipdate AND CAST(p.l_shipdate AS DATE) < CAST(s.l_shipdate AS DATE) + CAST(s.l_quantity AS INT)
+GROUP BY 1, 2""")
+def points_in_spans(spark, d):
+    """Shipping dates in spans of the same supplier, of as many days as another row has pieces."""
+    day = lambda c: F.datediff(F.col(c), F.lit("1970-01-01"))
+    li = table(spark, d, "lineitem")
+    points = li.select("l_suppkey", F.col("l_orderkey").alias("orderkey"), day("l_shipdate").alias("at"))
+    spans = li.select("l_suppkey", F.col("l_orderkey").alias("span"), day("l_shipdate").alias("start"), (day("l_shipdate") + F.col("l_quantity").cast("int")).alias("stop"))
+    met = I.point_in_interval(points, spans, "l_suppkey", "at", "start", "stop")
+    return met.groupBy(F.col("l_suppkey").alias("suppkey"), "orderkey").agg(F.count("*").alias("n_spans"), F.sum("span").alias("spans"))
 
 
 @query("extract_link", r"""SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)">', 1)) AS href FROM pages""")

@@ -307,13 +307,19 @@ def label_coercion(spark, d):
     return v.select("raw", J.coerce_bool(F.col("v")).alias("as_bool"), J.coerce_label(F.col("v"), B.EXPLICIT, J.EXPLICIT_ALIASES, "earth_moves").alias("as_explicit"), J.coerce_label(F.col("v"), B.PROTO, J.PROTO_ALIASES, "strong").alias("as_proto"))
 
 
-ANSWERS = ['{"a": 1}', "  {\"a\": 1} ", '```json\n{"a": 2}\n```', 'Sure: {"a": {"b": "}"}} done', "[1, 2]", "no", '{"a": ', None]
-
-
-@query("json_repair")
+@query("json_repair", """WITH a AS (SELECT conv_id, turn, turn % 5 AS kind FROM conversations)
+SELECT conv_id, turn, CASE WHEN kind < 3 THEN conv_id END AS c, CASE WHEN kind < 3 THEN turn END AS t, CASE WHEN kind < 3 THEN '}"{' END AS s FROM a""")
 def json_repair(spark, d):
-    rows = spark.createDataFrame([(i, a) for i, a in enumerate(ANSWERS)], "i int, answer string")
-    return rows.select("i", F.to_json(J.parse_answer(F.col("answer"))).alias("object"))
+    """Turns as answers: whole objects, fenced ones, ones inside prose with braces in their strings, and answers without one."""
+    bare = F.translate(F.coalesce("text", F.lit("")), '{}"', "()")
+    inner = F.concat(F.lit('{"c": '), F.col("conv_id").cast("string"), F.lit(', "in": {"s": "}\\"{", "t": '), F.col("turn").cast("string"), F.lit("}}"))
+    rows = table(spark, d, "conversations").select("conv_id", "turn", (F.col("turn") % 5).alias("kind"), inner.alias("object"), bare.alias("prose"))
+    prose, thing, kind = F.col("prose"), F.col("object"), F.col("kind")
+    answer = F.when(kind == 0, F.concat(F.lit(" "), thing)).when(kind == 1, F.concat(F.lit("```json\n"), thing, F.lit("\n```")))
+    answer = answer.when(kind == 2, F.concat(prose, thing, prose, F.lit("{} }"))).when(kind == 3, prose).otherwise(F.concat(prose, F.lit('{"c": 1')))
+    found = J.parse_answer(answer)
+    of = lambda path, kind: F.try_variant_get(found, path, kind)
+    return rows.select("conv_id", "turn", of("$.c", "bigint").alias("c"), of("$.in.t", "bigint").alias("t"), of("$.in.s", "string").alias("s"))
 
 
 @query("variant_labels", """SELECT * FROM (VALUES (1, 'mine'), (2, 'qwen_lora500'), (3, 'qwen_lora1000'), (4, 'qwen_base'), (5, 'qwen_lora500'), (6, 'qwen_base'), (7, 'ckpt')) t(i, variant_label)""")

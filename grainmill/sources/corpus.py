@@ -6,11 +6,12 @@ import json
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ..functions import text as T
+from ..operators.reports import report_hits
 
 
 def path_glob(spark: SparkSession, pattern: str) -> list[str]:
@@ -164,17 +165,7 @@ def load_or_build(spark: SparkSession, path: str, build) -> DataFrame:
 def report_lines(lines: DataFrame, corpus: str, report: str, order: str = "line_no", text: str = "value") -> DataFrame:
     """A contamination report as (filename, matches, patterns, report_type) of one corpus. Sections set the corpus and the
     pattern; a separator or summary resets the pattern; Regex counts only where no pattern is set."""
-    v = T.strip(F.col(text))
-    named = lambda label: F.regexp_extract(v, rf"^{label}:\s*(.*)$", 1)
-    is_corpus, is_pattern, is_regex = F.startswith(v, F.lit("CORPUS:")), F.startswith(v, F.lit("Pattern:")), F.startswith(v, F.lit("Regex:"))
-    reset = F.startswith(v, F.lit("---")) | F.startswith(v, F.lit("Summary for")) | is_corpus
-    w = Window.partitionBy("path").orderBy(order)
-    d = lines.withColumn("corpus", F.last(F.when(is_corpus, named("CORPUS")), ignorenulls=True).over(w))
-    d = d.withColumn("__section", F.sum((reset | is_pattern).cast("int")).over(w))
-    s = Window.partitionBy("path", "__section").orderBy(order)
-    value = F.when(is_pattern, F.regexp_replace(named("Pattern"), "^'+|'+$", "")).when(is_regex, named("Regex"))
-    d = d.withColumn("pattern", F.first(value, ignorenulls=True).over(s))
-    hit = r"^\[(\d+)\s+matches\]\s+(.+)$"
-    found = d.where((F.col("corpus") == corpus) & F.rlike(v, F.lit(hit))).select(F.regexp_extract(v, hit, 2).alias("filename"), F.regexp_extract(v, hit, 1).cast("bigint").alias("n"), F.coalesce("pattern", F.lit("")).alias("pattern"))
+    found = report_hits(lines, corpus, order, text).select("filename", "n", F.coalesce("pattern", F.lit("")).alias("pattern"))
     sums = found.groupBy("filename", "pattern").agg(F.sum("n").alias("n"))
-    return sums.groupBy("filename").agg(F.sum("n").alias("matches"), F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("pattern") != "", F.struct("pattern", "n"))))).alias("patterns")).withColumn("report_type", F.lit(report))
+    patterns = F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("pattern") != "", F.struct("pattern", "n")))))
+    return sums.groupBy("filename").agg(F.sum("n").alias("matches"), patterns.alias("patterns")).withColumn("report_type", F.lit(report))
