@@ -7,7 +7,7 @@ empty results."""
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -21,6 +21,7 @@ from .shared import small, written
 
 #: A line's sentences: up to terminators before white space, or to the line's end.
 SENTENCE = re.compile(r"[^\n.!?]+(?:[.!?]+(?=\s|$)|$)", re.M)
+WORD = re.compile(r"\w+")
 
 
 def sentences_of(text: str) -> list[tuple[int, int]]:
@@ -35,10 +36,6 @@ def sentence_spans(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else [{"start": a, "stop": b, "text": t[a:b]} for a, b in sentences_of(t)])
 
 
-def phrase_pattern(phrase: str) -> str:
-    return r"(?iu)\Q" + phrase + r"\E"
-
-
 def proximity_pattern(a: str, b: str, words: int = 5) -> str:
     return rf"(?iuU){a}(?:\W+\w+){{0,{words}}}\W+{b}"
 
@@ -61,18 +58,85 @@ def classify(sentence: Column) -> Column:
     )
 
 
+class _Fold(dict):
+    """Characters to one form of their cases, one for one, so that places stay; filled in as texts bring them."""
+
+    def __missing__(self, code: int) -> int:
+        other = chr(code).upper().lower()
+        self[code] = ord(other) if len(other) == 1 else code
+        return self[code]
+
+
+def is_word(c: str) -> bool:
+    return c.isalnum() or c == "_"
+
+
 class Finder:
-    """Finds the sentences of a text that hold a phrase or a pair of near words."""
+    """Finds the sentences of a text that hold a phrase or a pair of near words.
+
+    All phrases and words are in one Aho-Corasick automaton, so a text is read once, however many there are. Case doesn't
+    matter. A phrase's matches don't overlap each other; a pair's second word is the last one within reach, and the next
+    match of the pair starts behind it."""
 
     def __init__(self, phrases: Sequence[str], pairs: Sequence[tuple[str, str]], words: int = 5):
-        near = lambda a, b: rf"{a}(?:\W+\w+){{0,{words}}}\W+{b}"
-        self.rules = [("exact", p, re.compile(re.escape(p), re.I)) for p in phrases]
-        self.rules += [("proximity", f"{a} [0-5 words] {b}", re.compile(near(a, b), re.I)) for a, b in pairs]
+        import ahocorasick
+
+        self.fold = _Fold({0x130: ord("i")})
+        self.words = words
+        self.phrases = list(dict.fromkeys(p for p in phrases if p))
+        self.pairs = list(dict.fromkeys(pairs))
+        places: dict[str, list[tuple[str, int]]] = {}
+        for k, p in enumerate(self.phrases):
+            places.setdefault(p.translate(self.fold), []).append(("phrase", k))
+        for k, pair in enumerate(self.pairs):
+            for side, word in zip(("left", "right"), pair, strict=True):
+                places.setdefault(word.translate(self.fold), []).append((side, k))
+        self.machine = ahocorasick.Automaton()
+        for word, uses in places.items():
+            self.machine.add_word(word, (len(word), uses))
+        if places:
+            self.machine.make_automaton()
+
+    def hits(self, text: str) -> list[tuple[int, str, str]]:
+        """(place, source, trigger) of each match."""
+        if not len(self.machine):
+            return []
+        out: list[tuple[int, str, str]] = []
+        free: dict[int, int] = {}
+        sides: dict[str, dict[int, list[tuple[int, int]]]] = {"left": {}, "right": {}}
+        end = len(text)
+        for last, (size, uses) in self.machine.iter(text.translate(self.fold)):
+            at = last + 1 - size
+            for kind, k in uses:
+                if kind == "phrase":
+                    if at >= free.get(k, 0):
+                        free[k] = at + size
+                        out.append((at, "exact", self.phrases[k]))
+                elif kind == "left" and at + size < end and not is_word(text[at + size]) or kind == "right" and at and not is_word(text[at - 1]):
+                    sides[kind].setdefault(k, []).append((at, at + size))
+        both = sides["left"].keys() & sides["right"].keys()
+        starts = [m.start() for m in WORD.finditer(text)] if both else []
+        for k in both:
+            a, b = self.pairs[k]
+            out += [(at, "proximity", f"{a} [0-5 words] {b}") for at in self._near(sides["left"][k], sides["right"][k], starts)]
+        return out
+
+    def _near(self, left: list[tuple[int, int]], right: list[tuple[int, int]], starts: list[int]) -> Iterator[int]:
+        """Where a left word has a right one behind it, with at most so many whole words between. starts: of all words."""
+        begins, free = [at for at, _ in right], 0
+        for at, stop in left:
+            if at < free:
+                continue
+            beyond = bisect_left(starts, stop) + self.words
+            k = (bisect_right(begins, starts[beyond]) if beyond < len(starts) else len(begins)) - 1
+            if k >= 0 and begins[k] > stop:
+                free = right[k][1]
+                yield at
 
     def find(self, text: str) -> list[tuple[int, int, str, list[str], list[str]]]:
         """(start, stop, text, triggers, sources) of each sentence with a match. A match outside all sentences counts for
         its whole line."""
-        hits = [(m.start(), source, trigger) for source, trigger, pattern in self.rules for m in pattern.finditer(text)]
+        hits = self.hits(text)
         if not hits:
             return []
         spans = sentences_of(text)
@@ -93,11 +157,10 @@ class Finder:
 def findings(docs: DataFrame, id_col: str, text_col: str, phrases: Sequence[str] = L.EXACT_PHRASES, pairs: Sequence[tuple[str, str]] = L.PROXIMITY_PAIRS) -> DataFrame:
     """A row for each sentence with a match: id, start, stop, sentence_text, triggers, sources, label, action, reason.
 
-    Narrow: a document's matches, sentences and lines are found where it is. Texts without any of the phrases or of the
-    pairs' words are filtered out by one pattern and never leave the JVM. Null texts have no findings; repeated rows have
-    their own; an empty table gives none."""
-    some = [phrase_pattern(p) for p in phrases] + [proximity_pattern(a, b) for a, b in pairs]
-    likely = docs.select(F.col(id_col).alias(id_col), F.col(text_col).alias("__text")).where(F.rlike("__text", F.lit("|".join(f"(?:{p})" for p in some))))
+    Narrow: a document's matches, sentences and lines are found where it is. phrases and pairs are a lexicon, held by every
+    task (phrase_hits takes a table of phrases). Null texts have no findings; repeated rows have their own; an empty table
+    gives none."""
+    likely = docs.select(F.col(id_col).alias(id_col), F.col(text_col).alias("__text")).where("__text is not null")
     kind = dict(likely.dtypes)[id_col]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

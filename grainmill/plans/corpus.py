@@ -49,9 +49,25 @@ def sentence_spans(spark, d):
     return table(spark, d, "documents").select("doc_id", F.explode(R.sentence_spans(F.col("text"))).alias("s")).select("doc_id", "s.*")
 
 
+#: One sentence for each rule of review, put behind every thirteenth document each.
+PLANTED = ("The EARTH revolves around the sun, and earth moves, they say.", "Copernicus said that earth's motion is real!", "Here earth orbits planet dust.", "I felt the earth shook and earth moves with me", "A Ptolemaic epicycle: earth circles nothing?", "It moves all around, but earth alone is moved, e.g. on earth\nwe saw motion of it.")
+
+
+def review_documents(spark, d):
+    behind = F.element_at(F.array(*[F.lit("\n" + x) for x in PLANTED]), (F.col("doc_id") % 13 + 1).cast("int"))
+    text = F.when(F.col("doc_id") % 13 < len(PLANTED), F.concat("text", behind)).otherwise(F.col("text"))
+    return table(spark, d, "documents").select("doc_id", text.alias("text"))
+
+
+def review_lexicon(spark, d):
+    """The review's own phrases and pairs, some that the test texts have, and the text of every benchmark item."""
+    items = [r.text for r in table(spark, d, "benchmark").orderBy("item_id").select("text").collect() if r.text]
+    return (*L.EXACT_PHRASES, *PHRASES, *items), (*L.PROXIMITY_PAIRS, *NEAR)
+
+
 @query("sentence_findings")
 def sentence_findings(spark, d):
-    return R.findings(table(spark, d, "documents"), "doc_id", "text", PHRASES, NEAR)
+    return R.findings(review_documents(spark, d), "doc_id", "text", *review_lexicon(spark, d))
 
 
 #: Lines with a word stand for found sentences: enn removes, tion with a long line asks for review, the rest stays.

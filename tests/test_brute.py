@@ -13,10 +13,11 @@ import pytest
 from conftest import DATA
 from pyspark.sql import functions as F
 
+from grainmill.operators import contamination as R
 from grainmill.operators import judging as J
 from grainmill.operators import packing as P
 from grainmill.operators.vocabulary import train_merges
-from grainmill.plans.corpus import NEAR, PHRASES
+from grainmill.plans.corpus import review_documents, review_lexicon
 from grainmill.plans.registry import QUERIES
 
 
@@ -84,10 +85,11 @@ def slow_near(text, a, b, words=5):
 
 def test_sentence_findings(spark):
     want = set()
-    for r in rows(spark, "documents"):
+    phrases, pairs = review_lexicon(spark, DATA)
+    for r in review_documents(spark, DATA).collect():
         spans, found = slow_sentences(r.text), {}
-        hits = [(m.start(), p, "exact") for p in PHRASES for m in re.finditer(re.escape(p), r.text, re.I)]
-        hits += [(at, f"{a} [0-5 words] {b}", "proximity") for a, b in NEAR for at in slow_near(r.text, a, b)]
+        hits = [(m.start(), p, "exact") for p in phrases for m in re.finditer(re.escape(p), r.text, re.I)]
+        hits += [(at, f"{a} [0-5 words] {b}", "proximity") for a, b in pairs for at in slow_near(r.text, a, b)]
         for at, trigger, source in hits:
             inside = [s for s in spans if s[0] <= at < s[1]]
             line = (r.text.rfind("\n", 0, at) + 1, (r.text + "\n").index("\n", at))
@@ -95,8 +97,24 @@ def test_sentence_findings(spark):
             t.add(trigger)
             s.add(source)
         want |= {(r.doc_id, a, b, tuple(sorted(t)), tuple(sorted(s))) for (a, b), (t, s) in found.items()}
-    got = {(r.doc_id, r.start, r.stop, tuple(r.triggers), tuple(r.sources)) for r in QUERIES["sentence_findings"](spark, DATA).collect()}
-    assert len(want) > 100 and got == want
+    found = QUERIES["sentence_findings"](spark, DATA).collect()
+    assert len(want) > 100 and {(r.doc_id, r.start, r.stop, tuple(r.triggers), tuple(r.sources)) for r in found} == want
+    assert {r.label for r in found} == {"DEFINITE", "HISTORICAL", "BORDERLINE", "FIGURATIVE", "FALSE_POSITIVE"}
+    assert any(len(t) > 80 for r in found for t in r.triggers), "whole benchmark items are found"
+
+
+def test_near_words_and_phrases():
+    """The automaton's matches are those of one pattern for each phrase and pair."""
+    rng = random.Random(8)
+    pairs = [("earth", "moves"), ("moves", "earth"), ("a", "a"), ("go", "go")]
+    phrases = ["aa", "a a", "earth", "EARTH moves", "ss", "x"]
+    finder = R.Finder(phrases, pairs)
+    parts = ["earth", "Earth", "moves", "MOVES", "a", "aa", "aaa", "go", "é", "ſs", "İ", "x_", "_", "-", ".", "\n", " ", " ", " ", "ß", "1"]
+    for _ in range(3000):
+        t = "".join(rng.choices(parts, k=rng.randrange(1, 40)))
+        want = [(m.start(), "exact", p) for p in phrases for m in re.finditer(re.escape(p), t, re.I)]
+        want += [(m.start(), "proximity", f"{a} [0-5 words] {b}") for a, b in pairs for m in re.finditer(rf"{a}(?:\W+\w+){{0,5}}\W+{b}", t, re.I)]
+        assert sorted(finder.hits(t)) == sorted(want), t
 
 
 def test_front_matter(spark):
