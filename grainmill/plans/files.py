@@ -17,9 +17,10 @@ from ..sources import corpus as SRC
 from ..sources import jsonl as JL
 from ..sources import rdf as RDF
 from ..sources import sinks as K
+from ..sources.stream import read_stream, write_stream
 from .base import JUDGED_SQL, judged, query, table
 from .corpus import COUNTS_SQL, assessed
-from .tokens import TOKENS, token_blocks
+from .tokens import TOKENS, token_blocks, tokens
 
 
 def _files(df, key: str, text: str) -> str:
@@ -233,6 +234,16 @@ def token_stream(spark, d):
     return spark.read.parquet(f"{folder}/blocks").select("block_id", total, F.lit(first).alias("first"), F.lit(again).alias("again"))
 
 
+@query("stream_blocks", f"WITH {TOKENS}, st AS (SELECT id, row_number() OVER (ORDER BY doc_id, i) - 1 AS p FROM (SELECT doc_id, unnest(ids) AS id, unnest(range(len(ids))) AS i FROM tok)), cut AS (SELECT id, p - 5000 AS p FROM st WHERE p >= 5000) SELECT CAST(p // 1000 AS BIGINT) AS block_id, CAST(sum(id) AS BIGINT) AS total, CAST(arg_min(id, p) AS INT) AS first_id, CAST(arg_max(id, p) AS INT) AS last_id FROM cut GROUP BY 1 HAVING count(*) = 1000")
+def stream_blocks(spark, d):
+    """All documents as one flat stream, read in blocks from its 5,000th token on."""
+    path = new_path(spark)
+    write_stream(tokens(spark, d), "ids", ["doc_id"], path)
+    b = read_stream(spark, path, 1000, start=5000)
+    total = F.aggregate("ids", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("total")
+    return b.select("block_id", total, F.get("ids", F.lit(0)).alias("first_id"), F.get("ids", F.lit(999)).alias("last_id"))
+
+
 LOG_SQL = "SELECT event_id AS step, event_id // 100 AS epoch, CAST(value AS DOUBLE) AS train_loss, CASE WHEN event_id % 10 = 0 THEN CAST(value AS DOUBLE) / 2 END AS val_loss FROM events"
 
 

@@ -75,3 +75,35 @@ def test_balanced_objects():
     for _ in range(3000):
         t = "".join(rng.choices('{{}}"\\a ', k=rng.randrange(14)))
         assert balanced_object(t) == slow(t), t
+
+
+def test_flat_stream(spark, tmp_path, monkeypatch):
+    """Parts laid end to end are the stream, from any place to any other, whatever tasks wrote."""
+    from grainmill.sources import stream
+
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    monkeypatch.setattr(stream, "RANGE", 500)
+    rng = random.Random(2)
+    arrays = [(i, None if i % 17 == 0 else [rng.choice((None, -5, 0, 7, 2**31 - 1)) if rng.random() < 0.05 else rng.randrange(50_000) for _ in range(rng.randrange(60))]) for i in range(300)]
+    flat = [x for _, a in arrays for x in a or () if x is not None]
+    frame = spark.createDataFrame(arrays, "i int, ids array<int>").repartition(7)
+    for path in (str(tmp_path / "a"), (tmp_path / "b").as_uri()):
+        stream.write_stream(frame, "ids", ["i"], path)
+        for length, start, stop, pad in ((64, 0, None, None), (10, 137, 2001, None), (7, 5, 5, None), (64, 100, None, -1), (100_000, 0, None, 3), (3, 10**9, None, 0)):
+            part = flat[start:stop]
+            want = [part[k : k + length] for k in range(0, len(part), length)]
+            if want and len(want[-1]) < length:
+                want[-1] = want[-1] + [pad] * (length - len(want[-1])) if pad is not None and len(want[-1]) > 1 else None
+            got = stream.read_stream(spark, path, length, start, stop, pad).orderBy("block_id").collect()
+            assert [(r.block_id, list(r.ids)) for r in got] == [(k, w) for k, w in enumerate(want) if w is not None]
+    parts = stream.parts_of(path)
+    assert len(parts) > 1
+    raw = b"".join((tmp_path / "b" / p["file"]).read_bytes() for p in parts)
+    assert raw == b"".join(x.to_bytes(4, "little", signed=True) for x in flat)
+    stream.write_stream(frame.where("i < 20"), "ids", ["i"], path, append=True)
+    more = flat + [x for i, a in arrays if i < 20 for x in a or () if x is not None]
+    assert [x for r in stream.read_stream(spark, path, 1).orderBy("block_id").collect() for x in r.ids] == more
+    stream.write_stream(frame.limit(0), "ids", ["i"], path)
+    assert stream.read_stream(spark, path).count() == 0
+    assert [p.name for p in (tmp_path / "b").iterdir() if p.suffix == ".bin"] == []
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
