@@ -8,6 +8,11 @@ that holds it, elements to the elements that hold them (DOM proximity). An eleme
 The minimum cut of that graph, found by max-flow over the whole page, separates content from boilerplate: a lone short
 paragraph follows the paragraphs around it, a long notice follows the footer that holds it.
 
+Seeds hold by ties of finite weight. What an article holds is tied to it by a weight for each block, fitted to how often
+text agrees with articles and always below what text can pull: a menu or a run of adverts inside an article goes, a lone odd line
+stays. Boilerplate of known kinds holds harder, as its text can be prose. A class name that only has such a word as a part
+(sidebar-left, related-work) is weak evidence: it pulls less than prose does, and nothing inside an article.
+
 The classifier is fitted on blocks of a bounded, documented sample of pages (`sample` pages, at most PER_PAGE evenly
 spaced blocks of each), labelled by the seeds that hold them, around prior weights that say what each feature means
 where the sample lacks it. Seeds are not among its features.
@@ -15,8 +20,9 @@ where the sample lacks it. Seeds are not among its features.
 Defined results. Null and empty html: text '' and 0 characters. Pages without content: ''. Pages without any seed are
 divided by their text and ties alone; where that leaves nothing of a page without an article or main element, all that
 no aside holds and that isn't mostly links is content. In a page with an article or main element, text outside of these needs ties to
-be content. A form, or an element with an aside's class, that holds the main element is no seed, and an article within an
-aside isn't one either. Unclosed elements end with the page, an unclosed head where its content does, an unfinished tag
+be content. A form that holds an article, and an element with an aside's class that holds the page's only articles, is no seed;
+where other articles stand free, those inside such elements, or named so themselves, aren't the page's. An article within an
+aside's element (nav, footer, ...) isn't one either. Unclosed elements end with the page, an unclosed head where its content does, an unfinished tag
 with the page; only void elements (and self-closing svg) are closed by '/>'. Text of script, style, title, noscript, template, iframe,
 textarea and svg is never content. Character references are decoded; white space in a block becomes one space. Repeated
 rows: one output row each. Empty table: empty result. Extra columns are ignored.
@@ -61,6 +67,8 @@ ASIDE_NAMES = frozenset(
 )
 #: A compound name that begins so tells of a page's layout, not of the element.
 LAYOUT = frozenset("has no not with without is show hide".split())
+#: Beside words that mark what isn't the article, these leave a compound name's meaning as it is (comment-list, ad-slot).
+HOLDERS = frozenset("area bar block body box button buttons container item items link links list message posts section signup slot top bottom unit wrap wrapper".split())
 #: In a compound name with one of these, header and banner are the article's own.
 OWN = frozenset("article content entry post story".split())
 LEGAL = re.compile(r"©|\(c\)|all rights reserved", re.I)
@@ -68,9 +76,11 @@ LEGAL = re.compile(r"©|\(c\)|all rights reserved", re.I)
 FEATURES = ("bias", "link_share", "words", "sentence", "digits", "legal", "words_before", "words_after", "links_before", "links_after")
 PRIOR = np.array([-2.0, -3.0, 1.2, 0.8, -1.0, -2.5, 0.5, 0.5, -0.5, -0.5])
 SAMPLE, PER_PAGE = 1000, 64
-#: Largest log-odds of a block; ties of neighbours under one element and under two, of an element's parts where a seed
+#: Largest log-odds of a block; ties of neighbours under one element and under two, of an element's parts where boilerplate
 #: holds them (more than log-odds and neighbours can pull) and elsewhere; what a page's article takes from the text outside.
 MOST, TIE, FAR_TIE, HELD, LOOSE, OUTSIDE = 3.0, 0.7, 0.35, 6.0, 0.8, 3.0
+#: For each block: what holds it to its article, at most and at least; what a weak name pulls.
+OWN_HELD, LEAST_HELD, WEAK = 2.4, 1.0, 1.0
 
 
 @dataclass
@@ -83,17 +93,29 @@ class Page:
     element: list[int] = field(default_factory=list)
     up: list[int] = field(default_factory=lambda: [0])
     seed: list[int] = field(default_factory=lambda: [0])
-    soft: set[int] = field(default_factory=set)  # seeds that a main element inside takes back: forms, named elements
+    soft: set[int] = field(default_factory=set)  # seeds that an article inside takes back: forms, named elements
+    weak: set[int] = field(default_factory=set)  # elements whose name has a part that tells of boilerplate
+    later: list[int] = field(default_factory=list)  # articles that a class name, their own or one outside, speaks against
     region: list[int] = field(default_factory=list)
 
     def regions(self) -> None:
         """Settles which elements are seeds, and by which each is held."""
+        for e in self.later if not any(x > 0 for x in self.seed) else ():
+            self.seed[e] = 1
+            self.take_back(e)
         self.region = [0] * len(self.up)
         for e in range(1, len(self.up)):  # an element comes after the one that holds it
             if self.region[self.up[e]] < 0 and self.seed[e] > 0:
                 self.seed[e] = 0
             self.region[e] = self.seed[e] or self.region[self.up[e]]
 
+    def take_back(self, e: int) -> None:
+        """Elements that hold e are no seeds by their names, nor forms."""
+        while e := self.up[e]:
+            if e in self.soft:
+                self.seed[e] = 0
+            self.weak.discard(e)
+
     def features(self) -> np.ndarray:
         x = np.zeros((len(self.texts), len(FEATURES)))
         if len(x):
@@ -102,16 +124,21 @@ class Page:
         return x
 
 
-def named(attrs: str, in_main: bool) -> int:
-    """-1 if class, id or role say that an element isn't part of an article, 1 if they say that it is an article's."""
-    out = 0
+def named(attrs: str, in_main: bool) -> float:
+    """-1 if class, id or role say that an element isn't part of an article, -0.5 if a part of a name hints at that, 1 if
+    they say that it is an article's."""
+    out = 0.0
     for found in NAMES.findall(attrs):
         for name in "".join(found).lower().split():
             words = re.split(r"[_-]+", name)
             own = not OWN.isdisjoint(words)
-            if words[0] not in LAYOUT and any(w in ASIDE_NAMES and not ((own or in_main) and w in ("header", "banner")) for w in words):
-                return -1
-            out = max(out, own)
+            told = [w in ASIDE_NAMES and not ((own or in_main) and w in ("header", "banner")) for w in words]
+            if words[0] not in LAYOUT and any(told):
+                if all(t or w in HOLDERS for t, w in zip(told, words)):
+                    return -1
+                out = out or -0.5
+            elif own:
+                out = 1
     return out
 
 
@@ -122,6 +149,7 @@ def read(html: str) -> Page:
     count: Counter = Counter()
     parts: list[str] = []
     linked = at = 0
+    forms: set[int] = set()
 
     def flush() -> None:
         nonlocal linked
@@ -135,6 +163,14 @@ def read(html: str) -> Page:
             parts.clear()
         linked = 0
 
+    def silenced(e: int) -> bool:
+        """Whether an element's name speaks against all that e holds."""
+        while e:
+            if page.seed[e] < 0 and e in page.soft and e not in forms:
+                return True
+            e = page.up[e]
+        return False
+
     def close(depth: int) -> None:
         for t, _, _ in stack[depth:]:
             count[t] -= 1
@@ -173,28 +209,30 @@ def read(html: str) -> Page:
             continue
         _, element, in_main = stack[-1]
         name = named(m["attrs"], in_main) if m["attrs"] and tag not in ("html", "body") else 0
-        seed, by_name = 0, name < 0
-        if by_name or tag in ASIDE or (tag == "header" and not in_main and not name):
+        seed, by_name = 0, name == -1
+        if tag in MAIN:
+            seed = 0 if by_name or silenced(element) else 1
+        elif by_name or tag in ASIDE or (tag == "header" and not in_main and name <= 0):
             seed = -1
-        elif tag in MAIN:
-            seed = 1
-        if tag == "main" or (tag == "article" and seed > 0):
-            e = element
-            while e:
-                if e in page.soft and (tag == "main" or page.seed[e] == -2):
-                    page.seed[e] = 0
-                e = page.up[e]
-        if seed or (tag in BLOCKS and tag not in CLOSES_SELF):
+        if seed or tag in MAIN or (tag in BLOCKS and (tag not in CLOSES_SELF or (name == -0.5 and not in_main))):
             page.up.append(element)
             element = len(page.up) - 1
-            page.seed.append(-2 if tag == "form" and not by_name else seed)  # -2: also taken back by an article inside
-            if by_name or tag == "form":
+            page.seed.append(seed)
+            if tag in MAIN:
+                if seed:
+                    page.take_back(element)
+                else:
+                    page.later.append(element)
+            elif by_name or tag == "form":
                 page.soft.add(element)
+                if not by_name:
+                    forms.add(element)
+            elif name == -0.5 and not in_main and not seed:
+                page.weak.add(element)
         stack.append((tag, element, in_main or tag in MAIN))
         count[tag] += 1
     text_to(len(html))
     flush()
-    page.seed = [max(s, -1) for s in page.seed]
     page.regions()
     return page
 
@@ -270,9 +308,18 @@ def minimum_cut(odds: list[float], ties: list[tuple[int, int, float]], n: int) -
     return max_flow(n + 2, arcs, s, t)[:n]
 
 
-def ties(page: Page) -> tuple[list[tuple[int, int, float]], int]:
-    """The smoothness edges and the number of nodes: blocks first, then the elements that hold any and are no seed."""
+def ties(page: Page, own: float = OWN_HELD) -> tuple[list[tuple[int, int, float]], int]:
+    """The smoothness edges and the number of nodes: blocks first, then the elements that hold any and are no seed. own: what
+    holds a block to its article."""
     out, node, size = [], {}, len(page.texts)
+    held = [0] * len(page.up)  # blocks of each element
+    for e in page.element:
+        held[e] += 1
+    for e in range(len(page.up) - 1, 0, -1):
+        held[page.up[e]] += held[e]
+
+    def weight(e: int, blocks: int) -> float:
+        return own * blocks if page.region[e] > 0 else HELD if page.region[e] else LOOSE
 
     def of(e: int) -> int:
         """The node of element e; its edges upwards are made when it is met first."""
@@ -289,19 +336,21 @@ def ties(page: Page) -> tuple[list[tuple[int, int, float]], int]:
             for x in new:
                 up = page.up[x]
                 if page.region[x] or up:  # the page itself ties nothing
-                    out.append((node[x], -1 if page.seed[up] > 0 else -2 if page.seed[up] < 0 else node[up], HELD if page.region[x] else LOOSE))
+                    out.append((node[x], -1 if page.seed[up] > 0 else -2 if page.seed[up] < 0 else node[up], weight(x, held[x])))
+                if x in page.weak:
+                    out.append((node[x], -2, WEAK * held[x]))
             return node[new[0]]
         return node[e]
 
     for i, e in enumerate(page.element):
         if e:
-            out.append((i, of(e), HELD if page.region[e] else LOOSE))
+            out.append((i, of(e), weight(e, 1) if e not in page.weak else max(LOOSE, 2 * WEAK)))
         if i and page.region[e] == page.region[page.element[i - 1]]:
             out.append((i - 1, i, TIE if page.element[i - 1] == e else FAR_TIE))
     return out, size
 
 
-def labelled(html: str, weights: np.ndarray) -> tuple[Page, list[bool], list[bool]]:
+def labelled(html: str, weights: np.ndarray, own: float = OWN_HELD) -> tuple[Page, list[bool], list[bool]]:
     """The page, whether each block is content in the cut, and whether the classifier alone would say so."""
     page = read(html)
     if not page.texts:
@@ -310,15 +359,15 @@ def labelled(html: str, weights: np.ndarray) -> tuple[Page, list[bool], list[boo
     alone = (odds > 0).tolist()
     if any(s > 0 for s in page.seed):
         odds = odds - OUTSIDE * np.array([not page.region[e] for e in page.element])
-    edges, n = ties(page)
+    edges, n = ties(page, own)
     content = minimum_cut(odds.tolist(), edges, n)[: len(page.texts)]
     if not any(content) and not any(s > 0 for s in page.seed):
         content = [page.region[e] == 0 and f[0] < 0.5 for e, f in zip(page.element, page.facts)]
     return page, content, alone
 
 
-def main_text(html: str, weights: np.ndarray = PRIOR) -> str:
-    page, content, _ = labelled(html, weights)
+def main_text(html: str, weights: np.ndarray = PRIOR, own: float = OWN_HELD) -> str:
+    page, content, _ = labelled(html, weights, own)
     return "\n".join(t for t, c in zip(page.texts, content) if c)
 
 
@@ -336,8 +385,9 @@ def fit(features: np.ndarray, content: np.ndarray, pull: float = 5.0, steps: int
     return w
 
 
-def fit_pages(pages: DataFrame, id_col: str, html_col: str, sample: int = SAMPLE) -> np.ndarray:
-    """The classifier's weights from blocks of at most `sample` pages: those whose ids have the smallest hashes."""
+def fit_pages(pages: DataFrame, id_col: str, html_col: str, sample: int = SAMPLE) -> tuple[np.ndarray, float]:
+    """The classifier's weights from blocks of at most `sample` pages, those whose ids have the smallest hashes, and what
+    holds a block to its article: the log-odds of text saying the same as an article, within bounds."""
 
     def setup():
         def step(b: pa.RecordBatch) -> dict:
@@ -359,19 +409,24 @@ def fit_pages(pages: DataFrame, id_col: str, html_col: str, sample: int = SAMPLE
     chosen = base.orderBy("key").limit(sample)
     x = np.array([r.f for r in arrow_map(chosen.select("html"), setup, "f array<double>").collect()]).reshape(-1, len(FEATURES) + 1)
     known = x[:, -1] != 0
-    return fit(x[known, :-1], (x[known, -1] > 0).astype(float))
+    half = np.arange(len(x)) % 2 == 0  # agreement is counted on blocks that weren't learned from
+    tried = fit(x[known & half, :-1], (x[known & half, -1] > 0).astype(float))
+    others = x[known & ~half & (x[:, -1] > 0), :-1]
+    agree = float((others @ tried > 0).sum())
+    own = float(np.clip(np.log((agree + 1) / (len(others) - agree + 1)), LEAST_HELD, OWN_HELD))
+    return fit(x[known, :-1], (x[known, -1] > 0).astype(float)), own
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", sample: int = SAMPLE) -> DataFrame:
     """(id, url, text, n_blocks, n_cut), one row for each row of pages; n_cut: blocks of which the cut says otherwise than
     the classifier alone. Narrow but for the classifier's sample."""
-    weights = fit_pages(pages, id_col, html_col, sample)
+    weights, own = fit_pages(pages, id_col, html_col, sample)
 
     def setup():
         def step(b: pa.RecordBatch) -> dict:
             text, blocks, moved = [], [], []
             for t in b.column(2):
-                page, content, alone = labelled(t.as_py().decode("utf-8", "replace"), weights)
+                page, content, alone = labelled(t.as_py().decode("utf-8", "replace"), weights, own)
                 text.append("\n".join(x for x, c in zip(page.texts, content) if c))
                 blocks.append(len(content))
                 moved.append(sum(c != a for c, a in zip(content, alone)))
