@@ -5,9 +5,9 @@ is covered without holes. Seeds whose hash occurs in one document only are dropp
 scan counts hashes, a bitmap of fixed size carries the repeated ones to a second scan. Each occurrence of a seed is
 matched with two occurrences only, in the smallest document that has it and in the one of smallest hash, so a passage
 in n documents gives at most 2n matches. Matches of a pair of documents on one diagonal merge into anchors; anchors
-are chained in order with a gap cost, the best predecessor found among the anchors that end at most MOST_GAP words before
-(a place of a document has one match with a hub, so these are few); chains are aligned word by word (gaps by dynamic programming, ends by extension with a drop limit) and
-kept if they have `min_words` words on both sides and the asked similarity (twice the matched words over both lengths).
+are chained in order with a gap cost, the best predecessor found in a Fenwick tree over the other document's coordinate, which
+anchors enter and leave as the largest gap (MOST_GAP words) moves over them; chains are aligned word by word (gaps by
+dynamic programming, ends by extension with a drop limit) and kept if they have `min_words` words on both sides and the asked similarity (twice the matched words over both lengths).
 
 The hubs are a first pass: where a passage's seeds also stand in other documents, its copies may meet different hubs
 only. So windows of `min_words` words whose seeds are all repeated, and that have a word outside the passages found, are
@@ -31,7 +31,7 @@ equal stretch has a seed in every k + window - 1 words, so what lies further out
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -273,25 +273,64 @@ def matches(seeds: DataFrame) -> DataFrame:
     return met.where("m.hub <> doc").select("m.hub", "doc", "pos", "at", "m.hpos", "m.hat")
 
 
+class Fenwick:
+    """Largest of the values that stand in a range of places; a value can be taken away again."""
+
+    NONE = (float("-inf"), -1)
+
+    def __init__(self, n: int):
+        self.value, self.best = [self.NONE] * (n + 1), [self.NONE] * (n + 1)
+
+    def put(self, place: int, value: tuple[float, int]) -> None:
+        """A node covers the places of its lowest bit; each node above place is made anew from its own value and its parts."""
+        i = place + 1
+        self.value[i] = value
+        while i < len(self.value):
+            top, part = self.value[i], 1
+            while part < i & -i:
+                if self.best[i - part] > top:
+                    top = self.best[i - part]
+                part <<= 1
+            self.best[i] = top
+            i += i & -i
+
+    def most(self, start: int, stop: int) -> tuple[float, int]:
+        """Over the places from start to before stop."""
+        i, top = stop, self.NONE
+        while i > start:
+            low = i & -i
+            if i - low >= start:
+                top, i = max(top, self.best[i]), i - low
+            else:
+                top, i = max(top, self.value[i]), i - 1
+        return top
+
+
 def chain(anchors: list[tuple[int, int, int]], slack: int = K - 1) -> list[list[int]]:
-    """anchors: (start, length, start in the hub). Returns chains of anchor numbers in order, best first; neighbours
-    in a chain may overlap by `slack` words and are at most MOST_GAP words apart on either side."""
+    """anchors: (start, length above slack, start in the hub). Returns chains of anchor numbers in order, best first;
+    neighbours in a chain may overlap by `slack` words and are at most MOST_GAP words apart on either side.
+
+    Anchors enter a Fenwick tree over their ends in the hub once they lie ahead of the anchor at hand, and leave it when they lie too
+    far behind, so the tree's range holds exactly the predecessors within the gap, and the largest of them is the best."""
     order = sorted(range(len(anchors)), key=lambda i: anchors[i])
     ends = sorted((s + n, i) for i, (s, n, _) in enumerate(anchors))
-    score, prior, first = [0.0] * len(anchors), [-1] * len(anchors), 0
+    by_hub = sorted((h + n, i) for i, (_, n, h) in enumerate(anchors))
+    hub_ends, place = [e for e, _ in by_hub], {i: k for k, (_, i) in enumerate(by_hub)}
+    tree, score, prior, entered, left = Fenwick(len(anchors)), [0.0] * len(anchors), [-1] * len(anchors), 0, 0
     for i in order:
         s, n, h = anchors[i]
-        while ends[first][0] < s - MOST_GAP:  # too far behind for this anchor and all later ones
-            first += 1
-        score[i], best, at = float(n), (0.0, -1), first
-        while at < len(ends) and ends[at][0] - slack <= s:
-            stop, j = ends[at]
-            sj, nj, hj = anchors[j]
-            if sj < s and -slack <= (apart := h - hj - nj) <= MOST_GAP:
-                best = max(best, (score[j] - GAP_COST * (s - stop + apart), j))
-            at += 1
-        if best[0] > 0:
-            score[i], prior[i] = n + best[0], best[1]
+        while entered < len(ends) and ends[entered][0] - slack <= s:
+            stop, j = ends[entered]
+            if stop >= s - MOST_GAP:
+                tree.put(place[j], (score[j] + GAP_COST * (stop + by_hub[place[j]][0]), j))
+            entered += 1
+        while left < entered and ends[left][0] < s - MOST_GAP:
+            tree.put(place[ends[left][1]], Fenwick.NONE)
+            left += 1
+        value, j = tree.most(bisect_left(hub_ends, h - MOST_GAP), bisect_right(hub_ends, h + slack))
+        score[i], gain = float(n), value - GAP_COST * (s + h)
+        if gain > 0:
+            score[i], prior[i] = n + gain, j
     out, used = [], set()
     for i in sorted(range(len(anchors)), key=lambda i: -score[i]):
         path = []
