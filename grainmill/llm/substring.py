@@ -24,7 +24,8 @@ a seed count once in a document, at its first place. Null or short texts have no
 id are left out, as a passage is named by its document's id; rows that share an id count as one document (the longest
 text). Empty table: empty result. Extra columns are ignored.
 
-Bounds. Neighbours in a chain are at most MOST_GAP words apart. A chain's ends are extended over at most MARGIN bytes: an
+Bounds. Chains of fewer than SHORTEST words aren't aligned: a fuzzy passage, part of whose seeds have other hubs, has some
+such chain left, which grows to the whole when its ends are extended. Neighbours in a chain are at most MOST_GAP words apart. A chain's ends are extended over at most MARGIN bytes: an
 equal stretch has a seed in every k + window - 1 words, so what lies further out has seeds, and a chain, of its own.
 """
 
@@ -43,6 +44,8 @@ from .common import as_bytes, cut, pick, small
 
 K, WINDOW, MIN_WORDS, SIMILARITY = 5, 5, 50, 0.8
 GAP_COST, MOST_GAP, DROP, MARGIN = 0.5, 60, 4, 512
+#: Words that a chain must span to be aligned; its ends are then extended.
+SHORTEST = 16
 BITMAP_BITS = 27
 MULTIPLIER = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(MULTIPLIER, -1, 1 << 64)
@@ -453,7 +456,7 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     base = _one_each(pick(docs, {"doc": F.col(id_col).cast("long"), "text": as_bytes(text_col)}).where("doc is not null"))
     scanned = cut(repeated_seeds(base, k, window, min_words))
     seeds = scanned.where("n is null").drop("n")
-    least = min_words - 2 * (window - 1) - 2 * k
+    least = min(SHORTEST, min_words - 2 * (window - 1) - 2 * k)
     ordered = matches(seeds).repartition("hub", "doc").sortWithinPartitions("hub", "doc", "pos", "hpos")
     found = cut(ordered.mapInArrow(_chains(k, least), CHAIN))
     ids = small(cut(found.select("doc").union(found.select("hub")).distinct()), 16)

@@ -55,6 +55,21 @@ def test_tree_takes_values_away():
             assert tree.most(a, b) == max(plain[a:b], default=substring.Fenwick.NONE)
 
 
+def test_fuzzy_copies_among_other_hubs(spark):
+    """Documents of small ids hold half of a passage, two others all of it, one with every 13th word changed."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choices("abcdefghij", k=8))
+    around = lambda p: " ".join([word() for _ in range(rng.randint(20, 60))] + p + [word() for _ in range(30)])
+    rows = []
+    for g in range(40):
+        passage = [word() for _ in range(80)]
+        rows += [(g * 5 + i, around(passage[:40])) for i in range(5)]
+        rows += [(1000 + 2 * g, around(passage)), (1001 + 2 * g, around([word() if i % 13 == 12 else w for i, w in enumerate(passage)]))]
+    found = substring.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    pairs = {tuple(sorted((r.doc, r.partner))) for r in found}
+    assert sum((1000 + 2 * g, 1001 + 2 * g) in pairs for g in range(40)) >= 36
+
+
 def plain_passages(words, k=5, gap=60):
     """Of each pair of documents: runs of shared k-word windows (first places), chained greedily by place, as plain words;
     at least 50 words on both sides and similar by 0.8 in the sense of difflib. Shares no code with the operator."""
