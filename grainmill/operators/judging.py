@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import time
 from collections.abc import Callable, Iterator, Sequence
 from itertools import accumulate
 
@@ -185,9 +186,9 @@ def requests(df: DataFrame, rubric: str, prompt: str = "prompt", completion: str
     return df.withColumn("request", F.format_string("%s\n\nPROMPT:\n%s\n\nCOMPLETION:\n%s", F.lit(rubric), F.coalesce(prompt, F.lit("")), F.coalesce(completion, F.lit(""))))
 
 
-def judge(df: DataFrame, judge_fn: Callable[[str], str], transient: tuple[type[Exception], ...] = (TimeoutError, ConnectionError), attempts: int = 3, repair_fn: Callable[[str], str] | None = None, wait: Callable[[int], None] = lambda k: None) -> DataFrame:
+def judge(df: DataFrame, judge_fn: Callable[[str], str], transient: tuple[type[Exception], ...] = (TimeoutError, ConnectionError), attempts: int = 3, repair_fn: Callable[[str], str] | None = None, wait: Callable[[int], None] = lambda k: time.sleep(2**k)) -> DataFrame:
     """Adds answer and judge_error: judge_fn on each request, again on transient errors up to `attempts` times (wait(k)
-    before the k-th retry), then repair_fn on an answer that isn't a JSON object. A failed row keeps its error."""
+    before the k-th retry: 1 s, then twice as long each time), then repair_fn on an answer that isn't a JSON object. A failed row keeps its error."""
 
     def one(request: str) -> tuple[str | None, str | None]:
         for k in range(attempts):

@@ -257,16 +257,25 @@ def early_plain_text(spark, d):
     return S.early_plain_text(books).select("id")
 
 
-@query("mime_parts", """SELECT * FROM (VALUES (1, 'text/plain', 'utf-8'), (2, 'text/html', ''), (3, '', ''), (4, 'text/plain', 'us-ascii')) t(i, base, charset)""")
+@query("mime_parts", """SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'text/plain' WHEN 1 THEN 'text/html' WHEN 2 THEN '' ELSE 'text/x-' || (o_orderkey % 10) END AS base,
+  CASE o_orderkey % 4 WHEN 0 THEN 'utf-' || (o_custkey % 50) WHEN 3 THEN 'us-ascii' ELSE '' END AS charset FROM orders""")
 def mime_parts(spark, d):
-    rows = spark.createDataFrame([(1, 'Text/Plain; charset="UTF_8"'), (2, "text/html; x=1"), (3, None), (4, "text/plain; q; charset=us-ascii; charset=b")], "i int, m string")
-    return rows.select("i", T.mime_parts(F.col("m")).alias("p")).select("i", "p.*")
+    """Types in all spellings, with a number of the order's in them."""
+    key = F.col("o_orderkey")
+    s = lambda c: c.cast("string")
+    mime = F.when(key % 4 == 0, F.concat(F.lit('Text/Plain; charset="UTF_'), s(F.col("o_custkey") % 50), F.lit('"'))).when(key % 4 == 1, "text/html; x=1")
+    mime = mime.when(key % 4 == 3, F.concat(F.lit("TEXT/x-"), s(key % 10), F.lit("; q; charset=us-ascii; charset=b")))
+    return table(spark, d, "orders").select("o_orderkey", T.mime_parts(mime).alias("p")).select("o_orderkey", "p.*")
 
 
-@query("number_parsing", """SELECT * FROM (VALUES (1, '12', 1234, 1234), (2, '322', 322, -322), (3, '', 0, NULL), (4, '0', 0, 0)) t(i, id, unsigned_n, signed_n)""")
+@query("number_parsing", """SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE CAST(o_custkey AS VARCHAR) END AS id,
+  CASE WHEN o_orderkey % 7 = 0 THEN 0 ELSE o_orderkey END AS unsigned_n, CASE WHEN o_orderkey % 7 <> 0 THEN -o_orderkey END AS signed_n FROM orders""")
 def number_parsing(spark, d):
-    rows = spark.createDataFrame([(1, "ebooks/0012", "1,234"), (2, "322 x", "-322"), (3, "none", "n/a"), (4, "000", "0")], "i int, a string, n string")
-    return rows.select("i", T.first_id(F.col("a")).alias("id"), T.count_or_zero(F.col("n")).alias("unsigned_n"), T.signed_or_null(F.col("n")).alias("signed_n"))
+    """Customer numbers with zeros ahead inside a path; order numbers with commas and a sign."""
+    key = F.col("o_orderkey")
+    path = F.when(key % 5 == 0, "none").otherwise(F.concat(F.lit("ebooks/00"), F.col("o_custkey").cast("string"), F.lit(" x7")))
+    number = F.when(key % 7 == 0, "n/a").otherwise(F.concat(F.lit(" -"), F.format_number(key, 0)))
+    return table(spark, d, "orders").select("o_orderkey", T.first_id(path).alias("id"), T.count_or_zero(number).alias("unsigned_n"), T.signed_or_null(number).alias("signed_n"))
 
 
 @query("best_format", """WITH k AS (SELECT l_orderkey, CASE WHEN l_returnflag = 'A' THEN 2 ELSE 1 END AS p, CAST(l_extendedprice * 100 AS BIGINT) AS extent, concat('u', l_linenumber) AS url FROM lineitem WHERE l_linestatus = 'F')

@@ -322,11 +322,15 @@ def json_repair(spark, d):
     return rows.select("conv_id", "turn", of("$.c", "bigint").alias("c"), of("$.in.t", "bigint").alias("t"), of("$.in.s", "string").alias("s"))
 
 
-@query("variant_labels", """SELECT * FROM (VALUES (1, 'mine'), (2, 'qwen_lora500'), (3, 'qwen_lora1000'), (4, 'qwen_base'), (5, 'qwen_lora500'), (6, 'qwen_base'), (7, 'ckpt')) t(i, variant_label)""")
+@query("variant_labels", """SELECT event_id, CASE event_id % 7 WHEN 0 THEN 'mine' || user_id WHEN 1 THEN 'qwen_lora500' WHEN 2 THEN 'qwen_lora1000' WHEN 3 THEN 'qwen_base'
+  WHEN 4 THEN 'qwen_lora500' WHEN 5 THEN 'qwen_base' ELSE 'ckpt_' || event_type END AS variant_label FROM events""")
 def variant_labels(spark, d):
-    rows = [(1, "mine", "x", None), (2, None, "judged_lora500", None), (3, "", "out_1000", "a/500"), (4, None, "base_run", "a/b"), (5, None, "x", "run/lora500"), (6, None, "x", None), (7, None, "x", "a/ckpt/")]
-    t = spark.createDataFrame(rows, "i int, label string, stem string, adapter string")
-    return t.select("i", J.variant_label(F.col("label"), F.col("stem"), F.col("adapter")).alias("variant_label"))
+    """Events as rows that name their variant outright, by a file's name, or by an adapter's folder."""
+    k = F.col("event_id") % 7
+    label = F.when(k == 0, F.concat(F.lit(" mine"), F.col("user_id").cast("string"))).when(k == 2, " ")
+    stem = F.when(k == 1, "judged_LoRA500").when(k == 2, "out_1000").when(k == 3, "Base_run").otherwise("x")
+    adapter = F.when(k == 3, "a/b").when(k == 4, "run/lora500").when(k == 6, F.concat(F.lit("a/ckpt_"), "event_type", F.lit("//")))
+    return table(spark, d, "events").select("event_id", J.variant_label(label, stem, adapter).alias("variant_label"))
 
 
 @query("phase1_errors", """SELECT doc_id, concat_ws(', ', CASE WHEN quality = 1 AND doc_id % 7 = 0 THEN 'Invalid quality_score' END, CASE WHEN toxic = 1 THEN 'Invalid stance_label' END,

@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import attempts as A
 from ..operators import cleaning as C
 from ..operators import contamination as R
 from ..operators import evaluation as E
@@ -85,9 +86,12 @@ def decision_list(spark, d):
     return SRC.decision_list(lines)
 
 
-@query("model_registry", "SELECT * FROM (VALUES ('A', 'runs/a'), ('B', 'runs/b')) t(model_id, checkpoint_path)")
+@query("model_registry", "SELECT n_name AS model_id, concat('runs/', n_regionkey, '/', n_nationkey) AS checkpoint_path FROM nation")
 def model_registry(spark, d):
-    return SRC.model_registry(spark, '{"B": "runs/b", "A": "runs/a"}')
+    """A registry file of all nations, written and read back."""
+    rows = table(spark, d, "nation").select("n_name", F.concat_ws("/", F.lit("runs"), "n_regionkey", "n_nationkey").alias("p"))
+    text = rows.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("n_name", "p"))))).first()[0]
+    return SRC.model_registry(spark, text)
 
 
 XML = """<?xml version="1.0"?><rdf:RDF xmlns:rdf="r" xmlns:dcterms="d" xmlns:pgterms="p"><pgterms:ebook rdf:about="ebooks/00%s"><dcterms:title> %s </dcterms:title><dcterms:language><rdf:Description><rdf:value>EN</rdf:value></rdf:Description></dcterms:language><dcterms:creator><pgterms:agent rdf:about="agents/1"><pgterms:deathdate>-%s</pgterms:deathdate></pgterms:agent></dcterms:creator><dcterms:hasFormat rdf:resource="u%s"/></pgterms:ebook><pgterms:file rdf:about="u%s"><dcterms:format><rdf:Description><rdf:value>text/plain; charset=UTF_8</rdf:value></rdf:Description></dcterms:format><dcterms:extent>1,00%s</dcterms:extent></pgterms:file></rdf:RDF>"""
@@ -312,6 +316,28 @@ def run_names(spark, d):
     return table(spark, d, "benchmark").select("item_id", name.alias("name"), S.percent(F.lit(0.125)).alias("percent"), S.decimal6(F.lit(0.125)).alias("decimal"))
 
 
+def _answer(request: str, attempt: int) -> str:
+    """An outer service that fails for some: for a while, always, or for good."""
+    n = int(request.split()[-1])
+    if n % 7 == 3:
+        raise ValueError("refused")
+    if n % 9 == 0 or n % 4 == 0 and attempt < 2:
+        raise TimeoutError("busy")
+    return f"judged {n}"
+
+
+@query("resumed_judging", """SELECT doc_id, CAST(CASE WHEN doc_id % 7 = 3 THEN 1 WHEN doc_id % 9 = 0 OR doc_id % 4 = 0 THEN 3 ELSE 1 END AS INT) AS attempts,
+  CASE WHEN doc_id % 7 <> 3 AND doc_id % 9 <> 0 THEN concat('judged ', doc_id) END AS answer,
+  CASE WHEN doc_id % 7 = 3 THEN 'ValueError: refused' WHEN doc_id % 9 = 0 THEN 'TimeoutError: busy' END AS error FROM labels""")
+def resumed_judging(spark, d):
+    """A run that was cut off in its second pass, and went on: the rows are those of one run."""
+    folder = new_path(spark)
+    asked = table(spark, d, "labels").select("doc_id", F.format_string("rate document %d", "doc_id").alias("request"))
+    A.one_pass(asked, "doc_id", _answer, folder)
+    asked.select("doc_id", F.lit(9).alias("attempt"), F.lit("half").alias("answer"), F.lit(None).cast("string").alias("error"), F.lit(False).alias("again")).write.parquet(f"{folder}/pass=1")
+    return A.resumable(asked, "doc_id", _answer, folder)
+
+
 @query("model_pair", f"WITH {JUDGED_SQL} SELECT count(DISTINCT model_id) > 2 AS none FROM judged")
 def model_pair(spark, d):
     return spark.createDataFrame([(E.choose_pair(judged(spark, d), "model_id")[0] is None,)], "none boolean")

@@ -92,9 +92,10 @@ def replicate(spark, d):
 
 
 @query("lr_schedule", """SELECT s AS step, round(CASE WHEN s < 100 THEN CAST(0.0003 AS DOUBLE) * s / 100 WHEN s >= 1000 THEN CAST(0.00003 AS DOUBLE)
-  ELSE CAST(0.00003 AS DOUBLE) + 0.5 * (1 + cos(pi() * ((CAST(s AS DOUBLE) - 100) / 900))) * (CAST(0.0003 AS DOUBLE) - CAST(0.00003 AS DOUBLE)) END, 12) AS lr FROM range(1200) t(s)""")
+  ELSE CAST(0.00003 AS DOUBLE) + 0.5 * (1 + cos(pi() * ((CAST(s AS DOUBLE) - 100) / 900))) * (CAST(0.0003 AS DOUBLE) - CAST(0.00003 AS DOUBLE)) END, 12) AS lr FROM (SELECT DISTINCT event_id % 1200 AS s FROM events)""")
 def lr_schedule(spark, d):
-    return spark.range(1200).select(F.col("id").alias("step"), F.round(P.learning_rate(F.col("id"), 3e-4, 3e-5, 100, 1000), 12).alias("lr"))
+    steps = table(spark, d, "events").select((F.col("event_id") % 1200).alias("step")).distinct()
+    return steps.select("step", F.round(P.learning_rate(F.col("step"), 3e-4, 3e-5, 100, 1000), 12).alias("lr"))
 
 
 @query("shuffle_order", "SELECT doc_id, sha256(concat('1337|', doc_id)) AS shuffle_key FROM documents")
