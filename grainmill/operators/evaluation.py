@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import lexicons as L
 from ..functions import stats as S
 from ..functions import text as T
+from .shared import small, written
 
 true = S.count_true
 
@@ -251,7 +252,7 @@ def permutation_test(diffs: DataFrame, scope: str, metric: str, pair: Sequence[s
     denominator), so ties are exact. Signs of 256 permutations are the bits of one SHA-256 of (seed, number of the 256,
     pair), four to a hexadecimal digit; a digit's four sums are added up map-side. Null differences count as 0."""
     d = diffs.select(scope, metric, F.concat_ws("|", *[F.col(p).cast("string") for p in pair]).alias("__pair"), F.coalesce(F.col(diff).cast("bigint"), F.lit(0)).alias("__d"))
-    observed = d.groupBy(scope, metric).agg(F.count("*").alias("n_pairs"), F.sum("__d").alias("total"))
+    observed = written(d.groupBy(scope, metric).agg(F.count("*").alias("n_pairs"), F.sum("__d").alias("total")))
     hashed = d.select(scope, metric, "__d", "__pair", F.explode(F.sequence(F.lit(0), F.lit((n - 1) // 256))).alias("__b"))
     bits = F.sha2(F.concat_ws("|", F.lit(str(seed)), F.col("__b").cast("string"), "__pair"), 256)
     digits = hashed.select(scope, metric, "__d", "__b", F.posexplode(F.split(bits, "(?<=.)(?=.)")).alias("__at", "__digit"))
@@ -259,7 +260,7 @@ def permutation_test(diffs: DataFrame, scope: str, metric: str, pair: Sequence[s
     signed = lambda j: F.sum(F.when(F.getbit(value, F.lit(j)) == 1, F.col("__d")).otherwise(-F.col("__d")))
     four = digits.groupBy(scope, metric, "__b", "__at").agg(F.array(*[signed(j) for j in range(4)]).alias("__sums"))
     sums = four.select(scope, metric, "__b", "__at", F.posexplode("__sums").alias("__j", "s")).where(F.col("__b") * 256 + F.col("__at") * 4 + F.col("__j") < n)
-    tail = sums.join(F.broadcast(observed), [scope, metric]).groupBy(scope, metric).agg(F.count_if(F.abs("s") >= F.abs("total")).alias("extreme"))
+    tail = sums.join(small(observed, 100), [scope, metric]).groupBy(scope, metric).agg(F.count_if(F.abs("s") >= F.abs("total")).alias("extreme"))
     return observed.join(tail, [scope, metric]).select(scope, metric, "n_pairs", "total", "extreme", (F.col("extreme") / F.lit(n)).alias("p_value"))
 
 

@@ -60,7 +60,7 @@ def prompt_files(spark, d):
 def csv_last_per_id(spark, d):
     path = new_path(spark)
     rows = table(spark, d, "orders").select(F.concat(F.lit("ebooks/00"), F.col("o_custkey").cast("string"), F.lit(", \"x\"\n")).alias("book_id"), F.col("o_orderkey").cast("string").alias("extent"), F.col("o_orderkey").alias("line_no"))
-    K.csv(rows, path, single=False)
+    K.csv(rows, path)
     back = SRC.csv_rows(spark, [path], ["book_id", "extent"]).withColumn("line_no", F.col("line_no").cast("bigint"))
     return SRC.last_per_id(back, "book_id", "line_no")
 
@@ -70,7 +70,7 @@ def qualifying_books(spark, d):
     k = F.col("s_suppkey")
     rows = table(spark, d, "supplier").where("s_suppkey > 0").select(k.cast("string").alias("book_id"), F.when(k % 4 != 0, F.concat(F.lit("-"), k.cast("string"))).alias("death_year"), F.concat(F.lit("1,00"), (k % 9).cast("string")).alias("extent"), k.alias("line_no"))
     path = new_path(spark)
-    K.csv(rows, path, single=False)
+    K.csv(rows, path)
     return SRC.qualifying_books(SRC.csv_rows(spark, [path], ["book_id", "death_year"]).withColumn("line_no", F.col("line_no").cast("bigint")))
 
 

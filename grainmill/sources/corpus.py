@@ -122,9 +122,10 @@ def config(text: str, overrides: Sequence[str] = ()) -> dict:
     return out
 
 
-def csv_rows(spark: SparkSession, paths: Sequence[str], required: Sequence[str]) -> DataFrame:
-    """CSV files with a header, quoted line feeds and doubled quotes; missing columns are an error."""
-    d = spark.read.option("header", "true").option("multiLine", "true").option("escape", '"').csv(list(paths))
+def csv_rows(spark: SparkSession, paths: Sequence[str], required: Sequence[str], multi_line: bool = True) -> DataFrame:
+    """CSV files with a header, quoted line feeds and doubled quotes; missing columns are an error. multi_line: values may
+    have line feeds, for which a file is read by one task; without, large files are split."""
+    d = spark.read.option("header", "true").option("multiLine", str(multi_line).lower()).option("escape", '"').csv(list(paths))
     if missing := sorted(set(required) - set(d.columns)):
         raise ValueError(f"missing columns: {', '.join(missing)}")
     return d

@@ -47,8 +47,9 @@ def fixed(df: DataFrame, columns: Sequence[str], optional: Sequence[str] = ()) -
     return df.select(*[F.when(F.col(c).isNotNull(), cell(F.col(c), kinds[c])).alias(c) for c in cols])
 
 
-def csv(df: DataFrame, path: str, columns: Sequence[str] | None = None, mode: str = "errorifexists", single: bool = True, sep: str = ",", header: bool = True) -> None:
-    """A CSV; nulls are empty. single: one file, for reports (small by construction)."""
+def csv(df: DataFrame, path: str, columns: Sequence[str] | None = None, mode: str = "errorifexists", single: bool = False, sep: str = ",", header: bool = True) -> None:
+    """A CSV, each task's rows in a file of its own, in the order of df; nulls are empty. single: one file, for what is small by
+    construction."""
     out = fixed(df, columns or df.columns)
     w = (out.coalesce(1) if single else out).write.mode(mode)
     w.option("header", str(header).lower()).option("nullValue", "").option("escape", '"').option("sep", sep).csv(path)
@@ -134,7 +135,7 @@ def review_package(assessed: DataFrame, found: DataFrame, folder: str, mode: str
     lists = found.groupBy("filename").agg(F.transform(F.array_sort(F.collect_list(one)), lambda x: x.dropFields("start")).alias("findings"))
     none = F.array().cast(dict(lists.dtypes)["findings"])
     assessed.select(*FILE_SUMMARY).join(lists, "filename", "left").withColumn("findings", F.coalesce("findings", none)).write.mode(mode).json(f"{folder}/decisions")
-    quick_summary(assessed).coalesce(1).write.mode(mode).text(f"{folder}/quick_summary")
+    quick_summary(assessed).write.mode(mode).text(f"{folder}/quick_summary")
     n, removable, review = assessed.agg(F.count("*"), F.coalesce(F.sum("removable_sentences"), F.lit(0)), F.count_if("manual_review")).first()
     paths = {k: f"{folder}/{k}" for k in ("file_summary", "sentence_findings", "manual_review_queue", "triage_buckets", "quick_summary", "decisions")}
     summary = {"assessed_files": n, "decision_counts": counted(assessed, "decision"), "triage_counts": counted(assessed, "triage_bucket"), "manual_review_files": review, "total_removed_sentences": removable, "paths": paths}

@@ -96,7 +96,7 @@ def test_jsonl(spark, tmp_path):
 
 def test_sinks(spark, tmp_path):
     d = spark.createDataFrame([("a", 0.5, None)], "k string, r double, s string")
-    K.csv(d, str(tmp_path / "c"), ["r", "k", "s"])
+    K.csv(d, str(tmp_path / "c"), ["r", "k", "s"], single=True)
     text = next((tmp_path / "c").glob("part-*")).read_text()
     assert text == "r,k,s\n0.500000,a,\n" or text == 'r,k,s\n0.500000,a,""\n'
     assert "| a | 0.500000 |  |" in K.markdown(d, "T")
