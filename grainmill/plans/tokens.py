@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import decoding as D
 from ..operators import packing as P
+from ..operators import shuffling as H
 from .base import query, table
 
 TOKENS = "tok AS (SELECT doc_id, lang, list_transform(regexp_extract_all(text, '[^ \\n]+'), lambda w: CAST(length(w) AS INT)) AS ids FROM documents)"
@@ -103,6 +104,26 @@ def shuffle_order(spark, d):
     return P.shuffled_positions(table(spark, d, "documents").select("doc_id"), F.col("doc_id"))
 
 
+@query("shuffle_places", """WITH RECURSIVE size AS (SELECT count(*) AS n, CAST(floor(sqrt(count(*) - 1)) AS BIGINT) + 1 AS a FROM documents),
+k AS (SELECT n, a, CAST(ceil(n / a) AS BIGINT) AS b FROM size),
+num AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS number FROM documents),
+walk AS (
+  SELECT doc_id, number // b AS l, number % b AS r, 0 AS step, false AS done FROM num, k
+  UNION ALL
+  SELECT doc_id,
+         CASE WHEN step % 2 = 0 THEN (l + CAST(concat('0x', substr(md5(concat('1337|', step % 4, '|', r)), 1, 15)) AS BIGINT) % a) % a ELSE l END,
+         CASE WHEN step % 2 = 1 THEN (r + CAST(concat('0x', substr(md5(concat('1337|', step % 4, '|', l)), 1, 15)) AS BIGINT) % b) % b ELSE r END,
+         step + 1,
+         step % 4 = 3 AND l * b + (r + CAST(concat('0x', substr(md5(concat('1337|', step % 4, '|', l)), 1, 15)) AS BIGINT) % b) % b < n
+  FROM walk, k WHERE NOT done AND step < 256)
+SELECT doc_id, CAST(l * b + r AS BIGINT) AS place FROM walk, k WHERE done""")
+def shuffle_places(spark, d):
+    """The place of each document in the seeded shuffle, from its number alone."""
+    docs = table(spark, d, "documents").select("doc_id")
+    numbered = P.offsets(docs.withColumn("n_tokens", F.lit(1).cast("bigint")), ["doc_id"])
+    return numbered.select("doc_id", H.place_of(F.col("before"), docs.count()).alias("place"))
+
+
 @query("bpe_vocab")
 def bpe_vocab(spark, d):
     vocab, _ = P.train_vocabulary(table(spark, d, "documents"), "text")

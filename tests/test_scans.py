@@ -107,3 +107,23 @@ def test_flat_stream(spark, tmp_path, monkeypatch):
     assert stream.read_stream(spark, path).count() == 0
     assert [p.name for p in (tmp_path / "b").iterdir() if p.suffix == ".bin"] == []
     spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 10, 97, 1000])
+def test_shuffle_as_arithmetic(spark, n):
+    """A permutation, undone by its inverse, with every part of the order readable by itself; other seeds give other ones."""
+    from grainmill.operators import shuffling
+
+    rows = spark.range(n).select(F.col("id").alias("number"))
+    got = rows.select("number", shuffling.place_of(F.col("number"), n, 5).alias("place"), shuffling.place_of(F.col("number"), n, 6).alias("other"))
+    places = {r.number: r.place for r in got.collect()}
+    assert sorted(places.values()) == list(range(n))
+    back = rows.select("number", shuffling.row_at(F.col("number"), n, 5).alias("row")).collect()
+    assert all(places[r.row] == r.number for r in back)
+    part = shuffling.shuffled_part(rows, "number", n, n // 3, n // 3 + 20, 5).collect()
+    assert {r.place: r.number for r in part} == {p: k for k, p in places.items() if n // 3 <= p < n // 3 + 20}
+    if n > 90:
+        assert sum(r.place != r.other for r in got.collect()) > 0.9 * n and sum(k != p for k, p in places.items()) > 0.9 * n
+    assert rows.select(shuffling.place_of(F.lit(None).cast("long"), n).alias("x")).first().x is None
+    with pytest.raises(Exception, match="outside"):
+        spark.range(n, n + 1).select(shuffling.place_of(F.col("id"), n)).collect()
