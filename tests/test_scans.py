@@ -127,3 +127,22 @@ def test_shuffle_as_arithmetic(spark, n):
     assert rows.select(shuffling.place_of(F.lit(None).cast("long"), n).alias("x")).first().x is None
     with pytest.raises(Exception, match="outside"):
         spark.range(n, n + 1).select(shuffling.place_of(F.col("id"), n)).collect()
+
+
+def test_repeated_ngrams_against_slices(spark):
+    from grainmill.operators import decoding as D
+
+    rng = random.Random(12)
+    arrays = [[rng.choice((1, 2, 3, None) if rng.random() < 0.05 else (1, 2, 3)) for _ in range(rng.randrange(60))] for _ in range(300)] + [None, [], [None], [1] * 500]
+    frame = spark.createDataFrame(list(enumerate(arrays)), "i int, t array<int>").repartition(3)
+    for n in (1, 2, 3, 5, 8):
+        got = frame.select("i", D.banned_tokens(F.col("t"), n).alias("b"), D.repeats_last(F.col("t"), n).alias("r")).collect()
+        for r in got:
+            t = arrays[r.i]
+            if t is None:
+                assert r.b is None and r.r is None
+                continue
+            if n > 1:
+                want = {t[k + n - 1] for k in range(len(t) - n + 1) if t[k : k + n - 1] == t[len(t) - n + 1 :]}
+                assert r.b == sorted(x for x in want if x is not None), (n, t)
+            assert r.r == (len(t) > n and any(t[k : k + n] == t[len(t) - n :] for k in range(len(t) - n))), (n, t)
