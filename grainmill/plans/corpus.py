@@ -26,12 +26,11 @@ def _any(words, column="lower(text)") -> str:
 
 @query("contamination_flags", r"""SELECT d.doc_id, count(*) AS n_items, min(b.item_id) AS first_item FROM (
   SELECT doc_id, concat(' ', lower(trim(regexp_replace(text, '\s+', ' ', 'g'))), ' ') AS t FROM documents) d JOIN (
-  SELECT item_id, concat(' ', array_to_string(string_split(lower(trim(regexp_replace(text, '\s+', ' ', 'g'))), ' ')[1:5], ' '), ' ') AS p FROM benchmark) b
+  SELECT item_id, concat(' ', lower(trim(regexp_replace(text, '\s+', ' ', 'g'))), ' ') AS p FROM benchmark) b
   ON contains(d.t, b.p) GROUP BY d.doc_id""")
 def contamination_flags(spark, d):
-    """Documents that hold the first five words of benchmark items."""
-    items = table(spark, d, "benchmark").select("item_id", F.array_join(F.slice(F.split(R.folded(F.col("text")), " "), 1, 5), " ").alias("p"))
-    hits = R.phrase_hits(table(spark, d, "documents"), items, "doc_id", "text", "item_id", "p")
+    """Documents that hold whole benchmark items."""
+    hits = R.phrase_hits(table(spark, d, "documents"), table(spark, d, "benchmark"), "doc_id", "text", "item_id", "text")
     return hits.groupBy("doc_id").agg(F.count("*").alias("n_items"), F.min("item_id").alias("first_item"))
 
 
@@ -217,10 +216,10 @@ def strip_markers(spark, d):
     return rows.select("doc_id", "body", "m.head", "m.foot", F.size("m.lines").cast("bigint").alias("n_lines"))
 
 
-@query("core_text", "SELECT doc_id, length(trim(text, ' ' || chr(9) || chr(10))) AS n FROM documents")
+@query("core_text", "SELECT doc_id, trim(text, ' ' || chr(9) || chr(10)) AS core FROM documents")
 def core_text(spark, d):
     text = F.concat(F.lit("intro\r\n*** START OF THE PROJECT GUTENBERG EBOOK X ***\r\n"), F.col("text"), F.lit("\r\n*** END OF THE PROJECT GUTENBERG EBOOK X ***\r\nrest"))
-    return table(spark, d, "documents").select("doc_id", F.length(C.core_text(text)).cast("bigint").alias("n"))
+    return table(spark, d, "documents").select("doc_id", C.core_text(text).alias("core"))
 
 
 @query("front_matter_trim")
@@ -333,11 +332,11 @@ def min_death_year(spark, d):
     return table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.col("l_linenumber") * 7 - 20).alias("ys")).select("l_orderkey", S.min_death_year(F.col("ys")).alias("y"))
 
 
-@query("text_rules", r"""SELECT doc_id, lower(regexp_replace(trim(text, ' ' || chr(10) || chr(9)), '\s+', ' ', 'g')) AS norm, trim(regexp_replace(substr(text, 1, 60), '[^A-Za-z0-9]+', '_', 'g'), '_') AS slug,
+@query("text_rules", r"""SELECT doc_id, lower(regexp_replace(trim(text, ' ' || chr(10) || chr(9)), '\s+', ' ', 'g')) AS norm, trim(regexp_replace(text, '[^A-Za-z0-9]+', '_', 'g'), '_') AS slug,
   replace(CASE WHEN length(text) > 80 THEN replace(substr(text, 1, 77), chr(10), ' ') || '...' ELSE replace(text, chr(10), ' ') END, '|', '\|') AS preview FROM documents""")
 def text_rules(spark, d):
     t = F.col("text")
-    return table(spark, d, "documents").select("doc_id", T.normalise(t).alias("norm"), T.slug(F.substring(t, 1, 60)).alias("slug"), T.preview(t).alias("preview"))
+    return table(spark, d, "documents").select("doc_id", T.normalise(t).alias("norm"), T.slug(t).alias("slug"), T.preview(t).alias("preview"))
 
 
 @query("line_rules", r"""SELECT doc_id, count(*) FILTER (length(l) >= 70 AND len(regexp_extract_all(l, '[A-Za-z]+')) >= 10) AS n_prose,

@@ -301,10 +301,12 @@ def _lit(v) -> str:
     return "NULL" if v is None else str(v).upper() if isinstance(v, bool) else f"'{v}'"
 
 
-@query("label_coercion", "SELECT * FROM (VALUES " + ", ".join(f"({_lit(j)}, CAST({_lit(b)} AS BOOLEAN), CAST({_lit(e)} AS VARCHAR), CAST({_lit(p)} AS VARCHAR))" for j, b, e, p in COERCE) + ") t(raw, as_bool, as_explicit, as_proto)")
+@query("label_coercion", "WITH c AS (SELECT * FROM (VALUES " + ", ".join(f"({k}, {_lit(j)}, CAST({_lit(b)} AS BOOLEAN), CAST({_lit(e)} AS VARCHAR), CAST({_lit(p)} AS VARCHAR))" for k, (j, b, e, p) in enumerate(COERCE)) + f") t(k, raw, as_bool, as_explicit, as_proto)) SELECT event_id, raw, as_bool, as_explicit, as_proto FROM events JOIN c ON event_id % {len(COERCE)} = k")
 def label_coercion(spark, d):
-    v = spark.createDataFrame([(r[0],) for r in COERCE], "raw string").withColumn("v", F.try_parse_json("raw"))
-    return v.select("raw", J.coerce_bool(F.col("v")).alias("as_bool"), J.coerce_label(F.col("v"), B.EXPLICIT, J.EXPLICIT_ALIASES, "earth_moves").alias("as_explicit"), J.coerce_label(F.col("v"), B.PROTO, J.PROTO_ALIASES, "strong").alias("as_proto"))
+    """Events with every spelling of a label in turn."""
+    raw = F.element_at(F.array(*[F.lit(r[0]) for r in COERCE]), (F.col("event_id") % len(COERCE) + 1).cast("int"))
+    v = table(spark, d, "events").select("event_id", raw.alias("raw")).withColumn("v", F.try_parse_json("raw"))
+    return v.select("event_id", "raw", J.coerce_bool(F.col("v")).alias("as_bool"), J.coerce_label(F.col("v"), B.EXPLICIT, J.EXPLICIT_ALIASES, "earth_moves").alias("as_explicit"), J.coerce_label(F.col("v"), B.PROTO, J.PROTO_ALIASES, "strong").alias("as_proto"))
 
 
 @query("json_repair", """WITH a AS (SELECT conv_id, turn, turn % 5 AS kind FROM conversations)

@@ -143,14 +143,15 @@ def summary_csv(spark, d):
     return SRC.csv_rows(spark, [path], ["model_id"])
 
 
-@query("dynamic_header", "SELECT row_number() OVER (ORDER BY n_nationkey) - 1 AS place, n_name AS key FROM nation")
+@query("dynamic_header", "SELECT row_number() OVER (ORDER BY n_nationkey) - 1 AS place, n_name AS key, CAST(n_nationkey AS VARCHAR) AS id, 'x' || n_regionkey AS cell FROM nation")
 def dynamic_header(spark, d):
     """A CSV whose columns are the keys of its rows, in the order in which rows have them first."""
-    rows = table(spark, d, "nation").select("n_nationkey", F.create_map(F.lit("id"), F.col("n_nationkey").cast("string"), F.col("n_name"), F.lit("x")).alias("fields"))
+    rows = table(spark, d, "nation").select("n_nationkey", F.create_map(F.lit("id"), F.col("n_nationkey").cast("string"), F.col("n_name"), F.concat(F.lit("x"), F.col("n_regionkey").cast("string"))).alias("fields"))
     path = new_path(spark)
     K.dynamic_csv(rows, "fields", "n_nationkey", path)
-    keys = [c for c in SRC.csv_rows(spark, [path], ["id"]).columns if c != "id"]
-    return spark.createDataFrame(list(enumerate(keys)), "place bigint, key string")
+    back = SRC.csv_rows(spark, [path], ["id"])
+    cells = [F.struct(F.lit(k).cast("bigint").alias("place"), F.lit(c).alias("key"), "id", F.col(f"`{c}`").alias("cell")) for k, c in enumerate(x for x in back.columns if x != "id")]
+    return back.select(F.explode(F.array(*cells)).alias("c")).select("c.*").where("cell is not null")
 
 
 def _review(spark, d):
@@ -308,12 +309,13 @@ def flattened(spark, d):
     return J.flatten(rows, "judge_result", ["quality_score", "stance"]).select("doc_id", "quality_score", "stance")
 
 
-@query("run_names", "SELECT item_id, concat('run-', item_id) AS name, concat('12.50%') AS percent, '0.125000' AS decimal FROM benchmark")
+@query("run_names", "SELECT item_id, concat('run-', item_id) AS name, printf('%.2f%%', 100 * (item_id % 17) / 16) AS percent, printf('%.6f', (item_id % 17) / 16) AS decimal FROM benchmark")
 def run_names(spark, d):
     from ..functions import stats as S
 
+    rate = F.col("item_id") % 17 / 16
     name = T.run_name(F.concat(F.lit(" --run !"), F.col("item_id").cast("string"), F.lit(" . ")))
-    return table(spark, d, "benchmark").select("item_id", name.alias("name"), S.percent(F.lit(0.125)).alias("percent"), S.decimal6(F.lit(0.125)).alias("decimal"))
+    return table(spark, d, "benchmark").select("item_id", name.alias("name"), S.percent(rate).alias("percent"), S.decimal6(rate).alias("decimal"))
 
 
 def _answer(request: str, attempt: int) -> str:
@@ -338,9 +340,15 @@ def resumed_judging(spark, d):
     return A.resumable(asked, "doc_id", _answer, folder)
 
 
-@query("model_pair", f"WITH {JUDGED_SQL} SELECT count(DISTINCT model_id) > 2 AS none FROM judged")
+@query("model_pair", f"""WITH {JUDGED_SQL}, m AS (SELECT model_id, row_number() OVER (ORDER BY model_id) AS k, count(*) OVER () AS n FROM (SELECT DISTINCT model_id FROM judged WHERE model_id IS NOT NULL))
+SELECT kept, max(CASE WHEN k = 1 AND (n = 2 OR kept = 2) THEN model_id END) AS first_model, max(CASE WHEN k = 2 AND (n = 2 OR kept = 2) THEN model_id END) AS second_model
+FROM m, (SELECT unnest([2, 3]) AS kept) WHERE k <= kept GROUP BY kept""")
 def model_pair(spark, d):
-    return spark.createDataFrame([(E.choose_pair(judged(spark, d), "model_id")[0] is None,)], "none boolean")
+    """The pair that is compared where two and where three of the models are there."""
+    rows = judged(spark, d)
+    names = sorted(r[0] for r in rows.select("model_id").distinct().collect() if r[0] is not None)
+    pairs = [(k, *(E.choose_pair(rows.where(F.col("model_id").isin(names[:k])), "model_id")[0] or (None, None))) for k in (2, 3)]
+    return spark.createDataFrame(pairs, "kept int, first_model string, second_model string")
 
 
 @query("evaluation_report")
