@@ -1,4 +1,8 @@
-"""Judged generations: requests, answers as JSON, coercion, validation and consistency of labels."""
+"""Judged generations: requests, answers as JSON, coercion, validation and consistency of labels.
+
+Null texts are requests with an empty part, and answers without an object; null fields are missing ones, coerced to null. Repeated
+rows are judged each by itself; of alternatives that could all be meant, the first in the order given decides. Empty tables
+give empty results."""
 
 from __future__ import annotations
 

@@ -1,4 +1,8 @@
-"""Text corpora, prompts, registries and CSV inputs as DataFrames."""
+"""Text corpora, prompts, registries and CSV inputs as DataFrames.
+
+Empty files are empty texts and give no lines; empty folders give no rows. A file that several patterns name is read once; rows that
+repeat stay, but for last_per_id, which keeps the last of an id in the order given (of rows that tie there, any one). Null cells stay
+null."""
 
 from __future__ import annotations
 

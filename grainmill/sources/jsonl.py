@@ -1,4 +1,7 @@
-"""JSON lines read tolerantly: no row is lost, and two label dialects never meet in one inferred schema."""
+"""JSON lines read tolerantly: no row is lost, and two label dialects never meet in one inferred schema.
+
+Blank lines are counted, not parsed; lines that are no object are kept as they are. Repeated lines and files named twice are rows of
+their own; lines go by file and number. An empty file gives no rows."""
 
 from __future__ import annotations
 

@@ -1,4 +1,7 @@
-"""Book metadata in RDF/XML through Spark's XML reader, one row for each file."""
+"""Book metadata in RDF/XML through Spark's XML reader, one row for each file.
+
+A file that can't be read as XML, and an empty one, gives no book; a book that several files hold has a row for each; of formats
+that tie, the one of the larger address is taken. Missing elements are null or empty lists; an empty folder gives no rows."""
 
 from __future__ import annotations
 
