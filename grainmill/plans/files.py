@@ -18,7 +18,7 @@ from ..sources import corpus as SRC
 from ..sources import jsonl as JL
 from ..sources import rdf as RDF
 from ..sources import sinks as K
-from ..sources.stream import read_stream, write_stream
+from ..sources.stream import read_stream, update_stream, write_stream
 from .base import JUDGED_SQL, judged, query, table
 from .corpus import COUNTS_SQL, assessed
 from .tokens import TOKENS, token_blocks, tokens
@@ -249,6 +249,20 @@ def stream_blocks(spark, d):
     return b.select("block_id", total, F.get("ids", F.lit(0)).alias("first_id"), F.get("ids", F.lit(999)).alias("last_id"))
 
 
+@query("updated_stream", f"WITH {TOKENS}, st AS (SELECT id, row_number() OVER (ORDER BY doc_id, i) - 1 AS p FROM (SELECT doc_id, unnest(ids) AS id, unnest(range(len(ids))) AS i FROM tok)) SELECT CAST(p // 1000 AS BIGINT) AS block_id, CAST(sum(id) AS BIGINT) AS total, CAST(arg_max(id, p) AS INT) AS last_id, true AS some_stayed FROM st GROUP BY 1 HAVING count(*) = 1000")
+def updated_stream(spark, d):
+    """A stream of all documents of which the last one changed since: the parts in front of it stay."""
+    path, docs = new_path(spark), tokens(spark, d).withColumn("path", F.lpad(F.col("doc_id").cast("string"), 12, "0"))
+    files = docs.select("path", F.sha2(F.array_join(F.transform("ids", lambda x: x.cast("string")), " "), 256).alias("mark"))
+    last = files.agg(F.max("path")).first()[0]
+    before = files.withColumn("mark", F.when(F.col("path") == last, "older").otherwise(F.col("mark")))
+    encode = lambda behind: behind.join(docs.select("path", "ids"), "path")
+    update_stream(before, "path", "mark", path, encode, parts=8)
+    stayed = update_stream(files, "path", "mark", path, encode, parts=8)
+    total = F.aggregate("ids", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("total")
+    return read_stream(spark, path, 1000).select("block_id", total, F.get("ids", F.lit(999)).alias("last_id"), F.lit(stayed > 0).alias("some_stayed"))
+
+
 LOG_SQL = "SELECT event_id AS step, event_id // 100 AS epoch, CAST(value AS DOUBLE) AS train_loss, CASE WHEN event_id % 10 = 0 THEN CAST(value AS DOUBLE) / 2 END AS val_loss FROM events"
 
 

@@ -8,6 +8,12 @@ the bytes of its range from the parts that hold them.
     write_stream(df, "ids", ["doc_id"], path)                                    # append=True lays new parts behind
     read_stream(spark, path, length=1024, start=first_token, stop=last_token)   # (block_id, ids)
 
+    update_stream(files, "path", "mark", path, encode)                           # rewrites from the first changed part on
+
+An updated stream is a hash tree over its files: each part has the digest of the keys and marks (hashes, or sizes and times) of its files,
+the stream that of its parts. An update compares digests part by part, keeps the parts in front of the first that differs, and
+encodes and writes only what stands behind them.
+
 Paths are local or shared folders, or anything that pyarrow's file systems open (hdfs://, s3://).
 
 Defined results. Null arrays and null ids take no place; rows that tie in the order come in any order. An empty table gives
@@ -16,6 +22,7 @@ an empty stream. A last block that isn't full is left out, or filled up with `pa
 
 from __future__ import annotations
 
+import hashlib
 import json
 import uuid
 from collections.abc import Iterator, Sequence
@@ -60,9 +67,14 @@ class Range(InputPartition):
 
 @dataclass
 class Part(WriterCommitMessage):
+    """last, files, digest: of a part of an updated stream, the last key, the number of files and the digest."""
+
     partition: int
     file: str
     tokens: int
+    last: str = ""
+    files: int = 0
+    digest: int = 0
 
 
 class Reader(DataSourceReader):
@@ -105,35 +117,49 @@ class Reader(DataSourceReader):
             yield pa.RecordBatch.from_arrays([pa.array(range(first, first + blocks), pa.int64()), ids], names=["block_id", "ids"])
 
 
+#: Digests are sums of 60 bits of SHA-256, so that the order of files in a part doesn't matter, modulo this.
+MODULUS = 1 << 61
+
+
+def _digest(key: str, mark: str) -> int:
+    return int(hashlib.sha256(f"{key}|{mark}".encode()).hexdigest()[:15], 16)
+
+
 class Writer(DataSourceArrowWriter):
-    def __init__(self, path: str, overwrite: bool):
-        self.path, self.overwrite = path, overwrite
+    def __init__(self, path: str, overwrite: bool, keep: int | None = None):
+        """keep: parts of the stream that stay in front; all, or none if it is overwritten."""
+        self.path, self.keep = path, 0 if overwrite and keep is None else keep
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Part:
         store, root = opened(self.path)
         partition = TaskContext.get().partitionId()
         name, count = f"part-{partition:06d}-{uuid.uuid4().hex}.bin", 0
+        last, files, digest = "", 0, 0
         store.create_dir(root, recursive=True)
         with store.open_output_stream(f"{root.rstrip('/')}/{name}") as f:
             for b in iterator:
+                if b.num_columns > 1 and b.num_rows:
+                    last, files = b.column(1)[-1].as_py(), files + b.num_rows
+                    digest += sum(_digest(k, m) for k, m in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True))
                 for chunk in (b.column(0).slice(k, 4096) for k in range(0, b.num_rows, 4096)):
                     ids = pc.drop_null(chunk.flatten()).cast(pa.int32())
                     f.write(ids.to_numpy(zero_copy_only=False).astype("<i4", copy=False).tobytes())
                     count += len(ids)
-        return Part(partition, name, count)
+        return Part(partition, name, count, last, files, digest % MODULUS)
 
     def commit(self, messages: list[Part]) -> None:
         """The stream is what this writes; parts of an overwritten stream, and of tasks that didn't count, go afterwards."""
         store, root = opened(self.path)
-        parts = [] if self.overwrite else parts_of(self.path)
+        parts = parts_of(self.path)[: self.keep]
         at = parts[-1]["start"] + parts[-1]["tokens"] if parts else 0
-        for m in sorted((m for m in messages if m and m.tokens), key=lambda m: m.partition):
-            parts.append({"file": m.file, "start": at, "tokens": m.tokens})
+        for m in sorted((m for m in messages if m and (m.tokens or m.files)), key=lambda m: m.partition):
+            parts.append({"file": m.file, "start": at, "tokens": m.tokens} | ({"last": m.last, "files": m.files, "digest": m.digest} if m.files else {}))
             at += m.tokens
         store.create_dir(root, recursive=True)
         new = f"{root.rstrip('/')}/{MANIFEST}.{uuid.uuid4().hex}"
         with store.open_output_stream(new) as f:
-            f.write(json.dumps({"parts": parts, "tokens": at}).encode())
+            root_digest = hashlib.sha256("|".join(f"{p['files']}:{p['digest']}" for p in parts if "digest" in p).encode()).hexdigest()
+            f.write(json.dumps({"parts": parts, "tokens": at, "digest": root_digest}).encode())
         store.move(new, f"{root.rstrip('/')}/{MANIFEST}")
         held = {p["file"] for p in parts}
         for info in store.get_file_info(fs.FileSelector(root)):
@@ -159,7 +185,7 @@ class Int32Stream(DataSource):
         return Reader(dict(self.options))
 
     def writer(self, schema, overwrite: bool) -> Writer:
-        return Writer(self.options["path"], overwrite)
+        return Writer(self.options["path"], overwrite, int(self.options["keep"]) if "keep" in self.options else None)
 
 
 def write_stream(df: DataFrame, ids: str, order: Sequence[str], path: str, append: bool = False) -> None:
@@ -174,3 +200,25 @@ def read_stream(spark: SparkSession, path: str, length: int = 1024, start: int =
     spark.dataSource.register(Int32Stream)
     options = {"path": path, "length": length, "start": start} | ({} if stop is None else {"stop": stop}) | ({} if pad is None else {"pad": pad})
     return spark.read.format("int32_stream").options(**options).load()
+
+
+def update_stream(files: DataFrame, key: str, mark: str, path: str, encode, parts: int | None = None) -> int:
+    """Brings the stream at path to the files (key, mark, ...; strings without nulls, keys once each) in the order of their keys, and returns
+    how many parts stayed. encode: files -> files with ids (array<int>); it is given only the files behind the parts that stay, and
+    must keep key and mark. parts: about how many parts those files are written in."""
+    spark = files.sparkSession
+    spark.dataSource.register(Int32Stream)
+    old = [p for p in parts_of(path) if "digest" in p]
+    bounds = F.array(*[F.lit(p["last"]) for p in old]).cast("array<string>")
+    number = F.conv(F.substring(F.sha2(F.concat_ws("|", key, mark), 256), 1, 15), 16, 10).cast("decimal(38,0)")
+    place = F.size(F.filter(bounds, lambda b: b < F.col(key)))
+    found = {r.place: (r.files, int(r.digest) % MODULUS) for r in files.groupBy(place.alias("place")).agg(F.count("*").alias("files"), F.sum(number).alias("digest")).collect()}
+    keep = next((k for k, p in enumerate(old) if found.get(k) != (p["files"], p["digest"])), len(old))
+    if keep == len(old) and old and keep not in found:
+        return keep
+    behind = files.where(F.col(key) > old[keep - 1]["last"]) if keep else files
+    ordered = encode(behind)
+    ordered = (ordered.repartitionByRange(parts, key) if parts else ordered.repartitionByRange(key)).sortWithinPartitions(key)
+    columns = [F.coalesce(F.col("ids").cast("array<int>"), F.array().cast("array<int>")).alias("ids"), F.col(key).alias("key"), F.col(mark).alias("mark")]
+    ordered.select(*columns).write.format("int32_stream").mode("append").option("path", path).option("keep", keep).save()
+    return keep

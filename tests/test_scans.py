@@ -146,3 +146,42 @@ def test_repeated_ngrams_against_slices(spark):
                 want = {t[k + n - 1] for k in range(len(t) - n + 1) if t[k : k + n - 1] == t[len(t) - n + 1 :]}
                 assert r.b == sorted(x for x in want if x is not None), (n, t)
             assert r.r == (len(t) > n and any(t[k : k + n] == t[len(t) - n :] for k in range(len(t) - n))), (n, t)
+
+
+def test_updated_stream(spark, tmp_path):
+    """One changed file rewrites its part and those behind it; the stream is always that of all files."""
+    from grainmill.sources import stream
+
+    rng = random.Random(9)
+    files = {f"f{k:03d}": [rng.randrange(1000) for _ in range(rng.randrange(9))] for k in range(120)}
+    path, encoded = str(tmp_path / "s"), []
+
+    def update():
+        rows = [(k, str(hash(tuple(v)))) for k, v in files.items()]
+        frame = spark.createDataFrame(rows, "path string, mark string").repartition(3)
+        arrays = spark.createDataFrame([(k, v) for k, v in files.items()], "path string, ids array<int>")
+
+        def encode(behind):
+            encoded.append(behind.count())
+            return behind.join(arrays, "path")
+
+        kept = stream.update_stream(frame, "path", "mark", path, encode, parts=6)
+        flat = [x for k in sorted(files) for x in files[k]]
+        assert [x for r in stream.read_stream(spark, path, 1).orderBy("block_id").collect() for x in r.ids] == flat
+        return kept, stream.parts_of(path)
+
+    kept, first = update()
+    assert kept == 0 and encoded == [120] and len(first) > 3 and sum(p["files"] for p in first) == 120
+    assert update() == (len(first), first) and encoded == [120], "nothing changed, nothing is written"
+    third = first[2]["last"]
+    files[third] = files[third] + [7]
+    kept, second = update()
+    assert kept == 2 and second[:2] == first[:2] and encoded[1] == 120 - first[0]["files"] - first[1]["files"]
+    files["f999"] = [1, 2]
+    kept, after = update()
+    assert kept == len(second) and after[:-1] == second and encoded[2] == 1
+    del files["f000"]
+    assert update()[0] == 0
+    files.clear()
+    files["a"] = []
+    update()
