@@ -182,12 +182,12 @@ def phrase_hits(docs: DataFrame, phrases: DataFrame, id_col: str, text_col: str,
     """(id, phrase id): each document and each phrase whose words stand in it, one after another; case and white space
     don't matter. A phrase counts once for a document.
 
-    Phrases may be many: a text's windows of 1, 2, 4, 8 and 16 words are compared by hash with the first words of each phrase
+    Phrases may be many: a text's windows of 1, 2, 4 and 8 words are compared by hash with the first words of each phrase
     (as many of these as it has), and texts are looked at again only where a hash meets. The hashes go to all executors while their counted size allows, else windows
     are shuffled. Null and empty phrases match nothing; documents that share an id are one."""
     words = F.split(folded(F.col(phrase_col)), " ")
-    asked = written(phrases.withColumn("__size", F.size(words)).select(F.col(phrase_id).alias("__item"), folded(F.col(phrase_col)).alias("__phrase"), words.alias("__w"), F.expr("cast(least(16, shiftleft(1, length(bin(__size)) - 1)) as int)").alias("__n")).where("__phrase <> ''"))
-    lengths = [r[0] for r in asked.select("__n").distinct().orderBy("__n").collect()]  # five at most
+    asked = written(phrases.withColumn("__size", F.size(words)).select(F.col(phrase_id).alias("__item"), folded(F.col(phrase_col)).alias("__phrase"), words.alias("__w"), F.expr("cast(least(8, shiftleft(1, length(bin(__size)) - 1)) as int)").alias("__n")).where("__phrase <> ''"))
+    lengths = [r[0] for r in asked.select("__n").distinct().orderBy("__n").collect()]  # four at most
     if not lengths:
         return docs.select(F.col(id_col), F.lit(None).cast(dict(phrases.dtypes)[phrase_id]).alias(phrase_id)).limit(0)
     hash_at = lambda n, i: F.xxhash64(*[F.get("__w", i + k) for k in range(n)])
