@@ -5,9 +5,12 @@ packed one after another in any order; repeated rows are packed as often as they
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import heapq
+from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +23,9 @@ from .vocabulary import BYTES, train_merges
 SPECIALS = ("<doc>", "<pad>", "<bos>", "<eos>")
 PIECES = r"(?U)'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+#: Distinct words whose ids a task keeps.
+KEPT = 200_000
+
 
 def stripped(text: Column) -> Column:
     """text without white space at its ends."""
@@ -43,35 +49,56 @@ def train_vocabulary(docs: DataFrame, text_col: str, size: int = 32_000, special
 
 
 def bpe_ids(word: str, vocab: dict[str, int], ranks: dict[tuple[str, str], int]) -> list[int]:
-    p = [chr(b) for b in word.encode()]
-    while len(p) > 1:
-        rank, k = min((ranks.get(pair, len(ranks)), k) for k, pair in enumerate(zip(p, p[1:])))
-        if rank == len(ranks):
-            break
-        p[k : k + 2] = [p[k] + p[k + 1]]
-    return [vocab[x] for x in p]
+    """The ids of a word: the merge of lowest rank, then leftmost, first. Costs n log n, so that a word may be a whole text."""
+    p: list[str | None] = [chr(b) for b in word.encode()]
+    after, before = list(range(1, len(p) + 1)), list(range(-1, len(p) - 1))
+    heap = [(rank, k) for k, pair in enumerate(zip(p, p[1:])) if (rank := ranks.get(pair)) is not None]
+    heapq.heapify(heap)
+    while heap:
+        rank, k = heapq.heappop(heap)
+        j = after[k]
+        if p[k] is None or j >= len(p) or ranks.get((p[k], p[j])) != rank:
+            continue
+        p[k], p[j], after[k] = p[k] + p[j], None, after[j]
+        if after[k] < len(p):
+            before[after[k]] = k
+        for left, right in ((before[k], k), (k, after[k])):
+            if left >= 0 and right < len(p) and (new := ranks.get((p[left], p[right]))) is not None:
+                heapq.heappush(heap, (new, left))
+    return [vocab[x] for x in p if x is not None]
 
 
 def encode(docs: DataFrame, text_col: str, vocab: dict[str, int], merges: Sequence[tuple[str, str]], start: str = "<doc>", eos: str | None = None) -> DataFrame:
-    """Adds ids: the start token, then the ids of the stripped text [, then eos]. The model is sent to tasks once."""
+    """Adds ids: the start token, then the ids of the stripped text [, then eos]. The model is sent to tasks once; each
+    distinct word of a batch is merged once, and a task keeps up to KEPT words."""
     model = docs.sparkSession.sparkContext.broadcast((vocab, {m: i for i, m in enumerate(merges)}))
     pieces = F.regexp_extract_all(F.concat(F.lit(" "), stripped(F.col(text_col))), F.lit(PIECES), 0)
+    ends = int(eos is not None)
 
-    @F.pandas_udf("array<int>")
-    def ids(words: pd.Series) -> pd.Series:
+    @F.arrow_udf("array<int>")
+    def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         vocab, ranks = model.value
-        known: dict[str, list[int]] = {}
-        tail = [vocab[eos]] if eos else []
-
-        def of(ws) -> list[int]:
-            out = [vocab[start]]
-            for w in ws if ws is not None else ():
+        known: dict[str, np.ndarray] = {}
+        for texts in batches:
+            words = texts.flatten().dictionary_encode()
+            made = [np.empty(0, np.int32)]  # so that there is one
+            for w in words.dictionary.to_pylist():
                 if w not in known:
-                    known[w] = bpe_ids(w, vocab, ranks)
-                out += known[w]
-            return out + tail
-
-        return words.map(of)
+                    if len(known) >= KEPT:
+                        known.clear()
+                    known[w] = np.array(bpe_ids(w, vocab, ranks), np.int32)
+                made.append(known[w])
+            sizes, at = np.array([len(m) for m in made]), words.indices.to_numpy() + 1
+            n = sizes[at]
+            body = np.concatenate(made)[np.repeat((np.cumsum(sizes) - sizes)[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+            upto = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(texts), 0).to_numpy(zero_copy_only=False))])]
+            offsets = upto + np.arange(len(upto)) * (1 + ends)
+            out, inner = np.empty(offsets[-1], np.int32), np.ones(offsets[-1], bool)
+            out[offsets[:-1]], inner[offsets[:-1]] = vocab[start], False
+            if ends:
+                out[offsets[1:] - 1], inner[offsets[1:] - 1] = vocab[eos], False
+            out[inner] = body
+            yield pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(out))
 
     return docs.withColumn("ids", ids(pieces))
 

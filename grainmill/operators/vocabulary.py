@@ -1,15 +1,15 @@
-"""Byte-pair merges of counted words at full size: guessed on the most frequent words, verified on all.
+"""Byte-pair merges of counted words at full size, in a few rounds over a distributed table of words.
 
-The HEAD most frequent words are on the driver with an inverted index (pair -> words that hold it) and counts that each merge
-updates where it changes them. From these the next merges are guessed, many at a time. All other words stay a distributed
-table: one job applies the guessed merges to them and returns, for pairs that are frequent enough to matter, their counts and
-the changes that each guessed merge makes. With both, the counts of all words are exact after every step, and the guesses are
-kept up to the first that isn't the most frequent pair of all words; that one is replaced by the true one, and guessing goes
-on from there. So a round is one job for up to thousands of merges, never fewer than one, and the result is that of merging
-one pair after another over all words, whatever HEAD is.
+A round takes the most frequent pairs of all words as candidates. Where two neighbours in a word aren't a candidate, nothing
+can join them in this round: a pair that merges make stands where a pair stood before, so it is no more frequent than that one,
+and younger. So words fall into segments between such places, and only distinct segments of two parts or more, with their
+counts, come to the driver. There they are merged with an inverted index, the most frequent pair first, as long as it comes
+before the last candidate in the order of all pairs; up to there counts are exact, for no other pair can be that frequent.
+The table of words is then written anew, with each segment replaced by what became of it, and the next round begins. The
+result is that of merging one pair after another over all words, whatever HEAD is.
 
-The driver holds HEAD words and pairs that occur at least half as often as the rarest guessed one. The table of other words is
-written anew with the merges so far once these are REWRITE.
+The driver holds at most HEAD segments and MOST candidates: there are fewer candidates in a round if there would be more
+segments, down to one pair, which needs none.
 
 Defined results. Null words are left out. Equal counts go to the pair whose parts are older (bytes in the order of their
 printable characters, then pieces in the order in which they were made). Empty tables give no merges.
@@ -18,7 +18,6 @@ printable characters, then pieces in the order in which they were made). Empty t
 from __future__ import annotations
 
 import heapq
-from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -29,8 +28,8 @@ from pyspark.sql import functions as F
 
 from .shared import written
 
-#: Words on the driver; guesses of the first round, fewest and most of a round; merges after which the table is rewritten.
-HEAD, FIRST, FEWEST, MOST, REWRITE = 400_000, 512, 64, 8_192, 4_096
+#: Segments on the driver; candidates of the first round, most of a round.
+HEAD, FIRST, MOST = 100_000, 128, 65_536
 
 #: Fixed order of bytes: those that print as themselves, then the others.
 BYTES = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
@@ -59,210 +58,137 @@ def pair_keys(parts: list[int]) -> list[int]:
     return [a << _SHIFT | b for a, b in zip(parts, parts[1:], strict=False)]
 
 
-class Steps:
-    """A sequence of merges to apply to words: the n-th joins a pair (key) into a piece (number)."""
-
-    def __init__(self, keys: list[int], made: list[int]):
-        self.made, self.at = made, defaultdict(list)
-        for step, key in enumerate(keys):
-            self.at[key].append(step)
-
-    def apply(self, parts: list[int]) -> Iterator[tuple[int, list[int]]]:
-        """(step, parts after it) for each step that changes the word."""
-        step = 0
-        while len(parts) > 1:
-            found = [(at[k], key) for key in pair_keys(parts) if (at := self.at.get(key)) and (k := bisect_left(at, step)) < len(at)]
-            if not found:
-                return
-            step, key = min(found)
-            parts = joined(parts, key >> _SHIFT, key & _LOW, self.made[step])
-            yield step, parts
-            step += 1
-
-
 class Head:
-    """The most frequent words: parts, index, counts, and what the last guesses changed, so that they can be taken back."""
+    """Counted segments with an inverted index (pair -> segments that hold it) and counts that each merge updates where it
+    changes them; the most frequent pair on top, of equal ones the oldest."""
 
-    def __init__(self, words: list[bytes], times: list[int]):
-        self.names = [bytes([b]) for b in BYTES]
-        self.number = {name: k for k, name in enumerate(self.names)}
-        self.words, self.times = [[PLACE[b] for b in w] for w in words], times
+    def __init__(self, segments: list[list[int]], times: list[int]):
+        self.segments, self.times = segments, times
         self.where: dict[int, set[int]] = defaultdict(set)
         self.counts: dict[int, int] = defaultdict(int)
-        for w, parts in enumerate(self.words):
+        for s, parts in enumerate(segments):
             for key in pair_keys(parts):
-                self.counts[key] += times[w]
-                self.where[key].add(w)
+                self.counts[key] += times[s]
+                self.where[key].add(s)
+        self.heap = [(-n, key) for key, n in self.counts.items()]
+        heapq.heapify(self.heap)
+
+    def top(self) -> tuple[int, int] | None:
+        """(-count, pair) of the most frequent pair."""
+        while self.heap and self.counts.get(self.heap[0][1], 0) != -self.heap[0][0]:
+            heapq.heappop(self.heap)
+        return self.heap[0] if self.heap else None
 
-    def merge(self, key: int) -> dict:
-        """Merges one pair; what it takes to undo it, with the changes of counts."""
+    def merge(self, key: int, new: int) -> None:
         a, b = key >> _SHIFT, key & _LOW
-        name = self.names[a] + self.names[b]
-        fresh = name not in self.number
-        if fresh:
-            self.number[name] = len(self.names)
-            self.names.append(name)
-        new = self.number[name]
         changes: dict[int, int] = defaultdict(int)
-        old: dict[int, list[int]] = {}
-        held = self.where.pop(key, set())
-        for w in held:
-            before = self.words[w]
+        for s in self.where.pop(key):
+            before = self.segments[s]
             after = joined(before, a, b, new)
             if len(after) == len(before):
                 continue
-            n = self.times[w]
+            n = self.times[s]
             for k in pair_keys(before):
                 changes[k] -= n
             for k in pair_keys(after):
                 changes[k] += n
                 if k >> _SHIFT == new or k & _LOW == new:
-                    self.where[k].add(w)
-            old[w], self.words[w] = before, after
-        changes = {k: n for k, n in changes.items() if n}
-        for k, n in changes.items():
-            self.counts[k] += n
-        return {"key": key, "new": new, "fresh": fresh, "held": held, "old": old, "changes": changes}
-
-    def undo(self, done: dict) -> None:
-        for k, n in done["changes"].items():
-            self.counts[k] -= n
-        self.words = self.words if not done["old"] else self._restored(done["old"])
-        self.where[done["key"]] |= done["held"]
-        if done["fresh"]:
-            del self.number[self.names.pop()]
-
-    def _restored(self, old: dict[int, list[int]]) -> list[list[int]]:
-        for w, parts in old.items():
-            self.words[w] = parts
-            for key in pair_keys(parts):
-                self.where[key].add(w)
-        return self.words
+                    self.where[k].add(s)
+            self.segments[s] = after
+        for k, change in changes.items():
+            if change:
+                self.counts[k] = n = self.counts.get(k, 0) + change
+                if n > 0:
+                    heapq.heappush(self.heap, (-n, k))
+                else:
+                    del self.counts[k]
 
 
-class Best:
-    """Counts of pairs with the most frequent on top."""
+def _binary(flat: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """32-bit integers cut into values of so many each."""
+    ends = np.zeros(len(sizes) + 1, np.int32)
+    np.cumsum(sizes * 4, out=ends[1:])
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(flat, np.int32))])
 
-    def __init__(self, counts: dict[int, float]):
-        self.counts = counts
-        self.heap = [(-n, key) for key, n in counts.items() if n > 0]
-        heapq.heapify(self.heap)
 
-    def add(self, key: int, change: float) -> None:
-        self.counts[key] = n = self.counts.get(key, 0) + change
-        if n > 0:
-            heapq.heappush(self.heap, (-n, key))
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(parts of all words of a batch, how many each word has, how often it occurs)."""
+    for b in batches:
+        if b.num_rows:
+            column = b.column("parts")
+            ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+            flat = np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(np.int32)
+            yield flat, np.diff(ends) // 4, b.column("n").to_numpy()
 
-    def top(self) -> tuple[int | None, float]:
-        while self.heap and self.counts.get(self.heap[0][1]) != -self.heap[0][0]:
-            heapq.heappop(self.heap)
-        return (self.heap[0][1], -self.heap[0][0]) if self.heap else (None, 0)
-
-
-def _guess(head: Head, others: dict[int, int], size: int, least: int, most: int) -> tuple[list[dict], float]:
-    """Up to `most` merges from the head's words, and the least count among them. others: counts of pairs in other words, as
-    far as known; a merge is taken to change these as it changes the head's."""
-    best = Best({k: n + others.get(k, 0) for k, n in head.counts.items() if n > 0} | {k: n for k, n in others.items() if k not in head.counts})
-    done: list[dict] = []
-    lowest = float("inf")
-    while len(done) < most and len(head.names) < size:
-        key, n = best.top()
-        if key is None or n < least:
-            break
-        ratio = n / head.counts[key] if others and head.counts.get(key, 0) > 0 else 1
-        lowest = min(lowest, n)
-        done.append(head.merge(key))
-        for k, change in done[-1]["changes"].items():
-            best.add(k, change * ratio)
-        best.counts[key] = 0
-    return done, lowest
+
+def _keys(flat: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pair that each part but the last makes with the next one, and whether both are of one word."""
+    within = np.ones(len(flat) - 1, bool)
+    within[np.cumsum(sizes)[:-1] - 1] = False
+    return flat[:-1].astype(np.int64) << _SHIFT | flat[1:], within
+
+
+def _cut(flat: np.ndarray, sizes: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(size, word) of the segments, in order: a word is cut where neighbours are none of pairs (sorted)."""
+    keys, within = _keys(flat, sizes)
+    linked = within & (pairs[np.minimum(np.searchsorted(pairs, keys), len(pairs) - 1)] == keys)
+    starts = np.concatenate([[0], np.flatnonzero(~linked) + 1])
+    return np.diff(np.append(starts, len(flat))), np.searchsorted(np.cumsum(sizes), starts, side="right")
+
+
+def _summed(values: pa.Array, n: np.ndarray, name: str) -> Iterator[pa.RecordBatch]:
+    sums = pa.table({name: values, "n": n}).group_by(name).aggregate([("n", "sum")])
+    yield from sums.select([name, "n_sum"]).rename_columns([name, "n"]).to_batches()
 
 
-def _other_counts(table: DataFrame, done: Steps, steps: Steps, wanted: np.ndarray, floor: int) -> list[tuple[int, list[tuple[int, int]]]]:
-    """(pair, [(step, change)]) of the words in table: counts after `done` as step -1, then what each step changes; of pairs
-    in wanted (sorted) and those that may come to `floor`."""
+def _frequent(table: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(pairs, counts) of the most frequent pairs of all words; of equal ones the oldest first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        changes: dict[tuple[int, int], int] = defaultdict(int)
-        for b in batches:
-            for raw, n in zip(b.column("parts").to_pylist(), b.column("n").to_pylist(), strict=True):
-                parts = np.frombuffer(raw, np.int32).tolist()
-                for _, parts in done.apply(parts):  # noqa: B020  (only the last state counts)
-                    pass
-                for key in pair_keys(parts):
-                    changes[key, -1] += n
-                for step, after in steps.apply(parts):
-                    for key in pair_keys(parts):
-                        changes[key, step] -= n
-                    for key in pair_keys(after):
-                        changes[key, step] += n
-                    parts = after
-        rows = np.array([(*k, n) for k, n in changes.items() if n], np.int64).reshape(-1, 3)
-        known = np.isin(rows[:, 0], wanted)
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in (rows[:, 0], rows[:, 1], rows[:, 2], known)], names=["pair", "step", "change", "known"])
-
-    found = table.mapInArrow(run, "pair long, step long, change long, known boolean")
-    summed = found.groupBy("pair", "step").agg(F.sum("change").alias("change"), F.max("known").alias("known"))
-    of_pair = summed.groupBy("pair").agg(F.collect_list(F.struct("step", "change")).alias("steps"), F.sum(F.greatest("change", F.lit(0))).alias("peak"), F.max("known").alias("known"))
-    return [(r.pair, sorted((s.step, s.change) for s in r.steps)) for r in of_pair.where((F.col("peak") >= floor) | F.col("known")).collect()]
-
-
-def _verified(guesses: list[dict], start: dict[int, int], others: list[tuple[int, list[tuple[int, int]]]], least: int, surely: float, head: Head) -> tuple[int, list[int]]:
-    """How many of the guesses are right, and the pairs that come next in truth, as far as that is certain. start: the
-    head's counts before; surely: counts from here on are exact."""
-    totals, by_step = dict(start), defaultdict(list)
-    for key, steps in others:
-        for step, change in steps:
-            if step < 0:
-                totals[key] = totals.get(key, 0) + change
-            else:
-                by_step[step].append((key, change))
-    best = Best(totals)
-    for step, done in enumerate(guesses):
-        key, n = best.top()
-        if key != done["key"] or n < least or n < surely:
-            return step, _unrelated(best, max(least, surely), head, guesses[step]["new"] if guesses[step]["fresh"] else len(head.names))
-        for k, change in done["changes"].items():
-            best.add(k, change)
-        for k, change in by_step[step]:
-            best.add(k, change)
-    return len(guesses), []
-
-
-def _unrelated(best: Best, least: float, head: Head, pieces: int) -> list[int]:
-    """The most frequent pairs, as far as merging them leaves each other's counts alone: a merge of a and b changes only
-    pairs that end with a or start with b, and makes pairs that are no more frequent than these, and younger. Pairs that
-    make a piece that another pair made come alone. pieces: how many there are before."""
-    known, firsts, seconds, keys = set(head.names[:pieces]), set(), set(), []
-    while True:
-        key, n = best.top()
-        if key is None or n < least:
-            return keys
-        a, b = key >> _SHIFT, key & _LOW
-        name = head.names[a] + head.names[b]
-        if a in seconds or b in firsts or (name in known and keys):
-            return keys
-        keys.append(key)
-        if a == b or name in known:
-            return keys
-        firsts.add(a)
-        seconds.add(b)
-        known.add(name)
-        best.counts[key] = 0
-
-
-def _rewritten(table: DataFrame, steps: Steps) -> DataFrame:
+        for flat, sizes, n in _words(batches):
+            keys, within = _keys(flat, sizes)
+            yield from _summed(pa.array(keys[within]), np.repeat(n, sizes - 1), "pair")
+
+    found = table.mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    top = found.orderBy(F.desc("n"), "pair").limit(most).toArrow()
+    return top["pair"].to_numpy(), top["n"].to_numpy()
+
+
+def _segments(table: DataFrame, pairs: np.ndarray, most: int) -> pa.Table:
+    """(parts, n): distinct segments of two parts or more, of all words; `most` at most."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for raw in b.column("parts").to_pylist():
-                parts = np.frombuffer(raw, np.int32).tolist()
-                for _, parts in steps.apply(parts):  # noqa: B020
-                    pass
-                out.append(np.array(parts, np.int32).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), b.column("n")], names=["parts", "n"])
+        for flat, sizes, n in _words(batches):
+            size, word = _cut(flat, sizes, pairs)
+            long = size > 1
+            yield from _summed(_binary(flat[np.repeat(long, size)], size[long]), n[word[long]], "parts")
+
+    return table.mapInArrow(run, "parts binary, n long").groupBy("parts").agg(F.sum("n").alias("n")).limit(most).toArrow()
 
-    return written(table.mapInArrow(run, "parts binary, n long").where("octet_length(parts) > 4"))
+
+def _rewritten(table: DataFrame, pairs: np.ndarray, became: dict[bytes, bytes], single: tuple[int, int, int] | None) -> DataFrame:
+    """The words with each segment replaced by what became of it; or, if given, by what single (a, b, new) makes of it. Words of
+    one part go, as no merge can change them."""
+
+    def after(segment: bytes) -> np.ndarray:
+        if single:
+            return np.array(joined(np.frombuffer(segment, np.int32).tolist(), *single), np.int32)
+        return np.frombuffer(became.get(segment, segment), np.int32)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for flat, sizes, n in _words(batches):
+            size, word = _cut(flat, sizes, pairs)
+            coded = _binary(flat, size).dictionary_encode()
+            at, made = coded.indices.to_numpy(), [after(s) for s in coded.dictionary.to_pylist()]
+            lengths = np.array([len(m) for m in made])
+            begin = (np.cumsum(lengths) - lengths)[at]
+            new = lengths[at]
+            parts = np.concatenate(made)[np.repeat(begin - (np.cumsum(new) - new), new) + np.arange(new.sum())]
+            left = np.bincount(word, new, len(sizes)).astype(np.int64)
+            keep = left > 1
+            yield pa.RecordBatch.from_arrays([_binary(parts[np.repeat(keep, left)], left[keep]), pa.array(n[keep])], names=["parts", "n"])
+
+    return written(table.mapInArrow(run, "parts binary, n long"))
 
 
 def _numbers(table: DataFrame) -> DataFrame:
@@ -279,46 +205,43 @@ def _numbers(table: DataFrame) -> DataFrame:
 
 def train_merges(counts: DataFrame, pieces: int, least: int = 1, head_words: int = HEAD) -> list[Pair]:
     """The merges, in order, by which words (word, n: how often) come to `pieces` pieces beside the 256 bytes; fewer if no pair
-    occurs `least` times any more."""
-    table = written(counts.where("word is not null").selectExpr("encode(word, 'UTF-8') as word", "cast(n as bigint) as n").where("octet_length(word) > 1"))
-    top = table.orderBy(F.desc("n"), "word").limit(head_words).toArrow().to_pydict()
-    head, size, out = Head(top["word"], top["n"]), pieces + 256, []
-    if table.count() <= len(top["n"]):
-        guesses, _ = _guess(head, {}, size, least, 1 << 30)
-        keys = [g["key"] for g in guesses]
-        return [(head.names[k >> _SHIFT], head.names[k & _LOW]) for k in keys]
-    word, n = top["word"][-1], top["n"][-1]
-    rest = written(_numbers(table.where((F.col("n") < n) | ((F.col("n") == n) & (F.col("word") > F.lit(bytearray(word)))))))
-    since: list[dict] = []
-    known = dict(_initial(rest))
-    wanted = FIRST
-    while True:
-        start = {k: n for k, n in head.counts.items() if n > 0}
-        guesses, lowest = _guess(head, known, size, least, wanted)
-        if not guesses:
-            break
-        floor = max(1, int(lowest) // 2)
-        relevant = {k for k, n in start.items() if n >= floor} | {k for g in guesses for k, n in g["changes"].items() if n > 0} | {g["key"] for g in guesses}
-        steps = Steps([g["key"] for g in guesses], [g["new"] for g in guesses])
-        done = Steps([g["key"] for g in since], [g["new"] for g in since])
-        others = _other_counts(rest, done, steps, np.array(sorted(relevant), np.int64), floor)
-        right, true = _verified(guesses, start, others, least, 2 * floor - 1, head)
-        for g in reversed(guesses[right:]):
-            head.undo(g)
-        accepted = guesses[:right]
-        accepted += [head.merge(key) for key in true[: size - len(head.names)]]
-        known = {k: n for k, s in others if (n := sum(c for step, c in s if step < right)) > 0}
-        out += [(head.names[g["key"] >> _SHIFT], head.names[g["key"] & _LOW]) for g in accepted]
-        if not accepted and floor == 1:
+    occurs `least` times any more. At most head_words segments of words come to the driver at once."""
+    words = counts.where("word is not null").selectExpr("encode(word, 'UTF-8') as word", "cast(n as bigint) as n").where("octet_length(word) > 1 and n > 0")
+    table = written(_numbers(words))
+    names = [bytes([b]) for b in BYTES]
+    known, size, out, wanted = set(names), pieces + 256, [], FIRST
+    while len(names) < size:
+        pairs, n = _frequent(table, wanted + 1)
+        if not len(pairs) or n[0] < least:
             break
-        since += [{"key": g["key"], "new": g["new"]} for g in accepted]
-        if len(since) >= REWRITE:
-            rest, since = _rewritten(rest, Steps([g["key"] for g in since], [g["new"] for g in since])), []
-        wanted = min(MOST, 2 * wanted) if right == len(guesses) else max(FEWEST, min(wanted, 2 * len(accepted)))
+        k = min(wanted, len(pairs))
+        while True:
+            chosen, last = np.sort(pairs[:k]), (-int(n[k - 1]), int(pairs[k - 1])) if k < len(pairs) else (0, 0)
+            found = _segments(table, chosen, head_words + 1)
+            if found.num_rows <= head_words or k == 1:
+                break
+            k = k // 2
+        alone = found.num_rows > head_words
+        before = found["parts"].to_pylist() if not alone else []
+        head = Head([np.frombuffer(s, np.int32).tolist() for s in before], found["n"].to_pylist()) if not alone else None
+        done = 0
+        while len(names) < size and (top := head.top() if head else (-int(n[0]), int(pairs[0]))) and top <= last and -top[0] >= least:
+            a, b = top[1] >> _SHIFT, top[1] & _LOW
+            name = names[a] + names[b]
+            if name in known and done:  # a piece made in a second way stands for two pairs of before: alone in its round
+                break
+            new, again = (names.index(name), True) if name in known else (len(names), False)
+            out.append((names[a], names[b]))
+            done += 1
+            if not again:
+                names.append(name)
+                known.add(name)
+            if head:
+                head.merge(top[1], new)
+            if again or not head:
+                break
+        became = {s: c for s, parts in zip(before, head.segments, strict=True) if (c := np.array(parts, np.int32).tobytes()) != s} if head else {}
+        if len(names) < size:
+            table = _rewritten(table, chosen, became, None if head else (a, b, new))
+        wanted = min(MOST, max(1, int(k * min(8, max(0.5, 0.7 * head_words / max(1, found.num_rows))))))
     return out
-
-
-def _initial(rest: DataFrame) -> list[tuple[int, int]]:
-    """Counts of the pairs of bytes (at most 65,536) in the other words."""
-    none = Steps([], [])
-    return [(key, steps[0][1]) for key, steps in _other_counts(rest, none, none, np.zeros(0, np.int64), 1)]

@@ -6,6 +6,7 @@ import math
 import random
 import re
 import statistics
+import time
 import unicodedata
 from collections import Counter
 
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from grainmill.operators import contamination as R
 from grainmill.operators import judging as J
 from grainmill.operators import packing as P
+from grainmill.operators import vocabulary
 from grainmill.operators.vocabulary import train_merges
 from grainmill.plans.corpus import review_documents, review_lexicon
 from grainmill.plans.registry import QUERIES
@@ -256,6 +258,24 @@ def test_vocabulary_training_is_exact_for_any_head(spark, head):
     assert train_merges(frame.limit(0), 10, head_words=head) == []
 
 
+def test_vocabulary_rounds_are_few(spark, monkeypatch):
+    """Words that don't fit the driver cost a few rounds over their table, not one for every few merges."""
+    counts = Counter(w for r in rows(spark, "documents")[:60] for w in re.findall(r" ?[^\W\d_]+", r.text))
+    rounds, frequent = [], vocabulary._frequent
+    monkeypatch.setattr(vocabulary, "_frequent", lambda *a: rounds.append(a[1]) or frequent(*a))
+    merges = train_merges(spark.createDataFrame([*counts.items()], "word string, n long"), 500, head_words=len(counts) // 4)
+    assert merges == slow_merges(counts, 500) and len(rounds) <= 20
+
+
+def test_word_as_long_as_a_text(spark):
+    """The ids of a word of 60,000 characters, which cost the square of its length before."""
+    vocab, ranks = {c: i for i, c in enumerate(["a", "b", "ab", "abab", "aa"])}, {("a", "b"): 0, ("ab", "ab"): 1, ("a", "a"): 2}
+    begin = time.perf_counter()
+    assert P.bpe_ids("ab" * 30_001, vocab, ranks) == [3] * 15_000 + [2]
+    assert P.bpe_ids("a" * 5 + "b", vocab, ranks) == [4, 4, 2]
+    assert time.perf_counter() - begin < 10
+
+
 def test_vocabulary_merges_the_most_frequent_pair(spark):
     texts = [r.text for r in rows(spark, "documents")][:60]
     docs = spark.createDataFrame([(t,) for t in texts], "t string")
