@@ -9,6 +9,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.shared import written
 from .corpus import path_glob
 
 #: Columns of the review package and of the cleaning report.
@@ -170,8 +171,9 @@ def cleaned_tree(df: DataFrame, path: str, mode: str = "errorifexists", partitio
 
 
 def cleaning_report(cleaned: DataFrame, folder: str, mode: str = "errorifexists") -> dict:
-    """Rows of CLEANING as CSV and as JSON lines, and their totals as a document; returns the totals."""
-    rows = cleaned.select(*CLEANING)
+    """Rows of CLEANING as CSV and as JSON lines, and their totals as a document; returns the totals. Texts are cleaned once:
+    what is sorted, written and added up are the counts."""
+    rows = written(cleaned.select(*CLEANING))
     csv(rows.orderBy("relative_path"), f"{folder}/rows_csv", mode=mode)
     rows.write.mode(mode).json(f"{folder}/rows")
     totals = rows.agg(F.count("*").alias("files"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in CLEANING[1:]]).first().asDict()
