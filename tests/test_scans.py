@@ -44,6 +44,16 @@ def test_report_scan(spark, monkeypatch, fan):
     assert reports.report_hits(frame.limit(0), "general").count() == 0
 
 
+def test_points_are_repeated_for_few_levels(spark):
+    """Lengths of 1 to 64 are three levels, not seven."""
+    p = spark.createDataFrame([(1, i) for i in range(200)], "k int, at int")
+    s = spark.createDataFrame([(1, 3 * i, 3 * i + i % 64 + 1) for i in range(64)], "k int, start int, stop int")
+    met = intervals.point_in_interval(p, s, "k", "at", "start", "stop")
+    assert sorted(map(tuple, met.collect())) == sorted((1, i, 3 * j, 3 * j + j % 64 + 1) for i in range(200) for j in range(64) if 3 * j <= i < 3 * j + j % 64 + 1)
+    plan = met._jdf.queryExecution().optimizedPlan().toString()
+    assert "array(0, 3, 6)" in plan or "[0,3,6]" in plan
+
+
 @pytest.mark.parametrize("hot", [3, 50_000])
 def test_points_in_intervals(spark, hot):
     rng = random.Random(hot)
