@@ -266,22 +266,31 @@ def permutation_test(diffs: DataFrame, scope: str, metric: str, pair: Sequence[s
 
 def permutation_test_compat(diffs: DataFrame, scope: str, metric: str, order: Sequence[str], diff: str, n: int = 10_000, seed: int = 12345) -> DataFrame:
     """The same test with one generator re-seeded for each test, differences in key order and float sums: for comparing
-    with published p-values. A test's differences are in one task (one number for each prompt). Null differences are no
-    pairs; a test whose rows are all null has 0 pairs, mean 0 and p 1."""
+    with published p-values. A test's differences are in one task (one number for each prompt), as its draws are one
+    sequence; they are made and added up as arrays. Null differences are no pairs; a test whose rows are all null has 0 pairs,
+    mean 0 and p 1."""
     import pandas as pd
 
     def test(pdf: pd.DataFrame) -> pd.DataFrame:
         import random
         import statistics
-        from functools import reduce
-        from operator import add
 
-        values = pdf.dropna(subset=[diff]).sort_values(list(order))[diff].tolist()
+        import numpy as np
+
+        values = pdf.dropna(subset=[diff]).sort_values(list(order))[diff].to_numpy(float)
         observed, p = 0.0, 1.0
-        if values:
-            observed = statistics.mean(values)  # exact, as published
-            draw, mean = random.Random(seed).random, lambda xs: reduce(add, xs, 0.0) / len(values)  # plain float sums, in order
-            p = sum(abs(mean([x if draw() < 0.5 else -x for x in values])) >= abs(observed) for _ in range(n)) / n
+        if len(values):
+            observed = statistics.mean(values.tolist())  # exact, as published
+            state = random.Random(seed).getstate()[1]
+            draws = np.random.RandomState()
+            draws.set_state(("MT19937", state[:-1], state[-1]))  # the same numbers as the generator's
+            whole = bool((values == np.floor(values)).all()) and float(np.abs(values).sum()) < 2.0**53  # then any order gives the same sum
+            block, extreme = max(1, (1 << 20) // len(values)), 0
+            for at in range(0, n, block):
+                signed = np.where(draws.random_sample((min(block, n - at), len(values))) < 0.5, values, -values)
+                sums = signed.sum(axis=1) if whole else np.add.accumulate(signed, axis=1)[:, -1]  # plain float sums, in order
+                extreme += int((np.abs(sums / len(values)) >= abs(observed)).sum())
+            p = extreme / n
         return pd.DataFrame([(pdf[scope].iloc[0], pdf[metric].iloc[0], len(values), observed, p)], columns=[scope, metric, "n_pairs", "mean_diff", "p_value"])
 
     return diffs.groupBy(scope, metric).applyInPandas(test, f"{scope} string, {metric} string, n_pairs long, mean_diff double, p_value double")
