@@ -10,7 +10,10 @@ import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
@@ -23,6 +26,9 @@ from .shared import small, written
 SENTENCE = re.compile(r"[^\n.!?]+(?:[.!?]+(?=\s|$)|$)", re.M)
 WORD = re.compile(r"\w+")
 
+#: Bytes of texts that a task has as strings at once.
+CHARS = 1 << 20
+
 
 def sentences_of(text: str) -> list[tuple[int, int]]:
     """(start, stop) of the sentences of a text with more than white space, line by line. What stands before a period
@@ -32,10 +38,35 @@ def sentences_of(text: str) -> list[tuple[int, int]]:
 
 @F.pandas_udf(ArrayType(StructType().add("start", "integer").add("stop", "integer").add("text", "string")))
 def sentence_spans(text: pd.Series) -> pd.Series:
-    """The sentences of each text, in order. Null texts have none (null)."""
+    """The sentences of each text, in order; null texts have none (null). For rows of all sentences take sentences()."""
     return text.map(lambda t: None if t is None else [{"start": a, "stop": b, "text": t[a:b]} for a, b in sentences_of(t)])
 
 
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[str]]]:
+    """(ids, texts) of a batch's (id, text) rows, CHARS bytes of texts at a time, so that a task holds few of them as strings."""
+    for b in batches:
+        sizes = pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        cuts = [0, *(np.flatnonzero(np.diff(np.cumsum(sizes) // CHARS)) + 1).tolist(), b.num_rows]
+        for at, stop in zip(cuts, cuts[1:], strict=False):
+            part = b.slice(at, stop - at)
+            yield part.column(0), part.column(1).to_pylist()
+
+
+def sentences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, start, stop, text): the sentences of each text, in order. Null texts have none."""
+    texts = docs.select(F.col(id_col).alias(id_col), F.col(text_col).alias("__text")).where("__text is not null")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, texts in _pieces(batches):
+            spans = [sentences_of(t) for t in texts]
+            of = np.repeat(np.arange(len(texts)), [len(x) for x in spans])
+            places = np.array([p for x in spans for p in x], np.int32).reshape(-1, 2)
+            cut = pa.array([t[a:b] for t, x in zip(texts, spans, strict=True) for a, b in x], pa.string())
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(of)), pa.array(places[:, 0]), pa.array(places[:, 1]), cut], names=[id_col, "start", "stop", "text"])
+
+    return texts.mapInArrow(run, f"`{id_col}` {dict(texts.dtypes)[id_col]}, start int, stop int, text string")
+
+
 def proximity_pattern(a: str, b: str, words: int = 5) -> str:
     return rf"(?iuU){a}(?:\W+\w+){{0,{words}}}\W+{b}"
 
@@ -163,13 +194,16 @@ def findings(docs: DataFrame, id_col: str, text_col: str, phrases: Sequence[str]
     likely = docs.select(F.col(id_col).alias(id_col), F.col(text_col).alias("__text")).where("__text is not null")
     kind = dict(likely.dtypes)[id_col]
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = Finder(phrases, pairs)
-        for f in frames:
-            rows = [(i, *x) for i, t in zip(f[id_col], f["__text"]) for x in finder.find(t)]
-            yield pd.DataFrame(rows, columns=[id_col, "start", "stop", "raw", "triggers", "sources"])
-
-    found = likely.mapInPandas(run, f"`{id_col}` {kind}, start int, stop int, raw string, triggers array<string>, sources array<string>")
+        kinds = [pa.int32(), pa.int32(), pa.string(), pa.list_(pa.string()), pa.list_(pa.string())]
+        for ids, texts in _pieces(batches):
+            rows = [(i, *x) for i, t in enumerate(texts) for x in finder.find(t)]
+            if rows:
+                of, *columns = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(of)), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], names=[id_col, "start", "stop", "raw", "triggers", "sources"])
+
+    found = likely.mapInArrow(run, f"`{id_col}` {kind}, start int, stop int, raw string, triggers array<string>, sources array<string>")
     return found.withColumn("sentence_text", T.strip(F.col("raw"))).withColumn("c", classify(F.col("raw"))).select(id_col, "start", "stop", "sentence_text", "triggers", "sources", "c.*")
 
 
