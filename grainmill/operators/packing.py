@@ -16,15 +16,15 @@ from pyspark.sql import functions as F
 
 from .grids import first_of
 from .selection import running_total
-from .shared import written
+from .shared import small, written
 from .vocabulary import BYTES, train_merges
 
 #: Special tokens in the order of their ids, and the pieces that merges may not cross.
 SPECIALS = ("<doc>", "<pad>", "<bos>", "<eos>")
 PIECES = r"(?U)'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-#: Distinct words whose ids a task keeps.
-KEPT = 200_000
+#: Distinct words whose ids a task keeps, words that it joins at once; documents of a range of the shuffled order.
+KEPT, WORDS, RANGE = 200_000, 1 << 18, 5_000
 
 
 def stripped(text: Column) -> Column:
@@ -68,6 +68,14 @@ def bpe_ids(word: str, vocab: dict[str, int], ranks: dict[tuple[str, str], int])
     return [vocab[x] for x in p if x is not None]
 
 
+def _pieces(texts: pa.Array) -> Iterator[pa.Array]:
+    """Texts as lists of words, about WORDS words at a time."""
+    upto = np.cumsum(pc.fill_null(pc.list_value_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    cuts = [0, *(np.flatnonzero(np.diff(upto // WORDS)) + 1).tolist(), len(texts)]
+    for at, stop in zip(cuts, cuts[1:]):
+        yield texts.slice(at, stop - at)
+
+
 def encode(docs: DataFrame, text_col: str, vocab: dict[str, int], merges: Sequence[tuple[str, str]], start: str = "<doc>", eos: str | None = None) -> DataFrame:
     """Adds ids: the start token, then the ids of the stripped text [, then eos]. The model is sent to tasks once; each
     distinct word of a batch is merged once, and a task keeps up to KEPT words."""
@@ -79,7 +87,7 @@ def encode(docs: DataFrame, text_col: str, vocab: dict[str, int], merges: Sequen
     def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         vocab, ranks = model.value
         known: dict[str, np.ndarray] = {}
-        for texts in batches:
+        for texts in (part for batch in batches for part in _pieces(batch)):
             words = texts.flatten().dictionary_encode()
             made = [np.empty(0, np.int32)]  # so that there is one
             for w in words.dictionary.to_pylist():
@@ -204,16 +212,40 @@ def check_specials(vocab: dict[str, int], specials: Sequence[str] = SPECIALS) ->
 
 def dataset_bundle(docs: DataFrame, key: str, text_col: str, vocab: dict[str, int], merges: Sequence[tuple[str, str]], length: int = 1024, fraction: float = 0.9, seed: int = 1337, pad: bool = False, most: int | None = None) -> dict[str, DataFrame]:
     """Documents to training and validation blocks: at most the first `most` of the seeded shuffle are encoded once, each
-    is split, and both parts are packed in its order."""
+    is split, and both parts are packed in its order. Texts are dealt to ranges of that order, so that ids are written once, with
+    their places inside their range, and shuffled once, in pieces of blocks; where ranges start is told by their sums."""
     pad_id = check_specials(vocab)["<pad>"] if pad else None
-    split = written(split_tokens(encode(shuffled_positions(docs, F.col(key), seed, most), text_col, vocab, merges), fraction=fraction))
+    chosen = shuffled_positions(docs, F.col(key), seed, most).select("shuffle_key", F.col(text_col).alias("text"))
+    ranged = chosen.repartitionByRange(-(-docs.count() // RANGE) or 1, "shuffle_key").sortWithinPartitions("shuffle_key")
+    split = split_tokens(encode(ranged, "text", vocab, merges), fraction=fraction).select(F.spark_partition_id().alias("range"), "train_ids", "val_ids")
+    placed = written(_placed(split, ("train", "val")))
+    upto = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    sums = placed.groupBy("range").agg(*[F.sum(F.size(f"{part}_ids")).alias(part) for part in ("train", "val")])
+    starts = small(written(sums.select("range", *[F.coalesce(F.sum(part).over(upto), F.lit(0)).alias(f"{part}_start") for part in ("train", "val")])), 64)
     out = {}
     for part in ("train", "val"):
-        ids = split.select("shuffle_key", F.col(f"{part}_ids").alias("ids")).withColumn("n_tokens", F.size("ids").cast("bigint"))
-        out[part] = pack(offsets(ids, ["shuffle_key"]), length, pad=pad_id)
+        ids = placed.select("range", F.col(f"{part}_ids").alias("ids"), f"{part}_at").join(starts.select("range", f"{part}_start"), "range")
+        out[part] = pack(ids.select("ids", (F.col(f"{part}_start") + F.col(f"{part}_at")).alias("before")), length, pad=pad_id)
     return out
 
 
+def _placed(split: DataFrame, parts: Sequence[str]) -> DataFrame:
+    """Adds for each part the ids of rows ahead in the same task; (range, ids of each part)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ahead = dict.fromkeys(parts, 0)
+        for b in batches:
+            columns = [b.column("range"), *[b.column(f"{part}_ids") for part in parts]]
+            for part in parts:
+                n = pc.fill_null(pc.list_value_length(b.column(f"{part}_ids")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+                columns.append(pa.array(ahead[part] + np.cumsum(n) - n))
+                ahead[part] += int(n.sum())
+            yield pa.RecordBatch.from_arrays(columns, names=["range", *[f"{part}_ids" for part in parts], *[f"{part}_at" for part in parts]])
+
+    kinds = ["range int", *[f"{part}_ids array<int>" for part in parts], *[f"{part}_at long" for part in parts]]
+    return split.mapInArrow(run, ", ".join(kinds))
+
+
 def fingerprint(files: DataFrame, *parameters: str) -> str:
     """SHA-256 over the files' own hashes (path, size, time) and the parameters; equal inputs give equal values. Files
     are reduced by a commutative sum, so their order and number don't matter."""
