@@ -16,6 +16,7 @@ from grainmill.operators import grids as G
 from grainmill.operators import judging as J
 from grainmill.operators import layout as Y
 from grainmill.operators import packing as P
+from grainmill.plans.registry import ORACLES, QUERIES
 
 
 def one(spark, column, **values):
@@ -243,3 +244,86 @@ def test_seeded_permutation():
     names = [f"{i}.txt" for i in range(20)]
     places = P.seeded_permutation(names, 7)
     assert sorted(places.values()) == list(range(20)) and places == P.seeded_permutation(names[::-1], 7) != P.seeded_permutation(names, 8)
+
+
+def test_cleaning_report_cleans_once(spark, tmp_path):
+    """Rows, their order and totals come from one pass over the texts."""
+    from grainmill.sources import sinks
+
+    passes = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(t):
+        passes.add(1)
+        return t
+
+    docs = spark.createDataFrame([(f"{i}.txt", f"text {i}\n\n\n\nb") for i in range(7)], "relative_path string, text string")
+    cleaned = C.clean(docs.coalesce(1), "text").withColumn("relative_path", seen("relative_path"))
+    totals = sinks.cleaning_report(cleaned, f"{tmp_path}/r")
+    assert passes.value == 7 and totals["files"] == 7 and totals["blank_line_reductions"] == 7
+    assert spark.read.option("header", True).csv(f"{tmp_path}/r/rows_csv").count() == spark.read.json(f"{tmp_path}/r/rows").count() == 7
+
+
+def test_bundle_moves_ids_once(spark, monkeypatch):
+    """Blocks in shuffled order over many ranges; ids are written once and not sorted."""
+    monkeypatch.setattr(P, "RANGE", 7)
+    monkeypatch.setattr(P, "WORDS", 11)
+    tables, written = [], P.written
+    monkeypatch.setattr(P, "written", lambda df: tables.append(df.columns) or written(df))
+    texts = {i: f"document {i} " + "x" * (i * 7 % 40) for i in range(50)} | {50: "", 51: None}
+    docs = spark.createDataFrame([*texts.items()], "i int, t string").repartition(5)
+    vocab = {s: i for i, s in enumerate([*P.SPECIALS, *map(chr, range(256))])}
+    blocks = P.dataset_bundle(docs, "i", "t", vocab, [], length=16)
+    order = [r.i for r in P.shuffled_positions(docs, F.col("i")).orderBy("shuffle_key").collect()]
+    full = {r.i: r.ids for r in P.encode(docs, "t", vocab, []).collect()}
+    for part, keep in (("train", lambda x: x[: _cut_at(len(x))]), ("val", lambda x: x[_cut_at(len(x)) :])):
+        stream = [t for i in order for t in keep(full[i])]
+        got = [r.ids for r in blocks[part].orderBy("block_id").collect()]
+        assert got == [stream[k : k + 16] for k in range(0, len(stream) - 15, 16)]
+    assert sum(any("ids" in c for c in columns) for columns in tables) == 1
+
+
+def _cut_at(n):
+    return n if n <= 1 else min(max(int(0.9 * n), 1), n - 1)
+
+
+def test_sentences_in_pieces(spark):
+    """A task turns a bounded number of bytes into strings at once, in order and with null texts."""
+    import pyarrow as pa
+
+    texts = ["a. b." * 100, None, "é! x", "", "z" * (3 * R.CHARS)] * 50
+    pieces = list(R._pieces(iter([pa.record_batch([pa.array(range(len(texts))), pa.array(texts)], names=["i", "t"])])))
+    assert [t for _, p in pieces for t in p] == texts and [i for p, _ in pieces for i in p.to_pylist()] == [*range(len(texts))]
+    assert max(sum(len(t or "") for t in p) for _, p in pieces) <= 4 * R.CHARS
+    got = R.sentences(spark.createDataFrame([*enumerate(texts[:4])], "i int, t string"), "i", "t").collect()
+    assert [tuple(r) for r in got if r.i == 2] == [(2, 0, 2, "é!"), (2, 2, 4, " x")] and {r.i for r in got} == {0, 2}
+
+
+def test_permutations_of_uneven_differences(spark):
+    """Whole differences and others, against the generator's own draws, in a time that plain loops don't keep."""
+    import random
+    import time
+    from functools import reduce
+
+    values = {"whole": [float(i % 5 - 2) for i in range(50)], "other": [i % 7 * 0.1 - 0.25 for i in range(50)], "many": [float(i % 3 - 1) for i in range(20_000)]}
+    frame = spark.createDataFrame([(k, "m", i, x) for k, v in values.items() for i, x in enumerate(v)], "scope string, metric string, i int, x double")
+    begin = time.perf_counter()
+    got = {r.scope: r for r in E.permutation_test_compat(frame, "scope", "metric", ["i"], "x", 700).collect()}
+    assert time.perf_counter() - begin < 60
+    for scope in ("whole", "other"):
+        draw, v = random.Random(12345).random, values[scope]
+        sums = [reduce(lambda a, b: a + b, [x if draw() < 0.5 else -x for x in v], 0.0) / len(v) for _ in range(700)]
+        assert got[scope].p_value == sum(abs(x) >= abs(got[scope].mean_diff) for x in sums) / 700
+    assert got["many"].n_pairs == 20_000
+
+
+def test_documents_with_markers_of_their_own(spark, tmp_path):
+    """strip_markers gives a document back whole, as its SQL does, if the document says what ends a text."""
+    import duckdb
+
+    texts = ["one*** enden two\n", "***", "a\n*** END OF THE PROJECT GUTENBERG EBOOK ***\nb", "x **** START y\n *****End", f"{T.SENTINEL}a {T.SENTINEL}s*** end{T.SENTINEL}"]
+    spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    expected = con.sql(ORACLES["strip_markers"]).fetchall()
+    assert sorted(map(tuple, QUERIES["strip_markers"](spark, str(tmp_path)).collect())) == sorted(expected)
